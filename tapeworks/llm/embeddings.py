@@ -3,8 +3,9 @@
 Vectors are scaled to length one and cut into halves; each half has a codebook of its own, and a vector's cell in the product
 grid is the pair of its nearest codewords. A query visits cells in the order of a lower bound of their distance to it (the
 multi-sequence traversal), each bound the sum of two: how far the query's half is, squared, from the border of a codeword's
-region. It stops at the squared distance that the target recall asks for; at recall 1 that is the distance of the cosine
-itself, beyond which no cell can hold a partner. What is visited is then compared in double precision.
+region. A partner at squared distance d differs from the query in all `dim` directions; in the one direction that leads over
+a border it differs by about sqrt(d / dim), so the traversal stops at d / dim times the square of the normal quantile of the
+target recall. What is visited is then compared in double precision. Either of a pair may find the other; both count it.
 
 Equal vectors are one vector with a count. Cells' members meet their visitors in blocks of bounded size, as matrices; a block
 gives each row's number of links and a spanning forest of them.
@@ -12,6 +13,8 @@ gives each row's number of links and a spanning forest of them.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +48,9 @@ def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def unit_rows(values: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors, usable): rows that are null, of another length, zero or hold a null or non-finite component aren't usable."""
     out, usable = np.zeros((len(values), dim)), np.zeros(len(values), bool)
+    if isinstance(values, np.ndarray):
+        out, usable = values.astype(np.float64), np.isfinite(values).all(1) & values.any(1)
+        values = []
     for r, v in enumerate(values):
         if v is not None and len(v) == dim and not any(x is None for x in v):
             out[r] = v
@@ -104,15 +110,14 @@ class MultiIndex:
         return rows[by], cells[by]
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", words: int = 48, sample: int = SAMPLE, recall: float = 1.0, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", words: int = 32, sample: int = SAMPLE, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: its id, n_links (other rows with cosine of `least` or more), component_id and kept.
 
     component_id is the smallest id reachable by links, itself included; kept: id equals it. Vectors that are null, zero,
     shorter or longer than the table's most common length or hold null or non-finite components link with nothing; so do no
-    vectors with a null id. Repeated rows are vectors of their own and link. `recall` under 1 narrows the traversal to
-    the squared distance times recall: a pair is lost only if its cells are farther apart than that.
+    vectors with a null id. Repeated rows are vectors of their own and link. No link is below `least`; of pairs whose
+    difference has no favoured direction, `recall` are found at least.
     """
-    spark = vectors.sparkSession
     shape = vectors.where(F.col(vec_col).isNotNull()).groupBy(F.size(vec_col).alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = shape["d"] if shape else 2
     own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -122,26 +127,39 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     picked = distinct.orderBy("h").limit(sample).select("v").toArrow()["v"].to_pylist()
     x, _ = unit_rows(picked, dim)
     index = MultiIndex(tuple(codebook(h, words) for h in (x[:, : dim // 2], x[:, dim // 2 :])))
-    reach = (2 - 2 * least) * recall + 1e-9
+    reach = (2 - 2 * least) * NormalDist().inv_cdf((1 + recall) / 2) ** 2 / dim + 1e-9
+    raw_type = np.float32 if dict(vectors.dtypes)[vec_col] == "array<float>" else np.float64  # as it came: nothing is lost
+
+    def visited(values: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, _ = unit_rows(values, dim)
+        return *index.visits(u, reach), index.cells(u)
+
+    def tally(batches):
+        for b in batches:
+            values = b["v"].to_pylist()
+            for at in range(0, len(values), 1024):
+                rows, cells, home = visited(values[at : at + 1024])
+                c, n = np.unique(cells, return_counts=True)
+                hc, hn = np.unique(home, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([c, hc])), pa.array(np.concatenate([n, np.zeros(len(hc), np.int64)])), pa.array(np.concatenate([np.zeros(len(c), np.int64), hn]))], ["cell", "visits", "homes"])
 
     def spread(batches):
         for b in batches:
             ids, n, values = b["h"].to_numpy(), b["n"].to_numpy(), b["v"].to_pylist()
             for at in range(0, len(ids), 1024):
-                u, _ = unit_rows(values[at : at + 1024], dim)
-                rows, cells = index.visits(u, reach)
-                home = index.cells(u)
-                raw = pa.array([r.tobytes() for r in u], pa.binary())
-                for lo in range(0, len(rows), 50_000):
-                    r, c = rows[lo : lo + 50_000], cells[lo : lo + 50_000]
+                rows, cells, home = visited(values[at : at + 1024])
+                raw = pa.array([np.asarray(v, raw_type).tobytes() for v in values[at : at + 1024]], pa.binary())
+                for lo in range(0, len(rows), 20_000):
+                    r, c = rows[lo : lo + 20_000], cells[lo : lo + 20_000]
                     yield pa.RecordBatch.from_arrays([pa.array(ids[at : at + 1024][r]), pa.array(c), pa.array(home[r] == c), pa.array(n[at : at + 1024][r]), raw.take(pa.array(r))], ["h", "cell", "home", "n", "u"])
 
-    visits = as_table(distinct.select("h", "v", "n").mapInArrow(spread, "h long, cell long, home boolean, n long, u binary"), "visits")
-    counts = visits.groupBy("cell").agg(F.ceil(F.count_if("home") / block).cast("int").alias("mb"), F.ceil(F.count("*") / block).cast("int").alias("vb")).where("mb > 0")
-    rows = visits.join(counts, "cell")
+    counts = distinct.select("v").mapInArrow(tally, "cell long, visits long, homes long").groupBy("cell").agg(F.sum("homes").alias("m"), F.sum("visits").alias("v")).where("m > 0")
+    counts = cut(counts.select("cell", F.ceil(F.col("m") / block).cast("int").alias("mb"), F.ceil(F.col("v") / block).cast("int").alias("vb")))
+    rows = distinct.select("h", "v", "n").mapInArrow(spread, "h long, cell long, home boolean, n long, u binary").join(F.broadcast(counts), "cell")  # a row for each of words^2 cells at most
     mb, vb = F.pmod(F.xxhash64("h"), F.col("mb")).cast("int"), F.pmod(F.xxhash64("h", F.lit(1)), F.col("vb")).cast("int")
-    visiting = rows.select("cell", vb.alias("q"), F.explode(F.expr("sequence(0, mb - 1)")).alias("m"), F.lit(False).alias("member"), "h", "n", "u")
-    members = rows.where("home").select("cell", F.explode(F.expr("sequence(0, vb - 1)")).alias("q"), mb.alias("m"), F.lit(True).alias("member"), "h", "n", "u")
+    asks = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda m: F.struct(vb.alias("q"), m.alias("m"), F.lit(False).alias("member")))
+    owns = F.transform(F.sequence(F.lit(0), F.col("vb") - 1), lambda q: F.struct(q.alias("q"), mb.alias("m"), F.lit(True).alias("member")))
+    met = rows.withColumn("at", F.explode(F.when(F.col("home"), F.concat(asks, owns)).otherwise(asks))).select("cell", "at.*", "h", "n", "u")
     keys = ["cell", "q", "m"]
 
     def compare(batches):
@@ -149,7 +167,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
 
         def work(t):
             ids, n, member = t["h"].to_numpy(), t["n"].to_numpy(), t["member"].to_numpy(zero_copy_only=False)
-            u = np.frombuffer(b"".join(t["u"].to_pylist()), np.float64).reshape(len(ids), dim)
+            u, _ = unit_rows(np.frombuffer(b"".join(t["u"].to_pylist()), raw_type).reshape(len(ids), dim), dim)
             key = np.stack([t[k].to_numpy() for k in keys])
             starts = np.flatnonzero(np.append(True, (key[:, 1:] != key[:, :-1]).any(0)))
             for lo, hi in zip(starts, np.append(starts[1:], len(ids))):
@@ -161,12 +179,16 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
                 a, b = np.nonzero(near)
                 if not len(a):
                     continue
-                links = near @ n[ms]
+                first, second = index.bounds(u[ms])
+                home = index.cells(u[qs])[a]
+                width = len(index.books[1])
+                one_way = first[b, home // width] + second[b, home % width] > reach  # the member doesn't visit the query: it counts here
                 names, at = np.unique(np.concatenate([ids[qs], ids[ms]]), return_inverse=True)
-                label = merge(np.arange(len(names)), at[: len(qs)][a], at[len(qs) :][b])
-                some = np.flatnonzero(links)
-                far = np.flatnonzero(label != np.arange(len(names)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([ids[qs][some], names[far]])), pa.array(np.concatenate([ids[qs][some], names[label[far]]])), pa.array(np.concatenate([links[some], np.zeros(len(far), np.int64)]))], ["src", "dst", "links"])
+                qa, mb_ = at[: len(qs)][a], at[len(qs) :][b]
+                links = np.bincount(qa, n[ms][b], len(names)) + np.bincount(mb_[one_way], n[qs][a][one_way], len(names))
+                label = merge(np.arange(len(names)), qa, mb_)
+                some, far = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(names)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([names[some], names[far]])), pa.array(np.concatenate([names[some], names[label[far]]])), pa.array(np.concatenate([links[some].astype(np.int64), np.zeros(len(far), np.int64)]))], ["src", "dst", "links"])
 
         for b in batches:
             held.append(b)
@@ -179,7 +201,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
         if held:
             yield from work(pa.Table.from_batches(held).combine_chunks())
 
-    met = visiting.union(members).repartition(*keys).sortWithinPartitions(*keys, "member", "h")
+    met = met.repartition(*keys).sortWithinPartitions(*keys, "member", "h")
     found = as_table(met.mapInArrow(compare, "src long, dst long, links long"), "links")
     comps = connected_components(found.where("src <> dst").select("src", "dst"))
     links = found.where("src = dst").groupBy(F.col("src").alias("h")).agg(F.sum("links").alias("others"))
