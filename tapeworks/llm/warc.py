@@ -154,6 +154,8 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition):
+        if partition is None:  # an archive without files
+            return
         fs, _ = open_fs(self.folder)
         schema = pa.schema([(x.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]]) for x in READ_SCHEMA.split(", ")])
         rows: list[tuple] = []
