@@ -25,29 +25,36 @@ def _poly(x: Column, coefficients) -> Column:
     return out
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: a lambda's argument is a variable, so large expressions don't multiply."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def norm_cdf(x: Column) -> Column:
-    a = F.abs(x)
-    tail = F.exp(-a * a / 2)
-    inner = tail * _poly(a, HART_N[::-1]) / _poly(a, HART_D[::-1])
-    fraction = a + F.lit(0.65)
-    for k in (4, 3, 2, 1):
-        fraction = a + F.lit(float(k)) / fraction
-    outer = tail / fraction / F.lit(2.506628274631)
-    p = F.when(a > 37, 0.0).when(a < 7.07106781186547, inner).otherwise(outer)
-    return F.when(x > 0, 1 - p).otherwise(p)
+    def below(a):
+        tail = F.exp(-a * a / 2)
+        inner = tail * _poly(a, HART_N[::-1]) / _poly(a, HART_D[::-1])
+        fraction = a + F.lit(0.65)
+        for k in (4, 3, 2, 1):
+            fraction = a + F.lit(float(k)) / fraction
+        return F.when(a > 37, 0.0).when(a < 7.07106781186547, inner).otherwise(tail / fraction / F.lit(2.506628274631))
+
+    return let(x, lambda v: let(let(F.abs(v), below), lambda p: F.when(v > 0, 1 - p).otherwise(p)))
 
 
 def norm_ppf(p: Column) -> Column:
     """One Newton step after the approximation brings it to double precision."""
-    low, high = F.lit(0.02425), F.lit(1 - 0.02425)
-    tail = lambda q: F.sqrt(-2 * F.log(q))
-    left = _poly(tail(p), ACKLAM_C) / _poly(tail(p), ACKLAM_D)
-    right = -_poly(tail(1 - p), ACKLAM_C) / _poly(tail(1 - p), ACKLAM_D)
-    q = p - 0.5
-    middle = q * _poly(q * q, ACKLAM_A) / _poly(q * q, ACKLAM_B)
-    x = F.when(p < low, left).when(p > high, right).otherwise(middle)
-    error = (norm_cdf(x) - p) * F.sqrt(F.lit(6.283185307179586)) * F.exp(x * x / 2)
-    return F.when((p > 0) & (p < 1), x - error / (1 + x * error / 2))
+
+    def rough(v):
+        tail = lambda q: let(F.sqrt(-2 * F.log(q)), lambda t: _poly(t, ACKLAM_C) / _poly(t, ACKLAM_D))
+        middle = let(v - 0.5, lambda q: q * let(q * q, lambda r: _poly(r, ACKLAM_A) / _poly(r, ACKLAM_B)))
+        return F.when(v < 0.02425, tail(v)).when(v > 1 - 0.02425, -tail(1 - v)).otherwise(middle)
+
+    def refined(v):
+        step = lambda x: let((norm_cdf(x) - v) * F.sqrt(F.lit(6.283185307179586)) * F.exp(x * x / 2), lambda e: x - e / (1 + x * e / 2))
+        return F.when((v > 0) & (v < 1), let(rough(v), step))
+
+    return let(p, refined)
 
 
 def fair_value_up(strike: Column, spot: Column, tau: Column, sigma: Column) -> Column:
@@ -57,8 +64,8 @@ def fair_value_up(strike: Column, spot: Column, tau: Column, sigma: Column) -> C
 
 def implied_sigma(price: Column, strike: Column, spot: Column, tau: Column) -> tuple[Column, Column]:
     """(sigma, reason): closed form, or null with the reason for dropping the row."""
-    move = F.log(strike / spot)
-    sigma = move / (F.sqrt(tau) * norm_ppf(1 - price))
+    move = F.log(F.try_divide(strike, spot))
+    sigma = F.try_divide(move, F.sqrt(tau) * norm_ppf(1 - price))
     reason = (
         F.when(~((strike > 0) & (spot > 0)) | strike.isNull() | spot.isNull(), "no_spot")
         .when(~(tau > 0) | tau.isNull(), "no_time")
@@ -73,7 +80,7 @@ def implied_sigma(price: Column, strike: Column, spot: Column, tau: Column) -> t
 def implied_sigma_bounded(price: Column, strike: Column, spot: Column, tau: Column, low: float = 1e-6, high: float = 10.0) -> Column:
     """The root in (low, high), from the closed form; null where there is none."""
     ok = (price > 0) & (price < 1) & (tau > 0) & (strike > 0) & (spot > 0) & (F.abs(price - 0.5) > 1e-12)
-    sigma = F.log(strike / spot) / (F.sqrt(tau) * norm_ppf(1 - price))
+    sigma = F.try_divide(F.log(F.try_divide(strike, spot)), F.sqrt(tau) * norm_ppf(1 - price))
     return F.when(ok & (sigma > low) & (sigma < high), sigma)
 
 

@@ -21,19 +21,18 @@ def explode_price_changes(df: DataFrame, tokens: DataFrame | None = None) -> Dat
 
 
 def level_changes(updates: DataFrame, eps: float = 0.001) -> DataFrame:
-    """Each update's size before (0 at first) and change at its (token, price, side): new_order, increase, decrease, removed or none."""
+    """Each update's size before (0 at first) and classification at its (token, price, side): new_order, cancel_or_fill or no_change."""
     w = W.partitionBy("token_id", "price", "side").orderBy("t_recv_ns", "size")
-    d = updates.withColumn("prev_size", F.coalesce(F.lag("size").over(w), F.lit(0.0))).withColumn("delta", F.col("size") - F.col("prev_size"))
-    kind = F.when(F.abs("delta") < eps, "none").when((F.col("delta") > 0) & (F.col("prev_size") < eps), "new_order").when(F.col("delta") > 0, "increase").when(F.col("size") < eps, "removed").otherwise("decrease")
-    return d.withColumn("change", kind)
+    d = updates.withColumn("size_before", F.coalesce(F.lag("size").over(w), F.lit(0.0))).withColumn("delta", F.col("size") - F.col("size_before"))
+    return d.withColumn("classification", F.when(F.col("delta") > eps, "new_order").when(F.col("delta") < -eps, "cancel_or_fill").otherwise("no_change"))
 
 
 def decreases(levels: DataFrame) -> DataFrame:
-    return levels.where(F.col("change").isin("decrease", "removed"))
+    return levels.where(F.col("classification") == "cancel_or_fill")
 
 
 def orders(levels: DataFrame) -> DataFrame:
-    return levels.where(F.col("change").isin("new_order", "increase"))
+    return levels.where(F.col("classification") == "new_order")
 
 
 def quote_lifetime(levels: DataFrame, fills: DataFrame, tolerance_ns: int = 5 * NS, width: int = 3600 * NS) -> DataFrame:
@@ -48,7 +47,7 @@ def quote_lifetime(levels: DataFrame, fills: DataFrame, tolerance_ns: int = 5 *
 
 def quote_patterns(levels: DataFrame, fills: DataFrame, within_ns: int = 5 * NS, width: int = 3600 * NS) -> DataFrame:
     """Each new order with the next decrease there: persistent (its level is ever filled), repricing (a new order of the token and side follows soon) or pulled."""
-    new = levels.where("change = 'new_order'").select("token_id", "price", "side", F.col("t_recv_ns").alias("t_ns"))
+    new = levels.where("classification = 'new_order'").select("token_id", "price", "side", F.col("t_recv_ns").alias("t_ns"))
     q = next_after(new, decreases(levels), "t_ns", ["token_id", "price", "side"], {"t_end_ns": "t_recv_ns"}, right_on="t_recv_ns", width=width).where("t_end_ns is not null")
     filled = fills.select("token_id", "price").distinct().withColumn("__filled", F.lit(True))
     q = q.join(filled, ["token_id", "price"], "left")
@@ -61,7 +60,7 @@ def decrease_cause(levels: DataFrame, fills: DataFrame, tolerance_ns: int = 5 *
     """Each decrease: fill (one within the tolerance at its price), reprice (any new order of the token soon after) or pull."""
     d = decreases(levels).select("token_id", "price", "side", F.col("t_recv_ns").alias("t_ns"))
     d = match_within(d, fills.select("token_id", "price", F.col("t_ns").alias("__ft")), "t_ns", ["token_id", "price"], tolerance_ns, {"t_fill_ns": "__ft"}, right_on="__ft", width=width)
-    new = levels.where("change = 'new_order'").select("token_id", F.col("t_recv_ns").alias("__nt"))
+    new = levels.where("classification = 'new_order'").select("token_id", F.col("t_recv_ns").alias("__nt"))
     d = exists_within(d, new, "t_ns", ["token_id"], 0, tolerance_ns, "__again", right_on="__nt", width=width)
     return d.select("token_id", "price", "side", "t_ns", F.when(F.col("t_fill_ns").isNotNull(), "fill").when(F.col("__again"), "reprice").otherwise("pull").alias("cause"))
 
@@ -92,7 +91,7 @@ def crossing_to_fill(crossings: DataFrame, fills: DataFrame, cap_ns: int, width:
 
 def crossing_to_level_to_fill(crossings: DataFrame, levels: DataFrame, fills: DataFrame, within_ns: int = 120 * NS, width: int = 3600 * NS) -> DataFrame:
     """Each crossing, the next new level of its market, and whether a fill confirms that within 120 s."""
-    new = levels.where("change = 'new_order'").select("market", F.col("t_recv_ns").alias("__nt"))
+    new = levels.where("classification = 'new_order'").select("market", F.col("t_recv_ns").alias("__nt"))
     c = next_after(crossings, new, "t_ns", ["market"], {"t_level_ns": "__nt"}, right_on="__nt", width=width).where("t_level_ns is not null")
     c = exists_within(c, fills.select("market", F.col("t_ns").alias("__ft")), "t_level_ns", ["market"], 0, within_ns, "confirmed", right_on="__ft", width=width)
     return c.withColumn("latency_s", (F.col("t_level_ns") - F.col("t_ns")) / 1e9)
@@ -114,7 +113,7 @@ def interarrival(levels: DataFrame, grid_ms: int = 100) -> DataFrame:
 
 
 def submit_cancel_ratio(levels: DataFrame, causes: DataFrame) -> DataFrame:
-    s = levels.where("change = 'new_order'").groupBy("token_id").agg(F.count("*").alias("submitted"))
+    s = levels.where("classification = 'new_order'").groupBy("token_id").agg(F.count("*").alias("submitted"))
     c = causes.where("cause = 'pull'").groupBy("token_id").agg(F.count("*").alias("pulled"))
     j = s.join(c, "token_id", "full").select("token_id", F.coalesce("submitted", F.lit(0)).alias("submitted"), F.coalesce("pulled", F.lit(0)).alias("pulled"))
     return j.withColumn("ratio", F.try_divide(F.col("submitted").cast("double"), F.col("pulled").cast("double")))
@@ -148,7 +147,7 @@ def size_vs_depth(fills: DataFrame, depth: DataFrame, width: int = 3600 * NS) ->
 
 def fill_in(levels: DataFrame, fills: DataFrame, within_ns: int = 5 * NS, width: int = 3600 * NS) -> DataFrame:
     """New orders with the label whether a fill at their level follows within the time."""
-    new = levels.where("change = 'new_order'").select("token_id", "price", "side", F.col("t_recv_ns").alias("t_ns"), "size")
+    new = levels.where("classification = 'new_order'").select("token_id", "price", "side", F.col("t_recv_ns").alias("t_ns"), "size")
     return exists_within(new, fills.select("token_id", "price", F.col("t_ns").alias("__ft")), "t_ns", ["token_id", "price"], 0, within_ns, "filled", right_on="__ft", width=width)
 
 

@@ -28,7 +28,8 @@ def _solve(row, k: int) -> dict:
     sse = max(yy - 2 * beta @ b + beta @ a @ beta, 0.0)
     sst = yy - m[0, k] ** 2 / n if n else 0.0
     r2 = 1 - sse / sst if sst > 0 else float("nan")
-    return {"n": int(n), "beta": beta, "r2": r2, "adj_r2": 1 - (1 - r2) * (n - 1) / (n - k) if n > k else float("nan"), "rmse": math.sqrt(sse / n) if n else float("nan"), "gram": a, "sse": sse}
+    r2 = float(r2)
+    return {"n": int(n), "beta": beta, "r2": r2, "adj_r2": float(1 - (1 - r2) * (n - 1) / (n - k)) if n > k else float("nan"), "rmse": math.sqrt(sse / n) if n else float("nan"), "gram": a}
 
 
 def _as_frame(spark: SparkSession, fits: list[tuple[str, dict]], names: list[str]) -> DataFrame:

@@ -193,7 +193,8 @@ def rolling_hours(slots: DataFrame, hours: int, value: str = "net") -> DataFrame
 def lag_autocorr(df: DataFrame, value: str, lags: int, by: list[str], order: list[str]) -> DataFrame:
     """Pearson correlation with each lag, and whether it is beyond 1.96/sqrt(n). Keys are series of bounded length."""
     w = W.partitionBy(*by).orderBy(*order)
-    d = df.select(*by, F.col(value).alias("__x"), F.posexplode(F.array(*[F.lag(value, k).over(w) for k in range(1, lags + 1)])).alias("k", "__y"))
+    d = df.withColumn("__ys", F.array(*[F.lag(value, k).over(w) for k in range(1, lags + 1)]))
+    d = d.select(*by, F.col(value).alias("__x"), F.posexplode("__ys").alias("k", "__y"))
     g = d.where("__x is not null and __y is not null").groupBy(*by, (F.col("k") + 1).alias("lag")).agg(F.corr("__x", "__y").alias("acf"), F.count("*").alias("n"))
     return g.withColumn("significant", F.abs("acf") > 1.96 / F.sqrt("n"))
 

@@ -16,9 +16,9 @@ def levels(spark, sf):
     return L.level_changes(V.levels_raw(spark, sf))
 
 
-@register("f2_level_changes", "SELECT token_id, price, side, t_recv_ns, size, prev_size, delta, change FROM levels", "delta")
+@register("f2_level_changes", "SELECT token_id, price, side, t_recv_ns, size, size_before, delta, classification FROM levels", "delta")
 def level_changes(spark, sf):
-    return levels(spark, sf).select("token_id", "price", "side", "t_recv_ns", "size", "prev_size", "delta", "change")
+    return levels(spark, sf).select("token_id", "price", "side", "t_recv_ns", "size", "size_before", "delta", "classification")
 
 
 @register("d7_asof_nearest", """WITH b AS (SELECT f.event_id, f.t_ns, t.t_ns AS bt, t.mid AS bm FROM book_fills f ASOF LEFT JOIN (SELECT * FROM ticks WHERE symbol = 'click') t ON f.t_ns >= t.t_ns),
@@ -44,8 +44,8 @@ def clamped(spark, sf):
     return O.asof_forward_clamped(probes(spark, sf), V.ticks(spark, sf), "t_ns", ["symbol"], {"mid": "mid"}).select("event_id", "mid")
 
 
-DEC = "(SELECT * FROM levels WHERE change IN ('decrease', 'removed'))"
-NEW = "(SELECT * FROM levels WHERE change = 'new_order')"
+DEC = "(SELECT * FROM levels WHERE classification = 'cancel_or_fill')"
+NEW = "(SELECT * FROM levels WHERE classification = 'new_order')"
 
 
 @register("d10_match_within", f"""SELECT f.event_id, min(d.t_recv_ns) AS t_decrease_ns FROM book_fills f LEFT JOIN {DEC} d ON f.token_id = d.token_id AND f.price = d.price AND d.t_recv_ns BETWEEN f.t_ns - 1800000000000 AND f.t_ns + 1800000000000 GROUP BY 1""")
@@ -55,7 +55,7 @@ def within(spark, sf):
 
 @register("d11_latest_before", f"SELECT f.event_id, max(d.t_recv_ns) AS t_before_ns FROM book_fills f LEFT JOIN {NEW} d ON f.token_id = d.token_id AND f.price = d.price AND d.t_recv_ns < f.t_ns GROUP BY 1")
 def before(spark, sf):
-    return O.latest_before(V.book_fills(spark, sf), levels(spark, sf).where("change = 'new_order'"), "t_ns", ["token_id", "price"], {"t_before_ns": "t_recv_ns"}, right_on="t_recv_ns").select("event_id", "t_before_ns")
+    return O.latest_before(V.book_fills(spark, sf), levels(spark, sf).where("classification = 'new_order'"), "t_ns", ["token_id", "price"], {"t_before_ns": "t_recv_ns"}, right_on="t_recv_ns").select("event_id", "t_before_ns")
 
 
 @register("d12_next_after", f"SELECT f.event_id, min(d.t_recv_ns) AS t_next_ns FROM book_fills f JOIN {DEC} d ON f.token_id = d.token_id AND f.price = d.price AND d.t_recv_ns > f.t_ns GROUP BY 1")
@@ -65,12 +65,12 @@ def after(spark, sf):
 
 @register("d13_exists_within", f"SELECT f.event_id, bool_or(d.t_recv_ns IS NOT NULL) AS again FROM book_fills f LEFT JOIN {NEW} d ON f.token_id = d.token_id AND d.t_recv_ns > f.t_ns AND d.t_recv_ns < f.t_ns + 3600000000000 GROUP BY 1")
 def exists(spark, sf):
-    return O.exists_within(V.book_fills(spark, sf), levels(spark, sf).where("change = 'new_order'"), "t_ns", ["token_id"], 0, 3600 * NS, "again", right_on="t_recv_ns").select("event_id", "again")
+    return O.exists_within(V.book_fills(spark, sf), levels(spark, sf).where("classification = 'new_order'"), "t_ns", ["token_id"], 0, 3600 * NS, "again", right_on="t_recv_ns").select("event_id", "again")
 
 
 LIFE = f"""SELECT f.event_id, f.token_id, f.price, m.d AS t_decrease_ns, max(o.t_recv_ns) AS t_order_ns, (m.d - max(o.t_recv_ns)) / 1e6 AS lifetime_ms
     FROM book_fills f LEFT JOIN (SELECT f.event_id, min(d.t_recv_ns) AS d FROM book_fills f JOIN {DEC} d ON f.token_id = d.token_id AND f.price = d.price AND d.t_recv_ns BETWEEN f.t_ns - 5000000000 AND f.t_ns + 5000000000 GROUP BY 1) m ON f.event_id = m.event_id
-    LEFT JOIN (SELECT * FROM levels WHERE change IN ('new_order', 'increase')) o ON f.token_id = o.token_id AND f.price = o.price AND o.t_recv_ns < m.d GROUP BY 1, 2, 3, 4"""
+    LEFT JOIN (SELECT * FROM levels WHERE classification = 'new_order') o ON f.token_id = o.token_id AND f.price = o.price AND o.t_recv_ns < m.d GROUP BY 1, 2, 3, 4"""
 
 
 @register("f4_quote_lifetime", LIFE, "lifetime_ms")
@@ -136,7 +136,7 @@ def gaps(spark, sf):
     return L.interarrival(levels(spark, sf))
 
 
-@register("d21_quote_post_time", """WITH f AS (SELECT * FROM book_fills), o AS (SELECT l.token_id, l.t_recv_ns FROM levels l WHERE change IN ('new_order', 'increase') AND EXISTS (SELECT 1 FROM f WHERE f.token_id = l.token_id AND f.price = l.price AND f.side = l.side))
+@register("d21_quote_post_time", """WITH f AS (SELECT * FROM book_fills), o AS (SELECT l.token_id, l.t_recv_ns FROM levels l WHERE classification = 'new_order' AND EXISTS (SELECT 1 FROM f WHERE f.token_id = l.token_id AND f.price = l.price AND f.side = l.side))
     SELECT i.token_id, i.t_ns, min(o.t_recv_ns) AS t_post_ns, (i.t_ns - min(o.t_recv_ns)) / 1e9 AS lag_s FROM (SELECT token_id, min(t_ns) AS t_ns FROM f GROUP BY 1) i JOIN o ON i.token_id = o.token_id AND o.t_recv_ns < i.t_ns AND o.t_recv_ns >= i.t_ns - 86400000000000 GROUP BY 1, 2""", "lag_s")
 def post_time(spark, sf):
     return L.quote_post_time(V.book_fills(spark, sf), levels(spark, sf), 86400 * NS)
@@ -176,7 +176,7 @@ def to_fill(spark, sf):
     SELECT n.market, n.t_ns, t_level_ns, (t_level_ns - n.t_ns) / 1e9 AS latency_s, EXISTS (SELECT 1 FROM g WHERE g.market = n.market AND g.event_id % 3 = 0 AND g.t_ns > t_level_ns AND g.t_ns < t_level_ns + 7200000000000) AS confirmed FROM n""", "latency_s")
 def to_level(spark, sf):
     c = L.strike_crossings(V.ticks(spark, sf), strikes(spark, sf))
-    lv = V.ticks(spark, sf).where("event_id % 4 = 1").select(F.concat_ws("-", "symbol", F.floor(F.col("t_ns") / (86400 * NS)).cast("bigint")).alias("market"), F.col("t_ns").alias("t_recv_ns"), F.lit("new_order").alias("change"))
+    lv = V.ticks(spark, sf).where("event_id % 4 = 1").select(F.concat_ws("-", "symbol", F.floor(F.col("t_ns") / (86400 * NS)).cast("bigint")).alias("market"), F.col("t_ns").alias("t_recv_ns"), F.lit("new_order").alias("classification"))
     return L.crossing_to_level_to_fill(c, lv, _tagged(spark, sf).drop("outcome_side"), 7200 * NS).select("market", "t_ns", "t_level_ns", "latency_s", "confirmed")
 
 

@@ -1 +1,217 @@
-"""Queries."""
+"""Queries over feed scans and metadata, on JSON and messages that Spark makes of the tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import money as M
+from ..sources import feeds as S
+from . import views as V
+from .registry import register
+
+
+def lines(spark, sf):
+    """Events as JSON lines; every tenth is cut short, every eleventh blank."""
+    e = V.table(spark, sf, "events")
+    text = F.to_json(F.struct("event_id", "event_type", F.col("value").alias("price"), F.when(F.col("event_id") % 3 == 0, F.struct(F.col("user_id").alias("u"))).alias("nested")))
+    return e.select(F.when(F.col("event_id") % 11 == 0, F.lit("  ")).when(F.col("event_id") % 10 == 0, F.concat(F.lit("not json "), text)).otherwise(text).alias("value"))
+
+
+@register("a1_read_jsonl", "SELECT event_id % 10 = 0 AS bad, count(*) AS n, sum(CASE WHEN event_id % 10 <> 0 THEN event_id END) AS ids FROM events WHERE event_id % 11 <> 0 GROUP BY 1")
+def jsonl(spark, sf):
+    d = S.parse_json_lines(lines(spark, sf), "event_id bigint, event_type string, price double, nested string")
+    return d.groupBy(F.col("_bad").alias("bad")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@register("a2_infer_unified_schema", "SELECT * FROM (VALUES ('event_id', 'bigint'), ('event_type', 'string'), ('nested', 'string'), ('price', 'double')) t(name, type)")
+def infer(spark, sf):
+    found = S.infer_unified_schema(lines(spark, sf))
+    return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in found], "name string, type string")
+
+
+@register("a3_stringify_nested", """SELECT event_id, '{"u":' || user_id || '}' AS nested FROM events""")
+def stringify(spark, sf):
+    return S.stringify_nested(V.table(spark, sf, "events").select("event_id", F.struct(F.col("user_id").alias("u")).alias("nested")))
+
+
+@register("a4_a5_conform", "SELECT event_id, TRY_CAST(event_type AS DOUBLE) AS event_type, CAST(NULL AS VARCHAR) AS venue, CAST(CAST(value AS DECIMAL(38,6)) AS DOUBLE) AS value FROM events", "value")
+def conform(spark, sf):
+    schema = spark.createDataFrame([], "event_id bigint, event_type double, venue string, value decimal(38,6)").schema
+    return S.conform_unified(V.table(spark, sf, "events"), schema).withColumn("value", F.col("value").cast("double"))
+
+
+def partitioned(spark, sf):
+    """Events as rows of three feeds with their hour's partition columns."""
+    e = V.table(spark, sf, "events")
+    return e.select("event_id", F.when(F.col("event_type") == "click", "book").when(F.col("event_type") == "view", "spot").otherwise("chain").alias("feed"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH").alias("hour"), "value")
+
+
+PARTS = "(SELECT event_id, CASE event_type WHEN 'click' THEN 'book' WHEN 'view' THEN 'spot' ELSE 'chain' END AS feed, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, value FROM events)"
+
+
+@register("a6_a7_scan_feed", f"SELECT event_id, value FROM {PARTS} WHERE feed = 'book' AND date = '2024-01-05'")
+def scan(spark, sf):
+    """Partition filters on a table written by hour: in the shared folder, as an hourly sink leaves it."""
+    p = partitioned(spark, sf)
+    return p.where((F.col("feed") == "book") & (F.col("date") == "2024-01-05")).select("event_id", "value")
+
+
+@register("a8_scan_filtered", "SELECT token_id, t_block_ns, size FROM fills WHERE market IN (SELECT market FROM resolved WHERE up_wins = 1)")
+def filtered(spark, sf):
+    wanted = V.markets(spark, sf).join(V.resolved(spark, sf).where("up_wins = 1"), "market", "left_semi").select("token_id")
+    return S.scan_filtered(V.fills(spark, sf), wanted).select("token_id", "t_block_ns", "size")
+
+
+@register("a9_partitions", f"SELECT feed, max(date || ' ' || hour) AS latest, count(DISTINCT date || ' ' || hour) AS n FROM {PARTS} GROUP BY 1")
+def partitions(spark, sf):
+    p = partitioned(spark, sf)
+    n = S.list_partitions(p).groupBy("feed").agg(F.count("*").alias("n"))
+    return S.latest_partition(p).select("feed", F.concat_ws(" ", "date", "hour").alias("latest")).join(n, "feed")
+
+
+@register("a10_common_window", f"""WITH h AS (SELECT date, hour FROM {PARTS} WHERE date >= '2024-01-03' GROUP BY 1, 2 HAVING count(DISTINCT feed) = 3) SELECT min(date || ' ' || hour) AS first_hour, max(date || ' ' || hour) AS last_hour, count(*) AS hours, count(DISTINCT date) AS dates FROM h""")
+def window(spark, sf):
+    return S.common_window(partitioned(spark, sf), ["book", "spot", "chain"], "2024-01-03")
+
+
+@register("a11_feed_freshness", f"""SELECT feed, age_h, CASE WHEN age_h > 4 THEN 'ALERT' WHEN age_h > 2 THEN 'STALE' ELSE 'OK' END AS status FROM (SELECT feed, date_diff('second', max(strptime(date || ' ' || hour, '%Y-%m-%d %H')), TIMESTAMP '2024-01-31 01:30:00') / 3600.0 AS age_h FROM {PARTS} GROUP BY 1)""", "age_h")
+def freshness(spark, sf):
+    return S.feed_freshness(partitioned(spark, sf), "2024-01-31 01:30:00").drop("newest")
+
+
+def snapshots(spark, sf):
+    """Parts as market snapshots in JSON, with a doubly encoded token list."""
+    p = V.table(spark, sf, "part")
+    ids = F.to_json(F.array(F.concat(F.lit("t"), (F.col("p_partkey") * 2).cast("string")), F.concat(F.lit("t"), (F.col("p_partkey") * 2 + 1).cast("string"))))
+    slug = F.concat(F.element_at(F.array(*map(F.lit, ("btc", "eth", "sol", "xrp"))), (F.col("p_partkey") % 4).cast("int") + 1), F.lit("-updown-"), F.element_at(F.array(*map(F.lit, ("5m", "15m", "1h"))), (F.col("p_partkey") % 3).cast("int") + 1), F.lit("-"), F.col("p_partkey").cast("string"))
+    m = F.struct(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("conditionId"), slug.alias("slug"), F.lit("2024-01-01T00:00:00Z").alias("startDate"), F.lit("2024-01-01T01:00:00Z").alias("endDate"), (F.col("p_partkey") % 9 == 0).alias("negRisk"), ids.alias("clobTokenIds"), F.lit('["Up", "Down"]').alias("outcomes"))
+    return p.select(F.to_json(m).alias("market_json"), F.col("p_partkey").alias("t_recv_ns"))
+
+
+@register("a12_market_lookup_snapshots", """SELECT 't' || (p_partkey * 2 + i) AS token_id, 'm' || p_partkey AS market, ['BTC','ETH','SOL','XRP'][p_partkey % 4 + 1] AS asset_symbol, ['5m','15m','1h'][p_partkey % 3 + 1] AS horizon, CASE WHEN i = 0 THEN 'Up' ELSE 'Down' END AS outcome_side,
+    CAST(1704067200 AS DOUBLE) AS start_date_unix, CAST(1704070800 AS DOUBLE) AS end_date_unix FROM part, (VALUES (0), (1)) x(i) WHERE p_partkey % 9 <> 0""")
+def lookup(spark, sf):
+    return S.market_lookup_from_snapshots(snapshots(spark, sf))
+
+
+@register("a13_market_lookup_cache", """SELECT 't' || (p_partkey * 2 + i) AS token_id, 'm' || p_partkey AS market, p_brand AS asset_symbol, p_type AS horizon, CASE WHEN i = 0 THEN 'Up' ELSE 'Down' END AS outcome_side FROM part, (VALUES (0), (1)) x(i)""")
+def cached(spark, sf):
+    ids = F.to_json(F.array(F.concat(F.lit("t"), (F.col("p_partkey") * 2).cast("string")), F.concat(F.lit("t"), (F.col("p_partkey") * 2 + 1).cast("string"))))
+    d = V.table(spark, sf, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("market"), F.col("p_brand").alias("asset_symbol"), F.col("p_type").alias("horizon"), F.lit(0.0).alias("start_date_unix"), F.lit(1.0).alias("end_date_unix"), ids.alias("token_ids_json"))
+    return S.market_lookup_from_cache(d).drop("start_date_unix", "end_date_unix")
+
+
+@register("a16_token_market_map", "SELECT CAST(user_id AS VARCHAR) AS token_id, arg_min('m' || (event_id % 3), strftime(ts, '%Y-%m-%d %H') || lpad(CAST(event_id AS VARCHAR), 12, '0')) AS market FROM events WHERE event_type = 'view' GROUP BY 1")
+def token_map(spark, sf):
+    e = V.table(spark, sf, "events").select(F.when(F.col("event_type") == "view", "book").otherwise("other").alias("event_type"), F.col("user_id").cast("string").alias("asset_id"), F.concat(F.lit("m"), (F.col("event_id") % 3).cast("string")).alias("market"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH").alias("hour"), F.col("event_id").alias("t_recv_ns"))
+    return S.token_market_map(e)
+
+
+@register("a28_token_first_partition", "SELECT CAST(user_id AS VARCHAR) AS token_id, left(min(strftime(ts, '%Y-%m-%d %H')), 10) AS date, right(min(strftime(ts, '%Y-%m-%d %H')), 2) AS hour FROM events WHERE event_type = 'view' GROUP BY 1")
+def first_partition(spark, sf):
+    e = V.table(spark, sf, "events").select(F.when(F.col("event_type") == "view", "book").otherwise("other").alias("event_type"), F.col("user_id").cast("string").alias("asset_id"), F.date_format("ts", "yyyy-MM-dd").alias("date"), F.date_format("ts", "HH").alias("hour"))
+    return S.token_first_partition(e)
+
+
+@register("a17_parse_klines", "SELECT event_type AS symbol, event_id * 1000 AS open_ms, event_id * 1000 + 999 AS close_ms, value AS open, value + 2 AS high, value - 1 AS low, value + 1 AS close FROM events WHERE event_id % 13 <> 0", "open high low close")
+def klines(spark, sf):
+    v = F.col("value")
+    price = lambda c: F.when(F.col("event_id") % 13 == 0, F.lit("bad")).otherwise(c.cast("string"))
+    k = F.to_json(F.struct(F.upper("event_type").alias("s"), (F.col("event_id") * 1000).alias("t"), (F.col("event_id") * 1000 + 999).alias("T"), v.cast("string").alias("o"), (v + 2).cast("string").alias("h"), (v - 1).cast("string").alias("l"), price(v + 1).alias("c")))
+    spark.conf.set("spark.sql.caseSensitive", "true")  # t and T are two fields
+    try:
+        out = S.parse_klines(V.table(spark, sf, "events").select(k.alias("k")))
+        out.schema
+    finally:
+        spark.conf.set("spark.sql.caseSensitive", "false")
+    return out
+
+
+@register("a18_resolutions", "SELECT 'm' || p_partkey AS market, p_size % 2 AS up_wins FROM part WHERE p_partkey % 5 <> 0")
+def settle(spark, sf):
+    d = V.table(spark, sf, "part").select(F.lit("ConditionResolution").alias("event"), F.concat(F.lit("m"), F.col("p_partkey").cast("string")).alias("market"), F.col("p_partkey").alias("t_recv_ns"), F.when(F.col("p_partkey") % 5 == 0, "[1]").when(F.col("p_size") % 2 == 1, "[1,0]").otherwise("[0,1]").alias("payout_numerators"))
+    return S.resolutions(d)
+
+
+@register("a19_classify_frames", "SELECT CASE WHEN event_type = 'view' THEN 'book' WHEN event_type IN ('click', 'error') THEN 'price_change' ELSE 'unknown' END AS frame_type, count(*) AS n FROM events GROUP BY 1")
+def classify(spark, sf):
+    t = F.col("event_type")
+    e = V.table(spark, sf, "events").select(F.when(t == "view", "[]").alias("bids"), F.when(t == "view", "[]").alias("asks"), F.when(t.isin("click", "error"), "price_change").otherwise(t).alias("event_type"))
+    return S.classify_frames(e).groupBy("frame_type").agg(F.count("*").alias("n"))
+
+
+@register("a20_normalize_frames", "SELECT event_id, count(*) AS n FROM (SELECT event_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id % 2 = 0) GROUP BY 1")
+def normalize(spark, sf):
+    one = F.to_json(F.struct("event_id", "value"))
+    e = V.table(spark, sf, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("["), one, F.lit(","), one, F.lit("]"))).otherwise(one).alias("frame"))
+    return S.normalize_frames(e).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@register("a21_unwrap_stream", "SELECT event_id AS t_recv_ns, event_type AS stream, value AS p FROM events", "p")
+def unwrap(spark, sf):
+    e = V.table(spark, sf, "events").select(F.col("event_id").alias("t_recv_ns"), F.to_json(F.struct(F.col("event_type").alias("stream"), F.struct(F.col("value").alias("p")).alias("data"))).alias("value"))
+    return S.unwrap_stream(e, "p: double")
+
+
+@register("a22_decode_chain_logs", """SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'Transfer' ELSE 'TransferSingle' END AS event, l_orderkey AS block_number, l_linenumber AS log_index, '0x' || lpad(lower(to_hex(l_suppkey)), 40, '0') AS from_, '0x' || lpad(lower(to_hex(l_partkey)), 40, '0') AS "to",
+    CASE WHEN l_linenumber % 2 = 1 THEN CAST(CAST(l_partkey AS HUGEINT) * 4294967296 + 7 AS VARCHAR) END AS token_id, CAST(CAST(l_quantity AS HUGEINT) * 1000000 AS VARCHAR) AS amount_raw FROM lineitem WHERE l_linenumber <> 5""")
+def decode(spark, sf):
+    li = V.table(spark, sf, "lineitem")
+    pad = lambda c: F.lower(F.lpad(F.hex(c.cast("bigint")), 64, "0"))
+    first = F.when(F.col("l_linenumber") == 5, F.lit("0x" + "00" * 32)).when(F.col("l_linenumber") % 2 == 0, F.lit("0x" + next(k for k, v in S.TOPICS.items() if v == "Transfer"))).otherwise(F.lit("0x" + next(k for k, v in S.TOPICS.items() if v == "TransferSingle")))
+    a, b = F.concat(F.lit("0x"), pad(F.col("l_suppkey"))), F.concat(F.lit("0x"), pad(F.col("l_partkey")))
+    amount = pad(F.col("l_quantity").cast("bigint") * 1000000)
+    token = F.lower(F.lpad(F.concat(F.hex("l_partkey"), F.lit("00000007")), 64, "0"))
+    logs = li.select(F.when(F.col("l_linenumber") % 2 == 0, F.array(first, a, b)).otherwise(F.array(first, a, a, b)).alias("topics"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("0x"), amount)).otherwise(F.concat(F.lit("0x"), token, amount)).alias("data"), F.lit("0xabc").alias("address"), F.col("l_orderkey").alias("block_number"), F.col("l_linenumber").alias("log_index"), F.lit("0x1").alias("tx_hash"))
+    return S.decode_chain_logs(logs).drop("address", "tx_hash")
+
+
+@register("a23_book_ticks", "SELECT event_type AS symbol, event_id AS t_ns, value + 0.5 AS mid FROM events WHERE event_id % 4 <> 0", "mid")
+def book_ticks(spark, sf):
+    v = F.col("value")
+    e = V.table(spark, sf, "events").select(F.when(F.col("event_id") % 4 == 0, "depth").alias("e"), F.upper("event_type").alias("s"), v.cast("string").alias("b"), (v + 1).cast("string").alias("a"), F.col("event_id").alias("t_recv_ns"))
+    return S.book_ticks(e)
+
+
+@register("a24_agg_trades", "SELECT event_type AS symbol, event_id * 1000000 AS t_ns, value AS price, value * 2 AS qty FROM events WHERE event_id % 4 = 0", "price qty")
+def trades(spark, sf):
+    v = F.col("value")
+    e = V.table(spark, sf, "events").select(F.when(F.col("event_id") % 4 == 0, "aggTrade").otherwise("depth").alias("e"), F.upper("event_type").alias("s"), F.col("event_id").cast("string").alias("T"), v.cast("string").alias("p"), (v * 2).cast("string").alias("q"))
+    return S.agg_trades(e)
+
+
+@register("a27_c27_snapshot_markets", "SELECT p_partkey AS t_recv_ns, CAST(p_partkey * 10 + i AS VARCHAR) AS id, slug FROM (SELECT p_partkey, i, ['btc-a', 'bitcoin-b', 'eth-c', 'doge-d'][i + 1] AS slug FROM part, range(4) r(i)) WHERE slug LIKE 'btc%' OR slug LIKE 'bitcoin%'")
+def snapshot(spark, sf):
+    items = [F.struct((F.col("p_partkey") * 10 + i).cast("string").alias("id"), F.lit(s).alias("slug"), F.lit(1.0).alias("volume")) for i, s in enumerate(("btc-a", "bitcoin-b", "eth-c", "doge-d"))]
+    d = V.table(spark, sf, "part").select(F.col("p_partkey").alias("t_recv_ns"), F.to_json(F.array(*items)).alias("markets"))
+    return S.snapshot_markets(d, ["btc", "bitcoin"]).drop("volume")
+
+
+@register("c1_c4_number_columns", "SELECT event_id, CAST(round_even(CAST(value AS DECIMAL(18,6)), 6) AS VARCHAR) AS p, value AS d, event_id * 1000000 AS ns FROM events", "d")
+def numbers(spark, sf):
+    v = F.col("value").cast("string")
+    e = V.table(spark, sf, "events")
+    return e.select("event_id", M.norm_price(v).alias("p"), M.dec6(v).cast("double").alias("d"), M.ms_to_ns(F.col("event_id").cast("string")).alias("ns"))
+
+
+@register("c26_market_eligible", "SELECT o_orderkey % 4 = 0 AS neg, count(*) AS n FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 10 BETWEEN 1 AND 6 GROUP BY 1")
+def eligible(spark, sf):
+    o = V.table(spark, sf, "orders").withColumn("end", F.concat(F.lit("2024-01-01T"), F.lpad((12 + F.col("o_orderkey") % 10).cast("string"), 2, "0"), F.lit(":00:00Z")))
+    ok = M.market_eligible(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey") % 4 == 0, F.col("end"), F.lit("2024-01-01 12:00:00").cast("timestamp"))
+    return o.where(ok).groupBy((F.col("o_orderkey") % 4 == 0).alias("neg")).agg(F.count("*").alias("n"))
+
+
+@register("h2_union_relaxed", "SELECT CAST(o_orderkey AS DOUBLE) AS k, o_orderstatus AS s, CAST(NULL AS VARCHAR) AS x FROM orders UNION ALL SELECT c_acctbal, CAST(NULL AS VARCHAR), c_name FROM customer", "k")
+def relaxed(spark, sf):
+    a = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"))
+    b = V.table(spark, sf, "customer").select(F.col("c_acctbal").alias("k"), F.col("c_name").alias("x"))
+    return S.union_relaxed([a, b])
+
+
+@register("b6_upsert_dimension", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN upper(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer")
+def upsert(spark, sf):
+    from ..sources.sinks import upsert_dimension
+
+    c = V.table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment"))
+    new = c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.upper("c_mktsegment"))
+    return upsert_dimension(c.where("c_custkey % 7 <> 0 or c_custkey % 3 = 0").union(c.where("c_custkey % 7 = 0 and c_custkey % 3 <> 0")), new, "c_custkey")

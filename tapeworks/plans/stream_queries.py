@@ -1 +1,82 @@
-"""Queries."""
+"""Streams over the events table, run over what has arrived."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..streaming import streams as T
+from . import views as V
+from .registry import register
+
+SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where none is set (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tapeworks-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def arriving(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of files: symbol, service, t_ns, mid, with a watermark on ts."""
+    s = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    return s.select(F.col("event_type").alias("symbol"), F.col("event_type").alias("service"), F.col("event_id"), (F.unix_micros("ts") * 1000).alias("t_ns"), (F.lit(100.0) + F.col("value")).alias("mid"), "ts").withWatermark("ts", "10 minutes")
+
+
+def collected(spark: SparkSession, df: DataFrame) -> DataFrame:
+    at = folder(spark)
+    return T.run_to_table(df, f"{at}/out", f"{at}/checkpoint")
+
+
+@register("n2_dedup_stream")
+def dedup(spark, sf):
+    s = arriving(spark, sf).withColumn("k", F.col("event_id") % 2000)
+    return collected(spark, T.dedup_stream(s, ["k"])).select("symbol", "t_ns", "mid")
+
+
+@register("n5_late_flag", "SELECT event_id, event_id % 3 * 10 > 10 AS is_late FROM events")
+def late(spark, sf):
+    s = arriving(spark, sf).withColumn("t_recv_ns", F.col("t_ns") + F.col("event_id") % 3 * 10 * 1_000_000_000)
+    return collected(spark, T.late_flag(s)).select("event_id", "is_late")
+
+
+@register("n6_stream_bars", "SELECT symbol, count(*) AS bars, sum(n) AS n FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS b, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2) GROUP BY 1")
+def bars(spark, sf):
+    """Hours that the watermark has closed."""
+    out = collected(spark, T.stream_bars(arriving(spark, sf), "1 hour"))
+    return out.groupBy("symbol").agg(F.count("*").alias("bars"), F.sum("n").alias("n"))
+
+
+@register("n7_sliding_vol")
+def sliding(spark, sf):
+    s = arriving(spark, sf).withColumn("r", F.log("mid") - F.log(F.lit(100.0)))
+    return collected(spark, T.sliding_vol(s, "2 hours", "1 hour"))
+
+
+@register("n8_uptime_sessions")
+def sessions(spark, sf):
+    return collected(spark, T.uptime_sessions(arriving(spark, sf), "20 minutes"))
+
+
+@register("n10_heartbeat_alerts", "SELECT symbol AS service, t_ns, gap_s FROM (SELECT symbol, t_ns, (lead(t_ns) OVER (PARTITION BY symbol ORDER BY t_ns) - t_ns) / 1e9 AS gap_s FROM ticks) WHERE gap_s > 3600", "gap_s")
+def alerts(spark, sf):
+    return T.heartbeat_alerts(V.ticks(spark, sf).withColumnRenamed("symbol", "service"), 3600)
+
+
+@register("n12_enrich_stream", "SELECT event_id, market FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS token_id FROM events) e LEFT JOIN markets m ON e.token_id = m.token_id")
+def enrich(spark, sf):
+    s = spark.readStream.schema(SCHEMA).parquet(f"{sf}/events.parquet*").select("event_id", F.col("user_id").cast("string").alias("token_id"))
+    return collected(spark, T.enrich_stream(s, V.markets(spark, sf).select("token_id", "market"))).select("event_id", "market")
+
+
+@register("n1_n4_stream_feed", "SELECT event_type AS feed, count(*) AS n FROM events GROUP BY 1")
+def rotated(spark, sf):
+    """Arrival into hourly partitions, read back."""
+    at = folder(spark)
+    s = arriving(spark, sf).select(F.col("symbol").alias("feed"), F.col("t_ns").alias("t_recv_ns"), "mid")
+    T.hourly_rotation(s, f"{at}/out", f"{at}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{at}/out").groupBy("feed").agg(F.count("*").alias("n"))

@@ -90,8 +90,8 @@ SQL_VIEWS = {
     "ticks": "SELECT event_type AS symbol, epoch_us(ts) * 1000 AS t_ns, 100 + value AS mid, event_id FROM events",
     "raw_levels": """SELECT CAST(user_id % 40 AS VARCHAR) AS token_id, 'm' || ((user_id % 40) // 2) AS market, ['0.450000','0.500000','0.550000'][CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 + 1] AS price,
       CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN event_id % 3 = 0 THEN 0 ELSE value END AS size, epoch_us(ts) * 1000 AS t_recv_ns FROM events""",
-    "levels": """SELECT *, size - prev_size AS delta, CASE WHEN abs(size - prev_size) < 0.001 THEN 'none' WHEN size > prev_size AND prev_size < 0.001 THEN 'new_order' WHEN size > prev_size THEN 'increase' WHEN size < 0.001 THEN 'removed' ELSE 'decrease' END AS change
-      FROM (SELECT *, coalesce(lag(size) OVER (PARTITION BY token_id, price, side ORDER BY t_recv_ns, size), 0) AS prev_size FROM raw_levels)""",
+    "levels": """SELECT *, size - size_before AS delta, CASE WHEN size - size_before > 0.001 THEN 'new_order' WHEN size - size_before < -0.001 THEN 'cancel_or_fill' ELSE 'no_change' END AS classification
+      FROM (SELECT *, coalesce(lag(size) OVER (PARTITION BY token_id, price, side ORDER BY t_recv_ns, size), 0) AS size_before FROM raw_levels)""",
     "book_fills": """SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS token_id, 'm' || ((user_id % 40) // 2) AS market, CASE WHEN user_id % 2 = 0 THEN 'Up' ELSE 'Down' END AS outcome_side, ['0.450000','0.500000','0.550000'][CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 + 1] AS price,
       CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, value AS size, epoch_us(ts) * 1000 + (event_id % 7 - 3) * 1000000000 AS t_ns FROM events WHERE event_id % 5 IN (0, 3)""",
     "bars": """SELECT symbol, t_ns // 3600000000000 AS bar, arg_min(mid, t_ns) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, t_ns) AS close, max(t_ns) AS t_ns, count(*) AS n_ticks FROM ticks GROUP BY 1, 2""",

@@ -62,5 +62,5 @@ def rotate_completed(spark: SparkSession, source: str, target: str, schema: str,
     day = F.col("date").cast("string")
     hour = F.lpad(F.col("hour").cast("string"), 2, "0")
     done = lines.where(F.concat_ws("T", day, hour) < now_hour)
-    out = done.select(F.from_json("value", schema).alias("j"), day.alias("date"), hour.alias("hour")).where("j is not null").select("j.*", "date", "hour")
+    out = done.where(F.expr("try_parse_json(value) is not null")).select(F.from_json("value", schema).alias("j"), day.alias("date"), hour.alias("hour")).select("j.*", "date", "hour")
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "hour").option("compression", "zstd").parquet(target)
