@@ -55,44 +55,52 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = 3) -> DataFrame:
     return s.select("source", "source_size", "weight_no", F.when(F.col("full") == 1, F.col("cap").cast("double")).otherwise(F.col("shared") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, schedules=SCHEDULES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs (columns `keep`) with size, source_size, target, taken and positions (array of double, one for each copy taken).
-
-    size: words of the text, null: 0. taken: words of the document in the mix, repeats counted, `most` times its size at
-    most; the document at the target's edge is taken in part. Each source's taken words are its target, rounded down.
-    Null ids sort as empty ones; rows of equal ids follow each other by size. Empty tables give no rows.
-    """
-    keep = keep or docs.columns
+def _plan(docs: DataFrame, keep: list[str], weights, schedules, most: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """docs (columns `keep`) with __size, __source_size, __target, __taken and __positions."""
     text, source = F.col(text_col), F.col(source_col)
-    plan = {"size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__source": source, "__skey": F.coalesce(F.concat(F.lit("="), source), F.lit("null")), "__order": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))}
-    rows = docs.select(*[F.col(c) for c in dict.fromkeys([*keep, id_col])], *[c.alias(n) for n, c in plan.items()])
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    plan = {"__size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__source": source, "__skey": key(source), "__id": F.col(id_col), "__order": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))}
+    rows = docs.select(*keep, *[c.alias(n) for n, c in plan.items()])
     rows = rows.withColumn("__slice", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
-    slices = rows.groupBy("__skey", "__slice").agg(F.first("__source").alias("source"), F.sum("size").alias("slice_size"))
+    slices = rows.groupBy("__skey", "__slice").agg(F.first("__source").alias("source"), F.sum("__size").alias("slice_size"))
     shares = targets(slices.groupBy("__skey").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size")).select("source", "source_size"), weights, most)
-    shares = shares.withColumn("__skey", F.coalesce(F.concat(F.lit("="), "source"), F.lit("null"))).drop("source")
+    shares = shares.select(key(F.col("source")).alias("__skey"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("weight_no").alias("__weight_no"))
     earlier = W.partitionBy("__skey").orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
     slices = slices.select("__skey", "__slice", F.coalesce(F.sum("slice_size").over(earlier), F.lit(0)).alias("__base")).join(shares, "__skey")
     rows = rows.join(slices, ["__skey", "__slice"])
-    within = W.partitionBy("__skey", "__slice").orderBy("__order", F.col(id_col), "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = rows.withColumn("__offset", F.col("__base") + F.coalesce(F.sum("size").over(within), F.lit(0)))
-    goal = F.floor("target").cast("long")
-    takes = F.array(*[F.greatest(F.lit(0), F.least(F.col("size"), goal - F.col("source_size") * k - F.col("__offset"))) for k in range(most)])
+    within = W.partitionBy("__skey", "__slice").orderBy("__order", "__id", "__size").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__offset", F.col("__base") + F.coalesce(F.sum("__size").over(within), F.lit(0)))
+    goal = F.floor("__target").cast("long")
+    takes = F.array(*[F.greatest(F.lit(0), F.least(F.col("__size"), goal - F.col("__source_size") * k - F.col("__offset"))) for k in range(most)])
     rows = rows.withColumn("__takes", takes)
-    share = [(F.col("__offset") + F.col("source_size") * k + F.col("__takes")[k] / 2.0) / F.col("target") for k in range(most)]
-    when = lambda y: F.coalesce(*[F.when(F.col("weight_no") == n, inverse_demand(y, s)) for n, s in enumerate(schedules)])
+    share = [(F.col("__offset") + F.col("__source_size") * k + F.col("__takes")[k] / 2.0) / F.col("__target") for k in range(most)]
+    when = lambda y: F.coalesce(*[F.when(F.col("__weight_no") == n, inverse_demand(y, s)) for n, s in enumerate(schedules)])
     positions = F.array_compact(F.array(*[F.when(F.col("__takes")[k] > 0, when(share[k])) for k in range(most)]))
     taken = sum((F.col("__takes")[k] for k in range(1, most)), F.col("__takes")[0])
-    return rows.select(*keep, "size", "source_size", "target", taken.alias("taken"), positions.alias("positions"))
+    return rows.select(*keep, "__size", "__source_size", "__target", taken.alias("__taken"), positions.alias("__positions"))
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, schedules=SCHEDULES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """docs (columns `keep`) with size, source_size, target, taken and positions (array of double, one for each copy taken).
+
+    size: words of the text, null: 0. taken: words of the document in the mix, repeats counted, `most` times its size at
+    most; the document at the target's edge is taken in part. Each source's taken words are its target, rounded down.
+    Null ids sort as empty ones; rows of equal ids follow each other by size. Empty tables give no rows. Columns of docs that
+    have these names are replaced.
+    """
+    new = ["size", "source_size", "target", "taken", "positions"]
+    rows = _plan(docs, [c for c in keep or docs.columns if c not in new], weights, schedules, most, id_col, text_col, source_col)
+    return rows.withColumnsRenamed({f"__{c}": c for c in new})
 
 
-def in_training_order(mixed: DataFrame) -> DataFrame:
-    """A row for each document, range-sorted by its first position; documents that the mix leaves out come last."""
-    return mixed.withColumn("position", F.round(F.get("positions", F.lit(0)), 6)).orderBy(F.col("position").asc_nulls_last())
+def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """A row for each document, range-sorted by its first position; documents that the mix leaves out come last, by id."""
+    return mixed.withColumn("position", F.round(F.get("positions", F.lit(0)), 6)).orderBy(F.col("position").asc_nulls_last(), id_col)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: docs' own columns, a row for each copy (taken over size, to the nearest whole), in training order."""
-    mixed = mix(docs, docs.columns, **options)
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    rows = mixed.where(copies > 0).withColumn("__at", F.explode(F.slice("positions", F.lit(1), copies)))
+    mixed = _plan(docs, docs.columns, weights, schedules, most, id_col, text_col, source_col)
+    copies = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size")).cast("int")).otherwise(0)
+    rows = mixed.where(copies > 0).withColumn("__at", F.explode(F.slice("__positions", F.lit(1), copies)))
     return rows.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
