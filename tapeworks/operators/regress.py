@@ -204,7 +204,7 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, rounds: int = 200, seed: i
     for k, c in reversed(steps):
         weight = F.when(u < c, k).otherwise(weight)
     r = df.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight).where("w > 0")
-    med = r.groupBy("round").agg(F.percentile(value, 0.5, "w").alias("m"))
+    med = r.groupBy("round").agg(F.percentile(value, 0.5, F.col("w")).alias("m"))
     return med.agg(F.percentile("m", lo).alias("lo"), F.percentile("m", 0.5).alias("mid"), F.percentile("m", hi).alias("hi"), F.count("*").alias("rounds"))
 
 

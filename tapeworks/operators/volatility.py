@@ -157,21 +157,21 @@ def garch11(df: DataFrame, chunk: int = 1440, out: str = "garch_h") -> DataFrame
     return d.groupBy("symbol", "__c").applyInPandas(fit, f"symbol string, bar bigint, {out} double")
 
 
-def ret_over(left: DataFrame, ticks: DataFrame, seconds: list[int], width: int = 3600 * NS) -> DataFrame:
+def ret_over(left: DataFrame, ticks: DataFrame, seconds: list[int], width: int = 3600 * NS, name: str = "ret") -> DataFrame:
     """Each row's symbol's return over the last s seconds; 0 where a price is missing."""
     d = asof_backward(left, ticks, "t_ns", ["symbol"], {"__now": "mid"}, width=width, tie=["mid"])
     for s in seconds:
         d = asof_backward(d, ticks, "t_ns", ["symbol"], {f"__p{s}": "mid"}, width=width, tie=["mid"], shift=-s * NS)
-    out = d.select(*left.columns, *[F.coalesce(F.col("__now") / F.nullif(F.col(f"__p{s}"), F.lit(0.0)) - 1, F.lit(0.0)).alias(f"ret_{s}s") for s in seconds])
+    out = d.select(*left.columns, *[F.coalesce(F.col("__now") / F.nullif(F.col(f"__p{s}"), F.lit(0.0)) - 1, F.lit(0.0)).alias(f"{name}_{s}s") for s in seconds])
     if 1 in seconds and 5 in seconds:
-        out = out.withColumn("momentum_aligned", F.signum("ret_1s") == F.signum("ret_5s"))
+        out = out.withColumn("momentum_aligned", F.signum(f"{name}_1s") == F.signum(f"{name}_5s"))
     return out
 
 
 def cross_asset_ret(left: DataFrame, ticks: DataFrame, lead_symbol: str, seconds: int, width: int = 3600 * NS) -> DataFrame:
     lead = left.withColumn("__own", F.col("symbol")).withColumn("symbol", F.lit(lead_symbol))
-    out = ret_over(lead, ticks.where(F.col("symbol") == lead_symbol), [seconds], width)
-    return out.withColumn("symbol", F.col("__own")).withColumnRenamed(f"ret_{seconds}s", f"lead_ret_{seconds}s").drop("__own")
+    out = ret_over(lead, ticks.where(F.col("symbol") == lead_symbol), [seconds], width, "lead_ret")
+    return out.withColumn("symbol", F.col("__own")).drop("__own")
 
 
 def taker_flow(trades: DataFrame, seconds: int, out: str = "flow") -> DataFrame:

@@ -37,4 +37,4 @@ def register(name: str, sql: str | None = None, doubles: str = "", places: int =
     return keep
 
 
-from . import fill_queries, level_queries, source_queries, stats_queries, stream_queries, vol_queries  # noqa: E402, F401
+from . import feature_queries, fill_queries, level_queries, source_queries, stats_queries, stream_queries, vol_queries  # noqa: E402, F401

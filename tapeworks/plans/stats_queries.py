@@ -131,11 +131,11 @@ def options(spark, sf):
     return V.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cast(20000 + (l_orderkey * 7919 + l_linenumber * 104729 + l_partkey * 31) % 960001 as double) / 1000000D as price", "100D as strike", "100D * exp((l_quantity - 25.5D) / 500D) as spot", "(1 + l_linenumber) / 8760D as tau", "0.3D + l_tax * 5D as sigma")
 
 
-# The oracle's normal distribution: Abramowitz and Stegun 7.1.26 is too coarse, so it sums the series of erf, which converges fast for |x| < 6.
+# The oracle's normal distribution sums the series of erf, which converges fast for |x| < 4.
 PHI = "(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda n: ({x}) * power(({x}) * ({x}), n) / list_product(list_transform(range(0, n + 1), lambda k: CAST(2 * k + 1 AS DOUBLE))))))"
 
 
-@register("k3_fair_value_up", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN abs(d) > 8 THEN CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END ELSE {PHI.format(x="d")} END, 9) AS fair
+@register("k3_fair_value_up", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {PHI.format(x="d")} AS fair
     FROM (SELECT *, -ln(strike / spot) / (sigma * sqrt(tau)) AS d FROM {OPT}) WHERE abs(d) < 4""", "fair", 7)
 def fair(spark, sf):
     d = options(spark, sf).withColumn("d", -F.log(F.col("strike") / F.col("spot")) / (F.col("sigma") * F.sqrt("tau"))).where("abs(d) < 4")

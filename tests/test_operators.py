@@ -159,3 +159,24 @@ def test_streams(spark, tmp_path):
     bars = T.run_once(T.stream_bars(src()), "bars", "complete").orderBy("start").collect()
     assert [(r["close"], r["n"]) for r in bars] == [(2.0, 3), (5.0, 3), (8.0, 3)]
     assert T.run_once(T.dedup_chain(src()), "dedup").count() == 3
+
+
+def test_slots(spark):
+    g = [r["slug"] for r in S.slot_grid(spark, ["BTC"], {"5m": 300}, 601, 900).orderBy("slot").collect()]
+    assert g == ["btc-updown-5m-600", "btc-updown-5m-900", "btc-updown-5m-1200"]
+    now = 1716732000  # 2024-05-26 14:00 UTC
+    hourly = [r["slug"] for r in S.lookahead_slots(spark, ["BTC"], now, 1).where("horizon = '1h'").orderBy("slot").collect()]
+    assert hourly == ["btc-up-or-down-may-26-10am-et", "btc-up-or-down-may-26-11am-et"]
+
+
+def test_keyed_state(spark, tmp_path):
+    from tapeworks.streaming import streams as T
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "token_id string, block_number long, log_index int, signed_size double, price double"
+    for k, rows in enumerate([[("a", 1, 0, 5.0, 0.5), ("b", 1, 1, 2.0, 0.4)], [("a", 2, 0, -7.0, 0.6)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if k == 0:
+            T.run_to_table(T.stream_inventory(T.stream_feed(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    got = T.run_to_table(T.stream_inventory(T.stream_feed(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
+    assert sorted((r["token_id"], r["block_number"], r["position"]) for r in got.collect()) == [("a", 1, 5.0), ("a", 2, -2.0), ("b", 1, 2.0)]
