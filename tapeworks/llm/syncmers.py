@@ -79,7 +79,7 @@ def shared_passages(queries: DataFrame, docs: DataFrame, id_col: str = "doc_id",
     return by.agg(F.count("*").alias("anchors"), F.min("query_pos").alias("query_from"), F.max("query_pos").alias("query_to")).where(F.col("anchors") >= least)
 
 
-def range_slices(rows: DataFrame, key: str, rows_a_slice: int = 2048, most: int = 1_048_576) -> Column:
+def range_slices(rows: DataFrame, key: str, rows_a_slice: int = 2048, most: int = 16_384) -> Column:
     """The number of the range of `key` that a row falls into, ranges of about `rows_a_slice` rows, from quantiles; nulls: -1.
 
     The driver gets the bounds (at most `most`); a row finds its range in two steps, over about the root of their number each.
@@ -95,7 +95,7 @@ def range_slices(rows: DataFrame, key: str, rows_a_slice: int = 2048, most: int
     if not groups:
         return F.when(F.col(key).isNull(), -1).otherwise(0)
     below = lambda xs: F.size(F.filter(xs, lambda b: b <= F.col(key)))
-    lit = lambda xs: F.array(*[F.lit(x) for x in xs])
+    lit = lambda xs: F.expr(f"array({', '.join(f'{x}L' for x in xs)})") if isinstance(xs[0], int) else F.array(*[F.lit(x) for x in xs])
     coarse = below(lit([g[0] for g in groups]))
     fine = F.when(coarse == 0, 0).otherwise((coarse - 1) * width + below(F.get(F.array(*[lit(g) for g in groups]), coarse - 1)))
     return F.when(F.col(key).isNull(), -1).otherwise(fine)
