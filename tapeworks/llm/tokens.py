@@ -11,9 +11,10 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
 
-#: A single space between two visible ASCII or Latin characters: no token of the supported tokenizers reaches across it,
-#: other than by taking the space as its first character.
-SPLIT = re.compile("(?<=[!-~¡-ɏ]) (?=[!-~¡-ɏ])")
+#: Where a text may be cut: at a single space between two visible ASCII or Latin characters, which no token of the supported
+#: tokenizers reaches across other than by taking the space as its first character, and between a letter and a full stop or
+#: comma. A piece that starts with one of these had no space before it.
+SPLIT = re.compile("(?<=[!-~¡-ɏ]) (?=[-!-+/-~¡-ɏ])|(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,])")
 
 
 def vocabulary(name: str) -> str:
@@ -28,7 +29,8 @@ def vocabulary(name: str) -> str:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to those of Tokenizer.encode(text, add_special_tokens=False).
 
-    Special tokens' strings in a text are ordinary text. Ids are kept for each space-delimited piece, up to `most` pieces.
+    Special tokens' strings in a text are ordinary text. The ids of pieces are kept, `most` new ones and as many older ones, so
+    that pieces in use stay when room is made.
     """
 
     def __init__(self, path: str, end_id: int | None = None, most: int = 500_000):
@@ -37,7 +39,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
         self.tokenizer.encode_special_tokens = True
         self.end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
-        self.most, self.known = most, {}
+        self.width = 2 if max(self.tokenizer.get_vocab_size(), (end_id or 0) + 1) <= 1 << 16 else 4  # bytes that an id needs
+        self.most, self.known, self.older = most, {}, {}
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
         self.lead = "" if self.lowers else " "  # white space is dropped by the lower-casing tokenizer
 
@@ -50,16 +53,21 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [SPLIT.split(self._prepared(t)) for t in texts]
-        known, lead = self.known, self.lead
-        if len(known) > self.most:
-            known.clear()
+        if len(self.known) > self.most:
+            self.known, self.older = {}, self.known
+        known, older, lead = self.known, self.older, self.lead
         #: first pieces have no space before them; their keys start with one, which no later piece does
         for s in split:
             s[0] = " " + s[0]
-        missing = list({p for s in split for p in s}.difference(known))
+        missing = {p for s in split for p in s}.difference(known)
+        if older:
+            back = missing.intersection(older)
+            known.update(zip(back, map(older.__getitem__, back)))
+            missing -= back
+        missing = list(missing)
         for at in range(0, len(missing), 4096):
             part = missing[at : at + 4096]
-            ids = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else lead + p for p in part], add_special_tokens=False)
+            ids = self.tokenizer.encode_batch_fast([p[1:] if p[:1] == " " else p if p[:1] in ".," else lead + p for p in part], add_special_tokens=False)
             for p, e in zip(part, ids):
                 known[p] = np.array(e.ids, "<u4").tobytes()
         return [b"".join([*map(known.__getitem__, s), self.end]) for s in split]
