@@ -2,7 +2,8 @@
 
 A store is a folder of shards in ascending key order. A shard has three files:
 
-* `.bin`: the ids of its documents, one after the other, as little-endian unsigned 32-bit integers;
+* `.bin`: the ids of its documents, one after the other, as little-endian unsigned integers of 16 bits, or of 32 if the
+  vocabulary needs them (the manifest has the width in bytes);
 * `.idx`: a minimal perfect hash over its distinct keys (levels of bit arrays; a key's slot is the rank of its bit), and for
   each slot a 32-bit fingerprint of the key and the number of its first record, then the records' offsets into `.bin`;
 * `.key`: the keys in record order, for scans.
@@ -30,7 +31,7 @@ from pyspark.sql.window import Window as W
 from .common import cut
 from .tokens import encoder
 
-MANIFEST = "shard string, pos long, first_key string, last_key string, docs long, ids long"
+MANIFEST = "shard string, pos long, first_key string, last_key string, docs long, ids long, width int"
 
 
 def open_fs(uri: str) -> tuple[pa.fs.FileSystem, str]:
@@ -182,7 +183,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
             raw += b["key"].to_pylist()
             for at in range(0, len(texts), 256):
                 for ids in enc.encode(texts[at : at + 256]):
-                    out.write(ids)
+                    out.write(ids if enc.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
                     sizes.append(len(ids) // 4)
         if out is None:
             return
@@ -193,7 +194,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
         table = pa.table({"key": pa.array(raw, b["key"].type)})
         with fs.open_output_stream(f"{root}/{name}.key") as f, pa.ipc.new_file(f, table.schema) as w:
             w.write_table(table)
-        yield pa.RecordBatch.from_pydict({"shard": [name], "pos": [TaskContext.get().partitionId()], "first_key": [keys[0]], "last_key": [keys[-1]], "docs": [len(keys)], "ids": [sum(sizes)]})
+        yield pa.RecordBatch.from_pydict({"shard": [name], "pos": [TaskContext.get().partitionId()], "first_key": [keys[0]], "last_key": [keys[-1]], "docs": [len(keys)], "ids": [sum(sizes)], "width": pa.array([enc.width], pa.int32())})
 
     ordered.mapInArrow(shards, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -207,14 +208,14 @@ def read_tokens(spark: SparkSession, folder: str, key_type: str = "bigint", with
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     base = manifest.withColumn("base", F.coalesce(F.sum("ids").over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    base = cut(base.select("shard", "pos", "base").repartition("shard"))
+    base = cut(base.select("shard", "base", "width").repartition("shard"))
     fields = f"key {key_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     fresh = pa.schema([("key", pa.int64() if key_type == "bigint" else pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
     def records(batches):
         fs, root = open_fs(folder)
         for b in batches:
-            for name, before in zip(b["shard"].to_pylist(), b["base"].to_pylist()):
+            for name, before, width in zip(b["shard"].to_pylist(), b["base"].to_pylist(), b["width"].to_pylist()):
                 with fs.open_input_file(f"{root}/{name}.idx") as f:
                     index = ShardIndex.from_bytes(f.read())
                 with fs.open_input_file(f"{root}/{name}.key") as f:
@@ -232,8 +233,9 @@ def read_tokens(spark: SparkSession, folder: str, key_type: str = "bigint", with
                                 again[name_] = nth = again.get(name_, -1) + 1
                                 r += nth
                             lo, hi = int(index.offsets[r]), int(index.offsets[r + 1])
-                            data.seek(4 * lo)
-                            ids = data.read(4 * (hi - lo))
+                            data.seek(width * lo)
+                            ids = data.read(width * (hi - lo))
+                            ids = ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
                             rows.append((k, before + lo, hi - lo, zlib.crc32(ids), *[ids] * with_ids))
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), fresh.types)], schema=fresh)
 
@@ -246,7 +248,7 @@ def lookup_tokens(spark: SparkSession, folder: str, keys: DataFrame, key_col: st
     Keys meet shards by the key ranges of the manifest when the keys are numbers, as an interval join on the manifest's rows.
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    lo, hi = (F.expr(f"try_cast(substr({c}, 2) as bigint)") for c in ("first_key", "last_key"))
+    lo, hi = (F.expr(f"coalesce(try_cast(substr({c}, 2) as bigint), -9223372036854775808)") for c in ("first_key", "last_key"))  # nulls come first
     shards = manifest.select("shard", lo.alias("lo"), hi.alias("hi"))
     wanted = keys.select(F.col(key_col).cast("long").alias("key")).distinct()
     meets = (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))
