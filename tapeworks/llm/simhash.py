@@ -34,6 +34,10 @@ CHUNK_ROWS = 50_000
 CHUNK_SHINGLES = 1_000_000
 #: Rows of node pairs or candidate pairs that are expanded at once.
 EXPAND = 1_000_000
+#: Texts of at most this many distinct shingles find their near copies by the shingles themselves.
+FEW = 80
+#: Counters of the order of shingles by frequency; any number gives right results, more separate frequent shingles better.
+COUNTERS = 65_536
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -278,9 +282,14 @@ def exact_links(members: DataFrame, shingle: int, least: float, chunk_shingles:
                     if not n.sum():
                         continue
                     k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    common = np.bincount(posting[np.repeat(first[own], n) + k], minlength=len(ids))[:r]
-                    near = np.flatnonzero(common >= least * (sizes[:r] + sizes[r] - common) - 1e-9)
-                    near = near[common[near] > 0]
+                    met = posting[np.repeat(first[own], n) + k]
+                    if len(met) < len(ids):
+                        other, common = np.unique(met[met < r], return_counts=True)
+                    else:
+                        common = np.bincount(met, minlength=len(ids))[:r]
+                        other = np.flatnonzero(common)
+                        common = common[other]
+                    near = other[common >= least * (sizes[other] + sizes[r] - common) - 1e-9]
                     label = merge(label, np.full(len(near), r), near)
                 linked = np.flatnonzero(label != np.arange(len(ids)))
                 if len(linked):
@@ -289,11 +298,53 @@ def exact_links(members: DataFrame, shingle: int, least: float, chunk_shingles:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(links, "src bigint, dst bigint")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 16, budget: int = 15, total: int = 28) -> DataFrame:
+def sketches(texts: DataFrame, shingle: int, least: float, words: int, few: int) -> DataFrame:
+    """texts (id, text) -> (id, words, few): `few` is the set of shingles of a text that has at most `few` of them; `words` are
+    SimHashes of a text with enough shingles to be similar to one of more than `few`. Each is null otherwise."""
+
+    def sketch(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"].to_pylist()]
+            prints = [np.array([majority(remix(h, k)) for k in range(words)], np.uint64).view(np.int64) if len(h) >= least * (few + 1) - 1e-9 else None for h in sets]
+            small = [h.view(np.int64) if len(h) <= few else None for h in sets]
+            kind = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array(prints, kind), pa.array(small, kind)], ["id", "words", "few"])
+
+    return texts.mapInArrow(sketch, "id bigint, words array<bigint>, few array<bigint>")
+
+
+def prefix_links(sets: DataFrame, least: float) -> DataFrame:
+    """sets (id, few array<bigint>) -> links (src, dst) that join every two sets of Jaccard similarity of `least` or more, and others.
+
+    Two such sets have one of the first n - ceil(least * n) + 1 shingles of each in common, in whatever order all sets are
+    read. Frequent shingles come last, by counters that they share, so that few sets meet by one. A shingle's sets are
+    linked to the smallest id of them: grouped minima, so that no task holds them all.
+    """
+    seen = sets.select(F.explode("few").alias("h")).groupBy(F.pmod("h", F.lit(COUNTERS)).alias("b")).count().toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[seen["b"].to_numpy()] = seen["count"].to_numpy()
+
+    def prefixes(batches):
+        for b in batches:
+            ids, few = b["id"].to_numpy(), b["few"]
+            n, h = few.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), few.flatten().to_numpy()
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, counts[h % COUNTERS], owner))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            keep = place < (n - np.ceil(least * n - 1e-9) + 1)[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[owner[keep]]), pa.array(h[order[keep]])], ["id", "h"])
+
+    rows = sets.mapInArrow(prefixes, "id bigint, h bigint")
+    heads = rows.groupBy("h").agg(F.min("id").alias("dst"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(heads, "h").where("id <> dst").select(F.col("id").alias("src"), "dst")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 24, budget: int = 15, total: int = 28, few: int = FEW) -> DataFrame:
     """docs without near copies: of each group linked by shingle-set similarity of `least` or more, the row of smallest id stays, all columns kept.
 
-    SimHash gives candidates: `words` 64-bit fingerprints over hashes of their own (64 trie roots a text at 16), joined within
-    `budget` bits a word and `total` over two; at similarity 0.8 a pair shares a root with probability 0.99. Candidate groups
+    Pairs of texts of at most `few` distinct shingles are all found, by prefixes of their sets. For pairs with a longer text
+    SimHash gives candidates: `words` 64-bit fingerprints over hashes of their own (96 trie roots a text at 24), joined within
+    `budget` bits a word and `total` over two; at similarity 0.8 a pair shares a root with probability 0.999. Candidate groups
     are then compared exactly. Texts of equal words are one text; null and blank texts are one group each other; rows of
     equal ids and texts are copies, so one of them stays (ties by the other columns' order in the row).
     """
@@ -301,8 +352,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     keyed = docs.withColumn("__key", F.xxhash64(normal))
     kept = keyed.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(id_col).isNull(), F.col(id_col), *[F.col(c) for c in docs.columns if c not in (id_col, text_col)])).alias("row"))
     kept = as_table(kept, "distinct")
-    prints = as_table(kept.select(F.col("__key").alias("id"), fingerprint_column(F.col(f"row.{text_col}"), shingle, words, True).alias("words")), "sketches")
-    coarse = connected_components(trie_links(prints, budget, total))
+    drawn = as_table(sketches(kept.select(F.col("__key").alias("id"), F.col(f"row.{text_col}").alias("text")), shingle, least, words, few), "sketches")
+    long = trie_links(drawn.where("words is not null").select("id", "words"), budget, total)
+    coarse = connected_components(long.union(prefix_links(drawn.where("few is not null").select("id", "few"), least)))
     members = kept.select(F.col("__key").alias("id"), F.col(f"row.{text_col}").alias("text")).join(coarse, "id").select(F.col("component").alias("grp"), "id", "text")
     comps = connected_components(exact_links(members, shingle, least))
     named = comps.join(kept.select(F.col("__key").alias("id"), F.col(f"row.{id_col}").alias("own")), "id")

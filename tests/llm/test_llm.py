@@ -97,6 +97,31 @@ def test_near_duplicates_against_brute_force(spark):
     assert simhash.drop_near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_of_few_words(spark):
+    """One word before or after 8 words, or a changed end of 60: similarity 0.8 exactly or just above; no pair may be lost."""
+    rng, texts = random.Random(11), []
+    for k in range(400):
+        if k % 8 == 7:
+            base = [f"u{rng.randrange(10**9)}" for _ in range(60)]
+            texts += [" ".join(base), " ".join(base[:-6] + ["x"] * 6)]
+            continue
+        base = [f"u{rng.randrange(10**9)}" for _ in range(8)]
+        texts += [" ".join(base), " ".join(["more", *base] if k % 2 else [*base, "more"])]
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_duplicates(documents(spark, texts)).collect())
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    near = [len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2])]
+    assert sum(near) >= 350 and kept == [i for i in range(len(texts)) if i % 2 == 0 or not near[i // 2]]
+
+
+def test_prefix_links_join_all_similar_sets(spark):
+    rng = random.Random(3)
+    sets = [rng.sample(range(40), rng.randrange(1, 12)) for _ in range(400)]
+    links = simhash.prefix_links(spark.createDataFrame(list(enumerate(sets)), "id long, few array<bigint>"), 0.8).collect()
+    label = components(len(sets), [(r["src"], r["dst"]) for r in links])
+    sets = [set(x) for x in sets]
+    assert all(label[i] == label[j] for i in range(400) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+
+
 def test_exact_links_in_chunks(spark):
     base = prose(100)
     texts = [edited(base, i % 5) for i in range(30)]
