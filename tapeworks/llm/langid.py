@@ -22,6 +22,8 @@ from .tokens import vocabulary
 
 #: Longer words are scored in parts of this many characters.
 LONGEST = 48
+#: Words of a smaller probability are summed in logarithms: what plain products lose of the others is beyond their last digit.
+LEAST = 1e-200
 
 
 class Pieces:
@@ -91,9 +93,31 @@ class Pieces:
             alpha[0] = 1
             for i, j, r, p in self.spans(codes):
                 alpha[j][r] += alpha[i][r] * prob[p]
+            tiny = np.flatnonzero((alpha[-1] < LEAST).any(1))
+            alpha[-1, tiny] = 1
             out[rows] = np.log(alpha[-1])
+            if len(tiny):
+                out[rows[tiny]] = self._log_forward(list(self.spans(codes[tiny])), codes[tiny].shape, np.log(prob))[-1]
         return out
 
+    def _log_forward(self, spans: list, shape: tuple[int, int], log_prob: np.ndarray) -> np.ndarray:
+        """Logarithms of alpha: positions x words (x languages)."""
+        alpha = np.full((shape[1] + 1, shape[0], *log_prob.shape[1:]), -np.inf)
+        alpha[0] = 0
+        for i, j, r, p in spans:
+            alpha[j][r] = np.logaddexp(alpha[j][r], alpha[i][r] + log_prob[p])
+        return alpha
+
+    def _log_expected(self, codes: np.ndarray, counts: np.ndarray, prob: np.ndarray, out: np.ndarray) -> None:
+        spans, log_prob = list(self.spans(codes)), np.log(prob)
+        alpha = self._log_forward(spans, codes.shape, log_prob)
+        beta = np.full(alpha.shape, -np.inf)
+        beta[-1] = 0
+        for i, j, r, p in reversed(spans):
+            on = log_prob[p] + beta[j][r]
+            beta[i][r] = np.logaddexp(beta[i][r], on)
+            np.add.at(out, p, np.exp(alpha[i][r] + on - alpha[-1][r]) * counts[r])
+
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in `counts` of each word, under one language's prob."""
         out = np.zeros(len(prob))
@@ -104,7 +128,12 @@ class Pieces:
             spans = list(self.spans(codes))
             for i, j, r, p in spans:
                 alpha[j][r] += alpha[i][r] * prob[p]
+            tiny = np.flatnonzero(alpha[n] < LEAST)
+            alpha[n, tiny] = 1
             scale = counts[rows] / alpha[n]
+            if len(tiny):
+                scale[tiny] = 0
+                self._log_expected(codes[tiny], counts[rows[tiny]], prob, out)
             for i, j, r, p in reversed(spans):
                 beta[i][r] += beta[j][r] * prob[p]
                 np.add.at(out, p, alpha[i][r] * prob[p] * beta[j][r] * scale[r])

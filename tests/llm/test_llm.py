@@ -257,6 +257,27 @@ def test_language_edges_and_sums(spark):
     assert {r["lang_pred"] for r in langid.predict(rows, nothing, ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_sums_do_not_underflow(spark):
+    p = langid.pieces("piece_bpe_32k.model")
+    lost = "\ue000" * 48
+    prob = np.full((p.n + 1, 2), 1e-9) * [1, 2]
+    got = p.log_likelihood([lost, "▁the"], prob)
+    assert got[0] == pytest.approx(48 * np.log(prob[-1])) and np.isfinite(got).all()
+    assert p.expected([lost], np.array([3.0]), prob[:, 0])[p.n] == pytest.approx(3 * 48)
+    words = ["▁" + "the" * 15, "▁" + "q" * 40, "▁hunde"]
+    plain = p.log_likelihood(words, prob * 1e6), p.expected(words, np.array([1.0, 2.0, 3.0]), prob[:, 0] * 1e6)
+    old, langid.LEAST = langid.LEAST, 1.0
+    try:
+        logs = p.log_likelihood(words, prob * 1e6), p.expected(words, np.array([1.0, 2.0, 3.0]), prob[:, 0] * 1e6)
+    finally:
+        langid.LEAST = old
+    assert np.allclose(plain[0], logs[0], rtol=1e-12) and np.allclose(plain[1], logs[1], rtol=1e-9)
+    rare = np.where(np.arange(p.n + 1)[:, None] == p.n, [1e-9, 2e-9], [2e-5, 1e-5])
+    docs = spark.createDataFrame([(1, lost + " a"), (2, lost * 3 + " a")], "doc_id long, text string")
+    rows = langid.predict(docs, langid.Model("piece_bpe_32k.model", ["de", "en"], rare), ["doc_id"]).collect()
+    assert all(r["lang_pred"] == "en" and 0.5 < r["score"] <= 1 for r in rows)
+
+
 def test_url_filter(spark):
     day = "2024-01-%02d"
     entries = spark.createDataFrame([(".bad.com", day % 2, "add", "x"), (".bad.com", day % 5, "remove", "x"), ("=a.bad.com", day % 4, "add", "h"), ("/ok.org/fr", day % 1, "add", "p"), (None, day % 1, "add", "n")], "key string, day string, action string, category string").withColumn("day", F.to_date("day"))
