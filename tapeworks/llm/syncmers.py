@@ -23,7 +23,7 @@ def let(value: Column, body) -> Column:
 
 
 def anchors(text: Column, with_positions: bool = False) -> Column:
-    """Anchor hashes of a text in order, or structs (hash, pos). Fewer tokens than a k-mer: one anchor over all; none: empty."""
+    """Anchor hashes of a text in order, or structs (hash, pos). No k-mer is closed, or fewer tokens than one: one anchor over all tokens; none: empty."""
     n_inner = K - S + 1
 
     def chosen(tokens, inner):
@@ -40,7 +40,8 @@ def anchors(text: Column, with_positions: bool = False) -> Column:
         whole = F.xxhash64(F.array_join(tokens, " "))
         short = F.array(F.struct(whole.alias("hash"), F.lit(0).alias("pos"))) if with_positions else F.array(whole)
         none = F.slice(short, 1, 0)
-        return F.when(F.size(tokens) >= K, let(inner, lambda x: chosen(tokens, x))).when(F.size(tokens) > 0, short).otherwise(none)
+        some = lambda found: F.when(F.size(found) > 0, found).otherwise(short)
+        return F.when(F.size(tokens) >= K, let(let(inner, lambda x: chosen(tokens, x)), some)).when(F.size(tokens) > 0, short).otherwise(none)
 
     return let(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0)), of)
 

@@ -355,6 +355,16 @@ def test_syncmers(spark):
     assert syncmers.edited_likeness(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_syncmers_of_five_and_six_tokens(spark):
+    texts = [" ".join(f"t{random.randrange(10**9)}" for _ in range(5 + i % 2)) for i in range(60)]
+    got = {r["doc_id"]: r for r in syncmers.edited_likeness(documents(spark, texts)).collect()}
+    prints = [got[i]["fingerprint"] for i in range(60)]
+    assert "" not in prints and len(set(prints)) == 60 and all(r["edited_fingerprint"] for r in got.values())
+    assert all(r["near_next"] == 0 for r in got.values())
+    again = syncmers.edited_likeness(documents(spark, [texts[0], texts[0]])).collect()
+    assert all(r["near_next"] == 1 for r in again)
+
+
 def test_syncmers_are_context_free(spark):
     body = prose(80)
     df = spark.createDataFrame([(0, body), (1, prose(9) + " " + body)], "doc_id long, text string")
