@@ -32,7 +32,7 @@ def at_post(spark, sf):
 @register("l15_quote_features")
 def features(spark, sf):
     t = V.ticks(spark, sf)
-    q = t.where("event_id % 10 = 0").select(F.col("event_id").alias("quote_id"), "t_ns", "symbol", F.lit(120.0).alias("strike"), F.lit(3600.0).alias("tte_s"), F.lit(1.0).alias("n"))
+    q = t.select(F.col("event_id").alias("quote_id"), "t_ns", "symbol", F.lit(120.0).alias("strike"), F.lit(3600.0).alias("tte_s"), F.lit(1.0).alias("n"))
     return Q.quote_features(q, t, "click", 0.5, (60, 3600))
 
 

@@ -206,6 +206,22 @@ def selection(spark, sf):
     return X.selection_rate(V.fills(spark, sf).where("block_number % 50 = 0"), V.markets(spark, sf), "horizon")
 
 
+def by_asset(spark, sf, report):
+    """report(fills of an asset) for each, with the asset: all fills together reach every market."""
+    f, out = V.fills(spark, sf), None
+    for x in V.ASSETS:
+        part = report(f.where(F.col("asset_symbol") == x)).withColumn("asset_symbol", F.lit(x))
+        out = out.unionByName(part) if out else part
+    return out
+
+
+@register("e17_selection_rate_by_asset", " UNION ALL ".join(f"""SELECT '{x}' AS asset_symbol, m.horizon, count(DISTINCT m.market) AS available, count(DISTINCT f.market) AS traded, count(DISTINCT f.market) / count(DISTINCT m.market) AS rate
+    FROM markets m LEFT JOIN (SELECT DISTINCT market FROM fills WHERE asset_symbol = '{x}') f ON m.market = f.market GROUP BY 2""" for x in V.ASSETS), "rate")
+def selection_by_asset(spark, sf):
+    m = V.markets(spark, sf)
+    return by_asset(spark, sf, lambda f: X.selection_rate(f, m, "horizon"))
+
+
 @register("e18_e19_settlement", """WITH s AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'PayoutRedemption' WHEN 'O' THEN 'PositionsMerge' ELSE 'Transfer' END AS event, CAST(o_orderkey % 4000 AS VARCHAR) AS token_id FROM orders), t AS (SELECT DISTINCT token_id FROM fills)
     SELECT event, count(*) AS n, count(DISTINCT token_id) AS n_tokens, 100.0 * count(DISTINCT token_id) / (SELECT count(*) FROM t) AS pct_of_traded FROM s WHERE token_id IN (SELECT token_id FROM t) GROUP BY 1""", "pct_of_traded")
 def settlement(spark, sf):
@@ -328,6 +344,17 @@ def dedup(spark, sf):
 @register("h3_h6_set_ops", """WITH a AS (SELECT DISTINCT market FROM fills WHERE block_number % 40 = 0), b AS (SELECT market FROM resolved) SELECT 'both' AS kind, count(*) AS n FROM (SELECT market FROM a INTERSECT SELECT market FROM b) UNION ALL SELECT 'traded_only', count(*) FROM (SELECT market FROM a EXCEPT SELECT market FROM b)
     UNION ALL SELECT 'merged', count(*) FROM (SELECT market FROM a UNION SELECT market FROM b)""")
 def sets(spark, sf):
-    a, b = V.fills(spark, sf).where("block_number % 40 = 0").select("market").distinct(), V.resolved(spark, sf).select("market")
+    return set_counts(V.fills(spark, sf).where("block_number % 40 = 0"), V.resolved(spark, sf))
+
+
+def set_counts(fills, resolved):
+    a, b = fills.select("market").distinct(), resolved.select("market")
     count = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kind"), "n")
     return count(a.intersect(b), "both").union(count(a.subtract(b), "traded_only")).union(count(a.union(b).distinct(), "merged"))
+
+
+@register("h3_h6_set_ops_by_asset", " UNION ALL ".join(f"""SELECT '{x}' AS asset_symbol, 'both' AS kind, count(*) AS n FROM (SELECT market FROM fills WHERE asset_symbol = '{x}' INTERSECT SELECT market FROM resolved) UNION ALL SELECT '{x}', 'traded_only', count(*) FROM (SELECT market FROM fills WHERE asset_symbol = '{x}' EXCEPT SELECT market FROM resolved)
+    UNION ALL SELECT '{x}', 'merged', count(*) FROM (SELECT market FROM fills WHERE asset_symbol = '{x}' UNION SELECT market FROM resolved)""" for x in V.ASSETS))
+def sets_by_asset(spark, sf):
+    r = V.resolved(spark, sf)
+    return by_asset(spark, sf, lambda f: set_counts(f, r))

@@ -109,6 +109,28 @@ def distribution(spark, sf):
     return L.pattern_distribution(patterns(spark, sf))
 
 
+def split_patterns(spark, sf):
+    """Patterns against all fills of each outcome: by outcome, as all fills together reach every level."""
+    lv, f = levels(spark, sf), V.book_fills(spark, sf)
+    of = lambda x: L.quote_patterns(lv, f.where(F.col("outcome_side") == x), 3600 * NS).withColumn("outcome", F.lit(x))
+    return of("Up").unionByName(of("Down"))
+
+
+SPLIT = " UNION ALL ".join("SELECT *, '{0}' AS outcome FROM ({1})".format(x, PATTERNS.replace("FROM book_fills f WHERE", f"FROM book_fills f WHERE f.outcome_side = '{x}' AND")) for x in ("Up", "Down"))
+
+
+@register("f5_quote_patterns_by_outcome", SPLIT, "duration_ms")
+def patterns_by_outcome(spark, sf):
+    return split_patterns(spark, sf)
+
+
+@register("e25_pattern_distribution_by_outcome", f"SELECT outcome, pattern, count(*) AS n, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.9) AS p90, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY outcome) AS pct FROM ({SPLIT}) GROUP BY 1, 2", "p50 p90 pct", 3)
+def distribution_by_outcome(spark, sf):
+    p = split_patterns(spark, sf)
+    of = lambda x: L.pattern_distribution(p.where(F.col("outcome") == x)).withColumn("outcome", F.lit(x))
+    return of("Up").unionByName(of("Down"))
+
+
 CAUSES = f"""SELECT d.token_id, d.price, d.side, d.t_recv_ns AS t_ns, CASE WHEN EXISTS (SELECT 1 FROM book_fills f WHERE f.token_id = d.token_id AND f.price = d.price AND f.t_ns BETWEEN d.t_recv_ns - 900000000000 AND d.t_recv_ns + 900000000000) THEN 'fill'
       WHEN EXISTS (SELECT 1 FROM {NEW} a WHERE a.token_id = d.token_id AND a.t_recv_ns > d.t_recv_ns AND a.t_recv_ns < d.t_recv_ns + 900000000000) THEN 'reprice' ELSE 'pull' END AS cause FROM {DEC} d"""
 

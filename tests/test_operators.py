@@ -180,3 +180,16 @@ def test_keyed_state(spark, tmp_path):
             T.run_to_table(T.stream_inventory(T.stream_feed(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
     got = T.run_to_table(T.stream_inventory(T.stream_feed(spark, str(tmp_path / "in"), schema)), str(tmp_path / "out"), str(tmp_path / "ck"))
     assert sorted((r["token_id"], r["block_number"], r["position"]) for r in got.collect()) == [("a", 1, 5.0), ("a", 2, -2.0), ("b", 1, 2.0)]
+
+
+def test_whole_tables_of_quotes_and_fills(spark, sf):
+    from tapeworks.plans.registry import QUERIES
+
+    ticks = spark.read.parquet(f"{sf}/events.parquet").count()
+    assert QUERIES["l15_quote_features"](spark, sf).count() == ticks
+    parts = [QUERIES["f5_quote_patterns_by_outcome"](spark, sf).where(f"outcome = '{x}'") for x in ("Up", "Down")]
+    assert parts[0].count() == parts[1].count() > 0 and all(p.select("pattern").distinct().count() > 1 for p in parts)
+    traded = QUERIES["e17_selection_rate_by_asset"](spark, sf).groupBy().sum("traded").first()[0]
+    lines, parts = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "part"))
+    markets = parts.selectExpr("p_partkey div 2 as m").distinct()
+    assert traded == lines.selectExpr("l_partkey div 2 as m").distinct().join(markets, "m", "left_semi").count()
