@@ -59,7 +59,7 @@ def norm_ppf(p: Column) -> Column:
 
 def fair_value_up(strike: Column, spot: Column, tau: Column, sigma: Column) -> Column:
     ok = (strike > 0) & (spot > 0) & (tau > 0) & (sigma > 0)
-    return F.when(ok, 1 - norm_cdf(F.log(strike / spot) / (sigma * F.sqrt(tau))))
+    return F.when(ok, norm_cdf(-F.log(strike / spot) / (sigma * F.sqrt(tau))))
 
 
 def implied_sigma(price: Column, strike: Column, spot: Column, tau: Column) -> tuple[Column, Column]:
@@ -80,7 +80,7 @@ def implied_sigma(price: Column, strike: Column, spot: Column, tau: Column) -> t
 def implied_sigma_bounded(price: Column, strike: Column, spot: Column, tau: Column, low: float = 1e-6, high: float = 10.0) -> Column:
     """The root in (low, high), from the closed form; null where there is none."""
     ok = (price > 0) & (price < 1) & (tau > 0) & (strike > 0) & (spot > 0) & (F.abs(price - 0.5) > 1e-12)
-    sigma = F.try_divide(F.log(F.try_divide(strike, spot)), F.sqrt(tau) * norm_ppf(1 - price))
+    sigma = F.try_divide(F.log(F.try_divide(strike, spot)), F.sqrt(tau) * -norm_ppf(price))
     return F.when(ok & (sigma > low) & (sigma < high), sigma)
 
 

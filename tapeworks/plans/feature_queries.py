@@ -9,7 +9,7 @@ from ..operators import features as Q
 from . import views as V
 from .level_queries import levels
 from .registry import register
-from .stats_queries import OPT, options
+from .stats_queries import OPT, options, returned
 
 NS = 1_000_000_000
 DAY = 86400 * NS
@@ -43,3 +43,11 @@ def implied_spot(spark, sf):
     fair = P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma"))
     o = o.withColumn("fair", fair).withColumn("s", P.implied_spot(F.col("strike"), F.col("fair"), F.col("tau"), F.col("sigma")))
     return o.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("s") / F.col("spot") - 1) < 1e-6).alias("back"))
+
+
+@register("k11_implied_spot_all")
+def implied_spot_all(spark, sf):
+    """All rows, by what becomes of the spot that the fair price gives back."""
+    fair = P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma"))
+    o = options(spark, sf).withColumn("fair", fair).withColumn("s", P.implied_spot(F.col("strike"), F.col("fair"), F.col("tau"), F.col("sigma")))
+    return returned(o, F.abs(F.col("s") / F.col("spot") - 1) < 1e-6)

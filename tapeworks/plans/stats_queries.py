@@ -142,6 +142,23 @@ def fair(spark, sf):
     return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma")).alias("fair"))
 
 
+CLIPPED = "fair = 0 or fair = 1"
+
+
+@register("k3_fair_value_up_all")
+def fair_all(spark, sf):
+    """All rows; `clipped` where the fair value is nearer to 0 or 1 than a double can tell."""
+    fair_ = P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma"))
+    o = options(spark, sf).withColumn("fair", fair_)
+    return o.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "fair", F.when(F.col("fair").isNull(), "invalid").when(F.expr(CLIPPED), "clipped").otherwise("ok").alias("reason"))
+
+
+def returned(rows, close):
+    """Counts of all rows by reason: a fair value at 0 or 1 has no inverse, one close to 1 has too few digits for an exact one."""
+    reason = F.when(F.col("fair").isNull(), "invalid").when(F.expr(CLIPPED), "clipped").when(F.col("s").isNull(), "no_root").when(close, "ok").otherwise("imprecise")
+    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
 @register("k1_k2_round_trip", "SELECT count(*) AS n, 0 AS off FROM lineitem")
 def round_trip(spark, sf):
     """Rows whose price does not come back from the inverse: none."""
@@ -168,6 +185,14 @@ def bounded(spark, sf):
     return s.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("s") - F.col("sigma")) < 1e-5).alias("recovered"))
 
 
+@register("k5_implied_sigma_all")
+def implied_sigma_all(spark, sf):
+    """All rows, by what becomes of the volatility that the fair price gives back."""
+    fair_ = P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma"))
+    o = options(spark, sf).withColumn("fair", fair_).withColumn("s", P.implied_sigma_bounded(F.col("fair"), F.col("strike"), F.col("spot"), F.col("tau")))
+    return returned(o, F.abs(F.col("s") - F.col("sigma")) < 1e-5)
+
+
 @register("k8_k10_quote_model", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0.01, least(0.99, price - (0.01 + 0.1 * sigma * sqrt(tau)) + 0.05 * (0.5 - least(price, 1 - price)) + 0.002 + 0.01 * sigma * sqrt(tau))) AS quote,
     -0.1 * 5 * sigma * sigma * tau AS skew, 0.05 * (0.5 - least(price, 1 - price)) AS shift, 0.1 * sigma * sigma * tau / 2 + ln(1 + 0.1 / 1.5) / 0.1 AS half FROM {OPT}""", "quote skew shift half", 9)
 def quotes(spark, sf):

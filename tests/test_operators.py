@@ -193,3 +193,22 @@ def test_whole_tables_of_quotes_and_fills(spark, sf):
     lines, parts = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("lineitem", "part"))
     markets = parts.selectExpr("p_partkey div 2 as m").distinct()
     assert traded == lines.selectExpr("l_partkey div 2 as m").distinct().join(markets, "m", "left_semi").count()
+
+
+def test_fair_values_of_all_options(spark, sf):
+    from tapeworks.plans.registry import QUERIES
+    from tapeworks.plans.stats_queries import options
+
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    rows = options(spark, sf).collect()
+    d = [math.log(r["spot"] / r["strike"]) / (r["sigma"] * math.sqrt(r["tau"])) for r in rows]
+    got = QUERIES["k3_fair_value_up_all"](spark, sf).collect()
+    assert len(got) == len(rows) and any(abs(x) >= 4 for x in d)
+    want = sorted((*(r[k] for k in keys), math.erfc(-x / math.sqrt(2)) / 2) for r, x in zip(rows, d))
+    for r, w in zip(sorted(got), want):
+        assert r[:4] == w[:4] and r["fair"] == pytest.approx(w[4], rel=1e-6) and (r["reason"] == "clipped") == (r["fair"] in (0, 1))
+    for name in ("k5_implied_sigma_all", "k11_implied_spot_all"):
+        reasons = {r["reason"]: r["n"] for r in QUERIES[name](spark, sf).collect()}
+        assert sum(reasons.values()) == len(rows) and set(reasons) <= {"ok", "clipped", "imprecise"}
+        low = sum(-36 < x < 4 for x in d)
+        assert reasons["ok"] >= low
