@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tapeworks.llm import common, embeddings, langid, licenses, mixing, packing, queries, simhash, syncmers, token_store, tokens, urlfilter, warc
 
@@ -134,9 +135,16 @@ def test_exact_links_in_chunks(spark):
 def test_encoder_is_the_tokenizer(name, spark, sf):
     texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
     texts += ["", " ", "  a  b ", "a, b", "a ,b .c", ".a", "x.y", "É.é, ü", "it's  don't", "ΑΣ Σ x", "J̌ y", "x　y", "１２ 3", "<|endoftext|> hi", "a\r\n\tb", "日本語 テキスト", "x" * 5000]
-    e = tokens.Encoder(name, 1)
-    ref = [np.array([*x.ids, 1], "<u4").tobytes() for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert e.encode(texts) == ref and e.encode([None]) == [np.array([1], "<u4").tobytes()]
+    texts += ["İ.", "ÇOĞU İ, i̇; x", "<|ENDOFTEXT|> <|startoftext|>", "a\0 \1b", "\1x y", "one.\ntwo,\n three 'so' x'S", "http://a.b/" + "c" * 90 + " d. e"]
+    rng = random.Random(4)
+    signs = [*map(chr, [*range(0x20, 0x7F), *range(0xA0, 0x250)]), *"  \n\t.,'İΣσ\u0338\u0301\u0307日本"] + [" "] * 60 + ["\n"] * 9
+    texts += ["".join(rng.choices(signs, k=rng.randrange(1, 60))) for _ in range(6000)]
+    some = [*texts[0].split()[:50], "İ", "<|endoftext|>", "'s", "'T", "日"]
+    texts += ["".join(rng.choice(some) + rng.choice([" ", " ", "\n", ". ", ", ", "  ", "", "'", " \n", "\r\n"]) for _ in range(rng.randrange(1, 30))) for _ in range(1000)]
+    e = tokens.Encoder(name, 1, most=3000)
+    ref = [np.array([*x.ids, 1], "<u4").tobytes() for x in Tokenizer.from_file(tokens.vocabulary(name)).encode_batch(texts, add_special_tokens=False)]
+    assert [e.encode([t])[0] for t in texts[:500]] == ref[:500]  # piece by piece from the cache
+    assert e.encode(texts) == ref and e.encode([None]) == [np.array([1], "<u4").tobytes()] and e.encode([]) == []
 
 
 def test_perfect_hash():
@@ -156,8 +164,6 @@ def test_token_store_round_trip(spark):
     folder = common.new_folder(spark, "t")
     token_store.write_tokens(docs, folder)
     got = token_store.read_tokens(spark, folder, with_ids=True).collect()
-    from tokenizers import Tokenizer
-
     tok, at = Tokenizer.from_file(tokens.vocabulary("byte_bpe_50k.json")), 0
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     want = {}
@@ -166,13 +172,25 @@ def test_token_store_round_trip(spark):
         want[k, at] = (len(ids) // 4, zlib.crc32(ids), ids)
         at += len(ids) // 4
     assert {(r["key"], r["start"]): (r["n_tokens"], r["ids_crc32"], bytes(r["ids"])) for r in got} == want
-    asked = spark.createDataFrame([(0,), (14,), (5,)], "key long")
-    assert {r["key"]: r["n_records"] for r in token_store.lookup_tokens(spark, folder, asked).collect()} == {0: 1, 14: 2}
+    asked = spark.createDataFrame([(0,), (14,), (5,), (-9,), (10**9,), (None,), (14,)], "key long")
+    assert {r["key"]: r["n_records"] for r in token_store.lookup_tokens(spark, folder, asked).collect()} == {0: 1, 14: 2, None: 1}
     empty = common.new_folder(spark, "t")
     token_store.write_tokens(docs.limit(0), empty)
     assert token_store.read_tokens(spark, empty).count() == 0
 
 
+def test_token_store_of_many_shards_and_string_keys(spark):
+    rows = [(f"k{i % 40:02d}", prose(i % 7) if i % 5 else "long " * 30_000 if i == 5 else None) for i in range(80)]
+    folder = common.new_folder(spark, "t")
+    made = token_store.write_tokens(spark.createDataFrame(rows, "doc_id string, text string"), folder, shard_ids=1)
+    got = token_store.read_tokens(spark, folder, "string").orderBy("start").collect()
+    assert [r["key"] for r in got] == sorted(k for k, _ in rows) and got[0]["start"] == 0
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    assert made.groupBy().agg(F.sum("docs")).first()[0] == 80 and max(r["n_tokens"] for r in got) > 30_000
+    asked = spark.createDataFrame([("k00",), ("k39",), ("a",), ("zz",), ("k005",)], "key string")
+    assert {r["key"]: r["n_records"] for r in token_store.lookup_tokens(spark, folder, asked).collect()} == {"k00": 2, "k39": 2}
+
+
 def test_warc_round_trip(spark):
     big = "é" * 600
     rows = [(1, "http://a/é\n", big), (5, None, big), (3, "http://b/", big), (2, "http://c/", "x" * 999), (4, "http://d/", "x" * 999), (6, "u", None), (7, "u", ""), (None, "n", big)]
@@ -242,12 +260,12 @@ def test_language_edges_and_sums(spark):
     def p_of(s):
         state = 0
         for c in s:
-            state = int(p.step(np.array([state]), np.array([p.codes.get(c, 0)]))[0])
+            state = int(p.step(np.array([state]), np.array([p.codes[ord(c)]]))[0])
             if state < 0:
                 return False
         return p.piece[state] >= 0
 
-    assert p.log_likelihood([word], prob)[0, 0] == pytest.approx(np.log(brute(word)))
+    assert p.log_likelihood([word[1:]], prob)[0, 0] == pytest.approx(np.log(brute(word)))
     train = spark.createDataFrame([("der hund und die katze", "de"), ("the dog and the cat", "en")] * 3, "text string, lang string")
     model = langid.train(train)
     rows = spark.createDataFrame([(1, None), (2, ""), (3, "123 !!"), (4, "the cat"), (5, "der hund"), (6, "x" * 3000)], "doc_id long, text string").withColumn("score", F.lit("clash"))
@@ -259,12 +277,12 @@ def test_language_edges_and_sums(spark):
 
 def test_language_sums_do_not_underflow(spark):
     p = langid.pieces("piece_bpe_32k.model")
-    lost = "\ue000" * 48
+    lost = "\ua66e" * 48  # a letter outside the vocabulary
     prob = np.full((p.n + 1, 2), 1e-9) * [1, 2]
-    got = p.log_likelihood([lost, "▁the"], prob)
-    assert got[0] == pytest.approx(48 * np.log(prob[-1])) and np.isfinite(got).all()
+    got = p.log_likelihood([lost, "the"], prob)
+    assert got[0] == pytest.approx(49 * np.log(prob[-1])) and np.isfinite(got).all()
     assert p.expected([lost], np.array([3.0]), prob[:, 0])[p.n] == pytest.approx(3 * 48)
-    words = ["▁" + "the" * 15, "▁" + "q" * 40, "▁hunde"]
+    words = ["the" * 12, "q" * 39, "hunde"]
     plain = p.log_likelihood(words, prob * 1e6), p.expected(words, np.array([1.0, 2.0, 3.0]), prob[:, 0] * 1e6)
     old, langid.LEAST = langid.LEAST, 1.0
     try:
@@ -278,6 +296,68 @@ def test_language_sums_do_not_underflow(spark):
     assert all(r["lang_pred"] == "en" and 0.5 < r["score"] <= 1 for r in rows)
 
 
+def test_language_against_brute_force(spark):
+    """Training and prediction again, piece by piece in a dict, on words, a word of 300 letters and texts without spaces."""
+    import math
+
+    import sentencepiece as sp
+
+    m = sp.SentencePieceProcessor(model_file=tokens.vocabulary("piece_bpe_32k.model"))
+    vocabulary = {m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))}
+    rows = [(0, "Der Hund und die Katze, 12 Häuser", "de"), (1, "the dog and the cat's house", "en"), (2, "我们在这里学习语言", "zh"), (3, "猫と犬がいる家", "ja"), (4, "donaudampfschiff" * 19, "de")]
+    asked = [*rows, (5, "the hound\nin the house", None), (6, "这里有猫", None), (7, "Häuser der Katzen!", None), (8, "123 !? \u0301", None), (9, "theland" * 60, None), (9, "theland" * 60, None), (10, None, None)]
+
+    def words(text):
+        out = "".join(c if c.isalpha() or c == "\u0301" else " " for c in (text or "").lower()).split()
+        return ["▁" + w for w in out] if any(c.isalpha() for w in out for c in w) else []
+
+    def spans(w):
+        for i in range(len(w)):
+            for j in range(i + 1, min(len(w), i + 16) + 1):
+                if w[i:j] in vocabulary or j == i + 1:
+                    yield i, j, w[i:j] if w[i:j] in vocabulary else None
+
+    def add(a, b):
+        return max(a, b) + math.log1p(math.exp(-abs(a - b))) if min(a, b) > -math.inf else max(a, b)
+
+    def sums(w, log_p):
+        alpha, beta = [0.0] + [-math.inf] * len(w), [-math.inf] * len(w) + [0.0]
+        for i, j, x in spans(w):
+            alpha[j] = add(alpha[j], alpha[i] + log_p(x))
+        for i, j, x in reversed([*spans(w)]):
+            beta[i] = add(beta[i], beta[j] + log_p(x))
+        return alpha, beta
+
+    langs, size = ["de", "en", "ja", "zh"], len(vocabulary) + 1
+    log_p = {k: lambda x: -math.log(size) for k in langs}
+    for _ in range(2):
+        fresh = {}
+        for k in langs:
+            use = {}
+            for _, text, lang in rows:
+                for w in words(text) if lang == k else []:
+                    alpha, beta = sums(w, log_p[k])
+                    for i, j, x in spans(w):
+                        use[x] = use.get(x, 0) + math.exp(alpha[i] + log_p[k](x) + beta[j] - alpha[-1])
+            whole = sum(use.values()) + 0.1 * size
+            fresh[k] = lambda x, use=use, whole=whole: math.log((use.get(x, 0) + 0.1) / whole)
+        log_p = fresh
+    schema = "doc_id long, text string, lang string"
+    model = langid.train(spark.createDataFrame(rows, schema))
+    got = langid.predict(spark.createDataFrame(asked, schema).withColumn("score", F.lit("clash")).withColumn("lang_pred", F.lit("clash")), model).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "lang", "lang_pred", "score"} and len(got) == len(asked)
+    for r in got:
+        total = [sum(sums(w, log_p[k])[0][-1] for w in words(r["text"])) for k in langs]
+        if not words(r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        assert r["lang_pred"] == langs[total.index(max(total))], r["text"]
+        assert r["score"] == pytest.approx(1 / sum(math.exp(t - max(total)) for t in total), rel=1e-6)
+    assert langid.predict(spark.createDataFrame([], schema), model).count() == 0
+    same = langid.train(spark.createDataFrame([(0, "ab", "x"), (1, "ab", "y")], schema))
+    assert {(r["lang_pred"], r["score"]) for r in langid.predict(spark.createDataFrame([(0, "ab", None)] * 2, schema), same).collect()} == {("x", 0.5)}
+
+
 def test_url_filter(spark):
     day = "2024-01-%02d"
     entries = spark.createDataFrame([(".bad.com", day % 2, "add", "x"), (".bad.com", day % 5, "remove", "x"), ("=a.bad.com", day % 4, "add", "h"), ("/ok.org/fr", day % 1, "add", "p"), (None, day % 1, "add", "n")], "key string, day string, action string, category string").withColumn("day", F.to_date("day"))
