@@ -1,33 +1,38 @@
 """Language identification by unigram models over a fixed public vocabulary, summed over all segmentations.
 
-A word's probability in a language is the sum, over every way to cut it into pieces of the vocabulary, of the product of the
-pieces' probabilities: one forward pass over the word's positions. A text's log-likelihood is the sum over its words. The
-pieces' probabilities are fitted by expectation-maximisation with the same sums (forward and backward), on counts of words
-by language that Spark takes over all training rows.
+A word (a run of letters and their marks, lower-cased) has a probability in a language: the sum, over every way to cut it into
+pieces of the vocabulary, of the product of the pieces' probabilities, by a forward pass over its characters, however many. A
+text's log-likelihood is the sum over its words. The pieces' probabilities are fitted by expectation-maximisation with the same
+sums (forward and backward), on counts of words by language that Spark takes over all training rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_table
 from .tokens import vocabulary
 
-#: Longer words are scored in parts of this many characters.
-LONGEST = 48
-#: Words of a smaller probability are summed in logarithms: what plain products lose of the others is beyond their last digit.
+#: Longer words, and those of a smaller probability, are summed in logarithms; in others plain products lose nothing that counts.
+SHORT = 40
 LEAST = 1e-200
+#: Characters whose sums are taken at once.
+STEP = 300_000
 
 
 class Pieces:
-    """The vocabulary as a trie in arrays: (state, character) -> state, and a state's piece."""
+    """The vocabulary as a trie in arrays: (state, character) -> state, and a state's piece. Transitions lie in hash tables, one
+    more for those that share a slot in the one before."""
+
+    SLOTS = 1 << 19
 
     def __init__(self, path: str):
         import sentencepiece as sp
@@ -35,148 +40,218 @@ class Pieces:
         m = sp.SentencePieceProcessor(model_file=vocabulary(path))
         texts = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
         self.n = len(texts)  # piece n stands for a character outside the vocabulary
-        self.codes = {c: i + 1 for i, c in enumerate(sorted({c for t in texts for c in t}))}
+        codes = {c: i + 1 for i, c in enumerate(sorted({c for t in texts for c in t}))}
+        self.codes = np.zeros(0x110000, np.int64)
+        self.codes[[ord(c) for c in codes]] = list(codes.values())
         states, piece = {}, [-1]
         for p, t in enumerate(texts):
             at = 0
             for c in t:
-                key = (at << 16) | self.codes[c]
+                key = (at << 16) | codes[c]
                 if key not in states:
                     states[key] = len(piece)
                     piece.append(-1)
                 at = states[key]
             piece[at] = p
-        self.keys = np.array(sorted(states), np.int64)
-        self.next = np.array([states[k] for k in self.keys.tolist()], np.int64)
         self.piece = np.array(piece, np.int64)
+        keys, to = np.fromiter(states, np.int64, len(states)), np.fromiter(states.values(), np.int64, len(states))
+        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(keys):
+            slot, first = np.unique(self._slot(keys, len(self.tables)), return_index=True)
+            held, nxt = np.full(self.SLOTS, -1, np.int64), np.full(self.SLOTS, -1, np.int64)
+            held[slot], nxt[slot] = keys[first], to[first]
+            self.tables.append((held, nxt))
+            keys, to = np.delete(keys, first), np.delete(to, first)
+
+    def _slot(self, key: np.ndarray, table: int) -> np.ndarray:
+        x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * table)
+        return (x >> np.uint64(45)).astype(np.int64)
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """-1: no way on."""
         key = (state << 16) | code
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.next[at], -1)
-
-    def coded(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(rows, codes) for the words of each length."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        get = self.codes.get
-        for n in np.unique(lengths):
-            rows = np.flatnonzero(lengths == n)
-            yield rows, np.array([[get(c, 0) for c in words[r]] for r in rows.tolist()], np.int64)
-
-    def spans(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(from, to, rows, pieces) of every piece in words of one length, by ascending from."""
-        for i in range(codes.shape[1]):
-            rows, state = np.arange(len(codes)), np.zeros(len(codes), np.int64)
-            for j in range(i, codes.shape[1]):
-                state = self.step(state, codes[rows, j])
-                alive = state >= 0
-                if j == i:
-                    single = np.zeros(len(codes), bool)
-                    single[rows[alive]] = self.piece[state[alive]] >= 0
-                    if not single.all():
-                        lost = np.flatnonzero(~single)
-                        yield i, i + 1, lost, np.full(len(lost), self.n)
-                if not alive.any():
-                    break
-                rows, state = rows[alive], state[alive]
-                p = self.piece[state]
-                found = p >= 0
-                if found.any():
-                    yield i, j + 1, rows[found], p[found]
+        out, left = np.full(len(key), -1, np.int64), None
+        for n, (held, nxt) in enumerate(self.tables):
+            mine = key if left is None else key[left]
+            slot = self._slot(mine, n)
+            there = held[slot]
+            same = there == mine
+            hit = np.flatnonzero(same) if left is None else left[same]
+            out[hit] = nxt[slot[same]]
+            more = ~same & (there >= 0)
+            left = np.flatnonzero(more) if left is None else left[more]
+            if not len(left):
+                break
+        return out
+
+    def _parts(self, words: list[str]) -> Iterator[tuple[np.ndarray, bool]]:
+        """Numbers of words to sum at once, and whether in logarithms."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for mine, logs in ((np.flatnonzero(size <= SHORT), False), (np.flatnonzero(size > SHORT), True)):
+            part = np.cumsum(size[mine] + 2) // STEP
+            for cut in np.split(mine, np.flatnonzero(np.diff(part)) + 1):
+                if len(cut):
+                    yield cut, logs
 
     def log_likelihood(self, words: list[str], prob: np.ndarray) -> np.ndarray:
         """words x languages."""
-        out = np.empty((len(words), prob.shape[1]))
-        for rows, codes in self.coded(words):
-            alpha = np.zeros((codes.shape[1] + 1, len(rows), prob.shape[1]))
-            alpha[0] = 1
-            for i, j, r, p in self.spans(codes):
-                alpha[j][r] += alpha[i][r] * prob[p]
-            tiny = np.flatnonzero((alpha[-1] < LEAST).any(1))
-            alpha[-1, tiny] = 1
-            out[rows] = np.log(alpha[-1])
-            if len(tiny):
-                out[rows[tiny]] = self._log_forward(list(self.spans(codes[tiny])), codes[tiny].shape, np.log(prob))[-1]
+        out = np.zeros((len(words), prob.shape[1]))
+        for rows, logs in self._parts(words):
+            own = Lattice(self, [words[r] for r in rows.tolist()])
+            if not logs:
+                total = own.forward(prob)[own.ends]
+                tiny = (total < LEAST).any(1)
+                out[rows] = np.log(np.where(tiny[:, None], 1, total))
+                rows = rows[tiny]
+                if not len(rows):
+                    continue
+                own = Lattice(self, [words[r] for r in rows.tolist()])
+            out[rows] = own.log_forward(np.log(prob))[own.ends]
         return out
 
-    def _log_forward(self, spans: list, shape: tuple[int, int], log_prob: np.ndarray) -> np.ndarray:
-        """Logarithms of alpha: positions x words (x languages)."""
-        alpha = np.full((shape[1] + 1, shape[0], *log_prob.shape[1:]), -np.inf)
-        alpha[0] = 0
-        for i, j, r, p in spans:
-            alpha[j][r] = np.logaddexp(alpha[j][r], alpha[i][r] + log_prob[p])
-        return alpha
-
-    def _log_expected(self, codes: np.ndarray, counts: np.ndarray, prob: np.ndarray, out: np.ndarray) -> None:
-        spans, log_prob = list(self.spans(codes)), np.log(prob)
-        alpha = self._log_forward(spans, codes.shape, log_prob)
-        beta = np.full(alpha.shape, -np.inf)
-        beta[-1] = 0
-        for i, j, r, p in reversed(spans):
-            on = log_prob[p] + beta[j][r]
-            beta[i][r] = np.logaddexp(beta[i][r], on)
-            np.add.at(out, p, np.exp(alpha[i][r] + on - alpha[-1][r]) * counts[r])
-
     def expected(self, words: list[str], counts: np.ndarray, prob: np.ndarray) -> np.ndarray:
         """Expected uses of each piece in `counts` of each word, under one language's prob."""
         out = np.zeros(len(prob))
-        for rows, codes in self.coded(words):
-            n = codes.shape[1]
-            alpha, beta = np.zeros((n + 1, len(rows))), np.zeros((n + 1, len(rows)))
-            alpha[0], beta[n] = 1, 1
-            spans = list(self.spans(codes))
-            for i, j, r, p in spans:
-                alpha[j][r] += alpha[i][r] * prob[p]
-            tiny = np.flatnonzero(alpha[n] < LEAST)
-            alpha[n, tiny] = 1
-            scale = counts[rows] / alpha[n]
-            if len(tiny):
-                scale[tiny] = 0
-                self._log_expected(codes[tiny], counts[rows[tiny]], prob, out)
-            for i, j, r, p in reversed(spans):
-                beta[i][r] += beta[j][r] * prob[p]
-                np.add.at(out, p, alpha[i][r] * prob[p] * beta[j][r] * scale[r])
+        prob = prob[:, None]
+        for rows, logs in self._parts(words):
+            own = Lattice(self, [words[r] for r in rows.tolist()])
+            if not logs:
+                alpha = own.forward(prob)
+                tiny = alpha[own.ends, 0] < LEAST
+                scale = np.where(tiny, 0, counts[rows] / np.where(tiny, 1, alpha[own.ends, 0]))
+                uses = alpha[own.a, 0] * prob[own.p, 0] * own.backward(prob)[own.b, 0] * np.repeat(scale, own.sizes)[own.a]
+                out += np.bincount(own.p, uses, len(out))
+                rows = rows[tiny]
+                if not len(rows):
+                    continue
+                own = Lattice(self, [words[r] for r in rows.tolist()])
+            log_prob = np.log(prob)
+            alpha, beta = own.log_forward(log_prob)[:, 0], own.log_backward(log_prob)[:, 0]
+            total = np.repeat(alpha[own.ends] - np.log(counts[rows]), own.sizes)
+            out += np.bincount(own.p, np.exp(alpha[own.a] + log_prob[own.p, 0] + beta[own.b] - total[own.a]), len(out))
+        return out
+
+
+class Lattice:
+    """All pieces in some words, written one after the other with a mark before and a gap after each: piece p from a to b."""
+
+    def __init__(self, pieces: Pieces, words: list[str]):
+        chars = np.frombuffer(("▁" + "\n▁".join(words) + "\n").encode("utf-32-le"), "<u4")
+        codes = np.append(pieces.codes[chars], np.zeros(1, np.int64))
+        gap = chars == 10
+        self.ends = np.flatnonzero(gap)
+        self.sizes = np.diff(self.ends, prepend=-1)
+        self.starts = self.ends - self.sizes + 1
+        place = np.arange(len(chars)) - np.repeat(self.starts, self.sizes)
+        a, at = [], np.flatnonzero(~gap)
+        b, p, state, n = [], [], np.zeros(len(at), np.int64), 0
+        single = gap.copy()
+        while len(at):
+            state = pieces.step(state, codes[at + n])
+            alive = state >= 0
+            at, state, n = at[alive], state[alive], n + 1
+            own = pieces.piece[state]
+            found = own >= 0
+            a.append(at[found])
+            b.append(at[found] + n)
+            p.append(own[found])
+            if n == 1:
+                single[a[0]] = True
+        lost = np.flatnonzero(~single)  # characters that are no piece
+        a, b, p = np.concatenate([*a, lost]), np.concatenate([*b, lost + 1]), np.concatenate([*p, np.full(len(lost), pieces.n)])
+        order = np.argsort(place[a], kind="stable")
+        self.a, self.b, self.p, self.length = a[order], b[order], p[order], len(chars)
+        self.rising = np.append(0, np.cumsum(np.bincount(place[self.a])))
+        last = place[self.b - 1]
+        self.by_end = np.argsort(last, kind="stable")
+        self.falling = np.append(0, np.cumsum(np.bincount(last)))
+
+    def _levels(self, back: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pieces with one start (or end) in their words, each word's by turns: none of a level leads to the same place."""
+        if back:
+            for lo, hi in zip(self.falling[-2::-1], self.falling[:0:-1]):
+                k = self.by_end[lo:hi]
+                yield self.b[k], self.a[k], self.p[k]
+        else:
+            for lo, hi in zip(self.rising, self.rising[1:]):
+                yield self.a[lo:hi], self.b[lo:hi], self.p[lo:hi]
+
+    def _sums(self, prob: np.ndarray, back: bool) -> np.ndarray:
+        out = np.zeros((self.length, prob.shape[1]))
+        out[self.ends if back else self.starts] = 1
+        for a, b, p in self._levels(back):
+            out[b] += out[a] * prob[p]
         return out
 
+    def _log_sums(self, log_prob: np.ndarray, back: bool) -> np.ndarray:
+        out = np.full((self.length, log_prob.shape[1]), -np.inf)
+        out[self.ends if back else self.starts] = 0
+        for a, b, p in self._levels(back):
+            out[b] = np.logaddexp(out[b], out[a] + log_prob[p])
+        return out
+
+    def forward(self, prob: np.ndarray) -> np.ndarray:
+        """Sums over all ways from each word's start to each place; at `ends` those of the whole words."""
+        return self._sums(prob, False)
+
+    def backward(self, prob: np.ndarray) -> np.ndarray:
+        return self._sums(prob, True)
+
+    def log_forward(self, log_prob: np.ndarray) -> np.ndarray:
+        return self._log_sums(log_prob, False)
+
+    def log_backward(self, log_prob: np.ndarray) -> np.ndarray:
+        return self._log_sums(log_prob, True)
+
 
 @lru_cache(maxsize=2)
 def pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-def words_of(text: str | None) -> list[str]:
-    """Lower-cased words, each with the vocabulary's mark of a word's start; very long ones in parts."""
-    out = ["▁" + w for w in (text or "").lower().split()]
-    if any(len(w) > LONGEST for w in out):
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
+def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Different words of some texts, the number of each word in order, and where each text's words begin and end. A word of
+    no characters may stand before or after the others."""
+    lower = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    split = pc.split_pattern(pc.replace_substring_regex(lower, r"[^\pL\pM]+", " "), " ")
+    coded = split.flatten().dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+
+
+def steps(batch: pa.RecordBatch, column: str, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about `most` characters each, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 class Model:
+    """Languages and their pieces' probabilities. `name` tells models apart where workers keep words' scores."""
+
     def __init__(self, path: str, langs: list[str], prob: np.ndarray):
-        self.path, self.langs, self.prob = path, langs, prob
+        self.path, self.langs, self.prob, self.name = path, langs, prob, uuid.uuid4().hex
 
 
 def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "text", lang_col: str = "lang", rounds: int = 2, smooth: float = 0.1) -> Model:
-    """Fits a model on all rows with a language. The driver gets a row for each language and piece of the vocabulary, no more."""
+    """Fits a model on all rows with a language. The driver gets a row for each language and piece of the vocabulary, no more.
+
+    Null texts and texts without letters teach nothing; rows of equal text count as often as they stand there. Without rows, or
+    without words in them, the model knows no language.
+    """
 
     def count(batches):
-        seen: Counter = Counter()
-
-        def flush():
-            ks = list(seen)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in ks], pa.string()), pa.array([k[1] for k in ks], pa.string()), pa.array([seen[k] for k in ks], pa.int64())], ["lang", "word", "n"])
-
-        for b in batches:
-            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
-                for w, n in Counter(words_of(text)).items():
-                    seen[lang, w] += n
-            if len(seen) > 300_000:
-                yield flush()
-                seen.clear()
-        if seen:
-            yield flush()
+        for batch in batches:
+            for b in steps(batch, "text"):
+                words, code, at = coded_words(b["text"])
+                langs = b["lang"].dictionary_encode()
+                pair = code.astype(np.int64) * len(langs.dictionary) + np.repeat(langs.indices.to_numpy(), np.diff(at))
+                pair, n = np.unique(pair, return_counts=True)
+                word, lang = np.divmod(pair, max(1, len(langs.dictionary)))
+                out = pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(lang)), pa.array(words, pa.string()).take(pa.array(word)), pa.array(n)], ["lang", "word", "n"])
+                yield out.filter(pc.not_equal(out["word"], ""))
 
     rows = rows.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     table = as_table(rows.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
@@ -187,14 +262,22 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
         now = prob
 
         def expect(batches, now=now):
-            total = np.zeros((size, len(langs)))
-            place = {x: k for k, x in enumerate(langs)}
+            total, held, rows = np.zeros((size, len(langs))), [], 0
+
+            def take():
+                t = pa.Table.from_batches(held).combine_chunks()
+                for k, lang in enumerate(langs):
+                    own = t.filter(pc.equal(t["lang"], lang))
+                    total[:, k] += pieces(path).expected(own["word"].to_pylist(), own["n"].to_numpy().astype(float), now[:, k])
+
             for b in batches:
-                which = np.array([place[x] for x in b["lang"].to_pylist()])
-                words, n = b["word"].to_pylist(), b["n"].to_numpy().astype(float)
-                for k in np.unique(which).tolist():
-                    own = np.flatnonzero(which == k)
-                    total[:, k] += pieces(path).expected([words[i] for i in own.tolist()], n[own], now[:, k])
+                held.append(b)
+                rows += b.num_rows
+                if rows >= 100_000:
+                    take()
+                    held, rows = [], 0
+            if rows:
+                take()
             p, k = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(k), pa.array(total[p, k])], ["p", "k", "n"])
 
@@ -205,43 +288,53 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
     return Model(path, langs, prob)
 
 
-def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", most: int = 300_000) -> DataFrame:
+class Scores:
+    """Words' log-likelihoods that a worker has met; `most` at once and those of one step."""
+
+    def __init__(self, most: int = 500_000):
+        self.most, self.known, self.table = most, {}, None
+
+    def of(self, words: list[str], path: str, prob: np.ndarray) -> np.ndarray:
+        if self.table is None or len(self.known) > self.most:
+            self.known, self.table = {"": 0}, np.zeros((1, prob.shape[1]))
+        new = [w for w in words if w not in self.known]
+        if new:
+            self.known.update(zip(new, range(len(self.table), len(self.table) + len(new))))
+            self.table = np.concatenate([self.table, pieces(path).log_likelihood(new, prob)])
+        return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
+
+
+@lru_cache(maxsize=1)
+def scores(name: str) -> Scores:
+    return Scores()
+
+
+def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs (columns `keep`) with lang_pred and score, the language's posterior under equal priors.
 
-    Null texts and texts without a letter are `und` with score 0, as is every text if the model knows no language. `most`
-    words' scores are kept in a worker at once. Ties go to the first language by code point.
+    Null texts and texts without a letter are `und` with score 0, as is every text if the model knows no language. Ties go to
+    the first language by code point. Rows of equal text have equal results, an empty table has none. Columns of docs that are
+    called as the new ones (`names`) are replaced.
     """
-    keep = keep or docs.columns
-    path, langs, prob = model.path, model.langs, model.prob
-    inner = docs.select(*keep, F.col(text_col).alias("__text"))
+    path, langs, prob, name = model.path, model.langs, model.prob, model.name
+    inner = docs.select(*[c for c in keep or docs.columns if c not in names], F.col(text_col).alias("__text"))
 
     def score(batches):
-        known: dict[str, int] = {}
-        table = np.zeros((0, len(langs)))
-        for b in batches:
-            texts = b["__text"].to_pylist()
-            preds, scores = [], []
-            for at in range(0, len(texts), 256):
-                split = [words_of(t) if langs and t and any(map(str.isalpha, t)) else [] for t in texts[at : at + 256]]
-                if len(known) > most:
-                    known, table = {}, table[:0]
-                new = list({w for s in split for w in s}.difference(known))
-                if new:
-                    known.update(zip(new, range(len(table), len(table) + len(new))))
-                    table = np.concatenate([table, pieces(path).log_likelihood(new, prob)])
-                for s in split:
-                    if not s:
-                        preds.append("und")
-                        scores.append(0.0)
-                        continue
-                    total = table[np.fromiter(map(known.__getitem__, s), np.int64, len(s))].sum(0)
-                    best = int(total.argmax())
-                    preds.append(langs[best])
-                    scores.append(float(1 / np.exp(total - total[best]).sum()))
-            out = b.drop_columns(["__text"])
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(preds, pa.string()), pa.array(scores, pa.float64())], names=[*out.schema.names, "lang_pred", "score"])
-
-    schema = inner.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+        for batch in batches:
+            for b in steps(batch, "__text"):
+                best, top = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
+                there = pc.fill_null(pc.match_substring_regex(b["__text"], r"\pL"), False).to_numpy(zero_copy_only=False) & bool(langs)
+                if there.any():
+                    words, code, at = coded_words(b["__text"])
+                    table = scores(name).of(words, path, prob)
+                    total = np.stack([np.add.reduceat(table[:, k][code], at[:-1]) for k in range(len(langs))], axis=1)
+                    best = total.argmax(1)
+                    top = 1 / np.exp(total - total[np.arange(len(total)), best][:, None]).sum(1)
+                preds = pa.array(["und", *langs]).take(pa.array(np.where(there, best + 1, 0)))
+                out = b.drop_columns(["__text"])
+                yield pa.RecordBatch.from_arrays([*out.columns, preds, pa.array(np.where(there, top, 0.0))], names=[*out.schema.names, *names])
+
+    schema = inner.drop("__text").schema.add(names[0], "string").add(names[1], "double")
     return inner.mapInArrow(score, schema)
 
 
