@@ -2,9 +2,9 @@
 
 Each task packs the documents of its partition, one after the other, without a shuffle. Open windows are counted by fill
 level in an array; a piece goes to the level (or a new window) for which the sum of the squared counts of partially filled
-windows becomes smallest. A document of more than a window's ids is cut into full windows and a rest. When the partition
-ends, the windows that are still open are consolidated: pieces of the emptiest are cut into the gaps of the fullest, so one
-partial window is left at most.
+windows becomes smallest. A document of more than a window's ids is cut into full windows and a rest. After every `run` ids,
+and when the partition ends, the windows that are still open are consolidated: pieces of the emptiest are cut into the gaps of
+the fullest, and one partial window at most goes on into the next run. So a task holds a run's ids, however many it packs.
 """
 
 from __future__ import annotations
@@ -25,14 +25,13 @@ FIELDS = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64(
 class SumOfSquares:
     """Online packing into windows of `size`. add() and finish() give finished windows: lists of pieces (key, start, ids, doc_tokens).
 
-    `most` open windows at once (levels are held by lists, so this bounds memory); beyond it the fullest are consolidated first.
+    After every `run` ids the open windows are consolidated, which bounds memory.
     """
 
-    def __init__(self, size: int = 2048, most: int = 20_000):
-        self.size, self.most = size, most
+    def __init__(self, size: int = 2048, run: int = 4 << 20):
+        self.size, self.run, self.taken = size, run, 0
         self.count = np.zeros(size + 1, np.int64)  # open windows by fill level; 0 and size stay zero
         self.open: list[list[list]] = [[] for _ in range(size)]
-        self.opened = 0
 
     def _level(self, n: int) -> int:
         """The level to add n ids to: 0 is a new window. Moving a window from h to h+n changes the sum by 2(N[h+n] - N[h]) + 2."""
@@ -55,20 +54,20 @@ class SumOfSquares:
             window.append(piece)
             if level:
                 self.count[level] -= 1
-                self.opened -= 1
             if level + n == self.size:
                 yield window
             else:
                 self.open[level + n].append(window)
                 self.count[level + n] += 1
-                self.opened += 1
-        if self.opened > self.most:
+        self.taken += total
+        if self.taken >= self.run:
+            self.taken = 0
             yield from self.finish(keep=True)
 
     def finish(self, keep: bool = False) -> Iterator[list]:
         """Consolidates what is open. keep: the partial window that is left stays open."""
         left = sorted(((level, w) for level, ws in enumerate(self.open) for w in ws), key=lambda x: -x[0])
-        self.open, self.opened = [[] for _ in range(self.size)], 0
+        self.open = [[] for _ in range(self.size)]
         self.count[:] = 0
         lo, hi = 0, len(left) - 1
         while lo <= hi:
@@ -86,7 +85,7 @@ class SumOfSquares:
                     hi -= 1
             if fill < self.size and keep:
                 self.open[fill].append(window)
-                self.count[fill], self.opened = 1, 1
+                self.count[fill] = 1
             else:
                 yield window
             lo += 1
@@ -124,8 +123,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
         for b in batches:
             kind = b[id_col].type
             keys, texts = b[id_col].to_pylist(), b[text_col].to_pylist()
-            for at in range(0, len(keys), 256):
-                for key, ids in zip(keys[at : at + 256], enc.encode(texts[at : at + 256])):
+            for some, encoded in enc.stepwise(texts):
+                for key, ids in zip(keys[some], encoded):
                     for window in bins.add(key, ids):
                         put(window)
                 if len(out) > 4096:
