@@ -160,10 +160,12 @@ class ShardIndex:
         return cls(seed, PerfectHash.from_bytes(raw[32 : 32 + m]), *parts)
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", shard_ids: int = 1 << 26) -> DataFrame:
     """Encodes every whole text (null: empty), appends end_id and writes a store in ascending key order (nulls first); returns its manifest.
 
-    Rows of equal key stand side by side, in the order of their texts. An empty table gives an empty manifest.
+    A task begins another shard after `shard_ids` ids, where the key changes: so a shard's index, which a task holds, is
+    bounded, and a key lies in one shard. Rows of equal key stand side by side, in the order of their texts. Other columns,
+    whatever their names, are not written. An empty table gives an empty manifest.
     """
     spark = docs.sparkSession
     ordered = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
@@ -173,28 +175,35 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
         from pyspark import TaskContext
 
         fs, root = open_fs(folder)
-        enc, keys, raw, sizes, out = encoder(tokenizer, end_id), [], [], [0], None
-        name = f"shard-{uuid.uuid4().hex}"
+        enc, pos = encoder(tokenizer, end_id), TaskContext.get().partitionId() << 24
+        raw, sizes, out, name = [], [], None, ""
+
+        def close() -> pa.RecordBatch:
+            nonlocal out, pos
+            out.close()
+            out, pos, keys = None, pos + 1, [key_name(k) for k in raw]
+            with fs.open_output_stream(f"{root}/{name}.idx") as f:
+                f.write(ShardIndex.build(keys, np.cumsum([0, *sizes])).to_bytes())
+            table = pa.table({"key": pa.array(raw, kind)})
+            with fs.open_output_stream(f"{root}/{name}.key") as f, pa.ipc.new_file(f, table.schema) as w:
+                w.write_table(table)
+            return pa.RecordBatch.from_pydict({"shard": [name], "pos": [pos - 1], "first_key": [keys[0]], "last_key": [keys[-1]], "docs": [len(keys)], "ids": [sum(sizes)], "width": pa.array([enc.width], pa.int32())})
+
         for b in batches:
-            if out is None:
-                fs.create_dir(root, recursive=True)
-                out = fs.open_output_stream(f"{root}/{name}.bin")
-            texts = b["text"].to_pylist()
-            raw += b["key"].to_pylist()
-            for at in range(0, len(texts), 256):
-                for ids in enc.encode(texts[at : at + 256]):
-                    out.write(ids if enc.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
-                    sizes.append(len(ids) // 4)
-        if out is None:
-            return
-        out.close()
-        keys = [key_name(k) for k in raw]
-        with fs.open_output_stream(f"{root}/{name}.idx") as f:
-            f.write(ShardIndex.build(keys, np.cumsum(sizes)).to_bytes())
-        table = pa.table({"key": pa.array(raw, b["key"].type)})
-        with fs.open_output_stream(f"{root}/{name}.key") as f, pa.ipc.new_file(f, table.schema) as w:
-            w.write_table(table)
-        yield pa.RecordBatch.from_pydict({"shard": [name], "pos": [TaskContext.get().partitionId()], "first_key": [keys[0]], "last_key": [keys[-1]], "docs": [len(keys)], "ids": [sum(sizes)], "width": pa.array([enc.width], pa.int32())})
+            kind, keys = b["key"].type, b["key"].to_pylist()
+            for some, encoded in enc.stepwise(b["text"].to_pylist()):
+                if out is not None and sum(sizes) >= shard_ids and keys[some.start] != raw[-1]:
+                    yield close()
+                if out is None:
+                    fs.create_dir(root, recursive=True)
+                    name, raw, sizes = f"shard-{uuid.uuid4().hex}", [], []
+                    out = fs.open_output_stream(f"{root}/{name}.bin")
+                raw += keys[some]
+                sizes += [len(ids) // 4 for ids in encoded]
+                ids = b"".join(encoded)
+                out.write(ids if enc.width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes())
+        if out is not None:
+            yield close()
 
     ordered.mapInArrow(shards, MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
@@ -208,7 +217,8 @@ def read_tokens(spark: SparkSession, folder: str, key_type: str = "bigint", with
     """
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
     base = manifest.withColumn("base", F.coalesce(F.sum("ids").over(W.orderBy("pos").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    base = cut(base.select("shard", "base", "width").repartition("shard"))
+    base = cut(base.select("shard", "base", "width", "pos"))
+    base = base.repartitionByRange(max(1, base.count()), "pos").drop("pos")  # a task for each shard
     fields = f"key {key_type}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     fresh = pa.schema([("key", pa.int64() if key_type == "bigint" else pa.string()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
@@ -243,16 +253,23 @@ def read_tokens(spark: SparkSession, folder: str, key_type: str = "bigint", with
 
 
 def lookup_tokens(spark: SparkSession, folder: str, keys: DataFrame, key_col: str = "key") -> DataFrame:
-    """(key, n_records, n_tokens of the first) of the given keys, each looked up in the shards whose index has it; absent keys are left out.
+    """(key, n_records, n_tokens of the first) of the given keys, each looked up in the one shard that may have it.
 
-    Keys meet shards by the key ranges of the manifest when the keys are numbers, as an interval join on the manifest's rows.
+    Absent keys are left out, repeated ones count once. Keys meet shards by an as-of join with the shards' first keys: keys
+    and shards are sorted together by ranges, and what a range must know of those before it is one shard. Keys have the type
+    of the store's.
     """
+    kind = keys.schema[key_col].dataType
     manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
-    lo, hi = (F.expr(f"coalesce(try_cast(substr({c}, 2) as bigint), -9223372036854775808)") for c in ("first_key", "last_key"))  # nulls come first
-    shards = manifest.select("shard", lo.alias("lo"), hi.alias("hi"))
-    wanted = keys.select(F.col(key_col).cast("long").alias("key")).distinct()
-    meets = (F.col("key") >= F.col("lo")) & (F.col("key") <= F.col("hi"))
-    pairs = wanted.join(F.broadcast(shards) if shards.count() <= 10_000 else shards, meets)
+    first = F.when(F.col("first_key").startswith("="), F.substring("first_key", 2, 1 << 30)).cast(kind)  # else null, which comes first
+    rows = manifest.select(first.alias("key"), "shard").union(keys.select(F.col(key_col).alias("key"), F.lit(None).cast("string")).distinct())
+    order = (F.col("key").asc_nulls_first(), F.col("shard").asc_nulls_last())
+    rows = cut(rows.repartitionByRange(order[0]).withColumn("range", F.spark_partition_id()))
+    ends = rows.where("shard is not null").groupBy("range").agg(F.max_by("shard", F.struct(F.col("key").isNotNull(), "key")).alias("last"))
+    ends = rows.select("range").distinct().join(ends, "range", "left")
+    ends = ends.select("range", F.last("last", True).over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)).alias("before"))  # a row for each range
+    asked = rows.withColumn("own", F.last("shard", True).over(W.partitionBy("range").orderBy(*order))).where("shard is null").join(ends, "range")
+    pairs = asked.select("key", F.coalesce("own", "before").alias("shard")).where("shard is not null")
 
     def found(batches):
         fs, root = open_fs(folder)
@@ -264,6 +281,6 @@ def lookup_tokens(spark: SparkSession, folder: str, keys: DataFrame, key_col: st
                         held, index = name, ShardIndex.from_bytes(f.read())
                 first, n = index.find([key_name(key)])
                 if n[0]:
-                    yield pa.RecordBatch.from_pydict({"key": [key], "n_records": [int(n[0])], "n_tokens": [int(index.offsets[first[0] + 1] - index.offsets[first[0]])]})
+                    yield pa.RecordBatch.from_pydict({"key": pa.array([key], b["key"].type), "n_records": [int(n[0])], "n_tokens": [int(index.offsets[first[0] + 1] - index.offsets[first[0]])]})
 
-    return pairs.repartition("shard").sortWithinPartitions("shard").mapInArrow(found, "key long, n_records long, n_tokens long")
+    return pairs.repartition("shard").sortWithinPartitions("shard").mapInArrow(found, f"key {kind.simpleString()}, n_records long, n_tokens long")
