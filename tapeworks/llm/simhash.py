@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, LongType
 
 from .common import as_table, connected_components, cut
 
@@ -53,15 +54,25 @@ def shingle_hashes(text: str | None, size: int) -> np.ndarray:
     return np.fromiter((h(joined[a : b - 1], SEED) for a, b in zip(starts, ends[size - 1 :])), np.uint64, len(words) - size + 1)
 
 
-def majority(h: np.ndarray) -> int:
-    """The 64 bits that are set in over half of h. Sums run in eight byte-wide lanes over up to 255 hashes."""
-    counts, groups = np.zeros((8, 8), np.int64), np.arange(0, len(h), 255)
-    if not len(h):
-        return 0
+def majorities(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each of some runs of h, the 64 bits that are set in over half of it; zero for an empty one.
+
+    Sums run in eight byte-wide lanes over up to 255 hashes, then over the parts of a run.
+    """
+    out = np.zeros(len(sizes), np.uint64)
+    runs = np.flatnonzero(sizes)
+    if not len(runs):
+        return out
+    n = sizes[runs]
+    parts = -(-n // 255)
+    first = np.cumsum(parts) - parts
+    at = np.repeat(np.cumsum(n) - n, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    counts = np.zeros((len(runs), 8, 8), np.int64)
     for bit in range(8):
-        lanes = np.add.reduceat((h >> np.uint64(bit)) & LANES, groups)
-        counts[:, bit] = lanes.view(np.uint8).reshape(-1, 8).sum(0, dtype=np.int64)
-    return int(np.packbits(counts.ravel() * 2 > len(h), bitorder="little").view("<u8")[0])
+        lanes = np.add.reduceat((h >> np.uint64(bit)) & LANES, at).view(np.uint8).reshape(-1, 8)
+        counts[:, :, bit] = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
+    out[runs] = np.packbits((counts * 2 > n[:, None, None]).reshape(len(runs), 64), axis=1, bitorder="little").view("<u8")[:, 0]
+    return out
 
 
 def remix(h: np.ndarray, k: int) -> np.ndarray:
@@ -74,17 +85,24 @@ def remix(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def fingerprint_column(text, shingle: int, words: int = 1, distinct: bool = False):
-    """array<bigint> of `words` 64-bit SimHashes (as signed longs) of a text column; null or empty texts: zeros."""
+def simhashes(sets: list[np.ndarray], words: int = 1, at_once: int = 60_000) -> np.ndarray:
+    """sets x words: 64-bit SimHashes (as signed longs), each word over its own hash of the shingles. at_once: hashes, which fit a cache."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros((len(sets), words), np.uint64)
+    for part in np.split(np.arange(len(sets)), np.flatnonzero(np.diff(np.cumsum(sizes) // at_once)) + 1):
+        if len(part):
+            h = np.concatenate([sets[k] for k in part.tolist()])
+            for k in range(words):
+                out[part, k] = majorities(remix(h, k), sizes[part])
+    return out.view(np.int64)
 
-    @pandas_udf("array<bigint>")
-    def fingerprints(texts: pd.Series) -> pd.Series:
-        def one(t):
-            h = shingle_hashes(t, shingle)
-            h = np.unique(h) if distinct else h
-            return np.array([majority(remix(h, k)) for k in range(words)], np.uint64).view(np.int64)
 
-        return pd.Series([one(t) for t in texts])
+def fingerprint_column(text, shingle: int):
+    """The 64-bit SimHash (as a signed long) of a text column; null or empty texts: zero."""
+
+    @pandas_udf("bigint")
+    def fingerprints(texts: pd.Series) -> pd.Series:
+        return pd.Series(simhashes([shingle_hashes(t, shingle) for t in texts])[:, 0])
 
     return fingerprints(text)
 
@@ -151,8 +169,11 @@ def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             label = nxt
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = 400_000) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of sorted batches, regrouped so that the rows of a key come together; many keys at once, up to `limit` rows unless one key has more."""
+def runs(batches: Iterator[pa.RecordBatch], keys: list, limit: int = 400_000) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted batches, regrouped so that the rows of a key come together; many keys at once, up to `limit` rows unless one key has more.
+
+    keys: columns, or functions of a table.
+    """
     held: list[pa.RecordBatch] = []
     rows = 0
 
@@ -167,7 +188,7 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int = 400_00
         t = pa.Table.from_batches(held)
         last = np.ones(rows, bool)
         for k in keys:
-            v = t[k].to_numpy()
+            v = k(t) if callable(k) else t[k].to_numpy()
             last &= v == v[-1]
         n = rows - int(last[::-1].argmin() if not last.all() else rows)
         if n:
@@ -192,22 +213,24 @@ def trie_links(prints: DataFrame, budget: int, total: int | None = None, chunk_r
     one word nothing is missed; larger budgets give candidates for an exact check.
     """
     n = len(prints.select("words").first()["words"]) if prints.take(1) else 1
-    rot = F.explode(F.array(*[F.struct(F.lit(4 * w + r).alias("tab"), (F.shiftleft(F.col("words")[w], 16 * r).bitwiseOR(F.shiftrightunsigned(F.col("words")[w], 64 - 16 * r)) if r else F.col("words")[w]).alias("val"), (F.col("words")[(w + 1) % n] if total is not None else F.lit(0)).cast("long").alias("nxt")) for w in range(n) for r in range(4)]))
-    rows = prints.select("id", rot.alias("r")).select("id", "r.*").withColumn("root", F.shiftrightunsigned("val", 48).cast("int"))
-    crowded = cut(rows.groupBy("tab", "root").count().where(F.col("count") > chunk_rows).select("tab", "root", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")))
+    rot = F.explode(F.array(*[F.struct(F.lit(4 * w + r).alias("tab"), (F.shiftleft(F.col("words")[w], 16 * r).bitwiseOR(F.shiftrightunsigned(F.col("words")[w], 64 - 16 * r)) if r else F.col("words")[w]).alias("val"), *([F.col("words")[(w + 1) % n].alias("nxt")] if total is not None else [])) for w in range(n) for r in range(4)]))
+    rows = prints.select("id", rot.alias("r")).select("id", "r.*")
+    root = F.shiftrightunsigned("val", 48).cast("int")
+    crowded = cut(rows.groupBy("tab", root.alias("root")).count().where(F.col("count") > chunk_rows).select("tab", "root", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")))
     few = crowded.count()
+    chunk = ["ca", "cb", "own"] if few else []
     if few:
-        rows = rows.join(F.broadcast(crowded) if few <= 10_000 else crowded, ["tab", "root"], "left")
+        rows = rows.withColumn("root", root).join(F.broadcast(crowded) if few <= 10_000 else crowded, ["tab", "root"], "left")
         own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
         rows = rows.withColumn("own", F.coalesce(own, F.lit(0))).withColumn("mate", F.explode(F.expr("sequence(0, coalesce(chunks, 1) - 1)")))
-        rows = rows.select("tab", "root", F.least("own", "mate").alias("ca"), F.greatest("own", "mate").alias("cb"), F.col("own"), "val", "nxt", "id")
-    else:
-        rows = rows.select("tab", "root", F.lit(0).alias("ca"), F.lit(0).alias("cb"), F.lit(0).alias("own"), "val", "nxt", "id")
+        rows = rows.withColumn("ca", F.least("own", "mate")).withColumn("cb", F.greatest("own", "mate")).drop("root", "chunks", "mate")
     keys = ["tab", "root", "ca", "cb"]
 
     def links(batches):
-        for c in runs(batches, keys):
-            val, nxt, ids = c["val"].view(np.uint64), c["nxt"].view(np.uint64), c["id"]
+        for c in runs(batches, ["tab", lambda t: t["val"].to_numpy() >> 48, *chunk[:2]]):
+            val, ids = c["val"].view(np.uint64), c["id"]
+            nxt = c["nxt"].view(np.uint64) if total is not None else None
+            c |= {"root": (val >> np.uint64(48)).astype(np.int64)} | {k: c.get(k, np.zeros(len(ids), np.int64)) for k in ("ca", "cb", "own")}
             label = np.arange(len(ids))
             starts, ends = bounds(*(c[k] for k in keys), c["own"])
             inner = c["ca"][starts] == c["cb"][starts]
@@ -226,7 +249,7 @@ def trie_links(prints: DataFrame, budget: int, total: int | None = None, chunk_r
             if len(linked):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], ["src", "dst"])
 
-    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "own", F.shiftrightunsigned("val", 32), F.col("val").bitwiseAND(F.lit(0xFFFFFFFF)))
+    dealt = rows.repartition("tab", root, *chunk[:2]).sortWithinPartitions("tab", root, *chunk, F.shiftrightunsigned("val", 32), F.col("val").bitwiseAND(F.lit(0xFFFFFFFF)))
     return dealt.mapInArrow(links, "src bigint, dst bigint")
 
 
@@ -239,7 +262,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if budget > 3:
         raise ValueError("four rotations prove completeness for 3 bits at most")
-    own = docs.select(F.col(id_col), fingerprint_column(F.col(text_col), shingle)[0].alias("fp"))
+    own = docs.select(F.col(id_col), fingerprint_column(F.col(text_col), shingle).alias("fp"))
     own = as_table(own, "fingerprints")
     classes = own.groupBy("fp").agg(F.min(id_col).alias("least_id"))
     links = trie_links(classes.select(F.col("fp").alias("id"), F.array("fp").alias("words")), budget)
@@ -298,19 +321,27 @@ def exact_links(members: DataFrame, shingle: int, least: float, chunk_shingles:
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(links, "src bigint, dst bigint")
 
 
-def sketches(texts: DataFrame, shingle: int, least: float, words: int, few: int) -> DataFrame:
-    """texts (id, text) -> (id, words, few): `few` is the set of shingles of a text that has at most `few` of them; `words` are
-    SimHashes of a text with enough shingles to be similar to one of more than `few`. Each is null otherwise."""
+def sketches(rows: DataFrame, shingle: int, least: float, words: int, few: int) -> DataFrame:
+    """rows (.., text) -> (.., k1, k2, words, few): k1 and k2 are 128 bits of the text's words; `few` is the set of shingles of a
+    text that has at most `few` of them; `words` are SimHashes of a text with enough shingles to be similar to one of more than
+    `few`. These two are null otherwise."""
 
     def sketch(batches):
-        for b in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)) for t in b["text"].to_pylist()]
-            prints = [np.array([majority(remix(h, k)) for k in range(words)], np.uint64).view(np.int64) if len(h) >= least * (few + 1) - 1e-9 else None for h in sets]
-            small = [h.view(np.int64) if len(h) <= few else None for h in sets]
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b["id"], pa.array(prints, kind), pa.array(small, kind)], ["id", "words", "few"])
-
-    return texts.mapInArrow(sketch, "id bigint, words array<bigint>, few array<bigint>")
+        kind = pa.list_(pa.int64())
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                texts = b["text"].to_pylist()
+                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts), "<i8").reshape(-1, 2)
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in texts]
+                long = [n for n, h in enumerate(sets) if len(h) >= least * (few + 1) - 1e-9]
+                prints = dict(zip(long, simhashes([sets[n] for n in long], words)))
+                out = b.drop_columns(["text"])
+                cols = [pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([prints.get(n) for n in range(len(sets))], kind), pa.array([h.view(np.int64) if len(h) <= few else None for h in sets], kind)]
+                yield pa.RecordBatch.from_arrays([*out.columns, *cols], names=[*out.schema.names, "k1", "k2", "words", "few"])
+
+    schema = rows.drop("text").schema.add("k1", LongType()).add("k2", LongType()).add("words", ArrayType(LongType())).add("few", ArrayType(LongType()))
+    return rows.mapInArrow(sketch, schema)
 
 
 def prefix_links(sets: DataFrame, least: float) -> DataFrame:
@@ -339,25 +370,60 @@ def prefix_links(sets: DataFrame, least: float) -> DataFrame:
     return rows.join(heads, "h").where("id <> dst").select(F.col("id").alias("src"), "dst")
 
 
+def with_row_keys(docs: DataFrame) -> list:
+    """r1, r2: 128 bits of a row's values in all columns."""
+    cols = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes]
+    return [F.xxhash64(F.lit(n), *cols, *[c.isNull() for c in cols]).alias(f"r{n}") for n in (1, 2)]
+
+
+def with_classes(drawn: DataFrame) -> DataFrame:
+    """drawn (own, r1, r2, k1, k2, words, few) -> a row for each text of its own: id, k1, k2, pick (the row of smallest own: own, r1, r2), n (its rows), words, few.
+
+    id is k1 where no other text has it, which is told by k2, and a hash of both elsewhere.
+    """
+    first = F.min_by(F.struct("own", "r1", "r2"), F.struct(F.col("own").isNull(), "own", "r1", "r2"))
+    classes = as_table(drawn.groupBy("k1", "k2").agg(first.alias("pick"), F.count("*").alias("n"), F.first("words").alias("words"), F.first("few").alias("few")), "classes")
+    shared = cut(classes.groupBy("k1").count().where("count > 1").select("k1", F.lit(True).alias("shared")))
+    if not shared.count():
+        return classes.withColumn("id", F.col("k1"))
+    return classes.join(shared, "k1", "left").withColumn("id", F.when(F.col("shared"), F.xxhash64("k1", "k2")).otherwise(F.col("k1"))).drop("shared")
+
+
+def by_row(docs: DataFrame, rows: DataFrame, how: str, most: int = 200_000) -> DataFrame:
+    """docs (with r1, r2) joined with rows (r1, r2, ..): rows of at most `most` are broadcast, so that no text is shuffled; others meet by a shuffle."""
+    rows = cut(rows)
+    return docs.join(F.broadcast(rows) if rows.count() <= most else rows, ["r1", "r2"], how)
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, words: int = 24, budget: int = 15, total: int = 28, few: int = FEW) -> DataFrame:
     """docs without near copies: of each group linked by shingle-set similarity of `least` or more, the row of smallest id stays, all columns kept.
 
     Pairs of texts of at most `few` distinct shingles are all found, by prefixes of their sets. For pairs with a longer text
     SimHash gives candidates: `words` 64-bit fingerprints over hashes of their own (96 trie roots a text at 24), joined within
     `budget` bits a word and `total` over two; at similarity 0.8 a pair shares a root with probability 0.999. Candidate groups
-    are then compared exactly. Texts of equal words are one text; null and blank texts are one group each other; rows of
-    equal ids and texts are copies, so one of them stays (ties by the other columns' order in the row).
+    are then compared exactly. Keys and sketches are shuffled, and the texts of candidates; no others.
+
+    Texts of equal words are one text; null and blank texts are one group each other. Of rows of equal texts that with the
+    smallest id stays (null last), at equal ids that with the smaller hash of its columns, of rows equal in all columns one.
+    Other columns, whatever their names, are kept. An empty table gives an empty one.
     """
-    normal = F.trim(F.regexp_replace(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x20\x09-\x0D]+", " "))
-    keyed = docs.withColumn("__key", F.xxhash64(normal))
-    kept = keyed.groupBy("__key").agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(id_col).isNull(), F.col(id_col), *[F.col(c) for c in docs.columns if c not in (id_col, text_col)])).alias("row"))
-    kept = as_table(kept, "distinct")
-    drawn = as_table(sketches(kept.select(F.col("__key").alias("id"), F.col(f"row.{text_col}").alias("text")), shingle, least, words, few), "sketches")
-    long = trie_links(drawn.where("words is not null").select("id", "words"), budget, total)
-    coarse = connected_components(long.union(prefix_links(drawn.where("few is not null").select("id", "few"), least)))
-    members = kept.select(F.col("__key").alias("id"), F.col(f"row.{text_col}").alias("text")).join(coarse, "id").select(F.col("component").alias("grp"), "id", "text")
-    comps = connected_components(exact_links(members, shingle, least))
-    named = comps.join(kept.select(F.col("__key").alias("id"), F.col(f"row.{id_col}").alias("own")), "id")
-    stays = named.groupBy("component").agg(F.min_by("id", F.struct(F.col("own").isNull(), "own", "id")).alias("first"))
-    goes = named.join(stays, "component").where("id <> first").select(F.col("id").alias("__key"))
-    return kept.join(goes, "__key", "left_anti").select("row.*")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *with_row_keys(docs), F.col(text_col).alias("text"))
+    drawn = as_table(sketches(keyed.select(F.col(f"row.`{id_col}`").alias("own"), "r1", "r2", "text"), shingle, least, words, few), "sketches")
+    classes = with_classes(drawn)
+    long = trie_links(classes.where("words is not null").select("id", "words"), budget, total)
+    coarse = connected_components(long.union(prefix_links(classes.where("few is not null").select("id", "few"), least)))
+    asked = classes.select("id", "pick.r1", "pick.r2").join(coarse, "id").select("id", "r1", "r2", F.col("component").alias("grp"))
+    members = by_row(keyed.select("r1", "r2", "text"), asked, "inner").groupBy("id").agg(F.first("grp").alias("grp"), F.first("text").alias("text"))
+    comps = connected_components(exact_links(as_table(members.select("grp", "id", "text"), "members"), shingle, least))
+    named = comps.join(classes.select("id", "pick"), "id")
+    stays = named.groupBy("component").agg(F.min_by("id", F.struct(F.col("pick.own").isNull(), "pick.own", "id")).alias("first"))
+    lost = named.join(stays, "component").where("id <> first").select("id", F.lit(True).alias("lost"))
+    fate = classes.select("id", "k1", "k2", "pick", "n").join(lost, "id", "left").where("lost or n > 1")
+    rows = drawn.select("k1", "k2", "r1", "r2").join(fate, ["k1", "k2"])
+    one = (F.col("r1") == F.col("pick.r1")) & (F.col("r2") == F.col("pick.r2"))
+    goes = as_table(rows.groupBy("r1", "r2").agg(F.count("*").alias("n"), F.first(F.coalesce("lost", F.lit(False)) | ~one).alias("whole")).where("whole or n > 1"), "goes")
+    kept = by_row(keyed, goes.select("r1", "r2"), "left_anti").select("row.*")
+    again = goes.where("not whole").select("r1", "r2")
+    if not again.take(1):
+        return kept
+    return kept.union(by_row(keyed, again, "left_semi").select("row.*").dropDuplicates())
