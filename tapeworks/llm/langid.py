@@ -8,7 +8,6 @@ sums (forward and backward), on counts of words by language that Spark takes ove
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,21 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_table
-from .tokens import vocabulary
+from .tokens import steps, vocabulary
 
 #: Longer words, and those of a smaller probability, are summed in logarithms; in others plain products lose nothing that counts.
 SHORT = 40
 LEAST = 1e-200
 #: Characters whose sums are taken at once.
-STEP = 300_000
+STEP = 200_000
+#: Bytes of texts whose words are counted or scored at once.
+BYTES = 4_000_000
 
 
 class Pieces:
     """The vocabulary as a trie in arrays: (state, character) -> state, and a state's piece. Transitions lie in hash tables, one
     more for those that share a slot in the one before."""
 
-    SLOTS = 1 << 19
-
     def __init__(self, path: str):
         import sentencepiece as sp
 
@@ -41,7 +40,7 @@ class Pieces:
         texts = [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i))]
         self.n = len(texts)  # piece n stands for a character outside the vocabulary
         codes = {c: i + 1 for i, c in enumerate(sorted({c for t in texts for c in t}))}
-        self.codes = np.zeros(0x110000, np.int64)
+        self.codes = np.zeros(0x110000, np.int32)
         self.codes[[ord(c) for c in codes]] = list(codes.values())
         states, piece = {}, [-1]
         for p, t in enumerate(texts):
@@ -55,30 +54,30 @@ class Pieces:
             piece[at] = p
         self.piece = np.array(piece, np.int64)
         keys, to = np.fromiter(states, np.int64, len(states)), np.fromiter(states.values(), np.int64, len(states))
-        self.tables: list[tuple[np.ndarray, np.ndarray]] = []
+        self.tables: list[tuple[int, np.ndarray, np.ndarray]] = []  # the slots' bits, keys and next states
         while len(keys):
-            slot, first = np.unique(self._slot(keys, len(self.tables)), return_index=True)
-            held, nxt = np.full(self.SLOTS, -1, np.int64), np.full(self.SLOTS, -1, np.int64)
+            bits = max(8, (4 * len(keys)).bit_length())
+            slot, first = np.unique(self._slot(keys, bits), return_index=True)
+            held, nxt = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
             held[slot], nxt[slot] = keys[first], to[first]
-            self.tables.append((held, nxt))
+            self.tables.append((bits, held, nxt))
             keys, to = np.delete(keys, first), np.delete(to, first)
 
-    def _slot(self, key: np.ndarray, table: int) -> np.ndarray:
-        x = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * table)
-        return (x >> np.uint64(45)).astype(np.int64)
+    @staticmethod
+    def _slot(key: np.ndarray, bits: int) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15 + 2 * bits)) >> np.uint64(64 - bits)).astype(np.int64)
 
     def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
         """-1: no way on."""
-        key = (state << 16) | code
-        out, left = np.full(len(key), -1, np.int64), None
-        for n, (held, nxt) in enumerate(self.tables):
+        key, left = (state << 16) | code, None
+        out = np.full(len(key), -1, np.int64)
+        for bits, held, nxt in self.tables:
             mine = key if left is None else key[left]
-            slot = self._slot(mine, n)
+            slot = self._slot(mine, bits)
             there = held[slot]
             same = there == mine
-            hit = np.flatnonzero(same) if left is None else left[same]
-            out[hit] = nxt[slot[same]]
-            more = ~same & (there >= 0)
+            out[np.flatnonzero(same) if left is None else left[same]] = nxt[slot[same]]
+            more = ~same & (there >= 0)  # another key's slot: this one is in a later table, if anywhere
             left = np.flatnonzero(more) if left is None else left[more]
             if not len(left):
                 break
@@ -218,21 +217,11 @@ def coded_words(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), split.offsets.to_numpy()
 
 
-def steps(batch: pa.RecordBatch, column: str, most: int = 12_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about `most` characters each, one row at least."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < batch.num_rows:
-        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
-        yield batch.slice(at, upto - at)
-        at = upto
-
-
 class Model:
-    """Languages and their pieces' probabilities. `name` tells models apart where workers keep words' scores."""
+    """Languages and their pieces' probabilities."""
 
     def __init__(self, path: str, langs: list[str], prob: np.ndarray):
-        self.path, self.langs, self.prob, self.name = path, langs, prob, uuid.uuid4().hex
+        self.path, self.langs, self.prob = path, langs, prob
 
 
 def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "text", lang_col: str = "lang", rounds: int = 2, smooth: float = 0.1) -> Model:
@@ -244,7 +233,8 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
 
     def count(batches):
         for batch in batches:
-            for b in steps(batch, "text"):
+            for some in steps(batch["text"], BYTES):
+                b = batch.slice(some.start, some.stop - some.start)
                 words, code, at = coded_words(b["text"])
                 langs = b["lang"].dictionary_encode()
                 pair = code.astype(np.int64) * len(langs.dictionary) + np.repeat(langs.indices.to_numpy(), np.diff(at))
@@ -273,7 +263,7 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
             for b in batches:
                 held.append(b)
                 rows += b.num_rows
-                if rows >= 100_000:
+                if rows >= 50_000:
                     take()
                     held, rows = [], 0
             if rows:
@@ -289,9 +279,9 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
 
 
 class Scores:
-    """Words' log-likelihoods that a worker has met; `most` at once and those of one step."""
+    """Log-likelihoods of the words that a task has met; `most` at once and those of one step."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 300_000):
         self.most, self.known, self.table = most, {}, None
 
     def of(self, words: list[str], path: str, prob: np.ndarray) -> np.ndarray:
@@ -304,11 +294,6 @@ class Scores:
         return self.table[np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))]
 
 
-@lru_cache(maxsize=1)
-def scores(name: str) -> Scores:
-    return Scores()
-
-
 def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """docs (columns `keep`) with lang_pred and score, the language's posterior under equal priors.
 
@@ -316,17 +301,19 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_c
     the first language by code point. Rows of equal text have equal results, an empty table has none. Columns of docs that are
     called as the new ones (`names`) are replaced.
     """
-    path, langs, prob, name = model.path, model.langs, model.prob, model.name
+    path, langs, prob = model.path, model.langs, model.prob
     inner = docs.select(*[c for c in keep or docs.columns if c not in names], F.col(text_col).alias("__text"))
 
     def score(batches):
+        scores = Scores()
         for batch in batches:
-            for b in steps(batch, "__text"):
+            for some in steps(batch["__text"], BYTES):
+                b = batch.slice(some.start, some.stop - some.start)
                 best, top = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
                 there = pc.fill_null(pc.match_substring_regex(b["__text"], r"\pL"), False).to_numpy(zero_copy_only=False) & bool(langs)
                 if there.any():
                     words, code, at = coded_words(b["__text"])
-                    table = scores(name).of(words, path, prob)
+                    table = scores.of(words, path, prob)
                     total = np.stack([np.add.reduceat(table[:, k][code], at[:-1]) for k in range(len(langs))], axis=1)
                     best = total.argmax(1)
                     top = 1 / np.exp(total - total[np.arange(len(total)), best][:, None]).sum(1)

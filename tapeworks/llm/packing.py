@@ -122,8 +122,8 @@ def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1,
 
         for b in batches:
             kind = b[id_col].type
-            keys, texts = b[id_col].to_pylist(), b[text_col].to_pylist()
-            for some, encoded in enc.stepwise(texts):
+            keys = b[id_col].to_pylist()
+            for some, encoded in enc.stepwise(b[text_col]):
                 for key, ids in zip(keys[some], encoded):
                     for window in bins.add(key, ids):
                         put(window)

@@ -191,7 +191,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.js
 
         for b in batches:
             kind, keys = b["key"].type, b["key"].to_pylist()
-            for some, encoded in enc.stepwise(b["text"].to_pylist()):
+            for some, encoded in enc.stepwise(b["text"]):
                 if out is not None and sum(sizes) >= shard_ids and keys[some.start] != raw[-1]:
                     yield close()
                 if out is None:

@@ -27,7 +27,7 @@ LONGEST = 64
 LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 INNER = re.compile(f"(?<=[{LETTER}])(?=[!-/:-@\\[-`{{-~])|(?<=[{VISIBLE}])(?=\n[{VISIBLE}])|(?<=[{VISIBLE}]\n)(?=[{VISIBLE}])")
 #: Characters of texts that are encoded at once.
-STEP = 12_000_000
+STEP = 3_000_000
 
 
 def vocabulary(name: str) -> str:
@@ -39,6 +39,15 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def steps(texts: pa.Array, most: int) -> Iterator[slice]:
+    """Slices of some texts with about `most` bytes each, one text at least."""
+    size, at = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)), 0
+    while at < len(size):
+        upto = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")))
+        yield slice(at, upto)
+        at = upto
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to those of Tokenizer.encode(text, add_special_tokens=False).
 
@@ -47,7 +56,7 @@ class Encoder:
     at once, with a special token between them. Texts that hold a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 300_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
@@ -155,17 +164,14 @@ class Encoder:
                     out[k] = b"".join([*self._learn(["\0" + first, *rest]), self.end])
         return out
 
-    def stepwise(self, texts: list[str | None]) -> Iterator[tuple[slice, list[bytes]]]:
-        """Ids of some texts after the other, about STEP characters at once."""
-        at, size = 0, 0
-        for n, t in enumerate(texts, 1):
-            size += len(t or "")
-            if size >= STEP or n == len(texts):
-                yield slice(at, n), self._step([t or "" for t in texts[at:n]])
-                at, size = n, 0
+    def stepwise(self, texts: pa.Array) -> Iterator[tuple[slice, list[bytes]]]:
+        """Ids of some texts after the other, about STEP bytes at once."""
+        for some in steps(texts, STEP):
+            yield some, self._step([t or "" for t in texts[some].to_pylist()])
+            pa.default_memory_pool().release_unused()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [ids for _, some in self.stepwise(texts) for ids in some]
+        return [ids for _, some in self.stepwise(pa.array(texts, pa.large_string())) for ids in some]
 
 
 @lru_cache(maxsize=4)
