@@ -24,9 +24,9 @@ from .tokens import steps, vocabulary
 SHORT = 40
 LEAST = 1e-200
 #: Characters whose sums are taken at once.
-STEP = 200_000
+STEP = 100_000
 #: Bytes of texts whose words are counted or scored at once.
-BYTES = 4_000_000
+BYTES = 2_000_000
 
 
 class Pieces:
@@ -263,7 +263,7 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
             for b in batches:
                 held.append(b)
                 rows += b.num_rows
-                if rows >= 50_000:
+                if rows >= 30_000:
                     take()
                     held, rows = [], 0
             if rows:
@@ -281,7 +281,7 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
 class Scores:
     """Log-likelihoods of the words that a task has met; `most` at once and those of one step."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most, self.known, self.table = most, {}, None
 
     def of(self, words: list[str], path: str, prob: np.ndarray) -> np.ndarray:

@@ -214,9 +214,11 @@ def trie_links(prints: DataFrame, budget: int, total: int | None = None, chunk_r
     """
     n = len(prints.select("words").first()["words"]) if prints.take(1) else 1
     rot = F.explode(F.array(*[F.struct(F.lit(4 * w + r).alias("tab"), (F.shiftleft(F.col("words")[w], 16 * r).bitwiseOR(F.shiftrightunsigned(F.col("words")[w], 64 - 16 * r)) if r else F.col("words")[w]).alias("val"), *([F.col("words")[(w + 1) % n].alias("nxt")] if total is not None else [])) for w in range(n) for r in range(4)]))
-    rows = prints.select("id", rot.alias("r")).select("id", "r.*")
-    root = F.shiftrightunsigned("val", 48).cast("int")
-    crowded = cut(rows.groupBy("tab", root.alias("root")).count().where(F.col("count") > chunk_rows).select("tab", "root", F.ceil(F.col("count") / chunk_rows).cast("int").alias("chunks")))
+    spread = lambda df: df.select("id", rot.alias("r")).select("id", "r.*")
+    rows, root = spread(prints), F.shiftrightunsigned("val", 48).cast("int")
+    #: every sixteenth fingerprint tells how many chunks a node is cut into; any number gives the same links
+    some = spread(prints.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(16)) == 0)).groupBy("tab", root.alias("root")).count()
+    crowded = cut(some.select("tab", "root", F.ceil(F.col("count") * 16 / chunk_rows).cast("int").alias("chunks")).where("chunks > 1"))
     few = crowded.count()
     chunk = ["ca", "cb", "own"] if few else []
     if few:

@@ -26,7 +26,7 @@ LONGEST = 64
 #: İ is no such letter: lower-cased, it ends with a combining mark, which joins the sign.
 LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 INNER = re.compile(f"(?<=[{LETTER}])(?=[!-/:-@\\[-`{{-~])|(?<=[{VISIBLE}])(?=\n[{VISIBLE}])|(?<=[{VISIBLE}]\n)(?=[{VISIBLE}])")
-#: Characters of texts that are encoded at once.
+#: Bytes of texts that are encoded at once.
 STEP = 3_000_000
 
 
@@ -56,7 +56,7 @@ class Encoder:
     at once, with a special token between them. Texts that hold a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str, end_id: int | None = None, most: int = 250_000):
+    def __init__(self, path: str, end_id: int | None = None, most: int = 150_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(vocabulary(path))
