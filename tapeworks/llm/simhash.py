@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import as_table, connected_components, cut
+from .common import as_table, connected_components, cut, merge
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -156,19 +156,6 @@ def _leaves(values, alo, ahi, blo, bhi, budget):
             yield i[keep], j[keep]
 
 
-def merge(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Joins the classes of rows i and j; label[row] is the smallest row of its class."""
-    while True:
-        a, b = label[i], label[j]
-        apart = a != b
-        if not apart.any():
-            return label
-        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while not np.array_equal(label, nxt := label[label]):
-            label = nxt
-
-
 def runs(batches: Iterator[pa.RecordBatch], keys: list, limit: int = 400_000) -> Iterator[dict[str, np.ndarray]]:
     """Columns of sorted batches, regrouped so that the rows of a key come together; many keys at once, up to `limit` rows unless one key has more.
 
