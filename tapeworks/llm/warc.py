@@ -32,8 +32,9 @@ HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Le
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # fixed value: the URL namespace of RFC 4122
 
 
-def record_id(page_id) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'page:{page_id}')}>"
+def record_id(page_id, url: str | None = None) -> str:
+    """A null page_id has a name by its url."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'url:{url}' if page_id is None else f'page:{page_id}')}>"
 
 
 def member(head: bytes, body: bytes) -> bytes:
@@ -48,7 +49,7 @@ def member(head: bytes, body: bytes) -> bytes:
 def record(page_id, url: str | None, html: str | None, kind: str, refers_to, digest: str, n: int, date: str) -> bytes:
     """kind response: the page's payload; revisit: headers alone, naming the record whose payload is equal."""
     block = HEAD % n + ((html or "").encode() if kind == "response" else b"")
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id(page_id, url)}", f"WARC-Date: {date}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + quote(url, safe="%/:=&?~#+!$,;'@()*[]"))
     lines.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
@@ -138,11 +139,13 @@ class WarcReader(DataSourceReader):
 
     def partitions(self):
         fs, root = open_fs(self.folder)
-        listed = f"{root}/_files.json"
-        if fs.get_file_info(listed).type == pa.fs.FileType.File:
-            with fs.open_input_file(listed) as f:
-                names = json.loads(f.read())
-            return [File(f"{root}/{n}") for n in names]
+        lists = fs.get_file_info(pa.fs.FileSelector(f"{root}/_files", allow_not_found=True))
+        if lists:
+            names = []
+            for x in lists:
+                with fs.open_input_file(x.path) as f:
+                    names += json.loads(f.read())
+            return [File(f"{root}/{n}") for n in sorted(names)]
         found = fs.get_file_info(pa.fs.FileSelector(root, recursive=True))
         return [File(x.path) for x in found if x.path.endswith(".warc.gz")]
 
@@ -188,7 +191,7 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes a file of its own name; the commit lists those of the tasks that count, and readers read that list."""
+    """Each task writes a file of its own name; each commit adds a list of those of the tasks that count, and readers read all lists."""
 
     def __init__(self, options: dict):
         self.folder, self.date = options["path"], options.get("date", "2024-01-01T00:00:00Z")
@@ -208,8 +211,8 @@ class WarcWriter(DataSourceArrowWriter):
 
     def commit(self, messages):
         fs, root = open_fs(self.folder)
-        fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_files.json") as f:
+        fs.create_dir(f"{root}/_files", recursive=True)
+        with fs.open_output_stream(f"{root}/_files/{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps([m.name for m in messages if m is not None and m.name]).encode())
 
     def abort(self, messages):
@@ -249,7 +252,11 @@ def with_revisits(pages: DataFrame, least_bytes: int = 1000) -> DataFrame:
 
 
 def write_warc(pages: DataFrame, folder: str, least_bytes: int = 1000) -> None:
-    """Writes a record for each row of pages (page_id, url, html); an empty table gives an archive without files."""
+    """Adds a record for each row of pages (page_id, url, html) to an archive; an empty table adds none.
+
+    Payloads are compared within one call. Repeated page_ids are records of their own with one WARC-Record-ID, null ones have none
+    of their pages' ids and one ID by url. Other columns, whatever their names, are not written.
+    """
     spark = pages.sparkSession
     spark.dataSource.register(WarcSource)
     with_revisits(pages, least_bytes).write.format("warc").mode("append").option("path", folder).save()
