@@ -115,7 +115,9 @@ def rule_matches(ids: Column) -> Column:
 
 
 def scan_licenses(docs: DataFrame, keep: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """docs (columns `keep`) with sentence_ids and licenses (arrays). Null and empty texts have empty arrays; repeated rows each stay."""
-    keep = keep or docs.columns
-    rows = docs.select(*keep, identifiers(F.coalesce(F.col(text_col), F.lit(""))).alias("sentence_ids"))
+    """docs (columns `keep`) with sentence_ids and licenses (arrays). Null and empty texts have empty arrays; repeated rows each stay.
+
+    Columns of docs that have these names are replaced. An empty table gives no rows.
+    """
+    rows = docs.select(*[c for c in keep or docs.columns if c not in ("sentence_ids", "licenses")], identifiers(F.coalesce(F.col(text_col), F.lit(""))).alias("sentence_ids"))
     return rows.withColumn("licenses", rule_matches(F.col("sentence_ids")))
