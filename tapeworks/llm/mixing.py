@@ -94,8 +94,9 @@ def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, schedul
 
 
 def in_training_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """A row for each document, range-sorted by its first position; documents that the mix leaves out come last, by id."""
-    return mixed.withColumn("position", F.round(F.get("positions", F.lit(0)), 6)).orderBy(F.col("position").asc_nulls_last(), id_col)
+    """A row for each document, range-sorted by its first position (shown to 6 places); documents that the mix leaves out come last, by id."""
+    first = F.get("positions", F.lit(0))
+    return mixed.orderBy(first.asc_nulls_last(), id_col).withColumn("position", F.round(first, 6))
 
 
 def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
