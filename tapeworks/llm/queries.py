@@ -138,8 +138,8 @@ FROM y
 URL_SQL = r"""
 WITH p AS (
   SELECT page_id, DATE '2024-01-01' + CAST(page_id % 30 AS INTEGER) AS day,
-    nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)), '') AS host,
-    regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/([^/]+)', 1) AS seg FROM pages),
+    nullif(lower(regexp_replace(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)', 1), '\.$', '')), '') AS host,
+    regexp_extract(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)', 1), '^/([^/]+)', 1) AS seg FROM pages),
 h AS (SELECT host, regexp_replace(host, '^(www|m|blog)\.', '') AS domain FROM (SELECT DISTINCT host FROM p WHERE host IS NOT NULL)),
 v AS (SELECT *, CAST('0x' || substr(md5(domain), 1, 2) AS INTEGER) AS v,
   CASE WHEN regexp_matches(domain, 'casino|bets') THEN 'gambling' WHEN regexp_matches(domain, 'ads|track') THEN 'ads' ELSE 'listed' END AS category FROM h),

@@ -14,12 +14,13 @@ from pyspark.sql.window import Window as W
 
 
 def url_host(url):
-    """Lower-case host without port and user; null if the URL has none."""
-    return F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1)), F.lit(""))
+    """Lower-case host without port, user and closing full stop, an IPv6 address with its brackets; null if the URL has none."""
+    host = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/:?#]+)", 1)
+    return F.nullif(F.lower(F.regexp_replace(host, r"\.$", "")), F.lit(""))
 
 
 def url_path(url):
-    return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    return F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*([^?#]*)", 1)
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -34,27 +35,27 @@ def intervals(entries: DataFrame) -> DataFrame:
 
 
 def url_keys(host, path):
-    """The keys that may list a URL: `=host`, `.domain` for the host and each domain above it of two labels or more, `/host/first` for its first path segment."""
+    """The keys that may list a URL: `=host`, `.domain` for the host and each domain above it of two labels or more, `/host/a`, `/host/a/b` and so on for its path's first segments."""
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.greatest(F.size(labels) - 1, F.lit(1))), lambda i: F.concat(F.lit("."), F.array_join(F.slice(labels, i, F.size(labels)), ".")))
-    first = F.regexp_extract(path, r"^/([^/]+)", 1)
-    return F.array_compact(F.concat(F.array(F.concat(F.lit("="), host)), domains, F.array(F.when(first != "", F.concat(F.lit("/"), host, F.lit("/"), first)))))
+    parts = F.split(F.regexp_extract(path, r"^/([^/]+(?:/[^/]+)*)", 1), "/")
+    paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.lit("/"), host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    return F.concat(F.array(F.concat(F.lit("="), host)), domains, F.when(parts[0] == "", F.slice(paths, 1, 0)).otherwise(paths))
 
 
 def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "day") -> DataFrame:
     """captures with host, blocked, category, matched (the key) and listed_since of the entry that was active on the capture's day.
 
-    Of several active entries the narrowest counts: path, then host, then the longest domain. Captures without a host or a
+    Of several active entries the narrowest counts: the longest path, then host, then the longest domain. Captures without a host or a
     day match nothing and stay, blocked false. Repeated rows each stay.
     """
-    host, path = url_host(F.col(url_col)), url_path(F.col(url_col))
-    rows = captures.withColumns({"host": host, "__first": F.regexp_extract(path, r"^/([^/]+)", 1)})
-    places = rows.where(F.col("host").isNotNull() & F.col(day_col).isNotNull()).select("host", "__first", F.col(day_col).alias("__day")).distinct()
-    asked = places.withColumn("key", F.explode(url_keys(F.col("host"), F.concat(F.lit("/"), F.col("__first")))))
+    rows = captures.withColumns({"host": url_host(F.col(url_col)), "__path": url_path(F.col(url_col))})
+    places = rows.where(F.col("host").isNotNull() & F.col(day_col).isNotNull()).select("host", "__path", F.col(day_col).alias("__day")).distinct()
+    asked = places.withColumn("key", F.explode(url_keys(F.col("host"), F.col("__path"))))
     active = (F.col("since") <= F.col("__day")) & (F.col("until").isNull() | (F.col("__day") < F.col("until")))
     found = asked.join(intervals(entries), "key").where(active)
     rank = F.struct(F.when(F.col("key").startswith("/"), 0).when(F.col("key").startswith("="), 1).otherwise(2).alias("kind"), (-F.length("key")).alias("n"), F.col("key"))
-    best = found.groupBy(F.col("host").alias("__h"), F.col("__first").alias("__f"), F.col("__day").alias("__d")).agg(F.min_by(F.struct("key", "category", "since"), rank).alias("__m"))
-    out = rows.join(best, (F.col("host") == F.col("__h")) & (F.col("__first") == F.col("__f")) & (F.col(day_col) == F.col("__d")), "left")
+    best = found.groupBy(F.col("host").alias("__h"), F.col("__path").alias("__f"), F.col("__day").alias("__d")).agg(F.min_by(F.struct("key", "category", "since"), rank).alias("__m"))
+    out = rows.join(best, (F.col("host") == F.col("__h")) & (F.col("__path") == F.col("__f")) & (F.col(day_col) == F.col("__d")), "left")
     own = [c for c in captures.columns if c not in ("host", "blocked", "category", "matched", "listed_since")]
     return out.select(*own, "host", F.col("__m").isNotNull().alias("blocked"), F.col("__m.category").alias("category"), F.col("__m.key").alias("matched"), F.col("__m.since").alias("listed_since"))
