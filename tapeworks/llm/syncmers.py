@@ -1,6 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions alone.
 
-A text is a sequence of tokens: runs of up to 12 visible characters. An inner substring is 2 tokens, a k-mer 5, with 4 inner
+A text is a sequence of tokens: words of up to 12 visible characters; longer ones are cut after each vowel or low digit, and
+texts in scripts without spaces at each character, so that where a token ends hangs on the characters around it, not on where
+the text began. An inner substring is 2 tokens, a k-mer 5, with 4 inner
 substrings; a k-mer is an anchor if the smallest of its inner substrings' hashes is the first or the last of them. Whether it
 is depends on its own tokens alone, so an edit moves no anchor beyond 4 tokens. A fingerprint is the 64 smallest distinct
 anchor hashes in hexadecimal; the likeness of two is that of their anchor sets (Dice), estimated from them. Anchors with
@@ -13,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-TOKEN = r"\S{1,12}"
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = rf"(?<!\S)\S{{1,12}}(?!\S)|[{UNSPACED}]|[^\s{UNSPACED}aeiouAEIOU0-4]{{0,11}}[^\s{UNSPACED}]"
 K, S, SKETCH = 5, 2, 64
 
 

@@ -207,6 +207,8 @@ def test_warc_round_trip(spark):
         assert r["payload"] == (None if again else raw)
     some = warc.read_warc(spark, folder, payload=False).where("record_type = 'revisit' and page_id in ('1', '5')")
     assert [r["page_id"] for r in some.collect()] == ["1"]
+    warc.write_warc(pages.where("page_id = 2"), folder)  # a second write adds to the first
+    assert warc.read_warc(spark, folder).count() == len(rows) + 1
     empty = common.new_folder(spark, "w")
     warc.write_warc(pages.limit(0), empty)
     assert warc.read_warc(spark, empty).count() == 0
@@ -361,6 +363,9 @@ def test_language_against_brute_force(spark):
 def test_url_filter(spark):
     day = "2024-01-%02d"
     entries = spark.createDataFrame([(".bad.com", day % 2, "add", "x"), (".bad.com", day % 5, "remove", "x"), ("=a.bad.com", day % 4, "add", "h"), ("/ok.org/fr", day % 1, "add", "p"), (None, day % 1, "add", "n")], "key string, day string, action string, category string").withColumn("day", F.to_date("day"))
+    deep = spark.createDataFrame([("/ok.org/a/b", day % 1, "add", "d")], "key string, day string, action string, category string").withColumn("day", F.to_date("day"))
+    more = spark.createDataFrame([(1, "http://ok.org./a/b/c?q"), (2, "//ok.org/a/b"), (3, "http://ok.org/a/bc"), (4, "http://[::1]:80/a/b"), (5, "http://ok.org//a/b")], "page_id int, url string").withColumn("day", F.to_date(F.lit("2024-01-03")))
+    assert {r["page_id"]: (r["host"], r["matched"]) for r in urlfilter.filter_urls(more, deep).collect()} == {1: ("ok.org", "/ok.org/a/b"), 2: ("ok.org", "/ok.org/a/b"), 3: ("ok.org", None), 4: ("[::1]", None), 5: ("ok.org", None)}
     caps = [(1, "http://a.bad.com/x", 1), (2, "http://a.bad.com/x", 2), (3, "https://u@A.BAD.com:80/x", 4), (4, "http://b.bad.com", 5), (5, "http://ok.org/fr/1", 1), (6, "http://ok.org/de", 1), (7, None, 3), (8, "nonsense", 3), (9, "http://a.bad.com/", None), (2, "http://a.bad.com/x", 2)]
     df = spark.createDataFrame([(i, u, None if d is None else day % d, "clash") for i, u, d in caps], "page_id int, url string, day string, host string").withColumn("day", F.to_date("day"))
     got = urlfilter.filter_urls(df, entries).collect()
@@ -454,6 +459,55 @@ def test_syncmers_are_context_free(spark):
     assert [(r["query_id"], r["doc_id"], r["shift"]) for r in m] == [(0, 1, -9)]
 
 
+def test_syncmers_of_unspaced_text_are_context_free(spark):
+    rng = random.Random(6)
+    bodies = ["".join(rng.choice(x) for _ in range(6000)) for x in ("abcdefghijklmnopqrstuvwxyz0123456789", [chr(c) for c in range(0x4E00, 0x5200)])]
+    rows = [(2 * n + k, extra + b) for n, b in enumerate(bodies) for k, extra in enumerate(("", "x"))]
+    got = {r["doc_id"]: set(r["a"]) for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", syncmers.anchors(F.col("text")).alias("a")).collect()}
+    for n in (0, 2):
+        assert len(got[n]) > 100 and len(got[n] & got[n + 1]) >= len(got[n]) - 6
+
+
+def test_syncmers_against_brute_force(spark):
+    """Anchors, fingerprints and likeness again in Python, on whole texts, ties and texts of one to a thousand words."""
+    texts = [prose(n) for n in (1, 4, 5, 7, 30, 200, 1000)] + ["tie " * 40, "tie " * 40, "", None, "a-much-longer-word-than-twelve " * 9, "é ü\tx y\nz"]
+
+    def signed(x):
+        return x - 2**64 if x >> 63 else x
+
+    def chain(*parts):
+        seed = 42
+        for x in parts:
+            seed = xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else (x % 2**64).to_bytes(8, "little"), seed)
+        return signed(seed)
+
+    def anchors(text):
+        tokens = []
+        for w in (text or "").split():
+            while len(w) > 12 or (w and tokens and tokens[-1] is None):
+                n = next((i for i, c in enumerate(w[:12]) if c in "aeiouAEIOU01234"), 11) + 1
+                tokens += [w[:n], None]
+                w = w[n:]
+            tokens = [t for t in tokens if t is not None] + ([w] if w else [])
+        inner = [chain(*tokens[i : i + 2]) for i in range(len(tokens) - 1)]
+        out = [chain(p[0], p[2], p[3]) for p in (inner[i : i + 4] for i in range(len(inner) - 3)) if min(p[0], p[3]) <= min(p[1], p[2])]
+        return out or ([chain(" ".join(tokens))] if tokens else [])
+
+    def alike(a, b):
+        u = sorted(a | b)[:64]
+        j = len(a & b & set(u)) / len(u) if u else 1
+        return 2 * j / (1 + j)
+
+    got = {r["doc_id"]: r for r in syncmers.edited_likeness(documents(spark, texts)).collect()}
+    order = sorted(range(len(texts)), reverse=True)
+    for k, i in enumerate(order):
+        t, nxt = texts[i] or "", texts[order[(k + 1) % len(order)]] or ""
+        own, edit, other = (set(sorted(set(anchors(x)))[:64]) for x in (t, t[: len(t) - len(t) // 2] + nxt[: len(t) // 2], nxt))
+        assert got[i]["fingerprint"] == "".join(f"{h % 2**64:016x}" for h in sorted(own)), t
+        assert got[i]["edited_fingerprint"] == "".join(f"{h % 2**64:016x}" for h in sorted(edit)), t
+        assert got[i]["near_edited"] == pytest.approx(alike(own, edit)) and got[i]["near_next"] == pytest.approx(alike(own, other))
+
+
 def test_next_by_slices(spark):
     rows = [(random.randrange(500), f"t{i}") for i in range(300)] + [(None, "n")]
     df = spark.createDataFrame(rows, "k long, t string").repartition(5)
@@ -499,7 +553,7 @@ def test_licenses(spark):
     bsd = " ".join(licenses.SENTENCES[k] for k in ("BSDgrant", "BSDsource", "BSDbinary", "BSDasis"))
     wrapped = "// Licensed under the\n// apache License, Version 2.0.\nfoo"
     texts = [None, "", "nothing here", "Prose. Released under the MIT License. More.\nLicensed under CC BY-NC 4.0.", mit, bsd, wrapped, licenses.SENTENCES["MITnotice"], "Released under the MIT License.\n" * 2]
-    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(documents(spark, texts, licenses="clash"), ["doc_id"]).collect()}
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(documents(spark, texts, licenses="clash", sentence_ids="clash")).collect()}
     assert got == {0: [], 1: [], 2: [], 3: ["CC-BY-NC-4.0", "MIT"], 4: ["MIT"], 5: ["BSD-2-Clause"], 6: ["Apache-2.0"], 7: ["unknown"], 8: ["MIT"]}
 
 
