@@ -201,9 +201,9 @@ def span(spark, sf):
 
 
 @register("e17_selection_rate", """SELECT m.horizon, count(DISTINCT m.market) AS available, count(DISTINCT f.market) AS traded, count(DISTINCT f.market) / count(DISTINCT m.market) AS rate
-    FROM markets m LEFT JOIN (SELECT DISTINCT market FROM fills WHERE block_number % 50 = 0) f ON m.market = f.market GROUP BY 1""", "rate")
+    FROM markets m LEFT JOIN (SELECT DISTINCT market FROM fills) f ON m.market = f.market GROUP BY 1""", "rate")
 def selection(spark, sf):
-    return X.selection_rate(V.fills(spark, sf).where("block_number % 50 = 0"), V.markets(spark, sf), "horizon")
+    return X.selection_rate(V.fills(spark, sf), V.markets(spark, sf), "horizon")
 
 
 def by_asset(spark, sf, report):
@@ -341,10 +341,10 @@ def dedup(spark, sf):
     return ordered.dedup_first(f, ["token_id"], ["block_number", "log_index", "size"])
 
 
-@register("h3_h6_set_ops", """WITH a AS (SELECT DISTINCT market FROM fills WHERE block_number % 40 = 0), b AS (SELECT market FROM resolved) SELECT 'both' AS kind, count(*) AS n FROM (SELECT market FROM a INTERSECT SELECT market FROM b) UNION ALL SELECT 'traded_only', count(*) FROM (SELECT market FROM a EXCEPT SELECT market FROM b)
+@register("h3_h6_set_ops", """WITH a AS (SELECT DISTINCT market FROM fills), b AS (SELECT market FROM resolved) SELECT 'both' AS kind, count(*) AS n FROM (SELECT market FROM a INTERSECT SELECT market FROM b) UNION ALL SELECT 'traded_only', count(*) FROM (SELECT market FROM a EXCEPT SELECT market FROM b)
     UNION ALL SELECT 'merged', count(*) FROM (SELECT market FROM a UNION SELECT market FROM b)""")
 def sets(spark, sf):
-    return set_counts(V.fills(spark, sf).where("block_number % 40 = 0"), V.resolved(spark, sf))
+    return set_counts(V.fills(spark, sf), V.resolved(spark, sf))
 
 
 def set_counts(fills, resolved):

@@ -92,19 +92,15 @@ PATTERNS = f"""SELECT n.token_id, n.price, n.side, n.t_recv_ns AS t_ns, e.t AS t
 
 
 def patterns(spark, sf):
-    few = V.book_fills(spark, sf).where("event_id % 50 = 0")
-    return L.quote_patterns(levels(spark, sf), few, 3600 * NS)
+    return L.quote_patterns(levels(spark, sf), V.book_fills(spark, sf), 3600 * NS)
 
 
-FEW = PATTERNS.replace("FROM book_fills f WHERE", "FROM book_fills f WHERE f.event_id % 50 = 0 AND")
-
-
-@register("f5_quote_patterns", FEW, "duration_ms")
+@register("f5_quote_patterns", PATTERNS, "duration_ms")
 def quote_patterns(spark, sf):
     return patterns(spark, sf)
 
 
-@register("e25_pattern_distribution", f"SELECT pattern, count(*) AS n, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.9) AS p90, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM ({FEW}) GROUP BY 1", "p50 p90 pct", 3)
+@register("e25_pattern_distribution", f"SELECT pattern, count(*) AS n, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.9) AS p90, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM ({PATTERNS}) GROUP BY 1", "p50 p90 pct", 3)
 def distribution(spark, sf):
     return L.pattern_distribution(patterns(spark, sf))
 

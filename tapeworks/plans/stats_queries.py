@@ -134,12 +134,14 @@ def options(spark, sf):
 # The oracle's normal distribution sums the series of erf, which converges fast for |x| < 4.
 PHI = "(0.5 + exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda n: ({x}) * power(({x}) * ({x}), n) / list_product(list_transform(range(0, n + 1), lambda k: CAST(2 * k + 1 AS DOUBLE))))))"
 
+# Beyond, it takes the continued fraction of the tail.
+TAIL = "(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) / list_reduce(list_concat([{x}], list_transform(range(60, 0, -1), lambda k: CAST(k AS DOUBLE))), lambda a, k: {x} + k / a))"
 
-@register("k3_fair_value_up", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {PHI.format(x="d")} AS fair
-    FROM (SELECT *, -ln(strike / spot) / (sigma * sqrt(tau)) AS d FROM {OPT}) WHERE abs(d) < 4""", "fair", 7)
+
+@register("k3_fair_value_up", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN abs(d) < 4 THEN {PHI.format(x="d")} WHEN d > 0 THEN 1 - {TAIL.format(x="d")} ELSE {TAIL.format(x="(-d)")} END AS fair
+    FROM (SELECT *, -ln(strike / spot) / (sigma * sqrt(tau)) AS d FROM {OPT})""", "fair", 7)
 def fair(spark, sf):
-    d = options(spark, sf).withColumn("d", -F.log(F.col("strike") / F.col("spot")) / (F.col("sigma") * F.sqrt("tau"))).where("abs(d) < 4")
-    return d.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma")).alias("fair"))
+    return options(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma")).alias("fair"))
 
 
 CLIPPED = "fair = 0 or fair = 1"
