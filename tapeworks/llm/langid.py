@@ -26,7 +26,7 @@ LEAST = 1e-200
 #: Characters whose sums are taken at once.
 STEP = 100_000
 #: Bytes of texts whose words are counted or scored at once.
-BYTES = 2_000_000
+BYTES = 1_000_000
 
 
 class Pieces:
@@ -281,7 +281,7 @@ def train(rows: DataFrame, path: str = "piece_bpe_32k.model", text_col: str = "t
 class Scores:
     """Log-likelihoods of the words that a task has met; `most` at once and those of one step."""
 
-    def __init__(self, most: int = 150_000):
+    def __init__(self, most: int = 100_000):
         self.most, self.known, self.table = most, {}, None
 
     def of(self, words: list[str], path: str, prob: np.ndarray) -> np.ndarray:

@@ -91,19 +91,20 @@ class SumOfSquares:
             lo += 1
 
 
-def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 1, size: int = 2048, id_col: str = "doc_id", text_col: str = "text", cache: int = 300_000) -> DataFrame:
     """One row for each piece of each document: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padded_to.
 
     A document is its ids and end_id (null or empty text: end_id alone). Pieces of a sequence lie gapless from offset 0.
     padded_to is `size`, or the sequence's own length where that is a power of two. Rows of equal ids, null ids and ties are
-    packed as documents of their own; each id of each row lies in one piece. Other columns are not carried.
+    packed as documents of their own; each id of each row lies in one piece. Other columns are not carried. A worker keeps the
+    ids of about `cache` pieces of text.
     """
     rows = docs.select(F.col(id_col), F.col(text_col))
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, bins = encoder(tokenizer, end_id), SumOfSquares(size)
+        enc, bins = encoder(tokenizer, end_id, cache), SumOfSquares(size)
         kind, out, number = pa.int64(), [], TaskContext.get().partitionId() << 36
 
         def flush():
