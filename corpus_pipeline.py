@@ -40,7 +40,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     A null or empty text is its end id alone; repeated rows are documents of their own. An empty table gives no pieces.
     """
-    return packing.pack(docs, "word_bpe_49k.json", 1, 2048)
+    return packing.pack(docs, "word_bpe_49k.json", 1, 2048, cache=100_000)
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
