@@ -28,6 +28,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def quoted(names: list[str]) -> list[str]:
+    """Names of columns as they are, with full stops and the like, for select()."""
+    return ["`" + n.replace("`", "``") + "`" for n in names]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialises df in the shared folder, so that a lost executor costs no recomputation of what led to it."""
     shared_dir(df.sparkSession)

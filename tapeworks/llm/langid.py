@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, quoted
 from .tokens import steps, vocabulary
 
 #: Longer words, and those of a smaller probability, are summed in logarithms; in others plain products lose nothing that counts.
@@ -302,7 +302,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_c
     called as the new ones (`names`) are replaced.
     """
     path, langs, prob = model.path, model.langs, model.prob
-    inner = docs.select(*[c for c in keep or docs.columns if c not in names], F.col(text_col).alias("__text"))
+    inner = docs.select(F.struct(*quoted([c for c in keep or docs.columns if c not in names])).alias("__row"), F.col(text_col).alias("__text"))
 
     def score(batches):
         scores = Scores()
@@ -319,10 +319,10 @@ def predict(docs: DataFrame, model: Model, keep: list[str] | None = None, text_c
                     top = 1 / np.exp(total - total[np.arange(len(total)), best][:, None]).sum(1)
                 preds = pa.array(["und", *langs]).take(pa.array(np.where(there, best + 1, 0)))
                 out = b.drop_columns(["__text"])
-                yield pa.RecordBatch.from_arrays([*out.columns, preds, pa.array(np.where(there, top, 0.0))], names=[*out.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*out.columns, preds, pa.array(np.where(there, top, 0.0))], names=["__row", *names])
 
     schema = inner.drop("__text").schema.add(names[0], "string").add(names[1], "double")
-    return inner.mapInArrow(score, schema)
+    return inner.mapInArrow(score, schema).select("__row.*", *names)
 
 
 def held_out(id_col: str = "doc_id"):

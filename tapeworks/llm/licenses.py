@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 # Sentences of well-known licences, by identifier, as their texts have them.
 SENTENCES = {
     "MITgrant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -119,5 +121,5 @@ def scan_licenses(docs: DataFrame, keep: list[str] | None = None, text_col: str
 
     Columns of docs that have these names are replaced. An empty table gives no rows.
     """
-    rows = docs.select(*[c for c in keep or docs.columns if c not in ("sentence_ids", "licenses")], identifiers(F.coalesce(F.col(text_col), F.lit(""))).alias("sentence_ids"))
+    rows = docs.select(*quoted([c for c in keep or docs.columns if c not in ("sentence_ids", "licenses")]), identifiers(F.coalesce(F.col(text_col), F.lit(""))).alias("sentence_ids"))
     return rows.withColumn("licenses", rule_matches(F.col("sentence_ids")))

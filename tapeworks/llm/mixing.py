@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import quoted
+
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 #: (time, relative weight) knots for sources of each weight: the heavy ones early, the light ones late; each has mean 1.
@@ -60,7 +62,7 @@ def _plan(docs: DataFrame, keep: list[str], weights, schedules, most: int, id_co
     text, source = F.col(text_col), F.col(source_col)
     key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
     plan = {"__size": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"), "__source": source, "__skey": key(source), "__id": F.col(id_col), "__order": F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))}
-    rows = docs.select(*keep, *[c.alias(n) for n, c in plan.items()])
+    rows = docs.select(*quoted(keep), *[c.alias(n) for n, c in plan.items()])
     rows = rows.withColumn("__slice", F.conv(F.substring("__order", 1, 3), 16, 10).cast("int"))
     slices = rows.groupBy("__skey", "__slice").agg(F.first("__source").alias("source"), F.sum("__size").alias("slice_size"))
     shares = targets(slices.groupBy("__skey").agg(F.first("source").alias("source"), F.sum("slice_size").alias("source_size")).select("source", "source_size"), weights, most)
@@ -77,7 +79,7 @@ def _plan(docs: DataFrame, keep: list[str], weights, schedules, most: int, id_co
     when = lambda y: F.coalesce(*[F.when(F.col("__weight_no") == n, inverse_demand(y, s)) for n, s in enumerate(schedules)])
     positions = F.array_compact(F.array(*[F.when(F.col("__takes")[k] > 0, when(share[k])) for k in range(most)]))
     taken = sum((F.col("__takes")[k] for k in range(1, most)), F.col("__takes")[0])
-    return rows.select(*keep, "__size", "__source_size", "__target", taken.alias("__taken"), positions.alias("__positions"))
+    return rows.select(*quoted(keep), "__size", "__source_size", "__target", taken.alias("__taken"), positions.alias("__positions"))
 
 
 def mix(docs: DataFrame, keep: list[str] | None = None, weights=WEIGHTS, schedules=SCHEDULES, most: int = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -104,4 +106,4 @@ def mixed_documents(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most:
     mixed = _plan(docs, docs.columns, weights, schedules, most, id_col, text_col, source_col)
     copies = F.when(F.col("__size") > 0, F.round(F.col("__taken") / F.col("__size")).cast("int")).otherwise(0)
     rows = mixed.where(copies > 0).withColumn("__at", F.explode(F.slice("__positions", F.lit(1), copies)))
-    return rows.repartitionByRange("__at").sortWithinPartitions("__at").select(*docs.columns)
+    return rows.repartitionByRange("__at").sortWithinPartitions("__at").select(*quoted(docs.columns))

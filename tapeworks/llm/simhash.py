@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import as_table, connected_components, cut, merge
+from .common import as_table, connected_components, cut, merge, quoted
 
 SEED = 42
 LANES = np.uint64(0x0101010101010101)
@@ -361,7 +361,7 @@ def prefix_links(sets: DataFrame, least: float) -> DataFrame:
 
 def with_row_keys(docs: DataFrame) -> list:
     """r1, r2: 128 bits of a row's values in all columns."""
-    cols = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in docs.dtypes]
+    cols = [F.to_json(F.struct(c)) if "map<" in t else F.col(c) for c, t in zip(quoted(docs.columns), (t for _, t in docs.dtypes))]
     return [F.xxhash64(F.lit(n), *cols, *[c.isNull() for c in cols]).alias(f"r{n}") for n in (1, 2)]
 
 
@@ -396,7 +396,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     smallest id stays (null last), at equal ids that with the smaller hash of its columns, of rows equal in all columns one.
     Other columns, whatever their names, are kept. An empty table gives an empty one.
     """
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *with_row_keys(docs), F.col(text_col).alias("text"))
+    keyed = docs.select(F.struct(*quoted(docs.columns)).alias("row"), *with_row_keys(docs), F.col(text_col).alias("text"))
     drawn = as_table(sketches(keyed.select(F.col(f"row.`{id_col}`").alias("own"), "r1", "r2", "text"), shingle, least, words, few), "sketches")
     classes = with_classes(drawn)
     long = trie_links(classes.where("words is not null").select("id", "words"), budget, total)

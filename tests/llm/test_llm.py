@@ -572,6 +572,38 @@ def test_pipeline_stages(spark, sf):
             assert out.select("sequence_id").distinct().count() > 0
 
 
+def test_pipeline_stages_on_odd_input(spark):
+    """Columns called as the stages' own, nulls in each column, empty, blank and very long texts, repeated rows, ties, empty tables."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    speech = {"en": "the dog and the cat are in the house of a friend", "de": "der hund und die katze sind im haus von einem freund"}
+    rows = []
+    for i in range(60):
+        lang = ("en", "de")[i % 2]
+        words = speech[lang].split()
+        text = " ".join(rng.choice(words) for _ in range(12 + i))
+        rows.append((i, text, lang if i % 3 else None, f"s{i % 3}" if i % 5 else None, len(text)))
+    rows += [(60, None, "en", "s0", None), (61, "", "en", "s1", 0), (62, " \n ", None, None, 3), (63, "123 !?", None, "s2", 6), (None, rows[3][1], "de", "s0", 5)]
+    rows += [rows[5]] * 3 + [(64, "the cat and the dog " * 40_000, "en", "s1", None), (65, rows[7][1].upper(), "de", None, None)]
+    names = ["lang_pred", "score", "size", "target", "taken", "positions", "start", "length", "r1", "r2", "k1", "words", "few", "row", "own", "id", "grp", "a b.c"]
+    docs = spark.createDataFrame(rows, DOCS).withColumns({n: F.lit("clash") for n in names})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), "").count() == 0, name
+        out = common.as_table(stage(spark, docs, ""), name)
+        if name == "language_id":
+            kept = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
+            assert kept == sorted([(False, i) for i in [*range(60), 5, 5, 5, 64, 65]] + [(True, 0)])
+        if name == "near_dedup":
+            kept = sorted(r["doc_id"] for r in out.collect())
+            assert len(kept) == len(set(kept)) and set(kept) <= {*range(60), 64} and {5, 64} <= set(kept)
+        if name == "pack_sequences":
+            assert out.agg(F.sum("length")).first()[0] == docs.select("doc_id").join(out.select("doc_id", "doc_tokens").distinct(), "doc_id").agg(F.sum("doc_tokens")).first()[0]
+        else:
+            assert out.columns == docs.columns, name
+            docs = out
+
+
 def test_queries_with_sql(spark, sf):
     import duckdb
 
