@@ -65,6 +65,11 @@ def decrease_cause(levels: DataFrame, fills: DataFrame, tolerance_ns: int = 5 *
     return d.select("token_id", "price", "side", "t_ns", F.when(F.col("t_fill_ns").isNotNull(), "fill").when(F.col("__again"), "reprice").otherwise("pull").alias("cause"))
 
 
+def inner_on_market(quotes: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Quotes with their market's attributes; quotes of markets without any go."""
+    return quotes.join(attributes, "market")
+
+
 def quote_post_time(fills: DataFrame, levels: DataFrame, max_lag_ns: int) -> DataFrame:
     """For each token's first fill: the first size increase before it, within max_lag, at a price and side where the account ever fills."""
     at = fills.select("token_id", "price", "side").distinct()
@@ -74,9 +79,14 @@ def quote_post_time(fills: DataFrame, levels: DataFrame, max_lag_ns: int) -> Dat
     return j.groupBy("token_id", "t_ns").agg(F.min("t_recv_ns").alias("t_post_ns")).withColumn("lag_s", (F.col("t_ns") - F.col("t_post_ns")) / 1e9)
 
 
-def strike_crossings(ticks: DataFrame, strikes: DataFrame) -> DataFrame:
-    """Ticks of each market at which the mid passes its strike, with the direction."""
-    j = ticks.join(strikes, "symbol").where((F.col("t_ns") >= F.col("start_ns")) & (F.col("t_ns") <= F.col("end_ns")))
+def strike_crossings(ticks: DataFrame, strikes: DataFrame, width: int = 3600 * NS) -> DataFrame:
+    """Ticks of each market at which the mid passes its strike, with the direction.
+
+    A market has a row for each bucket of time that it lives in, so that ticks meet only the markets of their symbol and bucket.
+    """
+    bucket = lambda t: F.floor(t / width).cast("bigint")
+    live = strikes.where(F.col("start_ns") <= F.col("end_ns")).withColumn("__b", F.explode(F.sequence(bucket(F.col("start_ns")), bucket(F.col("end_ns")))))
+    j = ticks.withColumn("__b", bucket(F.col("t_ns"))).join(live, ["symbol", "__b"]).where((F.col("t_ns") >= F.col("start_ns")) & (F.col("t_ns") <= F.col("end_ns")))
     j = j.withColumn("above", F.col("mid") > F.col("strike"))
     j = j.withColumn("before", F.lag("above").over(W.partitionBy("market").orderBy("t_ns", "mid")))
     return j.where("before is not null and above <> before").select("market", "symbol", "t_ns", "mid", F.when(F.col("above"), "up").otherwise("down").alias("direction"))

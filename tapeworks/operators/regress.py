@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .ordered import running_sum
+
 
 def _moments(df: DataFrame, y: str, xs: list[str], groups: list[str] | None = None) -> DataFrame:
     """Sums of products of [1, xs, y], one row (for each group)."""
@@ -291,14 +293,31 @@ def logit(df: DataFrame, label: str, xs: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "term string, coef double")
 
 
-def ks_distance(a: DataFrame, b: DataFrame, value: str) -> DataFrame:
-    """Largest gap between two running shares, from counts of distinct values."""
+def ks_distance(a: DataFrame, b: DataFrame, value: str, buckets: int = 10_000) -> DataFrame:
+    """Largest gap between two running shares, from counts of distinct values, summed within buckets of the value's range and over them.
+
+    A row with a null gap if either side has no value.
+    """
     u = a.select(F.col(value).alias("v"), F.lit(1).alias("x"), F.lit(0).alias("y")).union(b.select(F.col(value), F.lit(0), F.lit(1)))
     g = u.where("v is not null").groupBy("v").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    run = W.orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    everything = W.partitionBy(F.lit(1))
-    gap = F.abs(F.sum("x").over(run) / F.sum("x").over(everything) - F.sum("y").over(run) / F.sum("y").over(everything))
-    return g.select(gap.alias("g")).agg(F.max("g").alias("ks"))
+    t = g.agg(F.sum("x").alias("nx"), F.sum("y").alias("ny"), F.min("v").alias("lo"), F.max("v").alias("hi")).first()
+    if not t["nx"] or not t["ny"]:
+        return g.limit(0).agg(F.max(F.lit(0.0)).alias("ks"))
+    g = g.withColumn("step", F.col("x") / t["nx"] - F.col("y") / t["ny"])
+    run = running_sum(g, "step", [], ["v"], "gap", max((t["hi"] - t["lo"]) / buckets, 1e-300))
+    return run.agg(F.max(F.abs("gap")).alias("ks"))
+
+
+def half_spread_fit(quotes: DataFrame, sigma: DataFrame, by: list[str]) -> DataFrame:
+    """OLS of the half spread on sigma sqrt(tau) and intensity of arrivals.
+
+    quotes: updates with side, price and the keys `by` (a token and its interval); an interval counts if both sides are quoted in it:
+    its half spread is half the lowest ask less the highest bid, its intensity the number of updates. sigma: a row for each
+    interval, with sigma_sqrt_tau, joined by those of `by` that it has.
+    """
+    bid, ask = F.max(F.when(F.col("side") == "BUY", F.col("price"))), F.min(F.when(F.col("side") == "SELL", F.col("price")))
+    q = quotes.groupBy(*by).agg(((ask - bid) / 2).alias("half_spread"), F.count("*").cast("double").alias("intensity")).where("half_spread is not null")
+    return ols(q.join(sigma, [c for c in by if c in sigma.columns]), "half_spread", ["sigma_sqrt_tau", "intensity"], "half_spread")
 
 
 def rolling_refit(df: DataFrame, y: str, x: str, hour: str, hours: int = 24) -> DataFrame:

@@ -160,6 +160,11 @@ def post_time(spark, sf):
     return L.quote_post_time(V.book_fills(spark, sf), levels(spark, sf), 86400 * NS)
 
 
+@register("d5_inner_on_market", "SELECT f.token_id, f.block_number, f.log_index, f.side, f.size, r.up_wins FROM fills f JOIN resolved r ON f.market = r.market")
+def on_market(spark, sf):
+    return L.inner_on_market(V.fills(spark, sf), V.resolved(spark, sf)).select("token_id", "block_number", "log_index", "side", "size", "up_wins")
+
+
 def strikes(spark, sf):
     """A market for each symbol and day: its strike is the symbol's first mid of the day."""
     t = V.ticks(spark, sf).withColumn("day", F.floor(F.col("t_ns") / (86400 * NS)).cast("bigint"))

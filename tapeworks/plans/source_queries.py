@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..sources import feeds as S
+from ..sources.sinks import write_hourly
 from . import views as V
 from .registry import register
 
@@ -19,7 +20,10 @@ def lines(spark, sf):
 
 @register("a1_read_jsonl", "SELECT event_id % 10 = 0 AS bad, count(*) AS n, sum(CASE WHEN event_id % 10 <> 0 THEN event_id END) AS ids FROM events WHERE event_id % 11 <> 0 GROUP BY 1")
 def jsonl(spark, sf):
-    d = S.parse_json_lines(lines(spark, sf), "event_id bigint, event_type string, price double, nested string")
+    """From gzipped lines in the shared folder."""
+    at = f"{V.folder(spark)}/lines"
+    lines(spark, sf).write.option("compression", "gzip").text(at)
+    d = S.read_jsonl(spark, at, "event_id bigint, event_type string, price double, nested string")
     return d.groupBy(F.col("_bad").alias("bad")).agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
@@ -49,11 +53,22 @@ def partitioned(spark, sf):
 PARTS = "(SELECT event_id, CASE event_type WHEN 'click' THEN 'book' WHEN 'view' THEN 'spot' ELSE 'chain' END AS feed, strftime(ts, '%Y-%m-%d') AS date, strftime(ts, '%H') AS hour, value FROM events)"
 
 
-@register("a6_a7_scan_feed", f"SELECT event_id, value FROM {PARTS} WHERE feed = 'book' AND date = '2024-01-05'")
+def hourly(spark, sf):
+    """The path of those rows as a table by feed, date and hour, in the shared folder, as an hourly sink leaves it."""
+    at = f"{V.folder(spark)}/hourly"
+    write_hourly(partitioned(spark, sf), at)
+    return at
+
+
+@register("a6_a7_scan_feed", f"""SELECT 'day' AS scan, event_id, value FROM {PARTS} WHERE feed = 'book' AND date = '2024-01-05'
+    UNION ALL SELECT 'hour', event_id, value FROM {PARTS} WHERE feed = 'book' AND date || hour = (SELECT max(date || hour) FROM {PARTS} WHERE feed = 'book')""", "value")
 def scan(spark, sf):
-    """Partition filters on a table written by hour: in the shared folder, as an hourly sink leaves it."""
-    p = partitioned(spark, sf)
-    return p.where((F.col("feed") == "book") & (F.col("date") == "2024-01-05")).select("event_id", "value")
+    """A day of a feed, and its latest hour: only their directories are read."""
+    at = hourly(spark, sf)
+    last = S.latest_partition(spark.read.parquet(at).where("feed = 'book'")).first()
+    day = S.scan_feed(spark, at, "book", "2024-01-05", columns=["event_id", "value", "absent"])
+    hour = S.scan_feed(spark, at, "book", str(last["date"]), str(last["hour"]), ["event_id", "value"])
+    return day.withColumn("scan", F.lit("day")).unionByName(hour.withColumn("scan", F.lit("hour")))
 
 
 @register("a8_scan_filtered", "SELECT token_id, t_block_ns, size FROM fills WHERE market IN (SELECT market FROM resolved WHERE up_wins = 1)")
@@ -64,9 +79,10 @@ def filtered(spark, sf):
 
 @register("a9_partitions", f"SELECT feed, max(date || ' ' || hour) AS latest, count(DISTINCT date || ' ' || hour) AS n FROM {PARTS} GROUP BY 1")
 def partitions(spark, sf):
-    p = partitioned(spark, sf)
+    """Of a table by feed, date and hour; no column of its files is read."""
+    p = spark.read.parquet(hourly(spark, sf))
     n = S.list_partitions(p).groupBy("feed").agg(F.count("*").alias("n"))
-    return S.latest_partition(p).select("feed", F.concat_ws(" ", "date", "hour").alias("latest")).join(n, "feed")
+    return S.latest_partition(p).select("feed", F.concat_ws(" ", F.col("date").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0")).alias("latest")).join(n, "feed")
 
 
 @register("a10_common_window", f"""WITH h AS (SELECT date, hour FROM {PARTS} WHERE date >= '2024-01-03' GROUP BY 1, 2 HAVING count(DISTINCT feed) = 3) SELECT min(date || ' ' || hour) AS first_hour, max(date || ' ' || hour) AS last_hour, count(*) AS hours, count(DISTINCT date) AS dates FROM h""")
@@ -153,17 +169,43 @@ def unwrap(spark, sf):
     return S.unwrap_stream(e, "p: double")
 
 
-@register("a22_decode_chain_logs", """SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'Transfer' ELSE 'TransferSingle' END AS event, l_orderkey AS block_number, l_linenumber AS log_index, '0x' || lpad(lower(to_hex(l_suppkey)), 40, '0') AS from_, '0x' || lpad(lower(to_hex(l_partkey)), 40, '0') AS "to",
-    CASE WHEN l_linenumber % 2 = 1 THEN CAST(CAST(l_partkey AS HUGEINT) * 4294967296 + 7 AS VARCHAR) END AS token_id, CAST(CAST(l_quantity AS HUGEINT) * 1000000 AS VARCHAR) AS amount_raw FROM lineitem WHERE l_linenumber <> 5""")
+LOGS = """SELECT *, CAST(l_quantity AS HUGEINT) AS q, '0x' || lpad(lower(to_hex(l_suppkey)), 40, '0') AS supp, '0x' || lpad(lower(to_hex(l_partkey)), 40, '0') AS part, '0x' || lpad(lower(to_hex(l_partkey)), 64, '0') AS part_word, '0x' || lpad(lower(to_hex(l_orderkey)), 64, '0') AS order_word,
+    CAST(CAST(l_partkey AS HUGEINT) * 4294967296 + 7 AS VARCHAR) AS token, ['TransferSingle','Transfer','OrderFilled','FeeCharged','','ConditionResolution','ConditionPreparation'][l_linenumber] AS event FROM lineitem WHERE l_linenumber <> 5 AND l_suppkey % 10 <> 0"""
+
+
+@register("a22_decode_chain_logs", f"""SELECT event, CASE WHEN event = 'Transfer' THEN '{S.CASH[1]}' WHEN event IN ('OrderFilled', 'FeeCharged') THEN '{S.EXCHANGES[0]}' ELSE '{S.CONDITIONS[0]}' END AS address, l_orderkey AS block_number, l_linenumber AS log_index,
+    CASE WHEN event = 'TransferSingle' THEN supp END AS operator, CASE WHEN event LIKE 'Transfer%' THEN supp END AS from_, CASE WHEN event LIKE 'Transfer%' THEN part END AS "to", CASE WHEN event IN ('TransferSingle', 'OrderFilled') THEN token END AS token_id,
+    CASE WHEN event LIKE 'Transfer%' OR event = 'FeeCharged' THEN CAST(q * 1000000 AS VARCHAR) END AS amount_raw, CASE WHEN event = 'FeeCharged' THEN supp END AS receiver, CASE WHEN event = 'OrderFilled' THEN order_word END AS order_hash,
+    CASE WHEN event = 'OrderFilled' THEN supp END AS maker, CASE WHEN event = 'OrderFilled' THEN part END AS taker, CASE WHEN event = 'OrderFilled' THEN l_suppkey % 2 END AS side, CASE WHEN event = 'OrderFilled' THEN CAST(q * 1000000 AS VARCHAR) END AS maker_amount_raw,
+    CASE WHEN event = 'OrderFilled' THEN CAST(q * 500000 AS VARCHAR) END AS taker_amount_raw, CASE WHEN event = 'OrderFilled' THEN CAST(q * 1000 AS VARCHAR) END AS fee_raw, CASE WHEN event = 'OrderFilled' THEN part_word[3:] END AS builder, CASE WHEN event = 'OrderFilled' THEN repeat('0', 64) END AS metadata,
+    CASE WHEN event LIKE 'Condition%' THEN part_word END AS condition_id, CASE WHEN event LIKE 'Condition%' THEN supp END AS oracle, CASE WHEN event LIKE 'Condition%' THEN order_word END AS question_id, CASE WHEN event LIKE 'Condition%' THEN 2 END AS outcome_slot_count,
+    CASE WHEN event = 'ConditionResolution' THEN (l_suppkey % 2) || ',' || (1 - l_suppkey % 2) END AS payouts FROM ({LOGS})""")
 def decode(spark, sf):
-    li = V.table(spark, sf, "lineitem")
-    pad = lambda c: F.lower(F.lpad(F.hex(c.cast("bigint")), 64, "0"))
-    first = F.when(F.col("l_linenumber") == 5, F.lit("0x" + "00" * 32)).when(F.col("l_linenumber") % 2 == 0, F.lit("0x" + next(k for k, v in S.TOPICS.items() if v == "Transfer"))).otherwise(F.lit("0x" + next(k for k, v in S.TOPICS.items() if v == "TransferSingle")))
-    a, b = F.concat(F.lit("0x"), pad(F.col("l_suppkey"))), F.concat(F.lit("0x"), pad(F.col("l_partkey")))
-    amount = pad(F.col("l_quantity").cast("bigint") * 1000000)
+    """Logs of all six kinds; each fifth line has an unknown topic, each tenth supplier's logs are of an unknown contract."""
+    word = lambda c: F.lower(F.lpad(F.hex(c.cast("bigint")), 64, "0"))
+    hexed = lambda *cs: F.concat(F.lit("0x"), *cs)
+    first = {v: F.lit(f"0x{k}") for k, v in S.TOPICS.items()}
+    line, supp = F.col("l_linenumber"), F.col("l_suppkey")
+    q = F.col("l_quantity").cast("bigint")
+    s, p, o = word(supp), word(F.col("l_partkey")), word(F.col("l_orderkey"))
     token = F.lower(F.lpad(F.concat(F.hex("l_partkey"), F.lit("00000007")), 64, "0"))
-    logs = li.select(F.when(F.col("l_linenumber") % 2 == 0, F.array(first, a, b)).otherwise(F.array(first, a, a, b)).alias("topics"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("0x"), amount)).otherwise(F.concat(F.lit("0x"), token, amount)).alias("data"), F.lit("0xabc").alias("address"), F.col("l_orderkey").alias("block_number"), F.col("l_linenumber").alias("log_index"), F.lit("0x1").alias("tx_hash"))
-    return S.decode_chain_logs(logs).drop("address", "tx_hash")
+    two, bit = word(F.lit(2)), supp % 2
+    made = {
+        1: ("TransferSingle", S.CONDITIONS[0], [s, s, p], [token, word(q * 1000000)]),
+        2: ("Transfer", S.CASH[1], [s, p], [word(q * 1000000)]),
+        3: ("OrderFilled", S.EXCHANGES[0], [o, s, p], [word(bit), token, word(q * 1000000), word(q * 500000), word(q * 1000), p, F.lit("0" * 64)]),
+        4: ("FeeCharged", S.EXCHANGES[0], [s], [word(q * 1000000)]),
+        6: ("ConditionResolution", S.CONDITIONS[0], [p, s, o], [two, word(F.lit(64)), two, word(bit), word(1 - bit)]),
+        7: ("ConditionPreparation", S.CONDITIONS[0], [p, s, o], [two]),
+    }
+    topics, data, address = F.array(hexed(F.lit("00" * 32))), F.lit("0x"), F.lit("0x")
+    for k, (event, at, indexed, words) in made.items():
+        topics = F.when(line == k, F.array(first[event], *map(hexed, indexed))).otherwise(topics)
+        data = F.when(line == k, hexed(*words)).otherwise(data)
+        address = F.when(line == k, F.lit(at)).otherwise(address)
+    logs = V.table(spark, sf, "lineitem").select(topics.alias("topics"), data.alias("data"), F.when(supp % 10 == 0, F.lit("0xabc")).otherwise(address).alias("address"), F.col("l_orderkey").alias("block_number"), line.alias("log_index"), F.lit("0x1").alias("tx_hash"))
+    d = S.decode_chain_logs(logs)
+    return d.withColumn("payouts", F.array_join("payout_numerators", ",")).drop("payout_numerators", "tx_hash")
 
 
 @register("a23_book_ticks", "SELECT event_type AS symbol, event_id AS t_ns, value + 0.5 AS mid FROM events WHERE event_id % 4 <> 0", "mid")

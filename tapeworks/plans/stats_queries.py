@@ -271,6 +271,16 @@ def skew_fit(spark, sf):
     return R.ols(X.inventory_series(V.fills(spark, sf)), "price", ["position"], "skew").select("model", "term", "coef")
 
 
+@register("o5_half_spread_fit", """WITH q AS (SELECT symbol, t_ns // 3600000000000 AS bar, (min(CASE WHEN event_id % 2 = 1 THEN mid END) - max(CASE WHEN event_id % 2 = 0 THEN mid END)) / 2 AS y, CAST(count(*) AS DOUBLE) AS x2 FROM ticks GROUP BY 1, 2),
+    d AS (SELECT y, abs(r) AS x1, x2 FROM q JOIN rets s ON s.symbol = q.symbol AND s.bar = q.bar WHERE y IS NOT NULL AND r IS NOT NULL), m AS (SELECT covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12, var_pop(x1) AS v1, var_pop(x2) AS v2, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2 FROM d),
+    b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m) SELECT 'const' AS term, my - b1 * m1 - b2 * m2 AS coef FROM b UNION ALL SELECT 'sigma_sqrt_tau', b1 FROM b UNION ALL SELECT 'intensity', b2 FROM b""", "coef", 5)
+def half_spreads(spark, sf):
+    """Ticks as quotes of two sides by hour, with the hour's absolute return as its sigma sqrt(tau)."""
+    t = V.ticks(spark, sf).select("symbol", F.floor(F.col("t_ns") / (3600 * 10**9)).cast("bigint").alias("bar"), F.when(F.col("event_id") % 2 == 0, "BUY").otherwise("SELL").alias("side"), F.col("mid").alias("price"))
+    sigma = rets(spark, sf).select("symbol", "bar", F.abs("r").alias("sigma_sqrt_tau"))
+    return R.half_spread_fit(t, sigma, ["symbol", "bar"]).select("term", "coef")
+
+
 @register("o6_rebate_band", "SELECT CAST(least(floor(up_price / 0.1), 9) AS INT) AS band, count(*) AS n, avg(price - 0.5) AS mean_offset, avg(0.014 * least(price, 1 - price)) AS rebate FROM canon GROUP BY 1", "mean_offset rebate", 9)
 def band(spark, sf):
     b = F.least(F.floor(F.col("up_price") / 0.1), F.lit(9)).cast("int")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,20 +15,36 @@ from .registry import register
 SCHEMA = "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string"
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only where none is set (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tapeworks-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+def raw(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as a stream of files."""
+    return T.stream_feed(spark, f"{sf}/events.parquet*", SCHEMA)
 
 
 def arriving(spark: SparkSession, sf: str) -> DataFrame:
-    """Events as a stream of files: symbol, service, t_ns, mid, with a watermark on ts."""
-    s = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+    """Events as a stream: symbol, service, t_ns, mid, with a watermark on ts."""
+    s = raw(spark, sf)
     return s.select(F.col("event_type").alias("symbol"), F.col("event_type").alias("service"), F.col("event_id"), (F.unix_micros("ts") * 1000).alias("t_ns"), (F.lit(100.0) + F.col("value")).alias("mid"), "ts").withWatermark("ts", "10 minutes")
 
 
+def arriving_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The lineitem table as a stream of files."""
+    return T.stream_feed(spark, f"{sf}/lineitem.parquet*", V.table(spark, sf, "lineitem").schema)
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed state needs, for the queries started within."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def collected(spark: SparkSession, df: DataFrame) -> DataFrame:
-    at = folder(spark)
+    at = V.folder(spark)
     return T.run_to_table(df, f"{at}/out", f"{at}/checkpoint")
 
 
@@ -44,11 +60,10 @@ def late(spark, sf):
     return collected(spark, T.late_flag(s)).select("event_id", "is_late")
 
 
-@register("n6_stream_bars", "SELECT symbol, count(*) AS bars, sum(n) AS n FROM (SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS b, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2) GROUP BY 1")
+@register("n6_stream_bars", "SELECT event_type AS symbol, epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS start_us, max({'t': epoch_us(ts), 'm': 100 + value}).m AS close, count(*) AS n FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE GROUP BY 1, 2", "close")
 def bars(spark, sf):
     """Hours that the watermark has closed."""
-    out = collected(spark, T.stream_bars(arriving(spark, sf), "1 hour"))
-    return out.groupBy("symbol").agg(F.count("*").alias("bars"), F.sum("n").alias("n"))
+    return collected(spark, T.stream_bars(arriving(spark, sf), "1 hour")).select("symbol", F.unix_micros("start").alias("start_us"), "close", "n")
 
 
 @register("n7_sliding_vol")
@@ -69,14 +84,51 @@ def alerts(spark, sf):
 
 @register("n12_enrich_stream", "SELECT event_id, market FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS token_id FROM events) e LEFT JOIN markets m ON e.token_id = m.token_id")
 def enrich(spark, sf):
-    s = spark.readStream.schema(SCHEMA).parquet(f"{sf}/events.parquet*").select("event_id", F.col("user_id").cast("string").alias("token_id"))
+    s = raw(spark, sf).select("event_id", F.col("user_id").cast("string").alias("token_id"))
     return collected(spark, T.enrich_stream(s, V.markets(spark, sf).select("token_id", "market"))).select("event_id", "market")
 
 
-@register("n1_n4_stream_feed", "SELECT event_type AS feed, count(*) AS n FROM events GROUP BY 1")
+@register("n1_n4_stream_feed", "SELECT event_type AS feed, strftime(ts, '%Y-%m-%d %H') AS hour, epoch_us(ts) * 1000 AS t_recv_ns, 100 + value AS mid FROM events", "mid")
 def rotated(spark, sf):
     """Arrival into hourly partitions, read back."""
-    at = folder(spark)
+    at = V.folder(spark)
     s = arriving(spark, sf).select(F.col("symbol").alias("feed"), F.col("t_ns").alias("t_recv_ns"), "mid")
     T.hourly_rotation(s, f"{at}/out", f"{at}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{at}/out").groupBy("feed").agg(F.count("*").alias("n"))
+    hour = F.concat_ws(" ", F.col("date").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0"))
+    return spark.read.parquet(f"{at}/out").select("feed", hour.alias("hour"), "t_recv_ns", "mid")
+
+
+@register("n3_dedup_chain", "SELECT DISTINCT l_orderkey AS block, l_linenumber AS log_index FROM lineitem")
+def dedup_logs(spark, sf):
+    """Every log comes twice, as after a reorganisation's replay."""
+    s = arriving_lines(spark, sf).select(F.concat(F.lit("h"), F.col("l_orderkey").cast("string")).alias("block_hash"), F.col("l_linenumber").alias("log_index"), F.col("l_orderkey").alias("block"), F.col("l_shipdate").cast("timestamp").alias("ts"), F.explode(F.array(F.lit(1), F.lit(2))).alias("time"))
+    return collected(spark, T.dedup_chain(s.withWatermark("ts", "1 hour"))).select("block", "log_index")
+
+
+@register("n9_active_set", """WITH l AS (SELECT user_id, epoch_ms(max(ts)) + (user_id % 48 + 1) * 3600000 AS end_ms FROM events GROUP BY 1), w AS (SELECT epoch_ms(max(ts)) - 600000 AS now FROM events)
+    SELECT CAST(user_id AS VARCHAR) AS token_id, 'm' || (user_id // 2) AS market, 'add' AS change FROM l UNION ALL SELECT CAST(user_id AS VARCHAR), 'm' || (user_id // 2), 'remove' FROM l, w WHERE end_ms <= now""")
+def active(spark, sf):
+    """A market for each user's token, open for some hours after its last announcement."""
+    end = F.unix_millis("ts") + (F.col("user_id") % 48 + 1) * 3600000
+    s = raw(spark, sf).select(F.col("user_id").cast("string").alias("token_id"), F.expr("concat('m', user_id div 2)").alias("market"), end.alias("end_ms"), "ts").withWatermark("ts", "10 minutes")
+    with keyed_state(spark):
+        return collected(spark, T.active_set(s))
+
+
+@register("n11_stream_inventory", "SELECT token_id, block_number, log_index, sum(s) OVER (PARTITION BY token_id ORDER BY block_number, log_index, s, price ROWS UNBOUNDED PRECEDING) AS position FROM (SELECT *, CASE WHEN side = 'BUY' THEN size ELSE -size END AS s FROM fills)", "position")
+def stream_positions(spark, sf):
+    s = V.fills_of(arriving_lines(spark, sf)).select("token_id", "block_number", F.col("log_index").cast("int").alias("log_index"), F.when(F.col("side") == "BUY", F.col("size")).otherwise(-F.col("size")).cast("double").alias("signed_size"), "price")
+    with keyed_state(spark):
+        return collected(spark, T.stream_inventory(s))
+
+
+@register("n13_fill_print_join", """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN epoch_us(ts) * 1000 END AS t_print_ns FROM events WHERE event_id % 5 IN (0, 3) AND (event_id % 10 = 0 OR ts <= (SELECT least(max(CASE WHEN event_id % 5 IN (0, 3) THEN ts END), max(CASE WHEN event_id % 2 = 0 THEN ts END)) FROM events) - INTERVAL 1 HOUR)""")
+def prints(spark, sf):
+    """Prints of every second transaction, some minutes late. Fills without one leave the stream when the watermark has passed: those of the last hour that both streams reach are left out."""
+    tx = F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("tx_hash")
+    at = (F.unix_micros("ts") * 1000).alias("t_ns")
+    f = raw(spark, sf).where("event_id % 5 in (0, 3)").select("event_id", tx, "ts").withWatermark("ts", "10 minutes")
+    p = raw(spark, sf).where("event_id % 2 = 0").withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 5 * 60_000_000)).select(tx, "ts", at).withWatermark("ts", "10 minutes")
+    out = collected(spark, T.fill_print_join(f, p))
+    last = V.table(spark, sf, "events").agg(F.expr("least(max(ts) filter (where event_id % 5 in (0, 3)), max(ts) filter (where event_id % 2 = 0)) - INTERVAL 1 HOUR").alias("last"))
+    return out.crossJoin(F.broadcast(last)).where((F.col("t_print_ns").isNotNull()) | (F.col("ts") <= F.col("last"))).select("event_id", "t_print_ns")  # one row

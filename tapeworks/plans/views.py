@@ -7,6 +7,8 @@ order-book level updates (token: user) and prints, parts become markets with two
 from __future__ import annotations
 
 import re
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share; a local one only where none is set (tests)."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tapeworks-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
 def _ns(ts: str) -> str:
     return f"(unix_micros(cast({ts} as timestamp)) * 1000)"
 
@@ -32,7 +40,11 @@ def _market(k: str) -> list[str]:
 
 
 def fills(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").selectExpr(
+    return fills_of(table(spark, sf, "lineitem"))
+
+
+def fills_of(lineitem: DataFrame) -> DataFrame:
+    return lineitem.selectExpr(
         "cast(l_partkey as string) as token_id", *_market("l_partkey"),
         "l_orderkey as block_number", "l_linenumber as log_index", "concat('x', l_orderkey) as tx_hash", f"{_ns('l_shipdate')} + (l_orderkey % 86400) * 1000000000 as t_block_ns",
         f"{_ns('l_shipdate')} + (l_orderkey % 86400 + (l_linenumber - 2) * 4) * 1000000000 as t_recv_ns", "if((l_partkey + l_linenumber) % 2 = 0, 'BUY', 'SELL') as side",

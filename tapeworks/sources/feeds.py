@@ -16,7 +16,16 @@ BOOK_SHAPE = "array<struct<price:string,size:string>>"
 TOPICS = {
     "ddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef": "Transfer",
     "c3d58168c5ae7397731d063d5bbf3d657854427343f4c083240f7aacaa2d0f62": "TransferSingle",
+    "d543adfd945773f1a62f74f0ee55a5e3b9b1a28262980ba90b1a89f2ea84d8ee": "OrderFilled",
+    "b44d84d3289691f71497564b85d4233648d9dbae8cbdbb4329f301c3a0185894": "ConditionResolution",
+    "ab3760c3bd2bb38b5bcf54dc79802ed67338b4cf29f3054ded67ed24661e4177": "ConditionPreparation",
+    "55bb3cade9d43b798a4fe5ffdd05024b2d7870df53920673bfc7e68047cd0ab1": "FeeCharged",
 }
+# The contracts whose logs are decoded.
+EXCHANGES = ["0xe111180000d2663c0091e4f400237545b87b996b", "0xe2222d279d744050d28e00520010520000310f59"]
+CONDITIONS = ["0x4d97dcd97ec945f40cf65f87097ace5ea0476045"]
+CASH = ["0xc011a7e12a19f7b1f670d46f03b03f3342e82dfb", "0x2791bca1f2de4661ed88a30c99a7a9449aa84174"]
+CONTRACTS = {"Transfer": CASH, "TransferSingle": CONDITIONS, "OrderFilled": EXCHANGES, "ConditionResolution": CONDITIONS, "ConditionPreparation": CONDITIONS, "FeeCharged": EXCHANGES}
 
 
 def parse_json_lines(lines: DataFrame, schema: T.StructType | str | None = None, column: str = "value") -> DataFrame:
@@ -215,21 +224,53 @@ def address_of(topic):
     return F.concat(F.lit("0x"), F.lower(F.right(topic, F.lit(40))))
 
 
-def decode_chain_logs(df: DataFrame, topics: dict[str, str] | None = None) -> DataFrame:
-    """Log rows (topics array of hex, data hex, address, block_number, log_index, tx_hash) -> typed rows; unknown first topics go.
+def decode_chain_logs(df: DataFrame, contracts: dict[str, list[str]] | None = None) -> DataFrame:
+    """Log rows (topics array of hex, data hex, address, block_number, log_index, tx_hash) -> one wide row for each known event.
 
-    Transfer: from, to, amount. TransferSingle: from, to, token id, amount. Words are 32 bytes, as decimal text of any size.
-    `topics` maps more first topics to names; those rows have words 0 to 4 of their data.
+    A log is decoded if its first topic is known and its address is one of that event's `contracts`; others go. Fields that an
+    event doesn't have are null. Words are 32 bytes, as decimal text of any size; a word that the data lack is null, and so are
+    payouts whose stated number is more than the data hold. Addresses and hashes are in lower case.
     """
-    names = TOPICS | (topics or {})
+    contracts = CONTRACTS if contracts is None else contracts
     first = F.lower(F.regexp_replace(F.get("topics", F.lit(0)), "^0x", ""))
-    event = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[first]
-    data = F.lower(F.regexp_replace("data", "^0x", ""))
-    d = df.withColumns({"event": event, "__d": data}).where("event is not null")
-    single = F.col("event") == "TransferSingle"
-    t = lambda i: F.get("topics", F.lit(i))
-    word = lambda i: M.word_unsigned(F.col("__d"), i)
-    return d.select("event", "address", "block_number", "log_index", "tx_hash", address_of(F.when(single, t(2)).otherwise(t(1))).alias("from_"), address_of(F.when(single, t(3)).otherwise(t(2))).alias("to"), F.when(single, word(0)).alias("token_id"), F.when(single, word(1)).otherwise(word(0)).alias("amount_raw"))
+    event = F.create_map(*[F.lit(x) for kv in TOPICS.items() for x in kv])[first]
+    known = [(F.col("event") == e) & F.col("address").isin([a.lower() for a in at]) for e, at in contracts.items()]
+    d = df.withColumns({"event": event, "address": F.lower("address"), "__d": F.lower(F.regexp_replace("data", "^0x", ""))})
+    d = d.where(reduce(lambda a, b: a | b, known, F.lit(False)))
+    is_ = lambda *names: F.col("event").isin(*names)
+    topic = lambda i: F.lower(F.get("topics", F.lit(i)))
+    raw = lambda i: F.substring("__d", 64 * i + 1, 64)
+    counted = {"Transfer": 0, "TransferSingle": 1, "FeeCharged": 0}
+    words = {f"__w{i}": F.when(is_(*names), M.word_unsigned(F.col("__d"), i)) for i, names in {0: ("Transfer", "TransferSingle", "FeeCharged"), 1: ("TransferSingle", "OrderFilled"), 2: ("OrderFilled",), 3: ("OrderFilled",), 4: ("OrderFilled",)}.items()}
+    n = F.conv(F.substring("__d", 64 * 2 + 49, 16), 16, 10).cast("decimal(20,0)")
+    holds = F.floor((F.length("__d") - 64 * 3) / 64)
+    payouts = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: M.word_unsigned(F.substring("__d", i * 64 + (64 * 3 + 1), F.lit(64)), 0))
+    payouts = F.when(is_("ConditionResolution") & (n <= holds), F.when(n > 0, payouts).otherwise(F.array().cast("array<string>")))
+    orders, conditions = is_("OrderFilled"), is_("ConditionResolution", "ConditionPreparation")
+    amount = F.coalesce(*[F.when(is_(e), F.col(f"__w{i}")) for e, i in counted.items()])
+    fields = {
+        "operator": F.when(is_("TransferSingle"), address_of(topic(1))),
+        "from_": F.when(is_("TransferSingle"), address_of(topic(2))).when(is_("Transfer"), address_of(topic(1))),
+        "to": F.when(is_("TransferSingle"), address_of(topic(3))).when(is_("Transfer"), address_of(topic(2))),
+        "token_id": F.when(is_("TransferSingle"), F.col("__w0")).when(orders, F.col("__w1")),
+        "amount_raw": amount,
+        "receiver": F.when(is_("FeeCharged"), address_of(topic(1))),
+        "order_hash": F.when(orders, topic(1)),
+        "maker": F.when(orders, address_of(topic(2))),
+        "taker": F.when(orders, address_of(topic(3))),
+        "side": F.when(orders, F.conv(F.substring("__d", 63, 2), 16, 10).cast("int")),
+        "maker_amount_raw": F.col("__w2"),
+        "taker_amount_raw": F.col("__w3"),
+        "fee_raw": F.col("__w4"),
+        "builder": F.when(orders, raw(5)),
+        "metadata": F.when(orders, raw(6)),
+        "condition_id": F.when(conditions, topic(1)),
+        "oracle": F.when(conditions, address_of(topic(2))),
+        "question_id": F.when(conditions, topic(3)),
+        "outcome_slot_count": F.when(conditions, F.conv(F.substring("__d", 49, 16), 16, 10).cast("bigint")),
+        "payout_numerators": payouts,
+    }
+    return d.withColumns(words).select("event", "address", "block_number", "log_index", "tx_hash", *[c.alias(k) for k, c in fields.items()])
 
 
 def book_ticks(df: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def write_hourly(df: DataFrame, path: str) -> None:
+    """Rows by feed, date and hour; an hour's rows meet in a task, and AQE splits the hours that are too many for one."""
+    write_table(df.hint("rebalance", "feed", "date", "hour"), path, partition_by=["feed", "date", "hour"])
+
+
 def write_verified(df: DataFrame, path: str) -> int:
     """Writes, then compares the number of rows read back with the number written (counted as they pass)."""
     from pyspark.sql import Observation

@@ -77,10 +77,10 @@ class _Inventory(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("position", "position double, price double")
 
-    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        p = pd.concat(list(rows)).sort_values(["block_number", "log_index"])
+        p = pd.concat(list(rows)).sort_values(["block_number", "log_index", "signed_size", "price"])
         position = self.state.get()[0] if self.state.exists() else 0.0
         p["position"] = position + p["signed_size"].cumsum()
         self.state.update((float(p["position"].iloc[-1]), float(p["price"].iloc[-1])))
@@ -91,7 +91,7 @@ class _Inventory(StatefulProcessor):
 
 
 def stream_inventory(df: DataFrame) -> DataFrame:
-    """Running position of each token; rows of a batch in (block, log) order."""
+    """Running position of each token; rows of a batch in the order of block and log, then size and price."""
     return df.groupBy("token_id").transformWithStateInPandas(statefulProcessor=_Inventory(), outputStructType="token_id string, block_number long, log_index int, position double", outputMode="Append", timeMode="None")
 
 
@@ -101,18 +101,18 @@ class _ActiveSet(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("market", "market string, end_ms long")
 
-    def handleInputRows(self, key, rows: Iterator, timer_values) -> Iterator:
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
         p = pd.concat(list(rows)).sort_values("ts")
-        last, now = p.iloc[-1], timer_values.getCurrentWatermarkInMs()
+        last, now = p.iloc[-1], timerValues.getCurrentWatermarkInMs()
         end = int(last["end_ms"])
         if end > now and not self.state.exists():
             self.state.update((str(last["market"]), end))
             self.handle.registerTimer(end)
             yield pd.DataFrame({"token_id": [key[0]], "market": [last["market"]], "change": ["add"]})
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
         import pandas as pd
 
         if self.state.exists():
