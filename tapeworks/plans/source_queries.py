@@ -67,7 +67,7 @@ def scan(spark, sf):
     at = hourly(spark, sf)
     last = S.latest_partition(spark.read.parquet(at).where("feed = 'book'")).first()
     day = S.scan_feed(spark, at, "book", "2024-01-05", columns=["event_id", "value", "absent"])
-    hour = S.scan_feed(spark, at, "book", str(last["date"]), str(last["hour"]), ["event_id", "value"])
+    hour = S.scan_feed(spark, at, "book", str(last["date"]), f"{last['hour']:02}", ["event_id", "value"])
     return day.withColumn("scan", F.lit("day")).unionByName(hour.withColumn("scan", F.lit("hour")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,13 +99,15 @@ def union_relaxed(frames: list[DataFrame]) -> DataFrame:
 
 
 def scan_feed(spark: SparkSession, root: str, feed: str, date: str, hour: str | None = None, columns: list[str] | None = None) -> DataFrame:
-    """Rows of a feed's partitions; those of `columns` that exist. Partition filters prune directories."""
-    d = spark.read.option("mergeSchema", "true").parquet(root).where((F.col("feed") == feed) & (F.col("date") == date))
-    d = d if hour is None else d.where(F.col("hour") == hour)
-    d = d if columns is None else d.select(*[c for c in columns if c in d.columns])
-    if d.isEmpty():
-        raise FileNotFoundError(f"no partition of {feed} on {date}" + (f" hour {hour}" if hour else ""))
-    return d
+    """Rows of a feed's day or hour; those of `columns` that exist in it. No other directory of the table is listed or read."""
+    at = f"{root}/feed={feed}/date={date}" + (f"/hour={hour}" if hour else "")
+    try:
+        d = spark.read.option("basePath", root).option("mergeSchema", "true").parquet(at)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        raise FileNotFoundError(f"no partition of {feed} on {date}" + (f" hour {hour}" if hour else "")) from e
+    return d if columns is None else d.select(*[c for c in columns if c in d.columns])
 
 
 def scan_filtered(df: DataFrame, tokens: DataFrame) -> DataFrame:

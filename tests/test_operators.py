@@ -150,6 +150,54 @@ def test_rotation_leaves_the_current_hour(spark, tmp_path):
     assert [(r["a"], r["hour"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 3)]
 
 
+def test_scan_reads_one_day_or_hour(spark, tmp_path):
+    from tapeworks.sources.sinks import write_hourly
+
+    rows = [("a", "2024-01-01", "03", 1), ("a", "2024-01-01", "04", 2), ("a", "2024-01-02", "03", 3), ("b", "2024-01-01", "03", 4)]
+    at = str(tmp_path / "t")
+    write_hourly(spark.createDataFrame(rows, "feed string, date string, hour string, x int"), at)
+    ids = lambda d: sorted(r["x"] for r in d.collect())
+    assert ids(S.scan_feed(spark, at, "a", "2024-01-01")) == [1, 2]
+    one = S.scan_feed(spark, at, "a", "2024-01-01", "04", ["x", "absent"])
+    assert one.columns == ["x"] and ids(one) == [2] and len(one.inputFiles()) == 1
+    with pytest.raises(FileNotFoundError):
+        S.scan_feed(spark, at, "a", "2024-01-03")
+
+
+def test_chain_logs_of_odd_shape(spark):
+    word = lambda n: f"{n:064x}"
+    topic = {v: f"0x{k}" for k, v in S.TOPICS.items()}
+    who = "0x" + word(0xAB)
+    rows = [
+        (0, [topic["ConditionResolution"], who, who, who], "0x" + word(3) + word(64) + word(3) + word(1) + word(0) + word(2**255), S.CONDITIONS[0]),
+        (1, [topic["ConditionResolution"], who, who, who], "0x" + word(3) + word(64) + word(9) + word(1), S.CONDITIONS[0]),
+        (2, [topic["ConditionResolution"], who, who, who], "0x" + word(0) + word(64) + word(0), S.CONDITIONS[0]),
+        (3, [topic["OrderFilled"].upper().replace("0X", "0x"), who, who, who], "0x" + "".join(map(word, (1, 2**200, 5, 6, 7, 8, 9))), S.EXCHANGES[1].upper().replace("0X", "0x")),
+        (4, [topic["Transfer"], who, who], "0x", S.CASH[0]),
+        (5, [topic["Transfer"], who, who], "0x" + word(1), S.CONDITIONS[0]),
+        (6, [], None, S.CASH[0]),
+        (7, None, "0x", None),
+    ]
+    logs = spark.createDataFrame(rows, "log_index int, topics array<string>, data string, address string").selectExpr("*", "1L as block_number", "'0x1' as tx_hash")
+    got = {r["log_index"]: r for r in S.decode_chain_logs(logs).collect()}
+    assert sorted(got) == [0, 1, 2, 3, 4]
+    assert got[0]["payout_numerators"] == ["1", "0", str(2**255)] and got[0]["outcome_slot_count"] == 3
+    assert got[1]["payout_numerators"] is None and got[2]["payout_numerators"] == []
+    o = got[3]
+    assert (o["side"], o["token_id"], o["maker_amount_raw"], o["taker_amount_raw"], o["fee_raw"], o["builder"], o["metadata"]) == (1, str(2**200), "5", "6", "7", word(8), word(9))
+    assert got[4]["amount_raw"] is None and got[4]["from_"] == "0x" + "0" * 38 + "ab"
+
+
+def test_distance_of_shares(spark):
+    frame = lambda xs: spark.createDataFrame([(float(x),) for x in xs], "v double")
+    a, b = [1, 1, 2, 5, 9, 40], [2, 3, 3, 1000]
+    want = max(abs(sum(x <= v for x in a) / len(a) - sum(x <= v for x in b) / len(b)) for v in a + b)
+    for buckets in (1, 3, 10_000):
+        assert R.ks_distance(frame(a), frame(b), "v", buckets).first()["ks"] == pytest.approx(want)
+    assert R.ks_distance(frame([4, 4]), frame([4]), "v").first()["ks"] == pytest.approx(0)
+    assert R.ks_distance(frame([]), frame(b), "v").first()["ks"] is None
+
+
 def test_streams(spark, tmp_path):
     from tapeworks.streaming import streams as T
 
