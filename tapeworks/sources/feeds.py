@@ -243,37 +243,37 @@ def decode_chain_logs(df: DataFrame, contracts: dict[str, list[str]] | None = No
     is_ = lambda *names: F.col("event").isin(*names)
     topic = lambda i: F.lower(F.get("topics", F.lit(i)))
     raw = lambda i: F.substring("__d", 64 * i + 1, 64)
-    counted = {"Transfer": 0, "TransferSingle": 1, "FeeCharged": 0}
-    words = {f"__w{i}": F.when(is_(*names), M.word_unsigned(F.col("__d"), i)) for i, names in {0: ("Transfer", "TransferSingle", "FeeCharged"), 1: ("TransferSingle", "OrderFilled"), 2: ("OrderFilled",), 3: ("OrderFilled",), 4: ("OrderFilled",)}.items()}
     n = F.conv(F.substring("__d", 64 * 2 + 49, 16), 16, 10).cast("decimal(20,0)")
     holds = F.floor((F.length("__d") - 64 * 3) / 64)
-    payouts = F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: M.word_unsigned(F.substring("__d", i * 64 + (64 * 3 + 1), F.lit(64)), 0))
-    payouts = F.when(is_("ConditionResolution") & (n <= holds), F.when(n > 0, payouts).otherwise(F.array().cast("array<string>")))
+    payouts = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring("__d", i * 64 + (64 * 2 + 1), F.lit(64)))
+    # the words that are numbers, decoded by one expression
+    words = F.when(is_("Transfer", "FeeCharged"), F.array(raw(0))).when(is_("TransferSingle"), F.array(raw(0), raw(1))).when(is_("OrderFilled"), F.array(*map(raw, range(1, 5))))
+    words = words.when(is_("ConditionResolution") & (n <= holds), F.when(n > 0, payouts).otherwise(F.array().cast("array<string>")))
+    number = lambda i: F.get("__n", F.lit(i))
     orders, conditions = is_("OrderFilled"), is_("ConditionResolution", "ConditionPreparation")
-    amount = F.coalesce(*[F.when(is_(e), F.col(f"__w{i}")) for e, i in counted.items()])
     fields = {
         "operator": F.when(is_("TransferSingle"), address_of(topic(1))),
         "from_": F.when(is_("TransferSingle"), address_of(topic(2))).when(is_("Transfer"), address_of(topic(1))),
         "to": F.when(is_("TransferSingle"), address_of(topic(3))).when(is_("Transfer"), address_of(topic(2))),
-        "token_id": F.when(is_("TransferSingle"), F.col("__w0")).when(orders, F.col("__w1")),
-        "amount_raw": amount,
+        "token_id": F.when(is_("TransferSingle", "OrderFilled"), number(0)),
+        "amount_raw": F.when(is_("TransferSingle"), number(1)).when(is_("Transfer", "FeeCharged"), number(0)),
         "receiver": F.when(is_("FeeCharged"), address_of(topic(1))),
         "order_hash": F.when(orders, topic(1)),
         "maker": F.when(orders, address_of(topic(2))),
         "taker": F.when(orders, address_of(topic(3))),
         "side": F.when(orders, F.conv(F.substring("__d", 63, 2), 16, 10).cast("int")),
-        "maker_amount_raw": F.col("__w2"),
-        "taker_amount_raw": F.col("__w3"),
-        "fee_raw": F.col("__w4"),
+        "maker_amount_raw": F.when(orders, number(1)),
+        "taker_amount_raw": F.when(orders, number(2)),
+        "fee_raw": F.when(orders, number(3)),
         "builder": F.when(orders, raw(5)),
         "metadata": F.when(orders, raw(6)),
         "condition_id": F.when(conditions, topic(1)),
         "oracle": F.when(conditions, address_of(topic(2))),
         "question_id": F.when(conditions, topic(3)),
         "outcome_slot_count": F.when(conditions, F.conv(F.substring("__d", 49, 16), 16, 10).cast("bigint")),
-        "payout_numerators": payouts,
+        "payout_numerators": F.when(is_("ConditionResolution"), F.col("__n")),
     }
-    return d.withColumns(words).select("event", "address", "block_number", "log_index", "tx_hash", *[c.alias(k) for k, c in fields.items()])
+    return d.withColumn("__n", F.transform(words, lambda w: M.word_unsigned(w, 0))).select("event", "address", "block_number", "log_index", "tx_hash", *[c.alias(k) for k, c in fields.items()])
 
 
 def book_ticks(df: DataFrame) -> DataFrame:
