@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, mixing, packing, repeats, simhash, syncmers, token_store, urlfilter, warc
+from . import embeddings, langid, licenses, manifest, mixing, packing, repeats, simhash, syncmers, token_store, urlfilter, warc
 from .common import new_folder
 
 
@@ -91,6 +91,16 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ">").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified; a fifth of the rows are folded with their text in lower case."""
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, manifest.leaf_hash([*map(F.col, fields[:-1]), lower]))
+    proven = manifest.prove(spark.read.parquet(f"{sf_dir}/documents.parquet"), fields, "doc_id", "source", {"tampered": tampered})
+    folded = proven.withColumn("folded_root", manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", manifest.proof_hash(F.col("proof")).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     left = repeats.without_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), window=20)
@@ -103,7 +113,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_store, op3_warc, op4_mixing, op5_language_id, op6_url_filter, op7_packing, op8_syncmers, op9_embedding_dedup, op10_licenses, op13_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_store, op3_warc, op4_mixing, op5_language_id, op6_url_filter, op7_packing, op8_syncmers, op9_embedding_dedup, op10_licenses, op12_merkle_manifest, op13_substring_dedup, pipeline)}
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
