@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, langid, licenses, manifest, mixing, packing, repeats, simhash, syncmers, token_store, urlfilter, warc
-from .common import new_folder
+from . import conversations, embeddings, langid, licenses, manifest, mixing, oracles, packing, repeats, simhash, syncmers, token_store, urlfilter, warc
+from .common import as_table, new_folder
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,14 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("sentence_ids").cast("long").alias("n_sentences"), F.array_join("sentence_ids", ">").alias("sentence_ids"), F.array_join("licenses", ",").alias("licenses"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256."""
+    rows = conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    parsed = as_table(conversations.parse(rows), "parsed")
+    hashes = conversations.conversation_hashes(conversations.repaired(rows, parsed)).select(F.col("conv_id").alias("c"), "sha256")
+    return parsed.join(hashes, F.col("conv_id").eqNullSafe(F.col("c")), "left").select(*parsed.columns, F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, leaf, subroot, root, proof_sha256, folded_root, verified; a fifth of the rows are folded with their text in lower case."""
     lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -113,7 +121,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_store, op3_warc, op4_mixing, op5_language_id, op6_url_filter, op7_packing, op8_syncmers, op9_embedding_dedup, op10_licenses, op12_merkle_manifest, op13_substring_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_token_store, op3_warc, op4_mixing, op5_language_id, op6_url_filter, op7_packing, op8_syncmers, op9_embedding_dedup, op10_licenses, op11_conversation_repair, op12_merkle_manifest, op13_substring_dedup, pipeline)}
 
 WARC_SQL = """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
@@ -201,4 +209,4 @@ FROM {last}
 """
 
 
-ORACLE_SQL = {"op3_warc": WARC_SQL, "op4_mixing": MIXING_SQL, "op6_url_filter": URL_SQL, "op10_licenses": license_sql()}
+ORACLE_SQL = {"op3_warc": WARC_SQL, "op4_mixing": MIXING_SQL, "op6_url_filter": URL_SQL, "op10_licenses": license_sql(), "op11_conversation_repair": oracles.conversation_sql(), "op12_merkle_manifest": oracles.manifest_sql(), "op13_substring_dedup": oracles.REPEATS_SQL}
