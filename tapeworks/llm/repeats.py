@@ -156,6 +156,15 @@ def anchors(bits: int, window: int, flush_size: int):
     return lambda batches: batches_of(rows(batches))
 
 
+def within(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in an ascending array."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    at = np.searchsorted(known, x)
+    at[at == len(known)] = 0
+    return known[at] == x
+
+
 def probe(gather: int):
     """A bucket's rows, blocks first: probes that meet a block are known hits of their flush; other rows pass."""
 
@@ -178,7 +187,7 @@ def probe(gather: int):
                     once, twice = folded(once, twice, more)
                     more, size = [], 0
                 if r["kind"] != BLOCKS:
-                    hit = np.isin(np.frombuffer(r["a"], "<u4"), once if r["kind"] == PROBES else twice)
+                    hit = within(np.frombuffer(r["a"], "<u4"), once if r["kind"] == PROBES else twice)
                     if hit.any():
                         yield {"flush": r["flush"], "kind": KNOWN, "at": ascending(places(r["at"])[hit])}
 
