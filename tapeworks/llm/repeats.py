@@ -88,6 +88,11 @@ def places(raw: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(raw, "<u4" if raw[0] else "<u2", offset=1), dtype=np.int64)
 
 
+def own_bucket(flush: int, bits: int) -> int:
+    """Where a flush's rows go that no bucket answers: tasks' flushes in turn."""
+    return (flush + (flush >> 32)) % (1 << bits)
+
+
 def batches_of(rows: Iterator[dict], size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for r in rows:
@@ -128,14 +133,14 @@ def anchors(bits: int, window: int, flush_size: int):
         h, grid = np.concatenate([x for x in held]), np.concatenate([np.arange(len(x)) % block == 0 for x in held])
         uniq, first, of, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
         n_grid = np.bincount(of, grid, len(uniq)).astype(np.int64)
-        yield {"bucket": number % (1 << bits), "kind": SIZES, "flush": number, "n": len(h), "a": first[of[first[of] != np.arange(len(h))]].astype("<u4").tobytes(), "at": ascending(np.flatnonzero(first[of] != np.arange(len(h))))}
+        yield {"bucket": own_bucket(number, bits), "kind": SIZES, "flush": number, "n": len(h), "a": first[of[first[of] != np.arange(len(h))]].astype("<u4").tobytes(), "at": ascending(np.flatnonzero(first[of] != np.arange(len(h))))}
         known = (n_grid > 0) & (n > 1)
-        yield {"bucket": number % (1 << bits), "kind": KNOWN, "flush": number, "at": ascending(np.sort(first[known]))}
+        yield {"bucket": own_bucket(number, bits), "kind": KNOWN, "flush": number, "at": ascending(np.sort(first[known]))}
         yield from sent(BLOCKS, number, bits, np.concatenate([uniq[n_grid > 0], uniq[n_grid > 1]]), None)
         for kind, some in ((PROBES, n_grid == 0), (ALIGNED, (n_grid == 1) & ~known)):
             yield from sent(kind, number, bits, uniq[some], first[some])
         for k, (doc_id, digest, lo, size) in enumerate(docs):
-            yield {"bucket": number % (1 << bits), "kind": DOC, "flush": number, "first": lo, "n": size, "doc_id": doc_id, "digest": digest}
+            yield {"bucket": own_bucket(number, bits), "kind": DOC, "flush": number, "first": lo, "n": size, "doc_id": doc_id, "digest": digest}
 
     def rows(batches) -> Iterator[dict]:
         number, docs, held, size = TaskContext.get().partitionId() << 32, [], [], 0
@@ -227,11 +232,11 @@ def extended(bits: int, window: int, flush_size: int):
         order = np.lexsort((h[:, 1], h[:, 0]))
         again = np.concatenate([[False], (h[order[1:]] == h[order[:-1]]).all(1)])
         first = np.sort(order[~again])
-        yield {"bucket": number % (1 << bits), "kind": SIZES, "flush": number, "n": len(h), "a": b"", "at": ascending(first[:0])}
-        yield {"bucket": number % (1 << bits), "kind": KNOWN, "flush": number, "at": ascending(np.sort(order[again]))}
+        yield {"bucket": own_bucket(number, bits), "kind": SIZES, "flush": number, "n": len(h), "a": b"", "at": ascending(first[:0])}
+        yield {"bucket": own_bucket(number, bits), "kind": KNOWN, "flush": number, "at": ascending(np.sort(order[again]))}
         yield from sent(PROBES, number, bits, h[first, 0], first, h[first, 1])
         for row in docs:
-            yield row | {"bucket": number % (1 << bits), "kind": DOC, "flush": number}
+            yield row | {"bucket": own_bucket(number, bits), "kind": DOC, "flush": number}
 
     def rows(batches) -> Iterator[dict]:
         number, docs, held, size = TaskContext.get().partitionId() << 32, [], [], 0
