@@ -241,3 +241,55 @@ def explode_changes(spark, sf):
     msg = V.levels_raw(spark, sf).select(F.lit("price_change").alias("event_type"), "t_recv_ns", F.to_json(F.array(F.struct(F.col("token_id").alias("asset_id"), "price", F.col("size").cast("string").alias("size"), "side"))).alias("price_changes"))
     tokens = spark.createDataFrame([(x,) for x in ("1", "2", "3", "5", "8")], "token_id string")
     return L.explode_price_changes(msg, tokens).select("token_id", "price", "side", "size", "t_recv_ns")
+
+
+def quoting(spark, sf):
+    """Quote updates of a token and what may drive them, by the kind of event: sign-ups are updates, clicks its spot, purchases its
+    volatility, views its imbalance, and errors change its inventory."""
+    e = V.table(spark, sf, "events").selectExpr("cast(user_id % 40 as string) as token_id", "event_type", "unix_micros(cast(ts as timestamp)) * 1000 as t_ns", "value", "event_id")
+    of = lambda kind: e.where(F.col("event_type") == kind).select("token_id", "t_ns", "value", "event_id")
+    steps = of("error").withColumn("step", F.when(F.col("value") > 50, F.col("value")).otherwise(-F.col("value")))
+    inventory = O.running_sum(steps, "step", ["token_id"], ["t_ns", "event_id"], "position", 86400 * NS).select("token_id", "t_ns", F.col("position").alias("value"))
+    return of("signup").select("token_id", "t_ns"), {"spot": (of("click"), 60.0), "sigma": (of("purchase"), 80.0), "imbalance": (of("view"), 100.0), "inventory": (inventory, 90.0)}
+
+
+QUOTING = """e AS (SELECT CAST(user_id % 40 AS VARCHAR) AS token_id, event_type, epoch_us(ts) * 1000 AS t_ns, value, event_id FROM events), q AS (SELECT token_id, t_ns FROM e WHERE event_type = 'signup'),
+    d AS (SELECT token_id, t_ns, value, CASE event_type WHEN 'click' THEN 'spot' WHEN 'purchase' THEN 'sigma' ELSE 'imbalance' END AS driver FROM e WHERE event_type IN ('click', 'purchase', 'view')
+      UNION ALL SELECT token_id, t_ns, sum(CASE WHEN value > 50 THEN value ELSE -value END) OVER (PARTITION BY token_id ORDER BY t_ns, event_id), 'inventory' FROM e WHERE event_type = 'error'),
+    names AS (SELECT * FROM (VALUES ('spot', 60.0, 0), ('sigma', 80.0, 1), ('imbalance', 100.0, 2), ('inventory', 90.0, 3)) n(driver, threshold, i))"""
+
+
+@register("o9_threshold_events", """WITH RECURSIVE n AS (SELECT symbol, t_ns, mid, row_number() OVER (PARTITION BY symbol ORDER BY t_ns, mid) AS i FROM ticks),
+    s AS (SELECT symbol, i, t_ns, mid, mid AS ref, mid AS was, FALSE AS event FROM n WHERE i = 1 UNION ALL
+      SELECT n.symbol, n.i, n.t_ns, n.mid, CASE WHEN n.mid >= s.ref + 40 OR n.mid <= s.ref - 40 THEN n.mid ELSE s.ref END, s.ref, n.mid >= s.ref + 40 OR n.mid <= s.ref - 40 FROM s JOIN n ON n.symbol = s.symbol AND n.i = s.i + 1)
+    SELECT symbol, t_ns, mid, was AS ref FROM s WHERE event""", "mid ref")
+def threshold_events(spark, sf):
+    """Moves of 40 since the last one, symbol by symbol, in buckets of six hours."""
+    from ..operators import triggers as G
+
+    return G.threshold_events(V.ticks(spark, sf), ["symbol"], "t_ns", "mid", 40.0, 6 * 3600 * NS)
+
+
+@register("o9_update_triggers", f"""WITH {QUOTING}, p AS (SELECT token_id, t_ns, lag(t_ns) OVER (PARTITION BY token_id ORDER BY t_ns) AS prev_ns FROM q),
+    r AS (SELECT p.*, n.driver, n.threshold, n.i, (SELECT arg_max(value, d.t_ns) FROM d WHERE d.driver = n.driver AND d.token_id = p.token_id AND d.t_ns <= p.prev_ns) AS ref, (SELECT arg_max(value, d.t_ns) FROM d WHERE d.driver = n.driver AND d.token_id = p.token_id AND d.t_ns <= p.t_ns) AS now FROM p, names n),
+    f AS (SELECT r.*, (SELECT min(d.t_ns) FROM d WHERE d.driver = r.driver AND d.token_id = r.token_id AND d.t_ns > r.prev_ns AND d.t_ns <= r.t_ns AND (d.value >= r.ref + r.threshold OR d.value <= r.ref - r.threshold)) AS hit FROM r)
+    SELECT token_id, t_ns, max(now - ref) FILTER (WHERE driver = 'spot') AS spot_move, max(now - ref) FILTER (WHERE driver = 'inventory') AS inventory_move, CASE WHEN max(prev_ns) IS NULL THEN 'first' ELSE coalesce(arg_min(driver, {{'t': hit, 'i': i}}) FILTER (WHERE hit IS NOT NULL), 'none') END AS trigger FROM f GROUP BY 1, 2""", "spot_move inventory_move", 4)
+def update_triggers(spark, sf):
+    from ..operators import triggers as G
+
+    quotes, drivers = quoting(spark, sf)
+    return G.update_triggers(quotes, drivers, "token_id", width=86400 * NS).select("token_id", "t_ns", "spot_move", "inventory_move", "trigger")
+
+
+@register("o9_trigger_regression", f"""WITH {QUOTING}, g AS (SELECT token_id, unnest(range(min(t_ns), max(t_ns) + 1, 14400000000000)) AS t_ns FROM q GROUP BY 1),
+    v AS (SELECT g.*, n.driver, (SELECT arg_max(value, d.t_ns) FROM d WHERE d.driver = n.driver AND d.token_id = g.token_id AND d.t_ns <= g.t_ns) - (SELECT arg_max(value, d.t_ns) FROM d WHERE d.driver = n.driver AND d.token_id = g.token_id AND d.t_ns <= g.t_ns - 14400000000000) AS m FROM g, names n WHERE n.driver IN ('spot', 'inventory')),
+    w AS (SELECT token_id, t_ns, coalesce(abs(max(m) FILTER (WHERE driver = 'spot')), 0) AS x1, coalesce(abs(max(m) FILTER (WHERE driver = 'inventory')), 0) AS x2, CASE WHEN EXISTS (SELECT 1 FROM q WHERE q.token_id = v.token_id AND q.t_ns > v.t_ns AND q.t_ns <= v.t_ns + 14400000000000) THEN 1.0 ELSE 0.0 END AS y FROM v GROUP BY 1, 2),
+    m AS (SELECT covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12, var_pop(x1) AS v1, var_pop(x2) AS v2, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, count(*) AS n FROM w),
+    b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m) SELECT 'const' AS term, my - b1 * m1 - b2 * m2 AS coef, n FROM b UNION ALL SELECT 'spot', b1, n FROM b UNION ALL SELECT 'inventory', b2, n FROM b""", "coef", 7)
+def trigger_regression(spark, sf):
+    """Updates within four hours on the moves of spot and inventory over the four hours before."""
+    from ..operators import triggers as G
+
+    quotes, drivers = quoting(spark, sf)
+    grid = G.trigger_grid(quotes, {n: drivers[n][0] for n in ("spot", "inventory")}, "token_id", 4 * 3600 * NS, width=86400 * NS)
+    return G.trigger_regression(grid, ["spot", "inventory"]).select("term", "coef", "n")

@@ -122,6 +122,8 @@ def with_views(body: str) -> str:
     body = body.strip()
     if not ctes:
         return body
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
 
 
