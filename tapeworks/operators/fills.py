@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from .ordered import running_sum
+from .selection import percentiles
 
 FILL_COLUMNS = ["token_id", "market", "asset_symbol", "horizon", "outcome_side", "block_number", "log_index", "tx_hash", "t_block_ns", "t_recv_ns", "is_backfilled", "is_maker", "side", "price", "size", "maker_rebate", "time_to_expiry_s"]
 
@@ -77,10 +78,15 @@ def first_order_stats(fills: DataFrame) -> DataFrame:
     one = fills.agg(
         F.count("*").alias("n_fills"), F.count_if("is_maker").alias("n_maker"), F.count_if(~F.col("is_maker")).alias("n_taker"),
         F.count_if(F.col("side") == "BUY").alias("n_buy"), F.count_if(F.col("side") == "SELL").alias("n_sell"), (100 * F.avg((F.col("side") == "BUY").cast("int"))).alias("pct_buy"),
-        F.sum("size").alias("size_total"), F.avg("size").alias("size_mean"), *[F.percentile("price", p / 100).alias(f"price_p{p}") for p in (5, 25, 50, 75, 95)],
+        F.sum("size").alias("size_total"), F.avg("size").alias("size_mean"),
     )
-    per = fills.groupBy("token_id").count().agg(F.count("*").alias("n_tokens"), F.percentile("count", 0.5).alias("fills_per_token_p50"), F.percentile("count", 0.9).alias("fills_per_token_p90"), F.max("count").alias("fills_per_token_max"))
-    return one.crossJoin(F.broadcast(per))  # one row each
+    counts = fills.groupBy("token_id").count()
+    per = counts.agg(F.count("*").alias("n_tokens"), F.max("count").alias("fills_per_token_max"))
+    prices = percentiles(fills, "price", {f"price_p{p}": p / 100 for p in (5, 25, 50, 75, 95)})
+    middle = percentiles(counts, "count", {"fills_per_token_p50": 0.5, "fills_per_token_p90": 0.9})
+    for other in (prices, per, middle):
+        one = one.crossJoin(F.broadcast(other))  # one row each
+    return one
 
 
 def with_canonical(fills: DataFrame) -> DataFrame:
@@ -148,9 +154,15 @@ def dup_report(fills: DataFrame, keys: list[str]) -> DataFrame:
     return g.agg(F.sum("n").alias("total"), F.count("*").alias("unique_keys"), F.count_if(F.col("n") > 1).alias("dup_groups"), F.sum(F.col("v") - F.col("one")).alias("notional_excess"))
 
 
-def quantile_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    g = df.groupBy(*keys).agg(F.count(value).alias("n"), *[F.percentile(value, p / 100).alias(f"p{p}") for p in (25, 50, 75)], F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("std"))
-    return g.withColumn("iqr", F.col("p75") - F.col("p25"))
+def quantile_summary(df: DataFrame, keys: list[str], value: str, accuracy: int | None = None) -> DataFrame:
+    """Number, quartiles, extremes and spread of each group. Exact quartiles by selection, or approximate ones (see percentiles)."""
+    g = df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.stddev_samp(value).alias("std"))
+    q = percentiles(df, value, {f"p{p}": p / 100 for p in (25, 50, 75)}, keys, accuracy=accuracy)
+    q = q.select(*[F.col(k).alias(f"__q{i}") for i, k in enumerate(keys)], "p25", "p50", "p75")
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"__q{i}"))
+    return g.join(q, on, "left").select(*keys, "n", "p25", "p50", "p75", "min", "max", "std", (F.col("p75") - F.col("p25")).alias("iqr"))
 
 
 def retention_by(df: DataFrame, key: str, reason: str = "reason") -> DataFrame:
@@ -201,11 +213,15 @@ def reconcile_positions(local: DataFrame, reported: DataFrame) -> DataFrame:
 
 
 def exposure_stats(series: DataFrame, value: str = "total_exposure") -> DataFrame:
-    return series.agg(F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, 0.9).alias("p90"), F.percentile(value, 0.95).alias("p95"))
+    """One row. The series is read four times, so one that is costly to compute is best stored before."""
+    one = series.agg(F.max(value).alias("max"), F.avg(value).alias("mean"))
+    return one.crossJoin(F.broadcast(percentiles(series, value, {"p90": 0.9, "p95": 0.95})))  # one row each
 
 
 def peak_stats(peaks: DataFrame) -> DataFrame:
-    return peaks.agg(F.percentile("peak_abs", 0.5).alias("peak_p50"), F.percentile("peak_abs", 0.9).alias("peak_p90"), F.percentile("peak_abs", 0.95).alias("peak_p95"), (100 * F.avg((F.abs("final_position") < 0.001).cast("int"))).alias("pct_net_zero"), F.percentile("final_position", 0.5).alias("final_p50"))
+    one = percentiles(peaks, "peak_abs", {"peak_p50": 0.5, "peak_p90": 0.9, "peak_p95": 0.95})
+    zero = peaks.agg((100 * F.avg((F.abs("final_position") < 0.001).cast("int"))).alias("pct_net_zero"))
+    return one.crossJoin(F.broadcast(zero)).crossJoin(F.broadcast(percentiles(peaks, "final_position", {"final_p50": 0.5})))  # one row each
 
 
 def histogram(df: DataFrame, value: str, bins: int, lo: float, hi: float) -> DataFrame:
@@ -216,7 +232,8 @@ def histogram(df: DataFrame, value: str, bins: int, lo: float, hi: float) -> Dat
 
 def clock_offset_stats(fills: DataFrame) -> DataFrame:
     off = (F.col("t_recv_ns") - F.col("t_block_ns")) / 1e9
-    return fills.agg(F.percentile(off, 0.5).alias("median_s"), F.percentile(off, 0.99).alias("p99_s"), F.count("*").alias("n")).withColumns({"median_ok": F.col("median_s") < 5, "p99_ok": F.col("p99_s") < 30})
+    one = percentiles(fills, off, {"median_s": 0.5, "p99_s": 0.99}).crossJoin(F.broadcast(fills.agg(F.count("*").alias("n"))))  # one row each
+    return one.withColumns({"median_ok": F.col("median_s") < 5, "p99_ok": F.col("p99_s") < 30})
 
 
 def alignment_share(fills: DataFrame, key: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions import money as M
 from .ordered import asof_backward, asof_forward, exists_within, latest_before, match_within, next_after
+from .selection import percentiles
 
 NS = M.NS
 
@@ -108,12 +109,15 @@ def crossing_to_level_to_fill(crossings: DataFrame, levels: DataFrame, fills: Da
 
 
 def pattern_distribution(patterns: DataFrame, kind: str = "pattern", duration: str = "duration_ms") -> DataFrame:
-    g = patterns.groupBy(kind).agg(F.count("*").alias("n"), F.percentile(duration, 0.5).alias("p50"), F.percentile(duration, 0.9).alias("p90"))
+    """Number, median and 90th percentile of the duration (by selection, over the whole of a pattern) and share of each pattern."""
+    q = percentiles(patterns, duration, {"p50": 0.5, "p90": 0.9}, [kind]).withColumnRenamed(kind, "__kind")
+    g = patterns.groupBy(kind).agg(F.count("*").alias("n")).join(q, F.col(kind).eqNullSafe(F.col("__kind")), "left").drop("__kind")
     return g.withColumn("pct", 100 * F.col("n") / F.sum("n").over(W.partitionBy(F.lit(1))))
 
 
 def updates_per_token(levels: DataFrame) -> DataFrame:
-    return levels.groupBy("token_id").count().agg(F.count("*").alias("n_tokens"), *[F.percentile("count", p / 100).alias(f"p{p}") for p in (25, 50, 75, 90)], F.max("count").alias("max"))
+    counts = levels.groupBy("token_id").count()
+    return counts.agg(F.count("*").alias("n_tokens"), F.max("count").alias("max")).crossJoin(F.broadcast(percentiles(counts, "count", {f"p{p}": p / 100 for p in (25, 50, 75, 90)})))  # one row each
 
 
 def interarrival(levels: DataFrame, grid_ms: int = 100) -> DataFrame:

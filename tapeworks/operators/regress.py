@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from .ordered import running_sum
+from .selection import percentiles
 
 
 def _moments(df: DataFrame, y: str, xs: list[str], groups: list[str] | None = None) -> DataFrame:
@@ -141,13 +142,13 @@ def vif(df: DataFrame, xs: list[str]) -> DataFrame:
 
 
 def temporal_split(df: DataFrame, time: str, share: float, out: str = "train") -> DataFrame:
-    """train: at or before the time below which `share` of the rows lie."""
-    cut = df.agg(F.percentile(time, share).alias("__cut"))
-    return df.crossJoin(F.broadcast(cut)).withColumn(out, F.col(time) <= F.col("__cut")).drop("__cut")  # one row
+    """train: at or before the time below which `share` of the rows lie; that one number is found first, so that it is a plain filter in what follows."""
+    cut = percentiles(df, time, {"cut": share}).first()["cut"]
+    return df.withColumn(out, F.col(time) <= F.lit(cut))
 
 
 def threshold_for_rate(df: DataFrame, score: str, rate: float) -> DataFrame:
-    return df.agg(F.percentile(score, 1 - rate).alias("threshold"), F.count("*").alias("n"))
+    return percentiles(df, score, {"threshold": 1 - rate}).crossJoin(F.broadcast(df.agg(F.count("*").alias("n"))))  # one row each
 
 
 def predict(xs: list[str], beta) -> Column:
@@ -166,7 +167,7 @@ def oos_r2(df: DataFrame, y: str, xs: list[str], train: str = "train", by: str |
 def sizing_ols(df: DataFrame, y: str, xs: list[str], train: str = "train", lo: float = 10, hi: float = 600, least_r2: float = 0.3) -> DataFrame:
     """Sizes by regression where it explains `least_r2` of the training rows, else by their median, clipped."""
     fit = _solve(_moments(df.where(F.col(train)), y, xs).first(), len(xs) + 1)
-    med = df.where(F.col(train)).agg(F.percentile(y, 0.5)).first()[0]
+    med = percentiles(df.where(F.col(train)), y, {"med": 0.5}).first()[0]
     guess = predict(xs, fit["beta"]) if fit["r2"] >= least_r2 else F.lit(float(med or 0))
     return df.withColumn("size_hat", F.greatest(F.lit(float(lo)), F.least(F.lit(float(hi)), guess)))
 
@@ -194,22 +195,6 @@ def profile_grid(df: DataFrame, residual: Column, params: list[str], grid: list[
     return g.select(*params, "n", "loglik", (top - F.col("loglik") <= drop).alias("inside"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, key: str, rounds: int = 200, seed: int = 42, lo: float = 0.025, hi: float = 0.975) -> DataFrame:
-    """Poisson bootstrap of the median: each row has a hashed Poisson(1) weight in each round; percentiles over rounds."""
-    u = F.pmod(F.xxhash64(key, "round", F.lit(seed)), F.lit(1_000_000)) / 1_000_000
-    cdf, p, weight = 0.0, math.exp(-1), F.lit(8)
-    steps = []
-    for k in range(8):
-        cdf += p
-        steps.append((k, cdf))
-        p /= k + 1
-    for k, c in reversed(steps):
-        weight = F.when(u < c, k).otherwise(weight)
-    r = df.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round")).withColumn("w", weight).where("w > 0")
-    med = r.groupBy("round").agg(F.percentile(value, 0.5, F.col("w")).alias("m"))
-    return med.agg(F.percentile("m", lo).alias("lo"), F.percentile("m", 0.5).alias("mid"), F.percentile("m", hi).alias("hi"), F.count("*").alias("rounds"))
-
-
 def kfold(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(k)).cast("int"))
 

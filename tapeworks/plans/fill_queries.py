@@ -122,7 +122,7 @@ def exposure(spark, sf):
 @register("e20_exposure_stats", """WITH s AS (SELECT *, exposure - coalesce(lag(exposure) OVER (PARTITION BY token_id ORDER BY block_number, log_index, size, price, side), 0) AS step FROM inv),
     t AS (SELECT sum(step) OVER (ORDER BY block_number, log_index, token_id, size, price, side ROWS UNBOUNDED PRECEDING) AS x FROM s) SELECT max(x) AS max, avg(x) AS mean, quantile_cont(x, 0.9) AS p90, quantile_cont(x, 0.95) AS p95 FROM t""", "max mean p90 p95", 3)
 def exposure_stats(spark, sf):
-    return X.exposure_stats(X.total_exposure(X.inventory_series(V.fills(spark, sf))))
+    return X.exposure_stats(V.stored(X.total_exposure(X.inventory_series(V.fills(spark, sf))).select("total_exposure")))
 
 
 @register("e21_peak_stats", """WITH p AS (SELECT token_id, max(abs(position)) AS peak_abs, sum(CASE WHEN side = 'BUY' THEN size ELSE -size END) AS f FROM inv GROUP BY 1)

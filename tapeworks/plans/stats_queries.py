@@ -8,6 +8,7 @@ from ..functions import money as M
 from ..functions import pricing as P
 from ..operators import fills as X
 from ..operators import regress as R
+from ..operators import selection as S
 from . import views as V
 from .fill_queries import canon, marked
 from .registry import register
@@ -232,7 +233,8 @@ def threshold(spark, sf):
 
 @register("g8_bootstrap_ci")
 def bootstrap(spark, sf):
-    return R.bootstrap_ci(V.ticks(spark, sf), "mid", "event_id", 40)
+    """200 rounds; tests hold the medians against the same weights row by row."""
+    return S.bootstrap_ci(V.ticks(spark, sf), "mid", "event_id")
 
 
 @register("g9_kfold")
@@ -240,10 +242,26 @@ def kfold(spark, sf):
     return R.kfold(V.markets(spark, sf), "market").groupBy("fold").agg(F.count("*").alias("n"))
 
 
+BIAS = "cast(l_orderkey as string) || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey"
+
+
+def biases(spark, sf):
+    """Price less fair value, times the side it lies on, and sigma sqrt(tau)."""
+    d = options(spark, sf).withColumn("fair", P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma")))
+    return d.select(F.expr(BIAS).alias("k"), F.abs(F.col("price") - F.col("fair")).alias("bias"), (F.col("sigma") * F.sqrt("tau")).alias("st"))
+
+
 @register("l16_bias_regression")
 def bias(spark, sf):
-    d = options(spark, sf).withColumn("bias", F.col("price") - 0.5).withColumn("st", F.col("sigma") * F.sqrt("tau"))
-    return R.ols(d, "bias", ["st"], "bias")
+    """Coefficients with intervals of 2,000 rounds, and whether those of another fit are inside; tests hold them against NumPy."""
+    return S.bias_regression(biases(spark, sf), "bias", "st", "k", {"const": 0.5, "st": 0.0})
+
+
+@register("l16_bias_coefficients", f"""SELECT u.term, CASE u.term WHEN 'const' THEN a ELSE b END AS coef, n FROM (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n FROM (SELECT abs(price - CASE WHEN abs(d) < 4 THEN {PHI.format(x="d")} WHEN d > 0 THEN 1 - {TAIL.format(x="d")} ELSE {TAIL.format(x="(-d)")} END) AS y, sigma * sqrt(tau) AS x
+    FROM (SELECT *, -ln(strike / spot) / (sigma * sqrt(tau)) AS d FROM {OPT}))) s, (VALUES ('const'), ('st')) u(term)""", "coef", 6)
+def bias_coefficients(spark, sf):
+    """The same fit without intervals."""
+    return S.bias_regression(biases(spark, sf), "bias", "st", "k", {"const": 0.5, "st": 0.0}, rounds=1).select("term", "coef", "n")
 
 
 @register("l17_vote", f"""WITH s AS (SELECT symbol, corr(close, lead) AS c FROM (SELECT b.*, c.close AS lead FROM rets b JOIN rets c ON b.bar = c.bar AND c.symbol = 'click') GROUP BY 1), v AS (SELECT count_if(c > 0.5) AS a, count_if(c <= 0.5 AND c < 0.0) AS b, count_if(NOT (c > 0.5) AND NOT (c < 0.0)) AS ambiguous FROM s)

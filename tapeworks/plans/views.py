@@ -26,6 +26,13 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, for what reads it several times."""
+    at = folder(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def _ns(ts: str) -> str:
     return f"(unix_micros(cast({ts} as timestamp)) * 1000)"
 
