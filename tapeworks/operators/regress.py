@@ -59,8 +59,8 @@ def hac_lag(n: int) -> int:
 def ols_hac(df: DataFrame, y: str, xs: list[str], order: list[str], lag: int | None = None, segment: int = 100_000) -> DataFrame:
     """OLS with Newey-West errors (Bartlett weights): coef, se, t, p (normal).
 
-    Lagged score products need a global order: rows are numbered by ranges of order[0], and a row meets the row `lag` numbers
-    before it by an equality join on numbers.
+    Lagged score products need a global order: rows are numbered by ranges of order[0] and dealt by blocks of numbers. Each block also
+    gets the last `lag` rows of the one before, so that all products of a row with earlier ones are made within its block.
     """
     d = df.dropna(subset=[*xs, y])
     fit = _solve(_moments(d, y, xs).first(), len(xs) + 1)
@@ -73,9 +73,18 @@ def ols_hac(df: DataFrame, y: str, xs: list[str], order: list[str], lag: int | N
     terms = [F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"g0_{i}_{j}") for i in range(k) for j in range(k)]
     g = d.agg(*terms).first()
     s = np.array([[g[f"g0_{i}_{j}"] for j in range(k)] for i in range(k)])
-    later = d.select("__n", *[F.col(f"s{i}").alias(f"b{i}") for i in range(k)])
-    shifted = later.select(F.explode(F.array(*[F.struct((F.col("__n") + j).alias("__n"), F.lit(j).alias("j")) for j in range(1, lag + 1)])).alias("x"), *[f"b{i}" for i in range(k)]).select("x.*", *[f"b{i}" for i in range(k)])
-    prods = d.join(shifted, "__n").groupBy("j").agg(*[F.sum(F.col(f"s{i}") * F.col(f"b{q}")).alias(f"g_{i}_{q}") for i in range(k) for q in range(k)])
+    if lag:
+        size = max(segment, lag)
+        block = F.floor(F.col("__n") / size).cast("bigint")
+        halo = F.when(F.pmod("__n", F.lit(size)) >= size - lag, F.array(block, block + 1)).otherwise(F.array(block))
+        vec = F.struct(*[F.col(f"s{i}").alias(f"b{i}") for i in range(k)])
+        dealt = d.select("__n", vec.alias("v"), block.alias("own"), F.explode(halo).alias("block"))
+        w = W.partitionBy("block").orderBy("__n")
+        dealt = dealt.withColumn("before", F.reverse(F.collect_list("v").over(w.rowsBetween(-lag, -1)))).where("own = block")
+        pairs = dealt.select("v", F.posexplode("before").alias("at", "u"))
+        prods = pairs.groupBy((F.col("at") + 1).alias("j")).agg(*[F.sum(F.col(f"v.b{i}") * F.col(f"u.b{q}")).alias(f"g_{i}_{q}") for i in range(k) for q in range(k)])
+    else:
+        prods = d.limit(0).select(F.lit(0).alias("j"))
     for r in prods.collect():
         m = np.array([[r[f"g_{i}_{q}"] for q in range(k)] for i in range(k)])
         s += (1 - r["j"] / (lag + 1)) * (m + m.T)

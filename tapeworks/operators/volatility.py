@@ -73,25 +73,29 @@ def ewma_trailing(df: DataFrame, lam: float, n: int = 1440, seed_rows: int = 10,
 def ewma_series(df: DataFrame, lam: float, segment: int = 1440, out: str = "h", order: str = "bar") -> DataFrame:
     """The whole recursion from a symbol's first return (h = r^2 there), by segments of bars.
 
-    h at the end of a segment is lam^m times h before it plus the segment's weighted sum, so segments are summed apart, their
-    ends chained over a row for each segment, and each row adds its own segment's weighted sum.
+    A segment takes h before it to lam^m h + part. Two such steps are one of the same kind, so the steps of a symbol's segments are
+    combined by doubling (with the segment one before, then two, four, ...), over a table with a row for each segment.
     """
+    if lam**-segment > 1e250:
+        raise ValueError("lam^-segment overflows: take a shorter segment")
     d = df.where("r is not null").withColumn("__seg", F.floor(F.col(order) / segment).cast("bigint"))
     own = W.partitionBy("symbol", "__seg").orderBy(order)
     d = d.withColumn("__i", F.row_number().over(own))
-    first = F.row_number().over(W.partitionBy("symbol").orderBy("__seg"))
-    ends = d.groupBy("symbol", "__seg").agg(F.array_sort(F.collect_list(F.struct("__i", "r"))).alias("xs"))
-    ends = ends.withColumn("__nth", first).withColumn("m", F.size("xs"))
-    part = F.aggregate(F.col("xs"), F.lit(0.0), lambda h, x: h * lam + x["r"] * x["r"] * (1 - lam))
-    start = F.when(F.col("__nth") == 1, F.get("xs", F.lit(0))["r"] * F.get("xs", F.lit(0))["r"]).otherwise(0.0)
-    ends = ends.select("symbol", "__seg", "m", part.alias("part"), start.alias("start"))
-    hist = F.collect_list(F.struct("m", "part", "start")).over(W.partitionBy("symbol").orderBy("__seg").rowsBetween(W.unboundedPreceding, -1))
-    chain = F.aggregate("hist", F.lit(0.0), lambda h, s: F.pow(F.lit(lam), s["m"]) * (h + s["start"]) + s["part"])
-    ends = ends.withColumn("hist", hist).select("symbol", "__seg", (chain + F.col("start")).alias("__h0"))
+    weighted = F.col("r") * F.col("r") * (1 - lam) * F.pow(F.lit(lam), -F.col("__i"))
+    steps = d.groupBy("symbol", "__seg").agg(F.count("*").alias("m"), F.sum(weighted).alias("s"), F.min_by("r", "__i").alias("r0"))
+    chain = W.partitionBy("symbol").orderBy("__seg")
+    steps = steps.withColumn("__nth", F.row_number().over(chain)).withColumn("__most", F.count("*").over(W.partitionBy("symbol")))
+    most = steps.agg(F.max("__most")).first()[0] or 1
+    factor = F.pow(F.lit(lam), F.col("m"))
+    start = F.when(F.col("__nth") == 1, F.col("r0") * F.col("r0")).otherwise(0.0)
+    steps = steps.select("symbol", "__seg", start.alias("start"), factor.alias("a"), (factor * (F.col("s") + start)).alias("b"))
+    for k in range((most - 1).bit_length()):
+        before = lambda c: F.lag(c, 1 << k).over(chain)  # noqa: B023, E731
+        steps = steps.withColumns({"__pa": before("a"), "__pb": before("b")})
+        steps = steps.select("symbol", "__seg", "start", F.coalesce(F.col("a") * F.col("__pa"), F.col("a")).alias("a"), F.coalesce(F.col("a") * F.col("__pb") + F.col("b"), F.col("b")).alias("b"))
+    ends = steps.select("symbol", "__seg", (F.coalesce(F.lag("b").over(chain), F.lit(0.0)) + F.col("start")).alias("__h0"))
     d = d.join(ends, ["symbol", "__seg"])
-    scaled = F.sum(F.col("r") * F.col("r") * (1 - lam) * F.pow(F.lit(lam), -F.col("__i"))).over(own.rowsBetween(W.unboundedPreceding, 0))
-    if lam**-segment > 1e250:
-        raise ValueError("lam^-segment overflows: take a shorter segment")
+    scaled = F.sum(weighted).over(own.rowsBetween(W.unboundedPreceding, 0))
     return d.withColumn(out, F.pow(F.lit(lam), F.col("__i")) * (F.col("__h0") + scaled)).drop("__seg", "__i", "__h0")
 
 
@@ -132,29 +136,39 @@ def pct_rank_trailing(df: DataFrame, value: str, n: int = 1440, least: int = 30,
     return d.withColumn(out, F.when((F.size("__xs") >= least) & F.col(value).isNotNull(), share).otherwise(0.5)).drop("__xs")
 
 
-def garch11(df: DataFrame, chunk: int = 1440, out: str = "garch_h") -> DataFrame:
-    """Conditional variance by a variance-targeted (alpha, beta) grid, fitted on each (symbol, chunk of bars) in one grouped task."""
+GARCH_GRID = [(a, b) for a in (0.02, 0.05, 0.1, 0.15) for b in (0.7, 0.8, 0.85, 0.9, 0.93) if a + b < 0.999]
+
+
+def garch11(df: DataFrame, chunk: int = 1440, least: int = 100, out: str = "garch_h") -> DataFrame:
+    """Conditional variance of each return by a variance-targeted grid of (alpha, beta), fitted on chunks of bars that overlap by half.
+
+    A row is in two chunks and keeps the later one's value; chunks of fewer than `least` rows are not fitted, and rows of no fitted chunk
+    go. A chunk is one task's group, of `chunk` rows at most; its recursion runs over all points of the grid at once.
+    """
+    import numpy as np
     import pandas as pd
 
+    half = chunk // 2
+    alpha, beta = (np.array(x) for x in zip(*GARCH_GRID))
+
     def fit(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("bar")
         r2, v = p["r"].to_numpy() ** 2, float(p["r"].var(ddof=0))
-        best, h_best = None, None
-        for a in (0.02, 0.05, 0.1, 0.15):
-            for b in (0.7, 0.8, 0.85, 0.9, 0.93):
-                if a + b >= 0.999 or v <= 0:
-                    continue
-                h, last = [], v
-                for x in r2:
-                    h.append(last)
-                    last = v * (1 - a - b) + a * x + b * last
-                ll = sum(math.log(y) + x / y for x, y in zip(r2, h))
-                if best is None or ll < best:
-                    best, h_best = ll, h
-        return pd.DataFrame({"symbol": p["symbol"], "bar": p["bar"], out: h_best if h_best is not None else [v] * len(p)})
-
-    d = df.where("r is not null").select("symbol", "bar", "r").withColumn("__c", F.floor(F.col("bar") / chunk).cast("bigint"))
-    return d.groupBy("symbol", "__c").applyInPandas(fit, f"symbol string, bar bigint, {out} double")
+        if len(p) < least:
+            return p[["symbol", "bar", "__c"]].iloc[:0].assign(**{out: pd.Series(dtype="float64")})
+        best = np.full(len(r2), v)
+        if v > 0:
+            h, last = np.empty((len(r2), len(alpha))), np.full(len(alpha), v)
+            for i, x in enumerate(r2):
+                h[i] = last
+                last = v * (1 - alpha - beta) + alpha * x + beta * last
+            best = h[:, int(np.argmin((np.log(h) + r2[:, None] / h).sum(0)))]
+        return pd.DataFrame({"symbol": p["symbol"], "bar": p["bar"], "__c": p["__c"], out: best})
+
+    at = F.floor(F.col("bar") / half).cast("bigint")
+    d = df.where("r is not null").select("symbol", "bar", "r", F.explode(F.array(at - 1, at)).alias("__c"))
+    fits = d.groupBy("symbol", "__c").applyInPandas(fit, f"symbol string, bar bigint, __c bigint, {out} double")
+    return fits.groupBy("symbol", "bar").agg(F.max_by(out, "__c").alias(out))
 
 
 def ret_over(left: DataFrame, ticks: DataFrame, seconds: list[int], width: int = 3600 * NS, name: str = "ret") -> DataFrame:

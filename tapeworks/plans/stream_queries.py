@@ -8,6 +8,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import money as M
 from ..streaming import streams as T
 from . import views as V
 from .registry import register
@@ -43,6 +44,18 @@ def keyed_state(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before else spark.conf.unset(key)
 
 
+def late_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a side output was ever written."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return bool(spark.read.schema("batch bigint").parquet(path).head(1))
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+
+
 def collected(spark: SparkSession, df: DataFrame) -> DataFrame:
     at = V.folder(spark)
     return T.run_to_table(df, f"{at}/out", f"{at}/checkpoint")
@@ -82,6 +95,30 @@ def alerts(spark, sf):
     return T.heartbeat_alerts(V.ticks(spark, sf).withColumnRenamed("symbol", "service"), 3600)
 
 
+@register("n10_heartbeat_stream", """WITH g AS (SELECT symbol, t_ns, lead(t_ns) OVER (PARTITION BY symbol ORDER BY t_ns) AS nxt FROM ticks), w AS (SELECT max(t_ns) // 1000000 - 600000 AS now FROM ticks)
+    SELECT symbol AS service, t_ns FROM g, w WHERE nxt - t_ns > 3600000000000 OR (nxt IS NULL AND t_ns // 1000000 + 3600001 <= now)""")
+def heartbeat_stream(spark, sf):
+    """Beats that none of their service followed within an hour, by timers."""
+    with keyed_state(spark):
+        return collected(spark, T.heartbeat_stream(arriving(spark, sf).select("service", "t_ns", "ts"), 3600))
+
+
+@register("b2_n5_rotate_finished", "SELECT event_type AS feed, strftime(ts, '%Y-%m-%d %H') AS hour, epoch_us(ts) * 1000 AS t_recv_ns, 100 + value AS mid FROM events WHERE date_trunc('hour', ts) < (SELECT date_trunc('hour', max(ts)) FROM events)", "mid")
+def rotated_finished(spark, sf):
+    """Events in six files, one a batch, into finished hours; with those that came late, all but the last hour's."""
+    at = V.folder(spark)
+    V.table(spark, sf, "events").repartitionByRange(6, "ts").write.parquet(f"{at}/in")
+    s = T.stream_feed(spark, f"{at}/in", SCHEMA, max_files=1).select(F.col("event_type").alias("feed"), (F.unix_micros("ts") * 1000).alias("t_recv_ns"), (F.lit(100.0) + F.col("value")).alias("mid"))
+    query, _ = T.rotate_finished(s, f"{at}/out", f"{at}/checkpoint")
+    query.awaitTermination()
+    hours = spark.read.parquet(f"{at}/out/hours").select("feed", F.concat_ws(" ", F.col("date").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0")).alias("hour"), "t_recv_ns", "mid")
+    late = spark.read.schema("feed string, t_recv_ns bigint, mid double, hour_no bigint, batch bigint").parquet(f"{at}/out/late") if late_rows(spark, f"{at}/out/late") else None
+    if late is None:
+        return hours
+    stamp = F.date_format(M.ns_to_timestamp(F.col("t_recv_ns")), "yyyy-MM-dd HH")
+    return hours.unionByName(late.select("feed", stamp.alias("hour"), "t_recv_ns", "mid"))
+
+
 @register("n12_enrich_stream", "SELECT event_id, market FROM (SELECT event_id, CAST(user_id AS VARCHAR) AS token_id FROM events) e LEFT JOIN markets m ON e.token_id = m.token_id")
 def enrich(spark, sf):
     s = raw(spark, sf).select("event_id", F.col("user_id").cast("string").alias("token_id"))

@@ -96,7 +96,7 @@ def q_rank(spark, sf):
 
 @register("j11_garch11")
 def q_garch(spark, sf):
-    return Y.garch11(rets(spark, sf), 240)
+    return Y.garch11(rets(spark, sf), 240, 30)
 
 
 @register("f10_f16_ret_over", """WITH p AS (SELECT event_id, t_ns, symbol, mid FROM ticks), s AS (SELECT p.*, a.mid AS m1, b.mid AS m2 FROM (SELECT p.*, t_ns - 3600000000000 AS t1, t_ns - 18000000000000 AS t2 FROM p) p ASOF LEFT JOIN ticks a ON p.symbol = a.symbol AND p.t1 >= a.t_ns ASOF LEFT JOIN ticks b ON p.symbol = b.symbol AND p.t2 >= b.t_ns)

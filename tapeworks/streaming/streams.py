@@ -39,6 +39,46 @@ def hourly_rotation(df: DataFrame, target: str, checkpoint: str):
     return out.writeStream.partitionBy("feed", "date", "hour").format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def rotate_finished(df: DataFrame, root: str, checkpoint: str, grace_hours: int = 0, time: str = "t_recv_ns"):
+    """A stream into hourly partitions of finished hours, `root`/hours, and a side output of rows that come after theirs, `root`/late.
+
+    An hour is finished when one more than `grace_hours` after it has been seen. Rows wait in `root`/waiting by batch. What a batch does
+    follows from its number and from what earlier batches published, and each of its writes replaces its own partitions, so a batch
+    that runs again after a failure leaves what it would have left; its record in `root`/published comes last.
+    """
+    hour = F.floor(F.col(time) / (3600 * M.NS)).cast("bigint")
+    done_schema = "hour_no bigint, batch bigint"
+
+    def table(spark: SparkSession, name: str, schema: str) -> DataFrame:
+        from pyspark.errors import AnalysisException
+
+        try:
+            return spark.read.schema(schema).parquet(f"{root}/{name}")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], schema)
+
+    def commit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        out = lambda rows, name, *by: rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
+        published = table(spark, "published", done_schema).where(F.col("batch") < number).select("hour_no")
+        rows = batch.withColumn("hour_no", hour).withColumn("batch", F.lit(number).cast("bigint"))
+        out(rows.join(published, "hour_no", "left_semi"), "late", "batch")
+        out(rows.join(published, "hour_no", "left_anti"), "waiting", "hour_no", "batch")
+        waiting = table(spark, "waiting", f"{kept}, {done_schema}").where(F.col("batch") <= number)
+        last = waiting.agg(F.max("hour_no")).first()[0]
+        if last is None:
+            return
+        ready = waiting.where(F.col("hour_no") < last - grace_hours).join(published, "hour_no", "left_anti")
+        at = M.ns_to_timestamp(F.col("hour_no") * (3600 * M.NS))
+        out(ready.withColumns({"date": F.date_format(at, "yyyy-MM-dd"), "hour": F.date_format(at, "HH")}).drop("hour_no", "batch"), "hours", "date", "hour")
+        out(ready.select("hour_no", "batch").distinct().groupBy("hour_no").agg(F.lit(number).cast("bigint").alias("batch")), "published", "batch")
+
+    return df.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), commit
+
+
 def late_flag(df: DataFrame, seconds: int = 10) -> DataFrame:
     """Late rows are marked, never dropped."""
     return df.withColumn("is_late", M.flag_backfilled(F.col("t_recv_ns"), F.col("t_ns"), seconds))
@@ -96,7 +136,7 @@ def stream_inventory(df: DataFrame) -> DataFrame:
 
 
 class _ActiveSet(StatefulProcessor):
-    """A token's market from its announcement until its end passes, by event time."""
+    """A token's market from its announcement until its end passes, by event time; a later end moves it, an earlier one doesn't."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.state = handle, handle.getValueState("market", "market string, end_ms long")
@@ -107,7 +147,13 @@ class _ActiveSet(StatefulProcessor):
         p = pd.concat(list(rows)).sort_values("ts")
         last, now = p.iloc[-1], timerValues.getCurrentWatermarkInMs()
         end = int(last["end_ms"])
-        if end > now and not self.state.exists():
+        if self.state.exists():
+            market, until = self.state.get()
+            if end > until:  # announced again with a later end
+                self.handle.deleteTimer(until)
+                self.handle.registerTimer(end)
+                self.state.update((market, end))
+        elif end > now:
             self.state.update((str(last["market"]), end))
             self.handle.registerTimer(end)
             yield pd.DataFrame({"token_id": [key[0]], "market": [last["market"]], "change": ["add"]})
@@ -129,6 +175,60 @@ def active_set(df: DataFrame) -> DataFrame:
     return df.groupBy("token_id").transformWithStateInPandas(statefulProcessor=_ActiveSet(), outputStructType="token_id string, market string, change string", outputMode="Append", timeMode="EventTime")
 
 
+class _Heartbeat(StatefulProcessor):
+    """A service's last beat, with a timer that is set again at each beat and fires when none comes."""
+
+    def __init__(self, silent_ms: int):
+        self.silent_ms = silent_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("last", "t_ns long, alerted boolean")
+
+    def due(self, t_ns: int) -> int:
+        """The millisecond at which a beat has been the last for longer than allowed."""
+        return t_ns // 1_000_000 + self.silent_ms + 1
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        times = np.sort(np.concatenate([p["t_ns"].to_numpy() for p in rows]))
+        last, alerted = self.state.get() if self.state.exists() else (None, False)
+        times = times if last is None else times[times > last]  # what comes late can't undo an alert
+        if not len(times):
+            return
+        if last is not None:
+            if not alerted:
+                self.handle.deleteTimer(self.due(last))
+            times = np.concatenate([[last], times])
+        silent = np.flatnonzero(np.diff(times) > self.silent_ms * 1_000_000)
+        missed = [int(times[i]) for i in silent if not (alerted and last is not None and i == 0)]
+        self.state.update((int(times[-1]), False))
+        self.handle.registerTimer(self.due(int(times[-1])))
+        if missed:
+            yield pd.DataFrame({"service": [key[0]] * len(missed), "t_ns": missed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        if self.state.exists():
+            last, alerted = self.state.get()
+            if not alerted and self.due(last) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.update((last, True))
+                yield pd.DataFrame({"service": [key[0]], "t_ns": [last]})
+
+    def close(self) -> None:
+        pass
+
+
+def heartbeat_stream(df: DataFrame, silent_s: int = 90) -> DataFrame:
+    """Beats (service, t_ns, ts with a watermark) -> (service, t_ns): each beat that no other followed within silent_s seconds of event time.
+
+    An alert comes when the watermark passes, whether or not the service is ever heard of again; state is a row for each service.
+    """
+    return df.groupBy("service").transformWithStateInPandas(statefulProcessor=_Heartbeat(silent_s * 1000), outputStructType="service string, t_ns long", outputMode="Append", timeMode="EventTime")
+
+
 def heartbeat_alerts(df: DataFrame, silent_s: int = 90) -> DataFrame:
     """Batch form: gaps of each service longer than silent_s, with their start and length."""
     from pyspark.sql.window import Window as W
