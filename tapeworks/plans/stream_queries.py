@@ -112,7 +112,7 @@ def rotated_finished(spark, sf):
     query, _ = T.rotate_finished(s, f"{at}/out", f"{at}/checkpoint")
     query.awaitTermination()
     hours = spark.read.parquet(f"{at}/out/hours").select("feed", F.concat_ws(" ", F.col("date").cast("string"), F.lpad(F.col("hour").cast("string"), 2, "0")).alias("hour"), "t_recv_ns", "mid")
-    late = spark.read.schema("feed string, t_recv_ns bigint, mid double, hour_no bigint, batch bigint").parquet(f"{at}/out/late") if late_rows(spark, f"{at}/out/late") else None
+    late = spark.read.schema("feed string, t_recv_ns bigint, mid double, batch bigint").parquet(f"{at}/out/late") if late_rows(spark, f"{at}/out/late") else None
     if late is None:
         return hours
     stamp = F.date_format(M.ns_to_timestamp(F.col("t_recv_ns")), "yyyy-MM-dd HH")

@@ -42,39 +42,42 @@ def hourly_rotation(df: DataFrame, target: str, checkpoint: str):
 def rotate_finished(df: DataFrame, root: str, checkpoint: str, grace_hours: int = 0, time: str = "t_recv_ns"):
     """A stream into hourly partitions of finished hours, `root`/hours, and a side output of rows that come after theirs, `root`/late.
 
-    An hour is finished when one more than `grace_hours` after it has been seen. Rows wait in `root`/waiting by batch. What a batch does
-    follows from its number and from what earlier batches published, and each of its writes replaces its own partitions, so a batch
-    that runs again after a failure leaves what it would have left; its record in `root`/published comes last.
+    Hours before the latest one seen, less `grace_hours`, are finished: that is the mark, kept for each batch in `root`/marks. Rows of
+    later hours wait in `root`/waiting by day and batch. What a batch does follows from its number and the marks of earlier ones, and
+    each of its writes replaces its own partitions, so a batch that runs again after a failure leaves what it would have left; its mark
+    comes last. Returns the started query and the function that commits a batch.
     """
+    from pyspark.errors import AnalysisException
+
     hour = F.floor(F.col(time) / (3600 * M.NS)).cast("bigint")
-    done_schema = "hour_no bigint, batch bigint"
+    at = M.ns_to_timestamp(F.col("hour_no") * (3600 * M.NS))
 
-    def table(spark: SparkSession, name: str, schema: str) -> DataFrame:
-        from pyspark.errors import AnalysisException
+    def write(rows: DataFrame, name: str, *by: str) -> None:
+        rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
 
+    def commit(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
         try:
-            return spark.read.schema(schema).parquet(f"{root}/{name}")
+            before = spark.read.schema("mark bigint, batch bigint").parquet(f"{root}/marks").where(F.col("batch") < number).agg(F.max("mark")).first()[0]
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return spark.createDataFrame([], schema)
-
-    def commit(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        out = lambda rows, name, *by: rows.hint("rebalance", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{root}/{name}")
-        kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in batch.schema)
-        published = table(spark, "published", done_schema).where(F.col("batch") < number).select("hour_no")
-        rows = batch.withColumn("hour_no", hour).withColumn("batch", F.lit(number).cast("bigint"))
-        out(rows.join(published, "hour_no", "left_semi"), "late", "batch")
-        out(rows.join(published, "hour_no", "left_anti"), "waiting", "hour_no", "batch")
-        waiting = table(spark, "waiting", f"{kept}, {done_schema}").where(F.col("batch") <= number)
-        last = waiting.agg(F.max("hour_no")).first()[0]
+            before = None
+        rows = batch.withColumn("hour_no", hour).withColumn("day_no", F.floor(F.col("hour_no") / 24).cast("bigint")).withColumn("batch", F.lit(number).cast("bigint"))
+        last = rows.agg(F.max("hour_no")).first()[0]
         if last is None:
             return
-        ready = waiting.where(F.col("hour_no") < last - grace_hours).join(published, "hour_no", "left_anti")
-        at = M.ns_to_timestamp(F.col("hour_no") * (3600 * M.NS))
-        out(ready.withColumns({"date": F.date_format(at, "yyyy-MM-dd"), "hour": F.date_format(at, "HH")}).drop("hour_no", "batch"), "hours", "date", "hour")
-        out(ready.select("hour_no", "batch").distinct().groupBy("hour_no").agg(F.lit(number).cast("bigint").alias("batch")), "published", "batch")
+        mark = max(last - grace_hours, before if before is not None else last - grace_hours)
+        late = F.lit(False) if before is None else F.col("hour_no") < before
+        write(rows.where(late).drop("hour_no", "day_no"), "late", "batch")
+        write(rows.where(~late), "waiting", "day_no", "batch")
+        waiting = spark.read.schema(f"{kept}, hour_no bigint, day_no bigint, batch bigint").parquet(f"{root}/waiting")
+        ready = waiting.where((F.col("batch") <= number) & (F.col("hour_no") < mark) & (F.col("day_no") * 24 <= mark))
+        if before is not None:
+            ready = ready.where((F.col("hour_no") >= before) & (F.col("day_no") >= before // 24))
+        write(ready.withColumns({"date": F.date_format(at, "yyyy-MM-dd"), "hour": F.date_format(at, "HH")}).drop("hour_no", "day_no", "batch"), "hours", "date", "hour")
+        write(spark.createDataFrame([(mark, number)], "mark bigint, batch bigint"), "marks", "batch")
 
     return df.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(), commit
 

@@ -63,9 +63,9 @@ def test_rotation_runs_again(spark, tmp_path):
 
     def state():
         read = lambda name: sorted((r["t_recv_ns"] // NS) for r in spark.read.schema("feed string, t_recv_ns long, mid double").parquet(f"{root}/{name}").collect())
-        return read("hours"), read("late"), sorted(tuple(r) for r in spark.read.schema("hour_no bigint, batch bigint").parquet(f"{root}/published").collect())
+        return read("hours"), read("late"), sorted(tuple(r) for r in spark.read.schema("mark bigint, batch bigint").parquet(f"{root}/marks").collect())
 
-    want = ([1, 2, h + 1, h + 5, 2 * h, 4 * h], [3, h + 7], [(0, 0), (1, 1), (2, 2), (4, 3)])
+    want = ([1, 2, h + 1, h + 5, 2 * h, 4 * h], [3, h + 7], [(1, 0), (2, 1), (4, 2), (5, 3)])
     assert state() == want
     for n in (1, 3):  # as after a crash before the batch was recorded
         commit(spark.createDataFrame(batches[n], "feed string, t_recv_ns long, mid double"), n)
