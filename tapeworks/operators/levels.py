@@ -165,6 +165,21 @@ def fill_in(levels: DataFrame, fills: DataFrame, within_ns: int = 5 * NS, width:
     return exists_within(new, fills.select("token_id", "price", F.col("t_ns").alias("__ft")), "t_ns", ["token_id", "price"], 0, within_ns, "filled", right_on="__ft", width=width)
 
 
+def fill_while_live(levels: DataFrame, fills: DataFrame, closes: DataFrame, within_ns: int = 5 * NS, width: int = 3600 * NS) -> DataFrame:
+    """New orders with `live_until_ns` and the label whether a fill at their level comes within the time and while they are live.
+
+    An order lives until the next decrease at its (token, price, side) or its token's close (token_id, t_close_ns), whichever is first;
+    a fill at that very moment counts. Tokens without a close stay open.
+    """
+    new = levels.where("classification = 'new_order'").select("token_id", "price", "side", F.col("t_recv_ns").alias("t_ns"), "size")
+    q = next_after(new, decreases(levels), "t_ns", ["token_id", "price", "side"], {"t_cancel_ns": "t_recv_ns"}, right_on="t_recv_ns", width=width)
+    q = q.join(closes.select("token_id", "t_close_ns"), "token_id", "left")
+    q = next_after(q, fills.select("token_id", "price", F.col("t_ns").alias("__ft")), "t_ns", ["token_id", "price"], {"t_fill_ns": "__ft"}, right_on="__ft", width=width)
+    live = F.least("t_cancel_ns", "t_close_ns")  # without nulls
+    filled = F.col("t_fill_ns") <= F.least(F.col("t_ns") + within_ns, live)
+    return q.where("t_close_ns is null or t_ns < t_close_ns").select("token_id", "price", "side", "t_ns", "size", live.alias("live_until_ns"), F.coalesce(filled, F.lit(False)).alias("filled"))
+
+
 def attribute_fill(levels: DataFrame, fills: DataFrame, within_ns: int) -> DataFrame:
     """Decreases that equal a fill's amount at their level within the next blocks: fill, else cancel."""
     d = decreases(levels).select("token_id", "price", F.col("t_recv_ns").alias("t_ns"), F.round(-F.col("delta"), 6).alias("amount"))

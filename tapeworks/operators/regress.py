@@ -204,6 +204,35 @@ def profile_grid(df: DataFrame, residual: Column, params: list[str], grid: list[
     return g.select(*params, "n", "loglik", (top - F.col("loglik") <= drop).alias("inside"))
 
 
+def profile_refined(df: DataFrame, residual: Column, bounds: dict[str, tuple[float, float]], tol: float, points: int = 5, drop: float = 1.92, rounds: int = 40) -> DataFrame:
+    """As profile_grid, on a grid that shrinks around its best point until every step is at most tol: (parameters, n, loglik, inside, round).
+
+    Each round is one pass over the data with points^k tuples, and gives the driver those few rows. The best point moves the grid when it
+    lies on its edge (without leaving the bounds) and halves its steps when it lies inside. inside: within `drop` of the best of all rounds.
+    """
+    import itertools
+
+    at = {p: [lo + (hi - lo) * i / (points - 1) for i in range(points)] for p, (lo, hi) in bounds.items()}
+    seen: dict[tuple, tuple] = {}
+    for no in range(1, rounds + 1):
+        todo = [c for c in itertools.product(*at.values()) if c not in seen]
+        if todo:
+            for r in profile_grid(df, residual, list(bounds), [dict(zip(bounds, c)) for c in todo], drop).collect():
+                seen[tuple(r[p] for p in bounds)] = (r["n"], r["loglik"], no)
+        best = max(seen, key=lambda c: (seen[c][1], [-x for x in c]))
+        steps = {p: xs[1] - xs[0] for p, xs in at.items()}
+        if max(steps.values()) <= tol:
+            break
+        for (p, (lo, hi)), x in zip(bounds.items(), best):
+            edge = x in (at[p][0], at[p][-1]) and lo < x < hi
+            step = steps[p] if edge or steps[p] <= tol else steps[p] / 2
+            first = min(max(lo, x - step * (points // 2)), max(lo, hi - step * (points - 1)))
+            at[p] = [first + step * i for i in range(points)]
+    top = max(v[1] for v in seen.values())
+    rows = [(*c, n, ll, top - ll <= drop, no) for c, (n, ll, no) in seen.items()]
+    return df.sparkSession.createDataFrame(rows, ", ".join(f"{p} double" for p in bounds) + ", n long, loglik double, inside boolean, round int")
+
+
 def kfold(df: DataFrame, key: str, k: int = 5) -> DataFrame:
     return df.withColumn("fold", F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(k)).cast("int"))
 
@@ -246,15 +275,39 @@ def _assembled(df: DataFrame, xs: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=xs, outputCol="features", handleInvalid="skip").transform(df)
 
 
-def gbt_residual(df: DataFrame, y: str, xs: list[str], train: str = "train", rounds: int = 20, seed: int = 42):
-    """Boosted trees on the training rows: (measures of both parts, importances)."""
+def permuted(df: DataFrame, column: str, key: list[str], seed: int = 42) -> DataFrame:
+    """df with one column's values dealt anew: a row gets that of the row which has its place in the order of a seeded hash of `key`.
+
+    Both orders are numbered by ranges, and the values come back by an equality join on numbers.
+    """
+    order = F.shiftright(F.xxhash64(F.lit(seed), *key), 2)  # so that differences don't overflow
+    plain = numbered(df.withColumn("__h", F.shiftright(F.xxhash64(*key), 2)), ["__h", *key]).drop("__h")
+    dealt = numbered(df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], order.alias("__h"), F.col(column).alias("__v")), ["__h", *[f"__k{i}" for i in range(len(key))]])
+    return plain.join(dealt.select("__n", "__v"), "__n").withColumn(column, F.col("__v")).drop("__n", "__v")
+
+
+def gbt_residual(df: DataFrame, y: str, xs: list[str], key: list[str], by: str, train: str = "train", rounds: int = 20, step: float = 0.03, seed: int = 42, limit: float = 1.5):
+    """Boosted trees on the training rows: (measures, importances).
+
+    measures: part, group (`all` or a value of by), n, rmse, r2, ratio (of the test rows' RMSE to the training rows' for `all`, to that of all
+    test rows for a group) and whether it is within `limit`. importances: what the test rows' RMSE gains when a column is permuted.
+    """
     from pyspark.ml.regression import GBTRegressor
 
-    d = _assembled(df.dropna(subset=[y, *xs]), xs)
-    model = GBTRegressor(labelCol=y, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, maxIter=rounds, seed=seed).fit(d.where(F.col(train)))
-    p = model.transform(d).withColumn("__e", F.col(y) - F.col("prediction"))
-    measures = p.groupBy(F.when(F.col(train), "train").otherwise("test").alias("part")).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmse"), (1 - F.try_divide(F.avg(F.col("__e") * F.col("__e")), F.var_pop(y))).alias("r2"))
-    return measures, importance_80(df.sparkSession, xs, model.featureImportances.toArray().tolist())
+    d = df.dropna(subset=[y, *xs])
+    model = GBTRegressor(labelCol=y, maxDepth=4, stepSize=step, subsamplingRate=0.8, maxIter=rounds, seed=seed).fit(_assembled(d.where(F.col(train)), xs))
+    error = lambda rows: model.transform(_assembled(rows, xs)).withColumn("__e", F.col(y) - F.col("prediction"))
+    rmse = F.sqrt(F.avg(F.col("__e") * F.col("__e")))
+    r2 = 1 - F.try_divide(F.avg(F.col("__e") * F.col("__e")), F.var_pop(y))
+    p = error(d).withColumn("part", F.when(F.col(train), "train").otherwise("test")).withColumn("group", F.col(by).cast("string"))
+    sets = p.groupingSets([[F.col("part")], [F.col("part"), F.col("group")]], F.col("part"), F.col("group")).agg(F.grouping("group").alias("g"), F.count("*").alias("n"), rmse.alias("rmse"), r2.alias("r2"))
+    sets = sets.where("g = 1 or part = 'test'").select("part", F.when(F.col("g") == 1, "all").otherwise(F.col("group")).alias("group"), "n", "rmse", "r2")
+    base = {r["part"]: r["rmse"] for r in sets.where("group = 'all'").collect()}
+    against = F.when(F.col("part") == "train", F.col("rmse")).when(F.col("group") == "all", F.lit(base.get("train"))).otherwise(F.lit(base.get("test")))
+    measures = sets.withColumn("ratio", F.try_divide(F.col("rmse"), against)).withColumn("passed", F.col("ratio") <= limit)
+    test = d.where(~F.col(train)).select(*dict.fromkeys([*key, y, *xs]))
+    gains = [max(error(permuted(test, x, key, seed)).agg(rmse).first()[0] - base.get("test", 0.0), 0.0) for x in xs]
+    return measures, importance_80(df.sparkSession, xs, gains)
 
 
 def gbt_select(df: DataFrame, label: str, xs: list[str], train: str = "train", rounds: int = 10, seed: int = 42) -> DataFrame:

@@ -218,6 +218,31 @@ def fill_in(spark, sf):
     return L.fill_in(levels(spark, sf), V.book_fills(spark, sf), 3600 * NS).select("token_id", "price", "side", "t_ns", "filled")
 
 
+LIVE = f"""SELECT n.token_id, n.price, n.side, n.t_recv_ns AS t_ns, least((SELECT min(d.t_recv_ns) FROM {DEC} d WHERE d.token_id = n.token_id AND d.price = n.price AND d.side = n.side AND d.t_recv_ns > n.t_recv_ns), c.t_close_ns) AS live_until_ns,
+    EXISTS (SELECT 1 FROM book_fills f WHERE f.token_id = n.token_id AND f.price = n.price AND f.t_ns > n.t_recv_ns AND f.t_ns <= least(n.t_recv_ns + 3600000000000, c.t_close_ns, (SELECT min(d.t_recv_ns) FROM {DEC} d WHERE d.token_id = n.token_id AND d.price = n.price AND d.side = n.side AND d.t_recv_ns > n.t_recv_ns))) AS filled, n.size
+    FROM {NEW} n LEFT JOIN (SELECT token_id, max(t_ns) - 86400000000000 AS t_close_ns FROM book_fills WHERE outcome_side = 'Up' GROUP BY 1) c ON n.token_id = c.token_id WHERE c.t_close_ns IS NULL OR n.t_recv_ns < c.t_close_ns"""
+
+
+def live_orders(spark, sf):
+    """New orders with fills while they are live; tokens of one outcome close a day before their last fill."""
+    f = V.book_fills(spark, sf)
+    closes = f.where("outcome_side = 'Up'").groupBy("token_id").agg((F.max("t_ns") - 86400 * NS).alias("t_close_ns"))
+    return L.fill_while_live(levels(spark, sf), f, closes, 3600 * NS)
+
+
+@register("o8_fill_while_live", f"SELECT token_id, price, side, t_ns, live_until_ns, filled FROM ({LIVE})")
+def fill_while_live(spark, sf):
+    return live_orders(spark, sf).drop("size")
+
+
+@register("o8_fill_regression", f"SELECT u.term, CASE u.term WHEN 'const' THEN a ELSE b END AS coef, n FROM (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, count(*) AS n FROM (SELECT filled::INT AS y, size AS x FROM ({LIVE}))) s, (VALUES ('const'), ('size')) u(term)", "coef", 8)
+def fill_regression(spark, sf):
+    """The chance of a fill while live, on the order's size."""
+    from ..operators import regress as R
+
+    return R.ols(live_orders(spark, sf).withColumn("filled", F.col("filled").cast("double")), "filled", ["size"]).select("term", "coef", "n")
+
+
 BOOKS = "SELECT event_id, 50 + event_id % 7 AS b0, 40 + event_id % 5 AS b1, value AS bs, value + 1 AS b1s, value * 2 AS xs, value + 3 AS x1s FROM events"
 
 

@@ -88,11 +88,27 @@ def grid(spark, sf):
     return R.grid_join(xy(spark, sf), [{"k": 0.5}, {"k": 1.5}]).groupBy((F.col("x1") > 5).alias("high"), "k").agg(F.sum(F.col("y") * F.col("k")).alias("s"))
 
 
+def boosted(spark, sf):
+    """Trees of the size on price, discount and tax, earliest 70 % as training rows."""
+    return R.gbt_residual(R.temporal_split(xy(spark, sf), "t", 0.7), "y", ["x1", "x2", "x3"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "g", rounds=5)
+
+
 @register("l9_l11_gbt_residual")
 def gbt(spark, sf):
-    d = R.temporal_split(xy(spark, sf), "t", 0.7)
-    measures, importances = R.gbt_residual(d, "y", ["x1", "x2", "x3"], rounds=5)
-    return importances.select("feature", "rank", "importance", "in_core").crossJoin(F.broadcast(measures.groupBy().pivot("part", ["train", "test"]).agg(F.first("rmse"))))
+    """Permutation importance."""
+    return boosted(spark, sf)[1]
+
+
+@register("l9_gbt_by_group")
+def gbt_by_group(spark, sf):
+    """RMSE of both parts and of each group's test rows, with ratios."""
+    return boosted(spark, sf)[0]
+
+
+@register("l8_profile_refined")
+def profile_refined(spark, sf):
+    """The same model on a shrinking grid: all points that were tried, with the set within 1.92 of the best."""
+    return R.profile_refined(xy(spark, sf), F.col("y") - F.col("level") - F.col("slope") * F.col("x1"), {"slope": (-4.0, 4.0), "level": (0.0, 60.0)}, 0.05)
 
 
 @register("l10_gbt_select")
@@ -179,6 +195,22 @@ def implied(spark, sf):
     return o.select(label.alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
 
 
+# Halley's steps on erf's series in Horner's form, from a rough line: |x| is below 2.1 here.
+NEAR = "(0.5 + ({x}) * exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()) * list_reduce(list_concat([CAST(1 AS DOUBLE)], list_transform(range(91, 1, -2), lambda k: CAST(k AS DOUBLE))), lambda a, k: 1 + ({x}) * ({x}) / k * a))"
+PPF = "SELECT *, (p - 0.5) * 2.9 AS z0 FROM {table}"
+for _step in range(5):
+    PPF = f"SELECT *, z{_step} - e / (1 + z{_step} * e / 2) AS z{_step + 1} FROM (SELECT * EXCLUDE (e), ({NEAR.format(x=f'z{_step}')} - p) * sqrt(2 * pi()) * exp(z{_step} * z{_step} / 2) AS e FROM (SELECT *, 0 AS e FROM ({PPF})))".replace("SELECT *, z", "SELECT * EXCLUDE (e), z", 1)
+
+
+@register("k4_implied_sigma_values", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN reason = 'ok' AND (s <= 0 OR s > 15) THEN 'sigma_range' ELSE reason END AS reason, CASE WHEN reason = 'ok' AND s > 0 AND s <= 15 THEN s END AS sigma FROM (
+    SELECT *, CASE WHEN price < 0.02 OR price > 0.98 THEN 'price_edge' WHEN abs(price - 0.5) < 0.02 THEN 'price_atm' WHEN abs(ln(strike / spot)) < 1e-4 THEN 'spot_atm' ELSE 'ok' END AS reason, ln(strike / spot) / (sqrt(tau) * z5) AS s
+    FROM ({PPF.format(table=f"(SELECT *, CASE WHEN price BETWEEN 0.02 AND 0.98 AND abs(price - 0.5) >= 0.02 THEN 1 - price ELSE 0.25 END AS p FROM {OPT})")}))""", "sigma", 6)
+def implied_values(spark, sf):
+    """Every row's implied volatility, or the reason why it has none."""
+    sigma, reason = P.implied_sigma(F.col("price"), F.col("strike"), F.col("spot"), F.col("tau"))
+    return options(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", reason.alias("reason"), sigma.alias("sigma"))
+
+
 @register("k5_implied_sigma_bounded", f"SELECT count(*) AS n, count(*) AS recovered FROM {OPT} WHERE abs(ln(strike / spot) / (sigma * sqrt(tau))) BETWEEN 0.01 AND 4")
 def bounded(spark, sf):
     """Volatility comes back from the fair price it made."""
@@ -318,6 +350,26 @@ def match(spark, sf):
     return R.ks_distance(f.where("block_number % 2 = 0"), f.where("block_number % 2 = 1"), "t_block_ns")
 
 
+TWIN = """WITH f AS (SELECT token_id, t_block_ns AS t, horizon, CASE WHEN side = 'BUY' THEN size ELSE -size END AS s, is_maker, maker_rebate + coalesce(mtm, 0) AS net, mtm > 0 AS won FROM marked), r AS (SELECT * FROM f), w AS (SELECT * REPLACE (t + 2700000000000 AS t) FROM f WHERE horizon <> '1h'),
+    h AS (SELECT coalesce(sum(abs(coalesce(nt, 0) - coalesce(nr, 0))), 0) / sum(abs(coalesce(nr, 0))) AS hn, sum(abs(coalesce(pt, 0) - coalesce(pr, 0))) / sum(abs(coalesce(pr, 0))) AS hp FROM (SELECT t // 3600000000000 AS hour, count(*) AS nr, sum(net) AS pr FROM r GROUP BY 1) FULL JOIN (SELECT t // 3600000000000 AS hour, count(*) AS nt, sum(net) AS pt FROM w GROUP BY 1) USING (hour)),
+    u AS (SELECT token_id, t, sum(x) AS x, sum(y) AS y FROM (SELECT token_id, t, s AS x, 0 AS y FROM r UNION ALL SELECT token_id, t, 0, s FROM w) GROUP BY 1, 2),
+    p AS (SELECT sum(x) OVER o AS x, sum(y) OVER o AS y, (lead(t) OVER o - t) / 1e9 AS d FROM u WINDOW o AS (PARTITION BY token_id ORDER BY t)), m AS (SELECT sum(d) AS n, sum(d * x) / sum(d) AS mx, sum(d * y) / sum(d) AS my, sum(d * x * y) / sum(d) AS mxy, sum(d * x * x) / sum(d) AS mxx, sum(d * y * y) / sum(d) AS myy FROM p WHERE d IS NOT NULL),
+    k AS (SELECT max(g) AS ks FROM (SELECT abs(sum(a) OVER (ORDER BY t) / sum(a) OVER () - sum(b) OVER (ORDER BY t) / sum(b) OVER ()) AS g FROM (SELECT t, sum(a) AS a, sum(b) AS b FROM (SELECT t, 1 AS a, 0 AS b FROM r UNION ALL SELECT t, 0, 1 FROM w) GROUP BY 1))),
+    a AS (SELECT (SELECT count(*) FROM r) AS nr, (SELECT count(*) FROM w) AS nt, (SELECT sum(net) FROM r) AS pr, (SELECT sum(net) FROM w) AS pt, (SELECT avg(is_maker::INT) FROM r) AS mr, (SELECT avg(is_maker::INT) FROM w) AS mt, (SELECT avg(won::INT) FROM r) AS wr, (SELECT avg(won::INT) FROM w) AS wt)
+    SELECT 'fills' AS metric, abs(nt - nr) / nr AS gap FROM a UNION ALL SELECT 'hourly_fills', hn FROM h UNION ALL SELECT 'pnl', abs(pt - pr) / abs(pr) FROM a UNION ALL SELECT 'hourly_pnl', hp FROM h UNION ALL SELECT 'maker_share', abs(mt - mr) FROM a UNION ALL SELECT 'win_rate', abs(wt - wr) FROM a
+    UNION ALL SELECT 'position_pearson', (mxy - mx * my) / sqrt((mxx - mx * mx) * (myy - my * my)) FROM m UNION ALL SELECT 'fill_time_ks', ks FROM k"""
+
+
+@register("o12_match_metrics_all", TWIN, "gap", 7)
+def match_all(spark, sf):
+    """All fills against a twin that trades all but the long markets, 45 minutes later."""
+    from ..operators import twin as W
+
+    f = marked(spark, sf).select("token_id", F.col("t_block_ns").alias("t_ns"), "horizon", X.signed_size(F.col("side"), F.col("size")).alias("signed_size"), "is_maker", (F.col("maker_rebate") + F.coalesce("mtm", F.lit(0.0))).alias("net"), (F.col("mtm") > 0).alias("won"))
+    later = f.where("horizon <> '1h'").withColumn("t_ns", F.col("t_ns") + 2700 * 10**9)
+    return W.match_metrics(f, later, 30 * 86400 * 10**9).select("metric", "gap")
+
+
 @register("o14_rolling_refit", """WITH s AS (SELECT bar, count(*) AS n, sum(lead) AS sx, sum(close) AS sy, sum(lead * lead) AS sxx, sum(lead * close) AS sxy FROM (SELECT b.*, c.close AS lead FROM rets b JOIN rets c ON b.bar = c.bar AND c.symbol = 'click') GROUP BY 1),
     t AS (SELECT bar, sum(n) OVER w AS n, sum(sx) OVER w AS sx, sum(sy) OVER w AS sy, sum(sxx) OVER w AS sxx, sum(sxy) OVER w AS sxy FROM s WINDOW w AS (ORDER BY bar RANGE 23 PRECEDING))
     SELECT bar, CAST(n AS BIGINT) AS n, CASE WHEN n * sxx - sx * sx <> 0 THEN (n * sxy - sx * sy) / (n * sxx - sx * sx) END AS slope FROM t WHERE n > 5""", "slope", 5)
