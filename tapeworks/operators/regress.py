@@ -125,19 +125,39 @@ def with_dummies(df: DataFrame, column: str, values: list[str], prefix: str) ->
     return df.withColumns({n: (F.col(column) == v).cast("double") for n, v in zip(names, values[1:])}), names
 
 
-def cascade(df: DataFrame, y: str, families: dict[str, list[str]], fixed: str, order: list[str]) -> DataFrame:
-    """Best single regressor of each family, all of those together, then with fixed effects; Newey-West fits, a row for each term."""
+def cascade(df: DataFrame, y: str, families: dict[str, list[str]], fixed: list[list[str]], order: list[str]) -> DataFrame:
+    """Best single regressor of each family, all of those together, then with the fixed effects of each list of columns added in turn.
+
+    Newey-West fits, a row for each term. Values of fixed effects are few: they become columns.
+    """
     singles = {f: [(x, _solve(_moments(df, y, [x]).first(), 2)) for x in xs] for f, xs in families.items()}
     best = [max(v, key=lambda t: -1 if math.isnan(t[1]["r2"]) else t[1]["r2"])[0] for v in singles.values()]
-    values = [r[0] for r in df.select(fixed).distinct().orderBy(fixed).collect()]
+    models = [*((f"single:{b}", [b]) for b in best), ("joint", best)]
+    wide, effects, name = df, [], "joint"
+    for i, columns in enumerate(fixed):
+        label = F.concat_ws("|", *[F.col(c).cast("string") for c in columns])
+        wide = wide.withColumn(f"__fe{i}", label)
+        values = [r[0] for r in wide.select(f"__fe{i}").distinct().orderBy(f"__fe{i}").collect()]
+        wide, names = with_dummies(wide, f"__fe{i}", values, f"fe{i}")
+        # a product of effects replaces those that it contains
+        effects = [(c, n) for c, n in effects if not set(c) <= set(columns)] + [(columns, names)]
+        name += "+" + "*".join(columns)
+        models.append((name, best + [x for _, n in effects for x in n]))
     out = None
-    wide, names = with_dummies(df, fixed, values, "fe")
-    for name, xs in [*((f"single:{b}", [b]) for b in best), ("joint", best), ("joint+fe", best + names)]:
+    for name, xs in models:
         fit = ols_hac(wide, y, xs, order).withColumn("model", F.lit(name))
         out = fit if out is None else out.unionByName(fit)
     return out
 
 
+def cascade_gate(fits: DataFrame, least_r2: float = 0.4) -> DataFrame:
+    """For each model of a cascade but the single ones: R^2, whether all regressors keep the sign they have alone, and whether it passes."""
+    alone = fits.where("startswith(model, 'single:') and term <> 'const'").select("term", F.signum("coef").alias("__sign"))
+    j = fits.where("not startswith(model, 'single:')").join(F.broadcast(alone), "term")  # a row for each family
+    g = j.groupBy("model").agg(F.max("r2").alias("r2"), F.bool_and(F.signum("coef") == F.col("__sign")).alias("stable"))
+    return g.withColumn("passed", (F.col("r2") >= least_r2) & F.col("stable"))
+
+
 def vif(df: DataFrame, xs: list[str]) -> DataFrame:
     """Variance inflation of each regressor: the diagonal of the inverse correlation matrix."""
     pairs = [F.corr(a, b).alias(f"c{i}_{j}") for i, a in enumerate(xs) for j, b in enumerate(xs) if i < j]
@@ -246,6 +266,15 @@ def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.desc("n"), key).limit(k)
 
 
+def top_k_of_both(own: DataFrame, others: DataFrame, key: str, k: int) -> DataFrame:
+    """The k commonest values of own rows with their number and share there and among all the others: a fingerprint and what it is held against."""
+    share = lambda df, name: df.groupBy(key).agg(F.count("*").alias(f"n_{name}"))
+    totals = own.agg(F.count("*").alias("__o")).crossJoin(F.broadcast(others.agg(F.count("*").alias("__t"))))  # one row each
+    top = share(own, "own").orderBy(F.desc("n_own"), key).limit(k)
+    j = top.join(share(others, "others"), key, "left").na.fill(0, ["n_others"]).crossJoin(F.broadcast(totals))
+    return j.select(key, "n_own", "n_others", (F.col("n_own") / F.col("__o")).alias("share_own"), F.try_divide(F.col("n_others"), F.col("__t")).alias("share_others"))
+
+
 def top_value(df: DataFrame, column: str) -> DataFrame:
     c = df.where(F.col(column).isNotNull()).groupBy(column).count()
     return c.agg(F.max_by(column, F.struct(F.col("count"), F.col(column))).alias("value"), F.max("count").alias("n"))

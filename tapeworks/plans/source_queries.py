@@ -257,3 +257,54 @@ def upsert(spark, sf):
     c = V.table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment"))
     new = c.where("c_custkey % 3 = 0").withColumn("c_mktsegment", F.upper("c_mktsegment"))
     return upsert_dimension(c.where("c_custkey % 7 <> 0 or c_custkey % 3 = 0").union(c.where("c_custkey % 7 = 0 and c_custkey % 3 <> 0")), new, "c_custkey")
+
+
+@register("b1_write_table", "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders", "o_totalprice", 2)
+def write_table(spark, sf):
+    """Orders by status, written and read back."""
+    from ..sources.sinks import write_table
+
+    at = V.folder(spark)
+    write_table(V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), at, partition_by=["o_orderstatus"])
+    return spark.read.parquet(at).select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+
+@register("b3_b5_write_verified", "SELECT o_orderstatus, count(*) AS n, (SELECT count(*) FROM orders) AS verified FROM orders GROUP BY 1")
+def write_verified(spark, sf):
+    """A write that counts what it reads back, and a table that is built once and then taken as it is."""
+    from ..sources.sinks import checkpointed, write_verified
+
+    at, o = V.folder(spark), V.table(spark, sf, "orders")
+    n = write_verified(o, f"{at}/orders")
+    counts = lambda: spark.read.parquet(f"{at}/orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    checkpointed(spark, f"{at}/counts", counts)
+    return checkpointed(spark, f"{at}/counts", lambda: None).withColumn("verified", F.lit(n).cast("bigint"))
+
+
+@register("b4_write_stats", "SELECT o_orderstatus, count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY 1", "top", 2)
+def write_stats(spark, sf):
+    """Summary rows as one JSON file, read back."""
+    from ..sources.sinks import write_stats
+
+    at = V.folder(spark)
+    write_stats(V.table(spark, sf, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.max("o_totalprice").alias("top")), at)
+    return spark.read.schema("o_orderstatus string, n bigint, top double").json(at)
+
+
+@register("a14_slot_grid", """WITH s AS (SELECT epoch_us(min(ts)) // 1000000 AS t0, epoch_us(max(ts)) // 1000000 AS t1 FROM events), h AS (SELECT * FROM (VALUES ('15m', 900), ('1h', 3600)) h(horizon, secs)), a AS (SELECT * FROM (VALUES ('BTC'), ('ETH')) a(asset))
+    SELECT asset, horizon, slot, lower(asset) || '-updown-' || horizon || '-' || slot AS slug FROM (SELECT asset, horizon, unnest(range(t0 - t0 % secs, t1 + secs + 1, secs)) AS slot FROM s, h, a)""")
+def slots(spark, sf):
+    """Every slot of the span that the events cover."""
+    t = V.table(spark, sf, "events").agg(F.min(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("b")).first()
+    return S.slot_grid(spark, ["BTC", "ETH"], {"15m": 900, "1h": 3600}, t["a"], t["b"])
+
+
+@register("h6_merge_precedence", """SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey, coalesce(a.price, b.price) AS price, CASE WHEN a.o_orderkey IS NOT NULL THEN 'primary' ELSE 'fallback' END AS source
+    FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS price FROM orders WHERE o_orderstatus <> 'P') a FULL JOIN (SELECT l_orderkey AS o_orderkey, max(l_extendedprice) AS price FROM lineitem GROUP BY 1) b ON a.o_orderkey = b.o_orderkey""", "price", 2)
+def precedence(spark, sf):
+    """Prices of finished orders, else the dearest line of the order."""
+    from ..sources.sinks import merge_precedence
+
+    o = V.table(spark, sf, "orders").where("o_orderstatus <> 'P'").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("price"))
+    li = V.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("price"))
+    return merge_precedence(o, li, "o_orderkey")

@@ -41,9 +41,21 @@ def hac(spark, sf):
     return R.ols_hac(xy(spark, sf), "y", ["x1", "x2"], ["t", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
+def cascaded(spark, sf):
+    """Single regressors, all, then with effects of the flag, of flag and the line number's half, and of a high tax."""
+    d = xy(spark, sf).withColumn("half", F.col("l_linenumber") > 3).withColumn("taxed", F.col("x3") > 0.4)
+    return R.cascade(d, "y", {"price": ["x1"], "terms": ["x2", "x3"]}, [["g"], ["g", "half"], ["taxed"]], ["t", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+
+
 @register("l3_cascade")
 def cascade(spark, sf):
-    return R.cascade(xy(spark, sf), "y", {"price": ["x1"], "terms": ["x2", "x3"]}, "g", ["t", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
+    return cascaded(spark, sf)
+
+
+@register("l3_cascade_gate")
+def cascade_gate(spark, sf):
+    """Which of the joint models explain enough and keep the signs; tests hold it against NumPy."""
+    return R.cascade_gate(V.stored(cascaded(spark, sf)))
 
 
 @register("l4_vif", f"""WITH c AS (SELECT corr(x1, x2) AS r FROM {XY}) SELECT u.term, 1 / (1 - r * r) AS vif FROM c, (VALUES ('x1'), ('x2')) u(term)""", "vif")
@@ -129,6 +141,12 @@ def ar(spark, sf):
     return R.ar_k(rets(spark, sf), "close", "symbol", ["bar"])
 
 
+@register("l13_ar_1", """WITH d AS (SELECT close, lag(close) OVER (PARTITION BY symbol ORDER BY bar) AS l, bar FROM bars), e AS (SELECT * FROM d WHERE l IS NOT NULL), c AS (SELECT quantile_cont(bar, 0.7) AS cut FROM e), f AS (SELECT regr_slope(close, l) AS b, regr_intercept(close, l) AS a FROM e, c WHERE bar <= cut)
+    SELECT count(*) AS n, sqrt(avg(power(close - a - b * l, 2))) AS rmse, sqrt(avg(power(close - l, 2))) AS rmse_naive FROM e, c, f WHERE bar > cut""", "rmse rmse_naive")
+def ar_1(spark, sf):
+    return R.ar_k(rets(spark, sf), "close", "symbol", ["bar"], 1)
+
+
 @register("l14_open_features", """WITH c AS (SELECT a.o_orderkey, count(b.o_orderkey) AS concurrent FROM market_slots a LEFT JOIN market_slots b ON a.asset_symbol = b.asset_symbol AND b.start_ns < a.start_ns AND a.start_ns < b.end_ns GROUP BY 1)
     SELECT s.o_orderkey, c.concurrent, (start_ns // 3600000000000) % 24 AS hour, (start_ns // 86400000000000 + 3) % 7 AS dow, CASE asset_symbol WHEN 'BTC' THEN 0 WHEN 'ETH' THEN 1 WHEN 'SOL' THEN 2 WHEN 'XRP' THEN 3 ELSE -1 END AS asset_code, s.o_orderkey IN (SELECT DISTINCT l_orderkey FROM lineitem) AS traded FROM market_slots s JOIN c ON s.o_orderkey = c.o_orderkey""")
 def open_features(spark, sf):
@@ -316,6 +334,25 @@ def builders(spark, sf):
     return R.top_k(li.join(own, "l_partkey", "left_semi"), "builder", 5)
 
 
+@register("o2_builder_fingerprint_both", """WITH a AS (SELECT l_suppkey AS builder, l_partkey FROM lineitem WHERE l_returnflag = 'R'), o AS (SELECT l_suppkey AS builder FROM lineitem WHERE l_returnflag <> 'R' AND l_partkey IN (SELECT l_partkey FROM a)), t AS (SELECT builder, count(*) AS n_own FROM a GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5)
+    SELECT t.builder, n_own, coalesce(n_others, 0) AS n_others, n_own / (SELECT count(*) FROM a) AS share_own, coalesce(n_others, 0) / (SELECT count(*) FROM o) AS share_others FROM t LEFT JOIN (SELECT builder, count(*) AS n_others FROM o GROUP BY 1) q ON t.builder = q.builder""", "share_own share_others", 9)
+def builders_of_both(spark, sf):
+    """An account's builders (returned lines) against those of all others on its markets."""
+    li = V.table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").alias("builder"), "l_returnflag")
+    own = li.where("l_returnflag = 'R'")
+    return R.top_k_of_both(own, li.where("l_returnflag <> 'R'").join(own.select("l_partkey").distinct(), "l_partkey", "left_semi"), "builder", 5)
+
+
+@register("o4_inventory_skew_fit", """WITH s AS (SELECT *, exposure - coalesce(lag(exposure) OVER (PARTITION BY token_id ORDER BY block_number, log_index, size, price, side), 0) AS step FROM inv),
+    d AS (SELECT price - 0.5 AS y, position AS x1, sum(step) OVER (ORDER BY block_number, log_index, token_id, size, price, side ROWS UNBOUNDED PRECEDING) / 1000 AS x2 FROM s),
+    m AS (SELECT covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x1, x2) AS c12, var_pop(x1) AS v1, var_pop(x2) AS v2, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, count(*) AS n FROM d),
+    b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m) SELECT 'const' AS term, my - b1 * m1 - b2 * m2 AS coef, n FROM b UNION ALL SELECT 'position', b1, n FROM b UNION ALL SELECT 'total_thousands', b2, n FROM b""", "coef", 7)
+def skew_of_exposure(spark, sf):
+    """Quote less fair on the token's position and the account's total exposure, with Newey-West errors (not in the result)."""
+    d = V.stored(X.total_exposure(X.inventory_series(V.fills(spark, sf))).select((F.col("price") - 0.5).alias("offset"), "position", (F.col("total_exposure") / 1000).alias("total_thousands"), "block_number", "log_index", "token_id", "size"))
+    return R.ols_hac(d, "offset", ["position", "total_thousands"], ["block_number", "log_index", "token_id", "size"]).select("term", "coef", "n")
+
+
 @register("o4_o5_skew_spread_fit", "SELECT 'skew' AS model, u.term, CASE u.term WHEN 'const' THEN a ELSE b END AS coef FROM (SELECT regr_slope(price, position) AS b, regr_intercept(price, position) AS a FROM inv) s, (VALUES ('const'), ('position')) u(term)", "coef", 9)
 def skew_fit(spark, sf):
     return R.ols(X.inventory_series(V.fills(spark, sf)), "price", ["position"], "skew").select("model", "term", "coef")

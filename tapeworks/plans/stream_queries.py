@@ -85,9 +85,11 @@ def sliding(spark, sf):
     return collected(spark, T.sliding_vol(s, "2 hours", "1 hour"))
 
 
-@register("n8_uptime_sessions")
+@register("n8_uptime_sessions", """WITH g AS (SELECT event_type AS service, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) >= 1200000000, TRUE) AS new FROM events), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY service ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM g)
+    SELECT service, min(t) AS start_us, max(t) + 1200000000 AS end_us, count(*) AS n FROM s GROUP BY service, no HAVING max(t) + 1200000000 <= (SELECT max(epoch_us(ts)) - 600000000 FROM events)""")
 def sessions(spark, sf):
-    return collected(spark, T.uptime_sessions(arriving(spark, sf), "20 minutes"))
+    """Sessions that the watermark has closed."""
+    return collected(spark, T.uptime_sessions(arriving(spark, sf), "20 minutes")).select("service", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
 @register("n10_heartbeat_alerts", "SELECT symbol AS service, t_ns, gap_s FROM (SELECT symbol, t_ns, (lead(t_ns) OVER (PARTITION BY symbol ORDER BY t_ns) - t_ns) / 1e9 AS gap_s FROM ticks) WHERE gap_s > 3600", "gap_s")

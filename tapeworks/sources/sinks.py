@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,13 +35,17 @@ def write_stats(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").json(path)
 
 
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table's write has ended: Spark's marker file is there."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def checkpointed(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The stored table if it is there, else built, stored and reread: what follows doesn't recompute it."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        write_table(build(), path, "errorifexists")
-        return spark.read.parquet(path)
+    """The stored table if its write has ended, else built, stored (over what a failed write left) and reread: what follows doesn't recompute it."""
+    if not complete(spark, path):
+        write_table(build(), path)
+    return spark.read.parquet(path)
 
 
 def missing_keys(needed: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
@@ -57,6 +60,15 @@ def upsert_dimension(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return j.select(key, "__r.*")
 
 
+def merge_precedence(primary: DataFrame, fallback: DataFrame, key: str, source: str = "source") -> DataFrame:
+    """One row a key (of both sides at most one): the primary's values, and the fallback's where those are null or there is no row; and where the row comes from."""
+    cols = [c for c in primary.columns if c != key and c in fallback.columns]
+    a = primary.select(key, F.struct(*cols).alias("__a"))
+    b = fallback.select(key, F.struct(*cols).alias("__b"))
+    j = a.join(b, key, "full")
+    return j.select(key, *[F.coalesce(F.col(f"__a.{c}"), F.col(f"__b.{c}")).alias(c) for c in cols], F.when(F.col("__a").isNotNull(), "primary").otherwise("fallback").alias(source))
+
+
 def rotate_completed(spark: SparkSession, source: str, target: str, schema: str, now_hour: str) -> None:
     """Landing JSON lines under date=/hour= of finished hours -> hourly Parquet of the same layout.
 

@@ -137,6 +137,28 @@ def test_upsert_and_verified_write(spark, tmp_path):
     assert sinks.write_verified(old, str(tmp_path / "t")) == 2
     assert sinks.checkpointed(spark, str(tmp_path / "c"), lambda: old).count() == 2
     assert sinks.checkpointed(spark, str(tmp_path / "c"), lambda: 1 / 0).count() == 2
+    (tmp_path / "c" / "_SUCCESS").unlink()  # as after a write that failed half-way
+    assert sinks.checkpointed(spark, str(tmp_path / "c"), lambda: old.limit(1)).count() == 1
+    a, b = spark.createDataFrame([(1, "a", None), (2, None, 5)], "k int, v string, w int"), spark.createDataFrame([(2, "x", 6), (3, "y", None)], "k int, v string, w int")
+    assert sorted(map(tuple, sinks.merge_precedence(a, b, "k").collect())) == [(1, "a", None, "primary"), (2, "x", 5, "primary"), (3, "y", None, "fallback")]
+
+
+def test_cascade_gate(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 300
+    a, b, c = rng.normal(size=n), rng.normal(size=n), rng.normal(size=n)
+    g, h = rng.integers(0, 2, n), rng.integers(0, 3, n)
+    y = 2 * a - b + 0.5 * g + 0.1 * rng.normal(size=n)
+    df = spark.createDataFrame([(i, *map(float, (a[i], b[i], c[i], y[i])), f"g{g[i]}", int(h[i])) for i in range(n)], "t long, a double, b double, c double, y double, g string, h int")
+    fits = R.cascade(df, "y", {"one": ["a", "c"], "two": ["b"]}, [["g"], ["g", "h"]], ["t"])
+    r2 = lambda x: 1 - np.sum((y - x @ np.linalg.lstsq(x, y, rcond=None)[0]) ** 2) / np.sum((y - y.mean()) ** 2)
+    base = np.c_[np.ones(n), a, b]
+    want = {"joint": r2(base), "joint+g": r2(np.c_[base, g]), "joint+g+g*h": r2(np.c_[base, np.array([[x == p and z == q for p in (0, 1) for q in (0, 1, 2)][1:] for x, z in zip(g, h)])])}
+    got = {r["model"]: r for r in R.cascade_gate(fits).collect()}
+    assert {k: r["r2"] for k, r in got.items()} == pytest.approx(want) and all(r["stable"] and r["passed"] for r in got.values())
+    assert not any(r["passed"] for r in R.cascade_gate(fits, 0.9999).collect())
 
 
 def test_rotation_leaves_the_current_hour(spark, tmp_path):
