@@ -9,7 +9,7 @@ from ..functions import money as M
 from ..functions import pricing as P
 from . import levels as L
 from .ordered import asof_backward, asof_nearest
-from .volatility import cross_asset_ret, ret_over
+from .volatility import cross_asset_ret, ewma_series, log_returns, pct_rank_trailing, ret_over, rv_rows
 
 NS = M.NS
 YEAR_S = P.YEAR_S
@@ -44,3 +44,14 @@ def quote_features(quotes: DataFrame, ticks: DataFrame, lead_symbol: str, sigma:
     q = q.withColumns({f"abs_ret_{s}s": F.abs(f"ret_{s}s") for s in seconds})
     q = q.withColumns({"fair": P.fair_value_up(F.col("strike"), F.col("spot"), tau, F.lit(sigma)), "hour": M.hour_utc(F.col("t_ns")), "dow": M.day_of_week(F.col("t_ns"))})
     return q.withColumns(M.dist_features(tau, F.lit(sigma), F.col("spot"), F.col("strike"), F.lit(0.0), F.col("n")))
+
+
+def open_volatility(markets: DataFrame, bars: DataFrame, seconds: int, lam: float = 0.94, spans: tuple[int, ...] = (5, 30), ranked: int = 30, least: int = 10, width: int = 30 * 86400 * NS) -> DataFrame:
+    """markets (symbol, start_ns, ...) with their symbol's volatility as of their start: EWMA variance of a bar, realised volatility over some
+    spans of bars, and the share of the last `ranked` EWMA values that are at most the latest. Null before a symbol's second bar."""
+    b = ewma_series(log_returns(bars), lam, 240, "ewma_var")
+    for n in spans:
+        b = rv_rows(b, n, seconds, f"rv_{n}")
+    b = pct_rank_trailing(b, "ewma_var", ranked, least, "ewma_rank")
+    names = ["ewma_var", *[f"rv_{n}" for n in spans], "ewma_rank"]
+    return asof_backward(markets, b.select("symbol", "t_ns", *names), "start_ns", ["symbol"], {n: n for n in names}, right_on="t_ns", width=width)

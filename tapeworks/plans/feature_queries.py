@@ -51,3 +51,27 @@ def implied_spot_all(spark, sf):
     fair = P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma"))
     o = options(spark, sf).withColumn("fair", fair).withColumn("s", P.implied_spot(F.col("strike"), F.col("fair"), F.col("tau"), F.col("sigma")))
     return returned(o, F.abs(F.col("s") / F.col("spot") - 1) < 1e-6)
+
+
+@register("k11_implied_spot_values", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN d < 5 THEN spot END AS implied, CASE WHEN d < 5 THEN 0.0 END AS basis FROM (SELECT *, -ln(strike / spot) / (sigma * sqrt(tau)) AS d FROM {OPT})", "implied basis", 5)
+def implied_spot_values(spark, sf):
+    """Every row's spot as its fair price gives it back, and how far that is from the spot; null where the price is too close to 1 for a double."""
+    d = -F.log(F.col("strike") / F.col("spot")) / (F.col("sigma") * F.sqrt("tau"))
+    fair = P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma"))
+    o = options(spark, sf).withColumn("d", d).withColumn("fair", fair).withColumn("implied", F.when(F.col("d") < 5, P.implied_spot(F.col("strike"), F.col("fair"), F.col("tau"), F.col("sigma"))))
+    return o.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "implied", (F.col("implied") / F.col("spot") - 1).alias("basis"))
+
+
+@register("l14_open_volatility", """WITH b AS (SELECT asset_symbol AS symbol, t_block_ns // 86400000000000 AS bar, max({'t': t_block_ns, 'm': price}).m AS close, max(t_block_ns) AS t_ns FROM fills GROUP BY 1, 2), r AS (SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY bar)) AS r FROM b),
+    n AS (SELECT *, list(r) OVER (PARTITION BY symbol ORDER BY bar ROWS UNBOUNDED PRECEDING) AS xs, CASE WHEN count(r) OVER w5 < 2 THEN 0 ELSE sqrt(avg(r * r) OVER w5 * 365.25) END AS rv_5, CASE WHEN count(r) OVER w30 < 2 THEN 0 ELSE sqrt(avg(r * r) OVER w30 * 365.25) END AS rv_30 FROM r WHERE r IS NOT NULL WINDOW w5 AS (PARTITION BY symbol ORDER BY bar ROWS 4 PRECEDING), w30 AS (PARTITION BY symbol ORDER BY bar ROWS 29 PRECEDING)),
+    h AS (SELECT *, list_reduce(list_prepend(xs[1] * xs[1], xs), lambda h, x: 0.94 * h + (1 - 0.94) * x * x) AS ewma_var FROM n), p AS (SELECT *, list(ewma_var) OVER (PARTITION BY symbol ORDER BY bar ROWS 29 PRECEDING) AS hs FROM h),
+    q AS (SELECT symbol, t_ns, ewma_var, rv_5, rv_30, CASE WHEN len(hs) < 10 THEN 0.5 ELSE len(list_filter(hs, lambda x: x <= ewma_var)) / len(hs) END AS ewma_rank FROM p)
+    SELECT m.o_orderkey, q.ewma_var, q.rv_5, q.rv_30, q.ewma_rank FROM market_slots m ASOF LEFT JOIN q ON m.asset_symbol = q.symbol AND m.start_ns >= q.t_ns""", "ewma_var rv_5 rv_30", 6)
+def open_volatility(spark, sf):
+    """Markets with the volatility of their asset's daily bars of fill prices at their start. The rank is a share of values that may differ in
+    the last digit, so it is compared where no two are that close."""
+    from ..operators import volatility as Y
+
+    ticks = V.fills(spark, sf).select(F.col("asset_symbol").alias("symbol"), F.col("t_block_ns").alias("t_ns"), F.col("price").alias("mid"))
+    m = V.market_slots(spark, sf).select("o_orderkey", F.col("asset_symbol").alias("symbol"), "start_ns")
+    return Q.open_volatility(m, Y.bars(ticks, 86400), 86400).select("o_orderkey", "ewma_var", "rv_5", "rv_30", "ewma_rank")

@@ -246,6 +246,13 @@ def implied_sigma_all(spark, sf):
     return returned(o, F.abs(F.col("s") - F.col("sigma")) < 1e-5)
 
 
+@register("k5_implied_sigma_values", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN d < 5 THEN sigma END AS implied FROM (SELECT *, -ln(strike / spot) / (sigma * sqrt(tau)) AS d FROM {OPT})", "implied", 6)
+def bounded_values(spark, sf):
+    """Every row's volatility as its fair price gives it back; null where that price is too close to 1 for a double (the counts of k5_implied_sigma_all)."""
+    o = options(spark, sf).withColumn("d", -F.log(F.col("strike") / F.col("spot")) / (F.col("sigma") * F.sqrt("tau"))).withColumn("fair", P.fair_value_up(F.col("strike"), F.col("spot"), F.col("tau"), F.col("sigma")))
+    return o.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.when(F.col("d") < 5, P.implied_sigma_bounded(F.col("fair"), F.col("strike"), F.col("spot"), F.col("tau"))).alias("implied"))
+
+
 @register("k8_k10_quote_model", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, greatest(0.01, least(0.99, price - (0.01 + 0.1 * sigma * sqrt(tau)) + 0.05 * (0.5 - least(price, 1 - price)) + 0.002 + 0.01 * sigma * sqrt(tau))) AS quote,
     -0.1 * 5 * sigma * sigma * tau AS skew, 0.05 * (0.5 - least(price, 1 - price)) AS shift, 0.1 * sigma * sigma * tau / 2 + ln(1 + 0.1 / 1.5) / 0.1 AS half FROM {OPT}""", "quote skew shift half", 9)
 def quotes(spark, sf):

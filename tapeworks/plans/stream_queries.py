@@ -137,6 +137,15 @@ def rotated(spark, sf):
     return spark.read.parquet(f"{at}/out").select("feed", hour.alias("hour"), "t_recv_ns", "mid")
 
 
+@register("n1_json_frames", "SELECT event_id, event_type, value, TRUE AS stamped FROM events", "value")
+def json_frames(spark, sf):
+    """Events as lines of JSON, streamed with their time of receipt."""
+    at = V.folder(spark)
+    V.table(spark, sf, "events").select("event_id", "event_type", "value").write.json(f"{at}/in")
+    s = T.stream_feed(spark, f"{at}/in", "event_id bigint, event_type string, value double", kind="json")
+    return collected(spark, s).select("event_id", "event_type", "value", (F.col("t_recv_ns") > 1_700_000_000 * 10**9).alias("stamped"))
+
+
 @register("n3_dedup_chain", "SELECT DISTINCT l_orderkey AS block, l_linenumber AS log_index FROM lineitem")
 def dedup_logs(spark, sf):
     """Every log comes twice, as after a reorganisation's replay."""

@@ -79,3 +79,22 @@ def test_fill_while_live(spark):
     closes = spark.createDataFrame([("k", 70)], "token_id string, t_close_ns long")
     got = {(r["token_id"], r["price"], r["t_ns"]): (r["live_until_ns"], r["filled"]) for r in L.fill_while_live(levels, fills, closes, 20, width=15).collect()}
     assert got == {("k", "0.5", 10): (20, False), ("k", "0.5", 30): (70, True), ("k", "0.5", 60): (70, False), ("o", "0.5", 10): (None, True)}
+
+
+def test_kfold_is_a_crc(spark):
+    import zlib
+
+    got = R.kfold(spark.createDataFrame([(f"m{i}",) for i in range(200)], "market string"), "market").collect()
+    assert all(r["fold"] == zlib.crc32(r["market"].encode()) % 5 for r in got) and {r["fold"] for r in got} == set(range(5))
+
+
+def test_logit_against_newton(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 2))
+    y = (rng.uniform(size=600) < 1 / (1 + np.exp(-(0.4 + x @ [1.2, -0.7])))).astype(float)
+    X, b = np.c_[np.ones(600), x], np.zeros(3)
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-X @ b))
+        b += np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X, X.T @ (y - p))
+    got = {r["term"]: r["coef"] for r in R.logit(spark.createDataFrame([(*map(float, u), float(v)) for u, v in zip(x, y)], "a double, b double, y double"), "y", ["a", "b"]).collect()}
+    assert [got["const"], got["a"], got["b"]] == pytest.approx(b.tolist(), abs=1e-4)
