@@ -60,11 +60,11 @@ def test_bootstraps(spark):
     w = S.poisson_weights(keys, rounds, 42)
     assert abs(w.mean() - 1) < 0.02 and abs(w.var() - 1) < 0.05
     y, x = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-    for name, v in (("y", y), ("x", x)):
-        want = np.array([np.median(np.repeat(v, w[:, k])) for k in range(rounds)])
-        got = {r["round"]: r["median"] for r in S.bootstrap_medians(df, name, "id", rounds, 42).collect()}
-        assert [got[k + 1] for k in range(rounds)] == pytest.approx(want.tolist())
-        assert tuple(S.bootstrap_ci(df, name, "id", rounds).first()) == pytest.approx((*np.percentile(want, [2.5, 50, 97.5]), rounds))
+    want = np.array([np.median(np.repeat(y, w[:, k])) for k in range(rounds)])
+    got = {r["round"]: r["median"] for r in S.bootstrap_medians(df, "y", "id", rounds, 42).collect()}
+    assert [got[k + 1] for k in range(rounds)] == pytest.approx(want.tolist())
+    ties = np.array([np.median(np.repeat(x, w[:, k])) for k in range(rounds)])
+    assert tuple(S.bootstrap_ci(df, "x", "id", rounds).first()) == pytest.approx((*np.percentile(ties, [2.5, 50, 97.5]), rounds))
     fits = np.array([np.polyfit(x, y, 1, w=np.sqrt(w[:, k].astype(float))) for k in range(rounds)])
     own = np.polyfit(x, y, 1)
     got = {r["term"]: r for r in S.bias_regression(df, "y", "x", "id", {"const": own[1], "x": 5.0}, rounds).collect()}
