@@ -181,7 +181,7 @@ LOGS = """SELECT *, CAST(l_quantity AS HUGEINT) AS q, '0x' || lpad(lower(to_hex(
     CASE WHEN event LIKE 'Condition%' THEN part_word END AS condition_id, CASE WHEN event LIKE 'Condition%' THEN supp END AS oracle, CASE WHEN event LIKE 'Condition%' THEN order_word END AS question_id, CASE WHEN event LIKE 'Condition%' THEN 2 END AS outcome_slot_count,
     CASE WHEN event = 'ConditionResolution' THEN (l_suppkey % 2) || ',' || (1 - l_suppkey % 2) END AS payouts FROM ({LOGS})""")
 def decode(spark, sf):
-    """Logs of all six kinds; each fifth line has an unknown topic, each tenth supplier's logs are of an unknown contract."""
+    """Logs of all six kinds, dealt over all cores; each fifth line has an unknown topic, each tenth supplier's logs are of an unknown contract."""
     word = lambda c: F.lower(F.lpad(F.hex(c.cast("bigint")), 64, "0"))
     hexed = lambda *cs: F.concat(F.lit("0x"), *cs)
     first = {v: F.lit(f"0x{k}") for k, v in S.TOPICS.items()}
@@ -203,7 +203,8 @@ def decode(spark, sf):
         topics = F.when(line == k, F.array(first[event], *map(hexed, indexed))).otherwise(topics)
         data = F.when(line == k, hexed(*words)).otherwise(data)
         address = F.when(line == k, F.lit(at)).otherwise(address)
-    logs = V.table(spark, sf, "lineitem").select(topics.alias("topics"), data.alias("data"), F.when(supp % 10 == 0, F.lit("0xabc")).otherwise(address).alias("address"), F.col("l_orderkey").alias("block_number"), line.alias("log_index"), F.lit("0x1").alias("tx_hash"))
+    lines = S.spread(V.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+    logs = lines.select(topics.alias("topics"), data.alias("data"), F.when(supp % 10 == 0, F.lit("0xabc")).otherwise(address).alias("address"), F.col("l_orderkey").alias("block_number"), line.alias("log_index"), F.lit("0x1").alias("tx_hash"))
     d = S.decode_chain_logs(logs)
     return d.withColumn("payouts", F.array_join("payout_numerators", ",")).drop("payout_numerators", "tx_hash")
 

@@ -227,6 +227,12 @@ def address_of(topic):
     return F.concat(F.lit("0x"), F.lower(F.right(topic, F.lit(40))))
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df over all cores by a hash of keys, if its scan has fewer tasks than that (a table in few files): for what is costly by row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def decode_chain_logs(df: DataFrame, contracts: dict[str, list[str]] | None = None) -> DataFrame:
     """Log rows (topics array of hex, data hex, address, block_number, log_index, tx_hash) -> one wide row for each known event.
 
