@@ -102,7 +102,7 @@ def quote_patterns(spark, sf):
 
 @register("e25_pattern_distribution", f"SELECT pattern, count(*) AS n, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.9) AS p90, 100.0 * count(*) / sum(count(*)) OVER () AS pct FROM ({PATTERNS}) GROUP BY 1", "p50 p90 pct", 3)
 def distribution(spark, sf):
-    return L.pattern_distribution(patterns(spark, sf))
+    return L.pattern_distribution(V.stored(patterns(spark, sf).select("pattern", "duration_ms")))
 
 
 def split_patterns(spark, sf):
@@ -122,7 +122,7 @@ def patterns_by_outcome(spark, sf):
 
 @register("e25_pattern_distribution_by_outcome", f"SELECT outcome, pattern, count(*) AS n, quantile_cont(duration_ms, 0.5) AS p50, quantile_cont(duration_ms, 0.9) AS p90, 100.0 * count(*) / sum(count(*)) OVER (PARTITION BY outcome) AS pct FROM ({SPLIT}) GROUP BY 1, 2", "p50 p90 pct", 3)
 def distribution_by_outcome(spark, sf):
-    p = split_patterns(spark, sf)
+    p = V.stored(split_patterns(spark, sf).select("outcome", "pattern", "duration_ms"))
     of = lambda x: L.pattern_distribution(p.where(F.col("outcome") == x)).withColumn("outcome", F.lit(x))
     return of("Up").unionByName(of("Down"))
 
@@ -183,23 +183,23 @@ def crossings(spark, sf):
 
 
 def _tagged(spark, sf):
-    """Fills of the markets that the crossings are about: a symbol's events of a day."""
-    return V.ticks(spark, sf).where("event_id % 3 = 0").select(F.concat_ws("-", "symbol", F.floor(F.col("t_ns") / (86400 * NS)).cast("bigint")).alias("market"), F.when(F.col("event_id") % 2 == 0, "Up").otherwise("Down").alias("outcome_side"), "t_ns")
+    """Fills of the markets that the crossings are about: a symbol's large events of a day."""
+    return V.ticks(spark, sf).where("mid > 150").select(F.concat_ws("-", "symbol", F.floor(F.col("t_ns") / (86400 * NS)).cast("bigint")).alias("market"), F.when(F.col("event_id") % 2 == 0, "Up").otherwise("Down").alias("outcome_side"), "t_ns")
 
 
-@register("d17_crossing_to_fill", f"""WITH c AS ({CROSS}), f AS (SELECT symbol || '-' || (t_ns // 86400000000000) AS market, CASE WHEN event_id % 2 = 0 THEN 'Up' ELSE 'Down' END AS o, t_ns FROM ticks WHERE event_id % 3 = 0)
+@register("d17_crossing_to_fill", f"""WITH c AS ({CROSS}), f AS (SELECT symbol || '-' || (t_ns // 86400000000000) AS market, CASE WHEN event_id % 2 = 0 THEN 'Up' ELSE 'Down' END AS o, t_ns FROM ticks WHERE mid > 150)
     SELECT c.market, c.t_ns, c.direction, min(f.t_ns) AS t_fill_ns, (min(f.t_ns) - c.t_ns) / 1e9 AS latency_s FROM c JOIN f ON c.market = f.market AND f.o = CASE WHEN direction = 'up' THEN 'Up' ELSE 'Down' END AND f.t_ns > c.t_ns GROUP BY 1, 2, 3 HAVING min(f.t_ns) <= c.t_ns + 7200000000000""", "latency_s")
 def to_fill(spark, sf):
     c = L.strike_crossings(V.ticks(spark, sf), strikes(spark, sf))
     return L.crossing_to_fill(c, _tagged(spark, sf), 7200 * NS).select("market", "t_ns", "direction", "t_fill_ns", "latency_s")
 
 
-@register("d18_crossing_to_level_to_fill", f"""WITH c AS ({CROSS}), g AS (SELECT symbol || '-' || (t_ns // 86400000000000) AS market, t_ns, event_id FROM ticks),
-    n AS (SELECT c.market, c.t_ns, min(g.t_ns) AS t_level_ns FROM c JOIN g ON c.market = g.market AND g.event_id % 4 = 1 AND g.t_ns > c.t_ns GROUP BY 1, 2)
-    SELECT n.market, n.t_ns, t_level_ns, (t_level_ns - n.t_ns) / 1e9 AS latency_s, EXISTS (SELECT 1 FROM g WHERE g.market = n.market AND g.event_id % 3 = 0 AND g.t_ns > t_level_ns AND g.t_ns < t_level_ns + 7200000000000) AS confirmed FROM n""", "latency_s")
+@register("d18_crossing_to_level_to_fill", f"""WITH c AS ({CROSS}), g AS (SELECT symbol || '-' || (t_ns // 86400000000000) AS market, t_ns, mid FROM ticks),
+    n AS (SELECT c.market, c.t_ns, min(g.t_ns) AS t_level_ns FROM c JOIN g ON c.market = g.market AND g.mid < 130 AND g.t_ns > c.t_ns GROUP BY 1, 2)
+    SELECT n.market, n.t_ns, t_level_ns, (t_level_ns - n.t_ns) / 1e9 AS latency_s, EXISTS (SELECT 1 FROM g WHERE g.market = n.market AND g.mid > 150 AND g.t_ns > t_level_ns AND g.t_ns < t_level_ns + 7200000000000) AS confirmed FROM n""", "latency_s")
 def to_level(spark, sf):
     c = L.strike_crossings(V.ticks(spark, sf), strikes(spark, sf))
-    lv = V.ticks(spark, sf).where("event_id % 4 = 1").select(F.concat_ws("-", "symbol", F.floor(F.col("t_ns") / (86400 * NS)).cast("bigint")).alias("market"), F.col("t_ns").alias("t_recv_ns"), F.lit("new_order").alias("classification"))
+    lv = V.ticks(spark, sf).where("mid < 130").select(F.concat_ws("-", "symbol", F.floor(F.col("t_ns") / (86400 * NS)).cast("bigint")).alias("market"), F.col("t_ns").alias("t_recv_ns"), F.lit("new_order").alias("classification"))
     return L.crossing_to_level_to_fill(c, lv, _tagged(spark, sf).drop("outcome_side"), 7200 * NS).select("market", "t_ns", "t_level_ns", "latency_s", "confirmed")
 
 

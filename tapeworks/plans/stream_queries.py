@@ -170,13 +170,17 @@ def stream_positions(spark, sf):
         return collected(spark, T.stream_inventory(s))
 
 
-@register("n13_fill_print_join", """SELECT event_id, CASE WHEN event_id % 10 = 0 THEN epoch_us(ts) * 1000 END AS t_print_ns FROM events WHERE event_id % 5 IN (0, 3) AND (event_id % 10 = 0 OR ts <= (SELECT least(max(CASE WHEN event_id % 5 IN (0, 3) THEN ts END), max(CASE WHEN event_id % 2 = 0 THEN ts END)) FROM events) - INTERVAL 1 HOUR)""")
+FILLED, PRINTED = "event_type in ('click', 'purchase')", "event_type <> 'click'"
+
+
+@register("n13_fill_print_join", f"""SELECT event_id, CASE WHEN {PRINTED} THEN epoch_us(ts) * 1000 END AS t_print_ns FROM events WHERE {FILLED} AND ({PRINTED} OR ts <= (SELECT least(max(CASE WHEN {FILLED} THEN ts END), max(CASE WHEN {PRINTED} THEN ts END)) FROM events) - INTERVAL 1 HOUR)""")
 def prints(spark, sf):
-    """Prints of every second transaction, some minutes late. Fills without one leave the stream when the watermark has passed: those of the last hour that both streams reach are left out."""
+    """Clicks and purchases are fills; all but clicks have a print, up to two minutes late. Fills without one leave the stream
+    when the watermark has passed: those of the last hour that both streams reach are left out."""
     tx = F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("tx_hash")
     at = (F.unix_micros("ts") * 1000).alias("t_ns")
-    f = raw(spark, sf).where("event_id % 5 in (0, 3)").select("event_id", tx, "ts").withWatermark("ts", "10 minutes")
-    p = raw(spark, sf).where("event_id % 2 = 0").withColumn("ts", F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 5 * 60_000_000)).select(tx, "ts", at).withWatermark("ts", "10 minutes")
+    f = raw(spark, sf).where(FILLED).select("event_id", tx, "ts").withWatermark("ts", "10 minutes")
+    p = raw(spark, sf).where(PRINTED).select(tx, F.timestamp_micros(F.unix_micros("ts") + F.col("event_id") % 3 * 60_000_000).alias("ts"), at).withWatermark("ts", "10 minutes")
     out = collected(spark, T.fill_print_join(f, p))
-    last = V.table(spark, sf, "events").agg(F.expr("least(max(ts) filter (where event_id % 5 in (0, 3)), max(ts) filter (where event_id % 2 = 0)) - INTERVAL 1 HOUR").alias("last"))
+    last = V.table(spark, sf, "events").agg(F.expr(f"least(max(ts) filter (where {FILLED}), max(ts) filter (where {PRINTED})) - INTERVAL 1 HOUR").alias("last"))
     return out.crossJoin(F.broadcast(last)).where((F.col("t_print_ns").isNotNull()) | (F.col("ts") <= F.col("last"))).select("event_id", "t_print_ns")  # one row

@@ -87,9 +87,9 @@ def levels_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def book_fills(spark: SparkSession, sf: str) -> DataFrame:
-    """Prints close to level updates in time: every fifth event, shifted by up to three seconds."""
+    """Prints close to level updates in time: clicks and purchases, shifted by up to three seconds."""
     k = "cast(get_json_object(props, '$.k') as int)"
-    return table(spark, sf, "events").where("event_id % 5 in (0, 3)").selectExpr("event_id", "cast(user_id % 40 as string) as token_id", "concat('m', (user_id % 40) div 2) as market", "if(user_id % 2 = 0, 'Up', 'Down') as outcome_side", f"element_at(array('0.450000','0.500000','0.550000'), {k} % 3 + 1) as price", "if(event_id % 2 = 0, 'BUY', 'SELL') as side", "value as size", f"{_ns('ts')} + (event_id % 7 - 3) * 1000000000 as t_ns")
+    return table(spark, sf, "events").where("event_type in ('click', 'purchase')").selectExpr("event_id", "cast(user_id % 40 as string) as token_id", "concat('m', (user_id % 40) div 2) as market", "if(user_id % 2 = 0, 'Up', 'Down') as outcome_side", f"element_at(array('0.450000','0.500000','0.550000'), {k} % 3 + 1) as price", "if(event_id % 2 = 0, 'BUY', 'SELL') as side", "value as size", f"{_ns('ts')} + (event_id % 7 - 3) * 1000000000 as t_ns")
 
 
 SQL_VIEWS = {
@@ -112,7 +112,7 @@ SQL_VIEWS = {
     "levels": """SELECT *, size - size_before AS delta, CASE WHEN size - size_before > 0.001 THEN 'new_order' WHEN size - size_before < -0.001 THEN 'cancel_or_fill' ELSE 'no_change' END AS classification
       FROM (SELECT *, coalesce(lag(size) OVER (PARTITION BY token_id, price, side ORDER BY t_recv_ns, size), 0) AS size_before FROM raw_levels)""",
     "book_fills": """SELECT event_id, CAST(user_id % 40 AS VARCHAR) AS token_id, 'm' || ((user_id % 40) // 2) AS market, CASE WHEN user_id % 2 = 0 THEN 'Up' ELSE 'Down' END AS outcome_side, ['0.450000','0.500000','0.550000'][CAST(json_extract_string(props, '$.k') AS INTEGER) % 3 + 1] AS price,
-      CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, value AS size, epoch_us(ts) * 1000 + (event_id % 7 - 3) * 1000000000 AS t_ns FROM events WHERE event_id % 5 IN (0, 3)""",
+      CASE WHEN event_id % 2 = 0 THEN 'BUY' ELSE 'SELL' END AS side, value AS size, epoch_us(ts) * 1000 + (event_id % 7 - 3) * 1000000000 AS t_ns FROM events WHERE event_type IN ('click', 'purchase')""",
     "bars": """SELECT symbol, t_ns // 3600000000000 AS bar, arg_min(mid, t_ns) AS open, max(mid) AS high, min(mid) AS low, arg_max(mid, t_ns) AS close, max(t_ns) AS t_ns, count(*) AS n_ticks FROM ticks GROUP BY 1, 2""",
     "rets": "SELECT *, ln(close) - ln(lag(close) OVER (PARTITION BY symbol ORDER BY bar)) AS r FROM bars",
     "market_slots": """SELECT o_orderkey, ['BTC','ETH','SOL','XRP'][o_custkey % 4 + 1] AS asset_symbol, epoch_us(o_orderdate) * 1000 + (o_orderkey % 86400) * 1000000000 AS start_ns,
