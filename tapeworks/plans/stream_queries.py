@@ -79,10 +79,20 @@ def bars(spark, sf):
     return collected(spark, T.stream_bars(arriving(spark, sf), "1 hour")).select("symbol", F.unix_micros("start").alias("start_us"), "close", "n")
 
 
-@register("n7_sliding_vol")
+@register("n7_stream_returns", "SELECT symbol, t_ns, r FROM (SELECT symbol, t_ns, ln(mid) - ln(lag(mid) OVER (PARTITION BY symbol ORDER BY t_ns)) AS r FROM ticks) WHERE r IS NOT NULL", "r")
+def stream_returns(spark, sf):
+    """Each tick's return from the symbol's tick before."""
+    with keyed_state(spark):
+        return collected(spark, T.stream_returns(arriving(spark, sf).select("symbol", "t_ns", "mid", "ts"))).select("symbol", "t_ns", "r")
+
+
+@register("n7_sliding_vol", """WITH r AS (SELECT symbol, t_ns // 1000 AS us, ln(mid) - ln(lag(mid) OVER (PARTITION BY symbol ORDER BY t_ns)) AS r FROM ticks), w AS (SELECT *, (us // 3600000000 - k.k) * 3600000000 AS start_us FROM r, range(2) k(k) WHERE r IS NOT NULL)
+    SELECT symbol, CAST(start_us AS BIGINT) AS start_us, avg(r * r) AS mean_r2, count(*) AS n FROM w WHERE start_us + 7200000000 <= (SELECT max(t_ns) // 1000 - 600000000 FROM ticks) GROUP BY 1, 2""", "mean_r2")
 def sliding(spark, sf):
-    s = arriving(spark, sf).withColumn("r", F.log("mid") - F.log(F.lit(100.0)))
-    return collected(spark, T.sliding_vol(s, "2 hours", "1 hour"))
+    """Mean square returns of two hours, each hour, of windows that the watermark has closed."""
+    with keyed_state(spark):
+        s = T.stream_returns(arriving(spark, sf).select("symbol", "t_ns", "mid", "ts"))
+        return collected(spark, T.sliding_vol(s, "2 hours", "1 hour")).select("symbol", F.unix_micros("start").alias("start_us"), "mean_r2", "n")
 
 
 @register("n8_uptime_sessions", """WITH g AS (SELECT event_type AS service, epoch_us(ts) AS t, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY event_type ORDER BY ts) >= 1200000000, TRUE) AS new FROM events), s AS (SELECT *, sum(new::INT) OVER (PARTITION BY service ORDER BY t ROWS UNBOUNDED PRECEDING) AS no FROM g)

@@ -92,6 +92,39 @@ def stream_bars(df: DataFrame, width: str = "1 minute") -> DataFrame:
     return g.select("symbol", F.col("window.start").alias("start"), "close", "n")
 
 
+class _Returns(StatefulProcessor):
+    """A symbol's last price, from which the next one's log return is taken."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("last", "t_ns long, mid double")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        import numpy as np
+        import pandas as pd
+
+        parts = [p[["t_ns", "ts", "mid"]] for p in rows]  # numbers only
+        p = pd.concat(parts).sort_values(["t_ns", "mid"])
+        if self.state.exists():
+            t, mid = self.state.get()
+            p = p[p["t_ns"] > t]  # what comes after its successor has no return
+        else:
+            mid = np.nan
+        if not len(p):
+            return
+        before = np.concatenate([[mid], p["mid"].to_numpy()[:-1]])
+        self.state.update((int(p["t_ns"].iloc[-1]), float(p["mid"].iloc[-1])))
+        out = pd.DataFrame({"symbol": key[0], "ts": p["ts"].to_numpy(), "t_ns": p["t_ns"].to_numpy(), "r": np.log(p["mid"].to_numpy() / before)})
+        yield out[~np.isnan(before)]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_returns(df: DataFrame) -> DataFrame:
+    """Ticks (symbol, t_ns, mid, ts with a watermark) -> (symbol, ts, t_ns, r): each tick's log return from the one before, across micro-batches."""
+    return df.groupBy("symbol").transformWithStateInPandas(statefulProcessor=_Returns(), outputStructType="symbol string, ts timestamp, t_ns long, r double", outputMode="Append", timeMode="EventTime", eventTimeColumnName="ts")
+
+
 def sliding_vol(df: DataFrame, width: str = "5 minutes", step: str = "1 minute") -> DataFrame:
     g = df.groupBy(F.window("ts", width, step), "symbol").agg(F.avg(F.col("r") * F.col("r")).alias("mean_r2"), F.count("*").alias("n"))
     return g.select("symbol", F.col("window.start").alias("start"), "mean_r2", "n")

@@ -80,3 +80,14 @@ def test_rotation_waits(spark, tmp_path, grace):
     query, _ = T.rotate_finished(s, str(tmp_path / "out"), str(tmp_path / "cp"), grace)
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/hours")).count() == 4 - grace
+
+
+def test_returns_across_batches(spark, tmp_path):
+    import math
+
+    batches = [[("a", 1 * NS, 100.0), ("b", 1 * NS, 10.0)], [("a", 3 * NS, 121.0), ("a", 2 * NS, 110.0), ("c", 9 * NS, 1.0)], [("a", 2 * NS, 50.0), ("b", 10 * NS, 20.0)]]
+    s = arrive(spark, str(tmp_path / "in"), batches, "symbol string, t_ns long, mid double").withColumn("ts", F.timestamp_micros((F.col("t_ns") / 1000).cast("long"))).withWatermark("ts", "1 hour")
+    with keyed_state(spark):
+        out = T.run_to_table(T.stream_returns(s), str(tmp_path / "out"), str(tmp_path / "cp"))
+    got = {(r["symbol"], r["t_ns"] // NS): r["r"] for r in out.collect()}
+    assert got == pytest.approx({("a", 2): math.log(1.1), ("a", 3): math.log(1.1), ("b", 10): math.log(2)})
