@@ -134,12 +134,13 @@ def klines(spark, sf):
     v = F.col("value")
     price = lambda c: F.when(F.col("event_id") % 13 == 0, F.lit("bad")).otherwise(c.cast("string"))
     k = F.to_json(F.struct(F.upper("event_type").alias("s"), (F.col("event_id") * 1000).alias("t"), (F.col("event_id") * 1000 + 999).alias("T"), v.cast("string").alias("o"), (v + 2).cast("string").alias("h"), (v - 1).cast("string").alias("l"), price(v + 1).alias("c")))
+    before = spark.conf.get("spark.sql.caseSensitive")
     spark.conf.set("spark.sql.caseSensitive", "true")  # t and T are two fields
     try:
         out = S.parse_klines(V.table(spark, sf, "events").select(k.alias("k")))
         out.schema
     finally:
-        spark.conf.set("spark.sql.caseSensitive", "false")
+        spark.conf.set("spark.sql.caseSensitive", before)
     return out
 
 
