@@ -1,5 +1,6 @@
 """Training-data operators against brute force, round trips and held-out accuracy; nulls, empties, ties, clashes and empty tables."""
 
+import datetime as dt
 import hashlib
 import random
 import zlib
@@ -372,6 +373,49 @@ def test_url_filter(spark):
     assert len(got) == len(caps)
     assert {r["page_id"]: (r["blocked"], r["matched"]) for r in got} == {1: (False, None), 2: (True, ".bad.com"), 3: (True, "=a.bad.com"), 4: (False, None), 5: (True, "/ok.org/fr"), 6: (False, None), 7: (False, None), 8: (False, None), 9: (False, None)}
     assert urlfilter.filter_urls(df.limit(0), entries).count() == 0 and urlfilter.filter_urls(df, entries.limit(0)).where("blocked").count() == 0
+    odd = df.drop("host").withColumnsRenamed({"url": "u.r l"}).withColumns({"prefix": F.lit(1), "m": F.lit(2), "`c0`": F.lit(3), "key": F.lit(4), "depths": F.lit(5)})
+    assert odd.columns[1] == "u.r l"
+    again = urlfilter.filter_urls(odd, entries, "u.r l")
+    assert again.columns[:8] == odd.columns and sorted((r["page_id"], str(r["matched"])) for r in again.collect()) == sorted((r["page_id"], str(r["matched"])) for r in got)
+
+
+def test_url_filter_against_a_loop(spark):
+    """Lists of domains, hosts and paths of any depth against captures, whose paths are up to 3,000 segments long."""
+    rng = np.random.default_rng(5)
+    start = dt.date(2024, 1, 1)
+    hosts = ["a.b.com", "b.com", "x.a.b.com", "c.org", "com", "[::1]"]
+    keys = [f".{h}" for h in hosts[:4]] + [f"={h}" for h in hosts] + [f"/{h}{p}" for h in hosts[:4] for p in ("/s", "/s/t", "/s/t/u", "/t/s")]
+    log = [(str(rng.choice(keys)), start + dt.timedelta(int(rng.integers(12))), str(rng.choice(["add", "add", "remove"])), str(rng.choice(["p", "q"]))) for _ in range(160)]
+    path = lambda n: "".join("/" + str(rng.choice(["s", "t", "u", ""], p=[0.5, 0.3, 0.1, 0.1])) for _ in range(n))
+    caps = [(i, f"http://{rng.choice(hosts)}{path(int(rng.integers(5)))}", start + dt.timedelta(int(rng.integers(14)))) for i in range(800)]
+    caps += [(800, "http://b.com" + "/s" * 3000, start + dt.timedelta(11)), (801, "http://c.org/s/t" + "/u" * 3000 + "?q", start + dt.timedelta(9))]
+
+    def want(url, day):
+        host, _, rest = url[7:].partition("/")
+        parts = [] if not rest or rest.startswith("/") else rest.partition("?")[0].partition("//")[0].strip("/").split("/")
+        labels = host.split(".")
+        asked = ["/" + "/".join([host, *parts[:n]]) for n in range(len(parts), 0, -1)] if len(parts) < 9 else ["/" + "/".join([host, *parts[:n]]) for n in (3, 2, 1)]
+        for key in [*asked, f"={host}", *["." + ".".join(labels[n:]) for n in range(max(len(labels) - 1, 1))]]:
+            days = [d for k, d, _, _ in log if k == key and d <= day]
+            last = [(a, c) for k, d, a, c in log if k == key and days and d == max(days)]
+            if last and max(a for a, _ in last) == "add":
+                return key, min(c for _, c in last), max(days)
+        return None, None, None
+
+    got = urlfilter.filter_urls(spark.createDataFrame(caps, "page_id int, url string, day date"), spark.createDataFrame(log, "key string, day date, action string, category string")).collect()
+    assert len(got) == len(caps)
+    for r in got:
+        assert (r["matched"], r["category"], r["listed_since"]) == want(r["url"], r["day"]), r["url"][:60]
+    assert {str(r["matched"])[0] for r in got} == set("/=.N")
+
+
+def test_url_filter_meets_days_without_a_range_condition(spark):
+    """The join on dates is by order within a key: no join of the plan has a condition beside its keys."""
+    caps = spark.createDataFrame([(1, "http://a.com/x", 1)], "page_id int, url string, n int").withColumn("day", F.to_date(F.lit("2024-01-03")))
+    log = spark.createDataFrame([(".a.com", "add", "x")], "key string, action string, category string").withColumn("day", F.to_date(F.lit("2024-01-01")))
+    plan = urlfilter.filter_urls(caps, log)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join " in x]
+    assert joins and not any("<" in x.replace("<=>", "") for x in joins)
 
 
 def test_packing(spark):
