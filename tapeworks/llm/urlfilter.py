@@ -7,7 +7,8 @@ it was fetched.
 Captures are reduced to places first: a host, the path as far down as the list goes for that host (nothing for hosts of which it
 names no path), and a day. The keys of places and their days, each pair once, meet the intervals in an as-of join: both are put
 in order of day within a key, and each asked day takes the interval that began last. A key's group holds a row for each
-of its entries and each day on which it is asked, however many captures or hosts lie below it.
+of its entries and each day on which it is asked, however many captures or hosts lie below it. Intervals and places are
+written to the shared folder, as several joins read them.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .common import as_table
+
 
 def url_host(url):
     """Lower-case host without port, user and closing full stop, an IPv6 address with its brackets; null if the URL has none."""
@@ -84,11 +87,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame, url_col: str = "url", d
     inner = {f"c{i}": name for i, name in enumerate(captures.columns)}
     place = ["host", "prefix", "day"]
     url, day = (F.col(f"c{captures.columns.index(c)}") for c in (url_col, day_col))
-    listed = intervals(entries)
+    listed = as_table(intervals(entries), "intervals")
 
     rows = captures.toDF(*inner).withColumns({"host": url_host(url), "day": day}).join(listed_depths(listed), "host", "left")
     rows = rows.withColumn("prefix", F.coalesce(path_key(F.col("host"), url_path(url), F.array_max("depths")), F.lit("")))
-    places = rows.where("host is not null and day is not null").select(*place, "depths").distinct()
+    places = as_table(rows.where("host is not null and day is not null").select(*place, "depths").distinct(), "places")
 
     of_host = places.select("host", "day").distinct().withColumn("key", F.explode(host_keys(F.col("host"))))
     deep = F.size(F.split("prefix", "/")) - 2
