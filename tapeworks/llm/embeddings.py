@@ -7,8 +7,9 @@ region. A partner at squared distance d differs from the query in all `dim` dire
 a border it differs by about sqrt(d / dim), so the traversal stops at d / dim times the square of the normal quantile of the
 target recall. What is visited is then compared in double precision. Either of a pair may find the other; both count it.
 
-Equal vectors are one vector with a count. Cells' members meet their visitors in blocks of bounded size, as matrices; a block
-gives each row's number of links and a spanning forest of them.
+Equal vectors, told apart by 128 bits, are one vector with a count; from there on it goes by a number. Codewords grow with the
+fourth root of the vectors, so cells, and members of a cell, with the square root. Cells' members meet their visitors in blocks
+of bounded size, as matrices; a block gives each row's number of links and a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .simhash import merge
 #: Distinct vectors that the codebooks are fitted on, at most; those of the smallest hash.
 SAMPLE = 20_000
 BLOCK = 2_000
+#: Codewords a half at most, so that the counts of cells that are broadcast are a million rows at most.
+MOST_WORDS = 1_024
 
 
 def codebook(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -62,6 +65,11 @@ def unit_rows(values: list, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return out / np.where(norm > 0, norm, 1), usable
 
 
+def words_for(n: int) -> int:
+    """Codewords a half for n distinct vectors: 32 for 65,536 of them, 356 for a billion."""
+    return min(max(2, round(2 * n**0.25)), MOST_WORDS)
+
+
 class MultiIndex:
     def __init__(self, books: tuple[np.ndarray, np.ndarray]):
         self.books = books
@@ -110,7 +118,7 @@ class MultiIndex:
         return rows[by], cells[by]
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", words: int = 32, sample: int = SAMPLE, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id", vec_col: str = "embedding", words: int | None = None, sample: int = SAMPLE, recall: float = 0.99, block: int = BLOCK) -> DataFrame:
     """One row per row of vectors: its id, n_links (other rows with cosine of `least` or more), component_id and kept.
 
     component_id is the smallest id reachable by links, itself included; kept: id equals it. Vectors that are null, zero,
@@ -122,10 +130,13 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     dim = shape["d"] if shape else 2
     own = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     plain = F.when((F.size("v") == dim) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0), F.col("v"))
-    own = as_table(own.select("id", F.when(F.col("id").isNotNull(), F.xxhash64(plain)).alias("h"), plain.alias("v")).withColumn("h", F.when(F.col("v").isNotNull(), F.col("h"))), "vectors")
-    distinct = as_table(own.where("h is not null").groupBy("h").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least_id")), "distinct")
-    picked = distinct.orderBy("h").limit(sample).select("v").toArrow()["v"].to_pylist()
+    own = own.select("id", F.when(F.col("id").isNotNull(), plain).alias("v"))
+    own = as_table(own.select("id", *[F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(k), "v")).alias(f"h{k}") for k in (1, 2)], "v"), "vectors")
+    distinct = own.where("h1 is not null").groupBy("h1", "h2").agg(F.first("v").alias("v"), F.count("*").alias("n"), F.min("id").alias("least_id"))
+    distinct = as_table(distinct.withColumn("h", F.monotonically_increasing_id()), "distinct")  # numbers that hold once the table is written
+    picked = distinct.orderBy("h1", "h2").limit(sample).select("v").toArrow()["v"].to_pylist()
     x, _ = unit_rows(picked, dim)
+    words = words or words_for(distinct.count())
     index = MultiIndex(tuple(codebook(h, words) for h in (x[:, : dim // 2], x[:, dim // 2 :])))
     reach = (2 - 2 * least) * NormalDist().inv_cdf((1 + recall) / 2) ** 2 / dim + 1e-9
     raw_type = np.float32 if dict(vectors.dtypes)[vec_col] == "array<float>" else np.float64  # as it came: nothing is lost
@@ -205,8 +216,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_id"
     found = as_table(met.mapInArrow(compare, "src long, dst long, links long"), "links")
     comps = connected_components(found.where("src <> dst").select("src", "dst"))
     links = found.where("src = dst").groupBy(F.col("src").alias("h")).agg(F.sum("links").alias("others"))
-    classes = distinct.select("h", "n", "least_id").join(links, "h", "left").join(comps.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    classes = distinct.select("h", "h1", "h2", "n", "least_id").join(links, "h", "left").join(comps.withColumnRenamed("id", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
     named = classes.groupBy("component").agg(F.min("least_id").alias("first_id"))
-    classes = classes.join(named, "component").select("h", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "first_id")
-    out = own.select("id", "h").join(classes, "h", "left").withColumn("component_id", F.coalesce("first_id", "id"))
+    classes = classes.join(named, "component").select("h1", "h2", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "first_id")
+    out = own.select("id", "h1", "h2").join(classes, ["h1", "h2"], "left").withColumn("component_id", F.coalesce("first_id", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))

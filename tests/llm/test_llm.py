@@ -590,6 +590,15 @@ def test_embeddings_recall_and_links(spark, block):
         assert [got[i]["component_id"] for i in range(len(a))] == want
     assert all(tuple(got[9000 + i]) == (9000 + i, 0, 9000 + i, True) for i in range(5))
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+    sure = {r["vec_id"]: r for r in embeddings.near_vectors(df, block=block, recall=1 - 1e-12).collect()}
+    assert [sure[i]["n_links"] for i in range(len(a))] == g.sum(1).tolist()
+    assert [sure[i]["component_id"] for i in range(len(a))] == components(len(a), list(zip(*np.nonzero(g))))
+    null = embeddings.near_vectors(spark.createDataFrame([(None, rows[0][1]), (None, rows[0][1]), (3, rows[0][1])], "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(tuple, null), key=str) == [(3, 0, 3, True), (None, 0, None, True), (None, 0, None, True)]
+
+
+def test_codewords_grow_with_the_fourth_root():
+    assert [embeddings.words_for(n) for n in (0, 65_536, 16 * 65_536, 10**9, 10**15)] == [2, 32, 64, 356, embeddings.MOST_WORDS]
 
 
 def test_licenses(spark):
