@@ -197,7 +197,7 @@ def license_sql() -> str:
         last = f"r{k}"
     return rf"""
 WITH known(sentence, id) AS (VALUES {table}),
-d AS (SELECT row_number() OVER () AS row_no, doc_id, string_split_regex(regexp_replace(coalesce(text, ''), '{licenses.WRAP}', '\1 \2', 'g'), '{licenses.END}') AS parts FROM documents),
+d AS (SELECT row_number() OVER () AS row_no, doc_id, string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '{licenses.WRAP}', '\1 \2', 'g'), '{licenses.TAG}', '\1 ', 'g'), '{licenses.END}') AS parts FROM documents),
 s AS (SELECT row_no, unnest(parts) AS part, generate_subscripts(parts, 1) AS pos FROM d),
 m AS (SELECT row_no, pos, id FROM s JOIN known ON trim(regexp_replace(lower(part), '[^a-z0-9]+', ' ', 'g')) = sentence),
 a AS (SELECT row_no, string_agg(id, '>' ORDER BY pos) AS ids, count(*) AS n, string_agg('|' || id || '|', '' ORDER BY pos) AS rest FROM m GROUP BY row_no),

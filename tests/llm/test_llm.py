@@ -601,6 +601,20 @@ def test_codewords_grow_with_the_fourth_root():
     assert [embeddings.words_for(n) for n in (0, 65_536, 16 * 65_536, 10**9, 10**15)] == [2, 32, 64, 356, embeddings.MOST_WORDS]
 
 
+def test_licenses_by_reference_tag_and_text(spark):
+    """Every reference and tag gives its licence; texts of several sentences, rows repeated, an empty table and a very long text."""
+    said = [(k, way.format(name)) for k, names in licenses.NAMES.items() for name in names for way in licenses.REFERENCES]
+    said += [(k, f"// SPDX-License-Identifier: {k} */\nint x;") for k in licenses.NAMES]
+    t = licenses.SENTENCES
+    said += [("Zlib", f"{t['ZlibAsis']} {t['ZlibGrant']}\n1. more"), ("AGPL-3.0-or-later", f"{t['GPLfree']} {t['AGPL3terms']}\n\n{t['GPLhope']} x"), ("LGPL-2.1-or-later", f"{t['LGPLfree']} x; {t['LGPL2terms']}"), ("0BSD", f"{t['0BSDgrant']}\n\n{t['ISCasis']}"), ("BSD-4-Clause", " ".join(t[k] for k in ("BSDgrant", "BSDsource", "BSDbinary", "BSDadvert", "BSDendorse", "BSDasis"))), ("MIT", "Plain words here. " * 40_000 + "Released under the MIT License.")]
+    assert len(set(licenses.known().values()) & set(t)) == len(t)  # no sentence hides another
+    got = {r["doc_id"]: r["licenses"] for r in licenses.scan_licenses(documents(spark, [x for _, x in said])).collect()}
+    assert [(got[i], x[:70]) for i, (_, x) in enumerate(said)] == [([k], x[:70]) for k, x in said]
+    twice = documents(spark, [said[0][1], "SPDX-License-Identifier: NONE"])
+    assert sorted(str(r["licenses"]) for r in licenses.scan_licenses(twice.union(twice)).collect()) == ["['MIT']", "['MIT']", "[]", "[]"]
+    assert licenses.scan_licenses(twice.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     mit = "\n".join([licenses.SENTENCES["MITgrant"], licenses.SENTENCES["MITnotice"], licenses.SENTENCES["MITasis"]])
     bsd = " ".join(licenses.SENTENCES[k] for k in ("BSDgrant", "BSDsource", "BSDbinary", "BSDasis"))
