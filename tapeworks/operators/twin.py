@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
-from .ordered import HOUR_NS, next_after, running_sum
+from .ordered import HOUR_NS, _bucket
 from .regress import ks_distance
 
 HOUR = 3600 * 1_000_000_000
@@ -13,17 +14,29 @@ HOUR = 3600 * 1_000_000_000
 TARGETS = {"fills": 0.20, "hourly_fills": 0.20, "pnl": 0.10, "hourly_pnl": 0.10, "maker_share": 0.05, "win_rate": 0.05, "position_pearson": 0.7, "fill_time_ks": 0.1}
 
 
-def aligned_paths(a: DataFrame, b: DataFrame, by: str = "token_id", time: str = "t_ns", step: str = "signed_size", width: int = HOUR_NS) -> DataFrame:
+def aligned_paths(a: DataFrame, b: DataFrame, by: str = "token_id", time: str = "t_ns", step: str = "signed_size", width: int = HOUR_NS, share: float = 0.005) -> DataFrame:
     """(by, time, until, x, y): both sides' positions from each time at which either changes to the next one of the key.
 
     The two step functions meet on the union of their times; a key's last position has no end and is left out, and where one side has
-    not begun its position is 0. Sums and next times are found in two levels of buckets of time.
+    not begun its position is 0. Keys that may hold over `share` of the rows are dealt by buckets of time, others are whole; a row for each
+    key and bucket carries what comes before and the next bucket's first time. The rows themselves are shuffled once.
     """
-    u = a.select(by, time, F.col(step).alias("__x"), F.lit(0.0).alias("__y")).union(b.select(by, time, F.lit(0.0), F.col(step)))
-    u = u.where(F.col(time).isNotNull()).groupBy(by, time).agg(F.sum("__x").alias("__x"), F.sum("__y").alias("__y"))
-    u = running_sum(u, "__x", [by], [time], "x", width)
-    u = running_sum(u, "__y", [by], [time], "y", width)
-    return next_after(u, u.select(by, time), time, [by], {"until": time}, width=width).where("until is not null").select(by, time, "until", "x", "y")
+    kind = a.schema[by].dataType
+    u = a.select(by, time, F.col(step).alias("__x"), F.lit(0.0).alias("__y")).union(b.select(by, time, F.lit(0.0), F.col(step))).where(F.col(time).isNotNull())
+    large = [v for v in u.select(F.col(by).cast("string").alias("k")).freqItems(["k"], share).first()[0] if v is not None]  # at most 1 / share, none is missed
+    u = u.select(F.coalesce(F.col(by).cast("string"), F.lit("")).alias("__k"), F.col(by).isNull().alias("__null"), time, "__x", "__y")
+    u = u.withColumn("__b", F.when(F.col("__k").isin(large) | F.col("__null"), F.coalesce(_bucket(F.col(time), width), F.lit(0))).otherwise(F.lit(0).cast("bigint")))  # never null, so that both readers below share a shuffle
+    at = ["__k", "__null", "__b"]
+    u = u.repartition(*at).groupBy(*at, time).agg(F.sum("__x").alias("__x"), F.sum("__y").alias("__y"))
+    buckets = W.partitionBy("__k", "__null").orderBy("__b")
+    before = lambda c: F.coalesce(F.sum(c).over(buckets.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    ends = u.groupBy(*at).agg(F.sum("__x").alias("__x"), F.sum("__y").alias("__y"), F.min(time).alias("__t"))
+    ends = ends.select(*at, before("__x").alias("__x0"), before("__y").alias("__y0"), F.lead("__t").over(buckets).alias("__t1"))
+    inside = W.partitionBy(*at).orderBy(time)
+    run = lambda c: F.sum(c).over(inside.rowsBetween(W.unboundedPreceding, 0))
+    d = u.select(*at, time, run("__x").alias("__x"), run("__y").alias("__y"), F.lead(time).over(inside).alias("__t")).join(ends, at)
+    d = d.select(F.when(~F.col("__null"), F.col("__k")).cast(kind).alias(by), time, F.coalesce("__t", "__t1").alias("until"), (F.col("__x0") + F.col("__x")).alias("x"), (F.col("__y0") + F.col("__y")).alias("y"))
+    return d.where("until is not null")
 
 
 def weighted_corr(x: Column, y: Column, w: Column) -> Column:

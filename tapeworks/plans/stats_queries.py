@@ -409,7 +409,7 @@ def match_all(spark, sf):
     """All fills against a twin that trades all but the long markets, 45 minutes later."""
     from ..operators import twin as W
 
-    f = marked(spark, sf).select("token_id", F.col("t_block_ns").alias("t_ns"), "horizon", X.signed_size(F.col("side"), F.col("size")).alias("signed_size"), "is_maker", (F.col("maker_rebate") + F.coalesce("mtm", F.lit(0.0))).alias("net"), (F.col("mtm") > 0).alias("won"))
+    f = V.stored(marked(spark, sf).select("token_id", F.col("t_block_ns").alias("t_ns"), "horizon", X.signed_size(F.col("side"), F.col("size")).alias("signed_size"), "is_maker", (F.col("maker_rebate") + F.coalesce("mtm", F.lit(0.0))).alias("net"), (F.col("mtm") > 0).alias("won")))  # every measure reads it
     later = f.where("horizon <> '1h'").withColumn("t_ns", F.col("t_ns") + 2700 * 10**9)
     return W.match_metrics(f, later, 30 * 86400 * 10**9).select("metric", "gap")
 

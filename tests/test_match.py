@@ -98,3 +98,18 @@ def test_logit_against_newton(spark):
         b += np.linalg.solve((X * (p * (1 - p))[:, None]).T @ X, X.T @ (y - p))
     got = {r["term"]: r["coef"] for r in R.logit(spark.createDataFrame([(*map(float, u), float(v)) for u, v in zip(x, y)], "a double, b double, y double"), "y", ["a", "b"]).collect()}
     assert [got["const"], got["a"], got["b"]] == pytest.approx(b.tolist(), abs=1e-4)
+
+
+def test_aligned_paths_of_large_and_null_keys(spark):
+    """A key of most rows is dealt by buckets, null is a key, and the rows are shuffled for the two readers of one table, not once a step."""
+    rows = [(None if i % 11 == 0 else "big" if i % 7 else f"k{i}", i * 5 % 997, float(i % 5 - 2)) for i in range(1, 600)]
+    a = spark.createDataFrame(rows, "token_id string, t_ns long, signed_size double")
+    paths = W.aligned_paths(a, a.where("t_ns % 2 = 0"), width=40)
+    assert paths._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 5
+    want = {}
+    for key in {r[0] for r in rows}:
+        times = sorted({r[1] for r in rows if r[0] == key})
+        for t, until in zip(times, times[1:]):
+            own = [r for r in rows if r[0] == key and r[1] <= t]
+            want[key, t] = (until, sum(r[2] for r in own), sum(r[2] for r in own if r[1] % 2 == 0))
+    assert {(r[0], r[1]): tuple(r[2:]) for r in paths.collect()} == want
