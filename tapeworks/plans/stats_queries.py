@@ -100,21 +100,27 @@ def grid(spark, sf):
     return R.grid_join(xy(spark, sf), [{"k": 0.5}, {"k": 1.5}]).groupBy((F.col("x1") > 5).alias("high"), "k").agg(F.sum(F.col("y") * F.col("k")).alias("s"))
 
 
+LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
 def boosted(spark, sf):
-    """Trees of the size on price, discount and tax, earliest 70 % as training rows."""
-    return R.gbt_residual(R.temporal_split(xy(spark, sf), "t", 0.7), "y", ["x1", "x2", "x3"], ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], "g", rounds=5)
+    """Rows and trees of the size on price, discount and tax, earliest 70 % as training rows."""
+    d = R.temporal_split(xy(spark, sf), "t", 0.7).dropna(subset=["y", "x1", "x2", "x3"])
+    return d, R.gbt_fit(d, "y", ["x1", "x2", "x3"], LINE, rounds=5)
 
 
 @register("l9_l11_gbt_residual")
 def gbt(spark, sf):
     """Permutation importance."""
-    return boosted(spark, sf)[1]
+    d, error = boosted(spark, sf)
+    return R.gbt_importances(d, error, "y", ["x1", "x2", "x3"], LINE)
 
 
 @register("l9_gbt_by_group")
 def gbt_by_group(spark, sf):
     """RMSE of both parts and of each group's test rows, with ratios."""
-    return boosted(spark, sf)[0]
+    d, error = boosted(spark, sf)
+    return R.gbt_measures(d, error, "y", "g")
 
 
 @register("l8_profile_refined")
@@ -126,7 +132,7 @@ def profile_refined(spark, sf):
 @register("l10_gbt_select")
 def gbt_select(spark, sf):
     d = R.temporal_split(xy(spark, sf), "t", 0.7).withColumn("label", (F.col("y") > 25).cast("double"))
-    return R.gbt_select(d, "label", ["x1", "x2", "x3"], rounds=3)
+    return R.gbt_select(d, "label", ["x1", "x2", "x3"], rounds=3, key=LINE)
 
 
 @register("l12_sizing_ols", f"""WITH d AS (SELECT *, t <= (SELECT quantile_cont(t, 0.7) FROM {XY}) AS train FROM {XY}), f AS (SELECT regr_slope(y, x1) AS b, regr_intercept(y, x1) AS a, regr_r2(y, x1) AS r2, quantile_cont(y, 0.5) AS med FROM d WHERE train)

@@ -113,3 +113,14 @@ def test_aligned_paths_of_large_and_null_keys(spark):
             own = [r for r in rows if r[0] == key and r[1] <= t]
             want[key, t] = (until, sum(r[2] for r in own), sum(r[2] for r in own if r[1] % 2 == 0))
     assert {(r[0], r[1]): tuple(r[2:]) for r in paths.collect()} == want
+
+
+def test_gbt_measures_permute_nothing_and_deal_small_partitions(spark, monkeypatch, sf):
+    """Measures alone don't wait for the importances, and the trees' rows are cached in partitions of bounded size, however few files they come from."""
+    from tapeworks.plans.registry import QUERIES
+
+    monkeypatch.setattr(R, "permuted", lambda *a: 1 / 0)
+    assert {(r["part"], r["group"]) for r in QUERIES["l9_gbt_by_group"](spark, sf).collect()} >= {("train", "all"), ("test", "all")}
+    df = spark.range(1000).select(F.col("id").alias("k")).coalesce(1)
+    parts = R.dealt(df, ["k"], rows=50).rdd.glom().map(lambda p: [r[0] for r in p]).collect()
+    assert len(parts) == 20 and max(map(len, parts)) < 100 and all(p == sorted(p) for p in parts) and sum(map(len, parts)) == 1000
