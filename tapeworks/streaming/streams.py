@@ -95,6 +95,9 @@ def stream_bars(df: DataFrame, width: str = "1 minute") -> DataFrame:
 class _Returns(StatefulProcessor):
     """A symbol's last price, from which the next one's log return is taken."""
 
+    #: rows of a frame that is given back; a micro-batch's times and prices of a symbol are held as arrays, and nothing else of it
+    CHUNK = 50_000
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("last", "t_ns long, mid double")
 
@@ -102,19 +105,25 @@ class _Returns(StatefulProcessor):
         import numpy as np
         import pandas as pd
 
-        parts = [p[["t_ns", "ts", "mid"]] for p in rows]  # numbers only
-        p = pd.concat(parts).sort_values(["t_ns", "mid"])
+        parts = [(p["t_ns"].to_numpy(np.int64), p["mid"].to_numpy(np.float64)) for p in rows]  # 16 bytes a row
+        times, mids = (np.concatenate(x) for x in zip(*parts))
+        del parts
         if self.state.exists():
             t, mid = self.state.get()
-            p = p[p["t_ns"] > t]  # what comes after its successor has no return
+            times, mids = times[times > t], mids[times > t]  # what comes after its successor has no return
         else:
             mid = np.nan
-        if not len(p):
+        if not len(times):
             return
-        before = np.concatenate([[mid], p["mid"].to_numpy()[:-1]])
-        self.state.update((int(p["t_ns"].iloc[-1]), float(p["mid"].iloc[-1])))
-        out = pd.DataFrame({"symbol": key[0], "ts": p["ts"].to_numpy(), "t_ns": p["t_ns"].to_numpy(), "r": np.log(p["mid"].to_numpy() / before)})
-        yield out[~np.isnan(before)]
+        at = np.lexsort((mids, times))
+        times, mids = times[at], mids[at]
+        del at
+        self.state.update((int(times[-1]), float(mids[-1])))
+        for i in range(0, len(times), self.CHUNK):
+            t, m = times[i : i + self.CHUNK], mids[i : i + self.CHUNK]
+            before = np.concatenate([[mid if i == 0 else mids[i - 1]], m[:-1]])
+            out = pd.DataFrame({"symbol": key[0], "ts": pd.to_datetime(t // 1000, unit="us"), "t_ns": t, "r": np.log(m / before)})
+            yield out[~np.isnan(before)]
 
     def close(self) -> None:
         pass
