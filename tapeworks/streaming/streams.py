@@ -157,27 +157,37 @@ def fill_print_join(fills: DataFrame, prints: DataFrame, bound: str = "INTERVAL
 
 
 class _Inventory(StatefulProcessor):
-    """Position and last price of a token."""
+    """Positions and last prices of the tokens of a bucket: one state and one call a bucket, for a call a token costs more than its rows."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", "position double, price double")
+        self.state = handle.getValueState("positions", "token_id array<string>, position array<double>, price array<double>")
 
     def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
         import pandas as pd
 
-        p = pd.concat(list(rows)).sort_values(["block_number", "log_index", "signed_size", "price"])
-        position = self.state.get()[0] if self.state.exists() else 0.0
-        p["position"] = position + p["signed_size"].cumsum()
-        self.state.update((float(p["position"].iloc[-1]), float(p["price"].iloc[-1])))
-        yield pd.DataFrame({"token_id": key[0], "block_number": p["block_number"], "log_index": p["log_index"], "position": p["position"]})
+        p = pd.concat(list(rows), ignore_index=True).sort_values(["block_number", "log_index", "signed_size", "price"])
+        known: dict = {}
+        if self.state.exists():
+            tokens, positions, prices = self.state.get()
+            known = dict(zip(tokens, zip(positions, prices)))
+        start = p["token_id"].map({t: v[0] for t, v in known.items()}).astype("float64").fillna(0.0)
+        p["position"] = start + p.groupby("token_id", dropna=False, sort=False)["signed_size"].cumsum()
+        last = p.drop_duplicates("token_id", keep="last")
+        known |= {t: (float(x), float(price)) for t, x, price in zip(last["token_id"], last["position"], last["price"])}
+        self.state.update((list(known), [v[0] for v in known.values()], [v[1] for v in known.values()]))
+        yield p[["token_id", "block_number", "log_index", "position"]]
 
     def close(self) -> None:
         pass
 
 
-def stream_inventory(df: DataFrame) -> DataFrame:
-    """Running position of each token; rows of a batch in the order of block and log, then size and price."""
-    return df.groupBy("token_id").transformWithStateInPandas(statefulProcessor=_Inventory(), outputStructType="token_id string, block_number long, log_index int, position double", outputMode="Append", timeMode="None")
+def stream_inventory(df: DataFrame, buckets: int = 4096) -> DataFrame:
+    """Running position of each token; rows of a batch in the order of block and log, then size and price.
+
+    Tokens are dealt over `buckets` by their hash; the number must stay for the life of a checkpoint.
+    """
+    bucket = F.pmod(F.xxhash64("token_id"), F.lit(buckets)).cast("int")
+    return df.withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Inventory(), outputStructType="token_id string, block_number long, log_index int, position double", outputMode="Append", timeMode="None")
 
 
 class _ActiveSet(StatefulProcessor):

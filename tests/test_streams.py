@@ -91,3 +91,51 @@ def test_returns_across_batches(spark, tmp_path):
         out = T.run_to_table(T.stream_returns(s), str(tmp_path / "out"), str(tmp_path / "cp"))
     got = {(r["symbol"], r["t_ns"] // NS): r["r"] for r in out.collect()}
     assert got == pytest.approx({("a", 2): math.log(1.1), ("a", 3): math.log(1.1), ("b", 10): math.log(2)})
+
+
+class _State:
+    """A value state in memory."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+
+def test_returns_leave_in_bounded_frames():
+    import numpy as np
+    import pandas as pd
+
+    from tapeworks.streaming import streams as T
+
+    r = T._Returns()
+    r.state, r.CHUNK = _State(), 7
+    rng = np.random.default_rng(2)
+    t, mid = rng.permutation(40) * 1000, rng.uniform(1, 2, 40)
+    frames = [pd.DataFrame({"t_ns": t[i : i + 9], "mid": mid[i : i + 9]}) for i in range(0, 40, 9)]
+    out = list(r.handleInputRows(("a",), iter(frames), None))
+    assert max(map(len, out)) <= 7 and r.state.value == (39000, mid[t.argmax()])
+    got = pd.concat(out)
+    assert got["t_ns"].tolist() == list(range(1000, 40000, 1000)) and np.allclose(got["r"], np.diff(np.log(mid[t.argsort()])))
+
+
+def test_inventory_of_a_bucket_of_tokens():
+    import pandas as pd
+
+    from tapeworks.streaming import streams as T
+
+    n = T._Inventory()
+    n.state = _State()
+    batches = [[("a", 2, 0, 3.0), ("b", 1, 0, -1.0), (None, 1, 1, 4.0), ("a", 1, 0, 5.0)], [("c", 3, 0, 1.0), ("a", 3, 1, -2.0), (None, 4, 0, 1.0)]]
+    got = []
+    for rows in batches:
+        p = pd.DataFrame(rows, columns=["token_id", "block_number", "log_index", "signed_size"]).assign(price=0.5)
+        got.append({(x[0], x[1]): x[3] for f in n.handleInputRows((0,), iter([p[:2], p[2:]]), None) for x in f.itertuples(index=False)})
+    assert got == [{("a", 1): 5.0, ("a", 2): 8.0, ("b", 1): -1.0, (None, 1): 4.0}, {("a", 3): 6.0, ("c", 3): 1.0, (None, 4): 5.0}]
