@@ -167,7 +167,7 @@ def dist_features(tau: Column, sigma: Column, spot: Column, strike: Column, lag:
 def word_unsigned(hexed: Column, index: int) -> Column:
     """The 32-byte word at `index` of hex data (without 0x), as decimal text of any size.
 
-    Words below 2^124 are one decimal of two conversions; larger ones take base 10^9 limbs folded over 8-digit chunks.
+    Words below 2^64 are one conversion, those below 2^124 one decimal of two; larger ones take base 10^9 limbs folded over 8-digit chunks.
     """
     word = F.substring(hexed, 64 * index + 1, 64)
     half = lambda at, n: F.conv(F.substring(hexed, 64 * index + at, n), 16, 10).cast("decimal(20,0)")
@@ -188,4 +188,5 @@ def word_unsigned(hexed: Column, index: int) -> Column:
     limbs = F.aggregate(chunks, zero, push)
     text = F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 9, "0")), "")
     large = F.coalesce(F.nullif(F.regexp_replace(text, "^0+", ""), F.lit("")), F.lit("0"))
-    return F.when(F.length(word) == 64, F.when(word.startswith("0" * 33), small.cast("decimal(38,0)").cast("string")).otherwise(large))
+    tiny = F.conv(F.substring(hexed, 64 * index + 49, 16), 16, 10)
+    return F.when(F.length(word) == 64, F.when(word.startswith("0" * 48), tiny).when(word.startswith("0" * 33), small.cast("decimal(38,0)").cast("string")).otherwise(large))

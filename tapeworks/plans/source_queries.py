@@ -183,19 +183,21 @@ LOGS = """SELECT *, CAST(l_quantity AS HUGEINT) AS q, '0x' || lpad(lower(to_hex(
     CASE WHEN event = 'ConditionResolution' THEN (l_suppkey % 2) || ',' || (1 - l_suppkey % 2) END AS payouts FROM ({LOGS})""")
 def decode(spark, sf):
     """Logs of all six kinds, dealt over all cores; each fifth line has an unknown topic, each tenth supplier's logs are of an unknown contract."""
-    word = lambda c: F.lower(F.lpad(F.hex(c.cast("bigint")), 64, "0"))
+    # zeros before the digits, cut from the end: lpad puts them there one by one
+    padded = lambda n, *cs: F.concat(F.lit("0" * (64 - n)), F.substring(F.concat(F.lit("0" * n), *cs), -n, n))
+    word = lambda c: padded(16, F.lower(F.hex(c.cast("bigint"))))
     hexed = lambda *cs: F.concat(F.lit("0x"), *cs)
     first = {v: F.lit(f"0x{k}") for k, v in S.TOPICS.items()}
     line, supp = F.col("l_linenumber"), F.col("l_suppkey")
     q = F.col("l_quantity").cast("bigint")
-    s, p, o = word(supp), word(F.col("l_partkey")), word(F.col("l_orderkey"))
-    token = F.lower(F.lpad(F.concat(F.hex("l_partkey"), F.lit("00000007")), 64, "0"))
+    once = {"s": word(supp), "p": word(F.col("l_partkey")), "o": word(F.col("l_orderkey")), "token": padded(24, F.lower(F.hex("l_partkey")), F.lit("00000007")), "amount": word(q * 1000000)}
+    s, p, o, token, amount = map(F.col, once)
     two, bit = word(F.lit(2)), supp % 2
     made = {
-        1: ("TransferSingle", S.CONDITIONS[0], [s, s, p], [token, word(q * 1000000)]),
-        2: ("Transfer", S.CASH[1], [s, p], [word(q * 1000000)]),
-        3: ("OrderFilled", S.EXCHANGES[0], [o, s, p], [word(bit), token, word(q * 1000000), word(q * 500000), word(q * 1000), p, F.lit("0" * 64)]),
-        4: ("FeeCharged", S.EXCHANGES[0], [s], [word(q * 1000000)]),
+        1: ("TransferSingle", S.CONDITIONS[0], [s, s, p], [token, amount]),
+        2: ("Transfer", S.CASH[1], [s, p], [amount]),
+        3: ("OrderFilled", S.EXCHANGES[0], [o, s, p], [word(bit), token, amount, word(q * 500000), word(q * 1000), p, F.lit("0" * 64)]),
+        4: ("FeeCharged", S.EXCHANGES[0], [s], [amount]),
         6: ("ConditionResolution", S.CONDITIONS[0], [p, s, o], [two, word(F.lit(64)), two, word(bit), word(1 - bit)]),
         7: ("ConditionPreparation", S.CONDITIONS[0], [p, s, o], [two]),
     }
@@ -205,7 +207,8 @@ def decode(spark, sf):
         data = F.when(line == k, hexed(*words)).otherwise(data)
         address = F.when(line == k, F.lit(at)).otherwise(address)
     lines = S.spread(V.table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
-    logs = V.stored(lines.select(topics.alias("topics"), data.alias("data"), F.when(supp % 10 == 0, F.lit("0xabc")).otherwise(address).alias("address"), F.col("l_orderkey").alias("block_number"), line.alias("log_index"), F.lit("0x1").alias("tx_hash")))  # made once, so that the decoder reads a table of logs
+    made_once = lines.select("l_linenumber", "l_suppkey", "l_orderkey", "l_quantity", *[c.alias(k) for k, c in once.items()])
+    logs = made_once.select(topics.alias("topics"), data.alias("data"), F.when(supp % 10 == 0, F.lit("0xabc")).otherwise(address).alias("address"), F.col("l_orderkey").alias("block_number"), line.alias("log_index"), F.lit("0x1").alias("tx_hash"))
     d = S.decode_chain_logs(logs)
     return d.withColumn("payouts", F.array_join("payout_numerators", ",")).drop("payout_numerators", "tx_hash")
 

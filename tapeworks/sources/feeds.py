@@ -241,45 +241,52 @@ def decode_chain_logs(df: DataFrame, contracts: dict[str, list[str]] | None = No
     payouts whose stated number is more than the data hold. Addresses and hashes are in lower case.
     """
     contracts = CONTRACTS if contracts is None else contracts
-    first = F.lower(F.regexp_replace(F.get("topics", F.lit(0)), "^0x", ""))
-    event = F.create_map(*[F.lit(x) for kv in TOPICS.items() for x in kv])[first]
-    known = [(F.col("event") == e) & F.col("address").isin([a.lower() for a in at]) for e, at in contracts.items()]
-    d = df.withColumns({"event": event, "address": F.lower("address"), "__d": F.lower(F.regexp_replace("data", "^0x", ""))})
-    d = d.where(reduce(lambda a, b: a | b, known, F.lit(False)))
+    pairs = list(dict.fromkeys((t, a.lower(), e) for t, e in TOPICS.items() for a in contracts.get(e, [])))
+    known = df.sparkSession.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).cast("string") for x in p]) for p in pairs or [(None, None, None)]])).alias("__topic", "__at", "event"))
+    plain = lambda c: F.when(F.startswith(c, F.lit("0x")), F.substring(c, 3, 2**31 - 1)).otherwise(c)
     is_ = lambda *names: F.col("event").isin(*names)
-    topic = lambda i: F.lower(F.get("topics", F.lit(i)))
-    raw = lambda i: F.substring("__d", 64 * i + 1, 64)
-    n = F.conv(F.substring("__d", 64 * 2 + 49, 16), 16, 10).cast("decimal(20,0)")
+    topic = lambda i: F.get("topics", F.lit(i))
+    # words are cut out of bytes: a substring of text counts characters from its start
+    raw = lambda i: F.substring("__d", 64 * i + 1, 64).cast("string")
+    # a join with the few known pairs works out a log's key once, where a filter of an expression does it twice
+    on = (F.lower(plain(topic(0))) == F.col("__topic")) & (F.lower(df["address"]) == F.col("__at"))
+    d = df.join(F.broadcast(known), on).select("event", F.col("__at").alias("address"), "block_number", "log_index", "tx_hash", "topics", F.when(F.startswith("data", F.lit("0x")), F.substring(F.col("data").cast("binary"), 3, 2**31 - 1)).otherwise(F.col("data").cast("binary")).alias("__d"))
+    n = F.conv(F.substring("__d", 64 * 2 + 49, 16).cast("string"), 16, 10).cast("decimal(20,0)")
     holds = F.floor((F.length("__d") - 64 * 3) / 64)
-    payouts = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: F.substring("__d", i * 64 + (64 * 2 + 1), F.lit(64)))
-    # the words that are numbers, decoded by one expression
-    words = F.when(is_("Transfer", "FeeCharged"), F.array(raw(0))).when(is_("TransferSingle"), F.array(raw(0), raw(1))).when(is_("OrderFilled"), F.array(*map(raw, range(1, 5))))
-    words = words.when(is_("ConditionResolution") & (n <= holds), F.when(n > 0, payouts).otherwise(F.array().cast("array<string>")))
-    number = lambda i: F.get("__n", F.lit(i))
+    payouts = F.transform(F.sequence(F.lit(1), n.cast("int")), lambda i: M.word_unsigned(F.substring("__d", i * 64 + (64 * 2 + 1), F.lit(64)).cast("string"), 0))
     orders, conditions = is_("OrderFilled"), is_("ConditionResolution", "ConditionPreparation")
+    # each field's word is cut out first, so that few expressions read numbers, and none of them by an interpreted function of arrays
+    words = {
+        "token_id": F.when(orders, raw(1)).when(is_("TransferSingle"), raw(0)),
+        "amount_raw": F.when(is_("TransferSingle"), raw(1)).when(is_("Transfer", "FeeCharged"), raw(0)),
+        "maker_amount_raw": F.when(orders, raw(2)),
+        "taker_amount_raw": F.when(orders, raw(3)),
+        "fee_raw": F.when(orders, raw(4)),
+    }
+    number = lambda name: M.word_unsigned(F.col(f"__{name}"), 0)
     fields = {
         "operator": F.when(is_("TransferSingle"), address_of(topic(1))),
         "from_": F.when(is_("TransferSingle"), address_of(topic(2))).when(is_("Transfer"), address_of(topic(1))),
         "to": F.when(is_("TransferSingle"), address_of(topic(3))).when(is_("Transfer"), address_of(topic(2))),
-        "token_id": F.when(is_("TransferSingle", "OrderFilled"), number(0)),
-        "amount_raw": F.when(is_("TransferSingle"), number(1)).when(is_("Transfer", "FeeCharged"), number(0)),
+        "token_id": number("token_id"),
+        "amount_raw": number("amount_raw"),
         "receiver": F.when(is_("FeeCharged"), address_of(topic(1))),
-        "order_hash": F.when(orders, topic(1)),
+        "order_hash": F.when(orders, F.lower(topic(1))),
         "maker": F.when(orders, address_of(topic(2))),
         "taker": F.when(orders, address_of(topic(3))),
-        "side": F.when(orders, F.conv(F.substring("__d", 63, 2), 16, 10).cast("int")),
-        "maker_amount_raw": F.when(orders, number(1)),
-        "taker_amount_raw": F.when(orders, number(2)),
-        "fee_raw": F.when(orders, number(3)),
-        "builder": F.when(orders, raw(5)),
-        "metadata": F.when(orders, raw(6)),
-        "condition_id": F.when(conditions, topic(1)),
+        "side": F.when(orders, F.conv(F.substring("__d", 63, 2).cast("string"), 16, 10).cast("int")),
+        "maker_amount_raw": number("maker_amount_raw"),
+        "taker_amount_raw": number("taker_amount_raw"),
+        "fee_raw": number("fee_raw"),
+        "builder": F.when(orders, F.lower(raw(5))),
+        "metadata": F.when(orders, F.lower(raw(6))),
+        "condition_id": F.when(conditions, F.lower(topic(1))),
         "oracle": F.when(conditions, address_of(topic(2))),
-        "question_id": F.when(conditions, topic(3)),
-        "outcome_slot_count": F.when(conditions, F.conv(F.substring("__d", 49, 16), 16, 10).cast("bigint")),
-        "payout_numerators": F.when(is_("ConditionResolution"), F.col("__n")),
+        "question_id": F.when(conditions, F.lower(topic(3))),
+        "outcome_slot_count": F.when(conditions, F.conv(F.substring("__d", 49, 16).cast("string"), 16, 10).cast("bigint")),
+        "payout_numerators": F.when(is_("ConditionResolution") & (n <= holds), F.when(n > 0, payouts).otherwise(F.array().cast("array<string>"))),
     }
-    return d.withColumn("__n", F.transform(words, lambda w: M.word_unsigned(w, 0))).select("event", "address", "block_number", "log_index", "tx_hash", *[c.alias(k) for k, c in fields.items()])
+    return d.select("*", *[c.alias(f"__{k}") for k, c in words.items()]).select("event", "address", "block_number", "log_index", "tx_hash", *[c.alias(k) for k, c in fields.items()])
 
 
 def book_ticks(df: DataFrame) -> DataFrame:

@@ -282,3 +282,16 @@ def test_fair_values_of_all_options(spark, sf):
         assert sum(reasons.values()) == len(rows) and set(reasons) <= {"ok", "clipped", "imprecise"}
         low = sum(-36 < x < 4 for x in d)
         assert reasons["ok"] >= low
+
+
+def test_chain_words_at_the_bounds_of_their_ways(spark):
+    """Numbers on both sides of each way of reading them, in any case of the hex; a contract listed twice; no array function for single words."""
+    values = [0, 2**63, 2**64 - 1, 2**64, 2**124 - 1, 2**124, 2**256 - 1]
+    topic = {v: k for k, v in S.TOPICS.items()}
+    rows = [(i, [p + topic["FeeCharged"].upper(), "0x" + f"{0xAB:064X}"], p + f"{v:064X}", S.EXCHANGES[0]) for i, v in enumerate(values) for p in (["0x", ""][i % 2],)]
+    logs = spark.createDataFrame(rows, "log_index int, topics array<string>, data string, address string").selectExpr("*", "1L as block_number", "'0x1' as tx_hash")
+    d = S.decode_chain_logs(logs, {"FeeCharged": [S.EXCHANGES[0], S.EXCHANGES[0].upper().replace("0X", "0x")]})
+    assert [(r["amount_raw"], r["receiver"], r["address"]) for r in d.orderBy("log_index").collect()] == [(str(v), "0x" + "0" * 38 + "ab", S.EXCHANGES[0]) for v in values]
+    assert S.decode_chain_logs(logs, {}).count() == 0
+    plan = d.drop("payout_numerators")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(" not in plan and "transform(CASE" not in plan
