@@ -64,13 +64,33 @@ def peak_inventory(inv: DataFrame) -> DataFrame:
     return inv.groupBy("token_id").agg(F.count("*").alias("n_fills"), F.max("position").alias("max_position"), F.min("position").alias("min_position"), F.max(F.abs("position")).alias("peak_abs"), F.max_by("position", at).alias("final_position"), F.max("exposure").alias("max_exposure"))
 
 
-def total_exposure(inv: DataFrame, width: int = 1_000) -> DataFrame:
-    """At each fill, the sum over tokens of their latest exposure: a running sum of each token's changes, dealt by ranges of blocks."""
+def exposure_steps(fills: DataFrame, width: int = 1_000_000) -> DataFrame:
+    """inventory_series with __step, the change of the token's exposure, by one sort: a bucket begins with the position and price that the token had."""
+    from pyspark.sql.window import Window as W
+
+    order = ["block_number", "log_index", "size", "price", "side"]
+    f = fills.where("block_number is not null").withColumns({"signed_size": signed_size(F.col("side"), F.col("size")), "__b": F.floor(F.col("block_number") / width).cast("bigint"), "__own": F.lit(True)})
+    ends = f.groupBy("token_id", "__b").agg(F.sum("signed_size").alias("__s"), F.max_by("price", F.struct(*order)).alias("__p"))
+    w = W.partitionBy("token_id").orderBy("__b")
+    heads = ends.select("token_id", "__b", F.sum("__s").over(w.rowsBetween(W.unboundedPreceding, -1)).alias("signed_size"), F.lag("__p").over(w).alias("price"), F.lit(False).alias("__own")).where("signed_size is not null")
+    w = W.partitionBy("token_id", "__b").orderBy("__own", *order)
+    run = lambda last: F.sum("signed_size").over(w.rowsBetween(W.unboundedPreceding, last))
+    d = f.unionByName(heads, allowMissingColumns=True).withColumns({"position": run(0), "__was": run(-1), "__paid": F.lag("price").over(w)}).where("__own")
+    d = d.withColumn("exposure", F.abs("position") * F.col("price")).withColumn("__step", F.col("exposure") - F.coalesce(F.abs("__was") * F.col("__paid"), F.lit(0.0)))
+    return d.drop("__b", "__own", "__was", "__paid")
+
+
+def total_exposure(inv: DataFrame, width: int = 1_000, number: str | None = None) -> DataFrame:
+    """At each fill, the sum over tokens of their latest exposure: a running sum of each token's changes, dealt by ranges of blocks.
+
+    The changes are inv's __step (of exposure_steps, best stored, as this reads them twice), or else found here.
+    """
     from pyspark.sql.window import Window as W
 
     order = ["block_number", "log_index", "token_id", "size", "price", "side"]
     step = F.col("exposure") - F.coalesce(F.lag("exposure").over(W.partitionBy("token_id").orderBy("block_number", "log_index", "size", "price", "side")), F.lit(0.0))
-    return running_sum(inv.withColumn("__step", step).withColumn("__all", F.lit(0)), "__step", ["__all"], order, "total_exposure", width).drop("__step", "__all")
+    steps = inv if "__step" in inv.columns else inv.withColumn("__step", step)
+    return running_sum(steps.withColumn("__all", F.lit(0)), "__step", ["__all"], order, "total_exposure", width, number).drop("__step", "__all")
 
 
 def first_order_stats(fills: DataFrame) -> DataFrame:

@@ -17,19 +17,18 @@ def _bucket(t: Column, width: int) -> Column:
     return F.floor(t / width).cast("bigint")
 
 
-def running_sum(df: DataFrame, value: str, by: list[str], order: list[str], out: str, width: int) -> DataFrame:
-    """Sum of `value` up to and with the row. order[0] is the number that buckets of `width` are cut from."""
-    d = df.withColumn("__b", _bucket(F.col(order[0]), width))
-    sums = d.groupBy(*by, "__b").agg(F.sum(value).alias("__s"))
-    before = F.sum("__s").over(W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1))
-    sums = sums.select(*[F.col(c).alias(f"__rk{i}") for i, c in enumerate(by)], F.col("__b").alias("__rkb"), F.coalesce(before, F.lit(0)).alias("__before"))
-    on = [F.col(c).eqNullSafe(F.col(f"__rk{i}")) for i, c in enumerate(by)] + [F.col("__b") == F.col("__rkb")]
-    cond = on[0]
-    for c in on[1:]:
-        cond = cond & c
-    d = d.join(sums, cond)
-    own = F.sum(value).over(W.partitionBy(*by, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return d.withColumn(out, F.col("__before") + own).select(*[c for c in df.columns if c != out], out)
+def running_sum(df: DataFrame, value: str, by: list[str], order: list[str], out: str, width: int, number: str | None = None) -> DataFrame:
+    """Sum of `value` up to and with the row; `number`: a column for the row's number (from 1). order[0] is the number that buckets of `width` are cut from.
+
+    What earlier buckets sum to is a row before a bucket's own, so that the rows are shuffled and sorted once.
+    """
+    d = df.where(F.col(order[0]).isNotNull()).withColumns({"__b": _bucket(F.col(order[0]), width), "__own": F.lit(True), "__c": F.lit(1).cast("bigint")})
+    sums = d.groupBy(*by, "__b").agg(F.sum(value).alias("__s"), F.sum("__c").alias("__n"))
+    earlier = W.partitionBy(*by).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    heads = sums.select(*by, "__b", F.sum("__s").over(earlier).alias(value), F.sum("__n").over(earlier).alias("__c"), F.lit(False).alias("__own")).where("__c is not null")
+    run = W.partitionBy(*by, "__b").orderBy("__own", *order).rowsBetween(W.unboundedPreceding, 0)
+    d = d.unionByName(heads, allowMissingColumns=True).withColumns({"__run": F.sum(value).over(run)} | ({"__at": F.sum("__c").over(run)} if number else {})).where("__own")
+    return d.select(*[c for c in df.columns if c not in (out, number)], F.col("__run").alias(out), *([F.col("__at").alias(number)] if number else []))
 
 
 def _asof(left: DataFrame, right: DataFrame, l_time: Column, r_time: Column, by: list[str], take: dict[str, str], strict: bool, backward: bool, width: int, tie: list[str]) -> DataFrame:

@@ -103,6 +103,11 @@ def stats(spark, sf):
     return X.first_order_stats(V.fills(spark, sf)).withColumn("fills_per_token_max", F.col("fills_per_token_max").cast("double"))
 
 
+def exposure_steps(spark, sf):
+    """Fills with positions and changes of exposure, stored, as totals read them twice."""
+    return V.stored(X.exposure_steps(V.fills(spark, sf)).select("block_number", "log_index", "token_id", "size", "price", "side", "position", "__step"))
+
+
 @register("f1_inventory_series", "SELECT token_id, block_number, log_index, size, price, position, exposure FROM inv", "position exposure")
 def inventory(spark, sf):
     return X.inventory_series(V.fills(spark, sf)).select("token_id", "block_number", "log_index", "size", "price", "position", "exposure")
@@ -116,13 +121,13 @@ def peaks(spark, sf):
 @register("f3_total_exposure", """WITH s AS (SELECT *, exposure - coalesce(lag(exposure) OVER (PARTITION BY token_id ORDER BY block_number, log_index, size, price, side), 0) AS step FROM inv)
     SELECT token_id, block_number, log_index, size, sum(step) OVER (ORDER BY block_number, log_index, token_id, size, price, side ROWS UNBOUNDED PRECEDING) AS total_exposure FROM s""", "total_exposure", 7)
 def exposure(spark, sf):
-    return X.total_exposure(X.inventory_series(V.fills(spark, sf))).select("token_id", "block_number", "log_index", "size", "total_exposure")
+    return X.total_exposure(exposure_steps(spark, sf)).select("token_id", "block_number", "log_index", "size", "total_exposure")
 
 
 @register("e20_exposure_stats", """WITH s AS (SELECT *, exposure - coalesce(lag(exposure) OVER (PARTITION BY token_id ORDER BY block_number, log_index, size, price, side), 0) AS step FROM inv),
     t AS (SELECT sum(step) OVER (ORDER BY block_number, log_index, token_id, size, price, side ROWS UNBOUNDED PRECEDING) AS x FROM s) SELECT max(x) AS max, avg(x) AS mean, quantile_cont(x, 0.9) AS p90, quantile_cont(x, 0.95) AS p95 FROM t""", "max mean p90 p95", 3)
 def exposure_stats(spark, sf):
-    return X.exposure_stats(V.stored(X.total_exposure(X.inventory_series(V.fills(spark, sf))).select("total_exposure")))
+    return X.exposure_stats(V.stored(X.total_exposure(exposure_steps(spark, sf)).select("total_exposure")))
 
 
 @register("e21_peak_stats", """WITH p AS (SELECT token_id, max(abs(position)) AS peak_abs, sum(CASE WHEN side = 'BUY' THEN size ELSE -size END) AS f FROM inv GROUP BY 1)

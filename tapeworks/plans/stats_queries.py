@@ -10,7 +10,7 @@ from ..operators import fills as X
 from ..operators import regress as R
 from ..operators import selection as S
 from . import views as V
-from .fill_queries import canon, marked
+from .fill_queries import canon, exposure_steps, marked
 from .registry import register
 from .vol_queries import pairs, rets
 
@@ -362,8 +362,8 @@ def builders_of_both(spark, sf):
     b AS (SELECT *, (c1 * v2 - c2 * c12) / (v1 * v2 - c12 * c12) AS b1, (c2 * v1 - c1 * c12) / (v1 * v2 - c12 * c12) AS b2 FROM m) SELECT 'const' AS term, my - b1 * m1 - b2 * m2 AS coef, n FROM b UNION ALL SELECT 'position', b1, n FROM b UNION ALL SELECT 'total_thousands', b2, n FROM b""", "coef", 7)
 def skew_of_exposure(spark, sf):
     """Quote less fair on the token's position and the account's total exposure, with Newey-West errors (not in the result)."""
-    d = V.stored(X.total_exposure(X.inventory_series(V.fills(spark, sf))).select((F.col("price") - 0.5).alias("offset"), "position", (F.col("total_exposure") / 1000).alias("total_thousands"), "block_number", "log_index", "token_id", "size"))
-    return R.ols_hac(d, "offset", ["position", "total_thousands"], ["block_number", "log_index", "token_id", "size"]).select("term", "coef", "n")
+    d = V.stored(X.total_exposure(exposure_steps(spark, sf), number="at").select((F.col("price") - 0.5).alias("offset"), "position", (F.col("total_exposure") / 1000).alias("total_thousands"), "at"))
+    return R.ols_hac(d, "offset", ["position", "total_thousands"], ["at"], number="at").select("term", "coef", "n")
 
 
 @register("o4_o5_skew_spread_fit", "SELECT 'skew' AS model, u.term, CASE u.term WHEN 'const' THEN a ELSE b END AS coef FROM (SELECT regr_slope(price, position) AS b, regr_intercept(price, position) AS a FROM inv) s, (VALUES ('const'), ('position')) u(term)", "coef", 9)

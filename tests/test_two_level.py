@@ -104,3 +104,31 @@ def test_cascade_sorts_its_rows_once(spark, monkeypatch):
     for model, x, z in (("all", np.c_[np.ones(n), a], y), ("part", np.c_[np.ones(n), a, b][keep], y[keep])):
         beta, se = newey_west(x, z, 6)
         assert got[model, "a"] == pytest.approx((beta[1], se[1], len(z)))
+
+
+def test_exposure_by_one_sort(spark, monkeypatch):
+    """Steps of exposure, totals and numbers equal plain windows whatever the buckets; no join brings sums to rows; numbered rows aren't sorted for the errors."""
+    from tapeworks.operators import fills as X
+
+    rng = np.random.default_rng(4)
+    rows = [(f"t{rng.integers(0, 4)}", int(rng.integers(0, 60)), int(rng.integers(0, 2)), "BUY" if rng.random() < 0.5 else "SELL", float(i % 7 + 1), 0.1 + i / 500) for i in range(200)]
+    df = spark.createDataFrame(rows, "token_id string, block_number long, log_index long, side string, size double, price double").repartition(3)
+    held, last, total, want = {}, {}, 0.0, []
+    for token, block, log, side, size, price in sorted(rows, key=lambda r: (r[1], r[2], r[0], r[4], r[5], r[3])):
+        held[token] = held.get(token, 0.0) + (size if side == "BUY" else -size)
+        now = abs(held[token]) * price
+        total, last[token] = total + now - last.get(token, 0.0), now
+        want.append((price, held[token], total))
+    for width in (7, 1000):
+        got = X.total_exposure(X.exposure_steps(df, width), width, "at").orderBy("at").collect()
+        assert [r["at"] for r in got] == list(range(1, 201))
+        assert [x for r in got for x in (r["price"], r["position"], r["total_exposure"])] == pytest.approx([x for w in want for x in w])
+    assert "Join" not in X.total_exposure(X.exposure_steps(df))._jdf.queryExecution().optimizedPlan().toString()
+    d = X.total_exposure(X.exposure_steps(df, 7), 7, "at").select("at", "price", "position", "total_exposure").cache()
+    plain = R.ols_hac(d, "price", ["position", "total_exposure"], ["at"], lag=5, segment=30).collect()
+    sorts, numbered = [], R.numbered
+    monkeypatch.setattr(R, "numbered", lambda *args: sorts.append(1) or numbered(*args))
+    got = R.ols_hac(d, "price", ["position", "total_exposure"], ["at"], lag=5, segment=30, number="at").collect()
+    assert not sorts and [r["se"] for r in got] == pytest.approx([r["se"] for r in plain])
+    holes = d.withColumn("price", F.when(F.col("at") % 5 != 0, F.col("price")))
+    assert [r["n"] for r in R.ols_hac(holes, "price", ["position"], ["at"], lag=5, number="at").collect()] == [160, 160] and sorts
