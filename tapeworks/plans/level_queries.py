@@ -274,7 +274,7 @@ def quoting(spark, sf):
     e = V.table(spark, sf, "events").selectExpr("cast(user_id % 40 as string) as token_id", "event_type", "unix_micros(cast(ts as timestamp)) * 1000 as t_ns", "value", "event_id")
     of = lambda kind: e.where(F.col("event_type") == kind).select("token_id", "t_ns", "value", "event_id")
     steps = of("error").withColumn("step", F.when(F.col("value") > 50, F.col("value")).otherwise(-F.col("value")))
-    inventory = O.running_sum(steps, "step", ["token_id"], ["t_ns", "event_id"], "position", 86400 * NS).select("token_id", "t_ns", F.col("position").alias("value"))
+    inventory = O.running_sum(steps, "step", ["token_id"], ["t_ns", "event_id"], "position", 86400 * NS).select("token_id", "t_ns", F.col("position").alias("value"), "event_id")
     return of("signup").select("token_id", "t_ns"), {"spot": (of("click"), 60.0), "sigma": (of("purchase"), 80.0), "imbalance": (of("view"), 100.0), "inventory": (inventory, 90.0)}
 
 
@@ -303,7 +303,7 @@ def update_triggers(spark, sf):
     from ..operators import triggers as G
 
     quotes, drivers = quoting(spark, sf)
-    return G.update_triggers(quotes, drivers, "token_id", width=86400 * NS).select("token_id", "t_ns", "spot_move", "inventory_move", "trigger")
+    return G.update_triggers(quotes, drivers, "token_id", width=86400 * NS, tie=["event_id"]).select("token_id", "t_ns", "spot_move", "inventory_move", "trigger")
 
 
 @register("o9_trigger_regression", f"""WITH {QUOTING}, g AS (SELECT token_id, unnest(range(min(t_ns), max(t_ns) + 1, 14400000000000)) AS t_ns FROM q GROUP BY 1),
@@ -316,5 +316,5 @@ def trigger_regression(spark, sf):
     from ..operators import triggers as G
 
     quotes, drivers = quoting(spark, sf)
-    grid = G.trigger_grid(quotes, {n: drivers[n][0] for n in ("spot", "inventory")}, "token_id", 4 * 3600 * NS, width=86400 * NS)
+    grid = G.trigger_grid(quotes, {n: drivers[n][0] for n in ("spot", "inventory")}, "token_id", 4 * 3600 * NS, width=86400 * NS, tie=["event_id"])
     return G.trigger_regression(grid, ["spot", "inventory"]).select("term", "coef", "n")
