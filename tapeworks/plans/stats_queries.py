@@ -106,7 +106,7 @@ LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 def boosted(spark, sf):
     """Rows and trees of the size on price, discount and tax, earliest 70 % as training rows."""
     d = R.temporal_split(xy(spark, sf), "t", 0.7).dropna(subset=["y", "x1", "x2", "x3"])
-    return d, R.gbt_fit(d, "y", ["x1", "x2", "x3"], LINE, rounds=5)
+    return d, R.gbt_fit(d, "y", ["x1", "x2", "x3"], LINE)
 
 
 @register("l9_l11_gbt_residual")

@@ -124,3 +124,58 @@ def test_gbt_measures_permute_nothing_and_deal_small_partitions(spark, monkeypat
     df = spark.range(1000).select(F.col("id").alias("k")).coalesce(1)
     parts = R.dealt(df, ["k"], rows=50).rdd.glom().map(lambda p: [r[0] for r in p]).collect()
     assert len(parts) == 20 and max(map(len, parts)) < 100 and all(p == sorted(p) for p in parts) and sum(map(len, parts)) == 1000
+
+
+@pytest.mark.parametrize("query", ["l9_gbt_by_group"])
+def test_gbt_queries_fit_the_whole_number_of_trees(spark, monkeypatch, sf, query):
+    """500 rounds that end after 50 without gain, so 100 are fitted before the first look."""
+    import inspect
+
+    from pyspark.ml.regression import GBTRegressor
+
+    from tapeworks.plans.registry import QUERIES
+
+    class Fitted(Exception):
+        pass
+
+    def fit(self, rows):
+        raise Fitted(self.getMaxIter())
+
+    monkeypatch.setattr(GBTRegressor, "fit", fit)
+    with pytest.raises(Fitted) as found:
+        QUERIES[query](spark, sf)
+    assert found.value.args[0] >= 100
+    assert {n: inspect.signature(R.gbt_fit).parameters[n].default for n in ("rounds", "patience")} == {"rounds": 500, "patience": 50}
+
+
+def test_gbt_fit_of_cells_is_that_of_rows(spark):
+    """Rows of equal bins with weights give the trees of the rows; ordered bins stay ordered."""
+    from pyspark.ml.regression import GBTRegressor
+
+    rng = np.random.default_rng(3)
+    rows = [(i, float(a), float(b), float(3 * a * a - 2 * a * b + e), i < 1400) for i, (a, b, e) in enumerate(zip(rng.integers(0, 9, 2000), rng.integers(0, 5, 2000), rng.normal(size=2000)))]
+    df = spark.createDataFrame(rows, "k long, a double, b double, y double, train boolean")
+    got = {r["k"]: r["y"] - r["__e"] for r in R.gbt_fit(df, "y", ["a", "b"], ["k"], rounds=6, step=0.3, subsample=1.0)(df).collect()}
+    model = GBTRegressor(labelCol="y", maxDepth=4, stepSize=0.3, maxIter=6, seed=42).fit(R._assembled(df.where("train"), ["a", "b"]))
+    want = {r["k"]: r["prediction"] for r in model.transform(R._assembled(df, ["a", "b"])).collect()}
+    assert len(got) == 2000 and [got[k] for k in range(2000)] == pytest.approx([want[k] for k in range(2000)])
+
+
+def test_gbt_fit_goes_on_until_patience_ends(spark, monkeypatch):
+    """A first fit that still gains is followed by all rounds, and the trees after the best are left out; without other rows none are."""
+    from pyspark.ml.regression import GBTRegressor
+
+    assert R.best_round([5.0, 4.0, 4.0, 4.5, 3.0], 2) == (2, True) and R.best_round([5.0, 4.0, 4.0, 4.5, 3.0], 3) == (5, False) and R.best_round([1.0], 1) == (1, False)
+    rng = np.random.default_rng(4)
+    rows = [(i, float(a), float(np.sin(6 * a) + e), i < 300) for i, (a, e) in enumerate(zip(rng.uniform(size=400), rng.normal(size=400)))]
+    df = spark.createDataFrame(rows, "k long, a double, y double, train boolean")
+    tried, fit = [], GBTRegressor.fit
+    monkeypatch.setattr(GBTRegressor, "fit", lambda self, rows: tried.append(self.getMaxIter()) or fit(self, rows))
+    rmse = {n: R.gbt_fit(df, "y", ["a"], ["k"], rounds=n, patience=p)(df).where("not train").agg(R._rmse()).first()[0] for n, p in ((12, 12), (1, 12), (4, 12))}
+    assert tried[0] == 12 and all(rmse[12] <= rmse[n] + 1e-12 for n in (1, 4))
+    tried.clear()
+    R.gbt_fit(df.withColumn("y", F.col("a") * 100), "y", ["a"], ["k"], rounds=9, step=0.3, patience=2)
+    assert tried[:2] == [4, 9]
+    tried.clear()
+    R.gbt_fit(df.where("train"), "y", ["a"], ["k"], rounds=5, patience=1)
+    assert tried == [5]
