@@ -126,7 +126,7 @@ def test_gbt_measures_permute_nothing_and_deal_small_partitions(spark, monkeypat
     assert len(parts) == 20 and max(map(len, parts)) < 100 and all(p == sorted(p) for p in parts) and sum(map(len, parts)) == 1000
 
 
-@pytest.mark.parametrize("query", ["l9_gbt_by_group"])
+@pytest.mark.parametrize("query", ["l9_gbt_by_group", "l9_l11_gbt_residual"])
 def test_gbt_queries_fit_the_whole_number_of_trees(spark, monkeypatch, sf, query):
     """500 rounds that end after 50 without gain, so 100 are fitted before the first look."""
     import inspect
